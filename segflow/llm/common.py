@@ -81,3 +81,41 @@ def slices(batch, most_bytes: int = 8 << 20, column: str = "text"):
         end = max(first + 1, int(np.searchsorted(upto, base + most_bytes, "right")))
         yield batch.slice(first, end - first)
         first = end
+
+
+#: Fixed value: odd multiplier of the polynomial hashes modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2**64 and of its inverse, at least n of each."""
+    if "p" not in _POWERS or len(_POWERS["p"]) < n:
+        n = max(n, 1 << 20)
+        for k, base in (("p", BASE), ("q", pow(BASE, -1, 2**64))):
+            out = np.ones(n, np.uint64)
+            done = 1
+            while done < n:
+                more = min(done, n - done)
+                out[done : done + more] = out[:more] * np.uint64(pow(base, done, 2**64))
+                done += more
+            _POWERS[k] = out
+    return _POWERS["p"], _POWERS["q"]
+
+
+def word_spans(body: np.ndarray, offsets: np.ndarray, gaps=(32, 9, 10, 11, 12, 13)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of every word (run of bytes that are not gaps) of the documents laid end to end in body."""
+    is_gap = np.zeros(256, bool)
+    is_gap[list(gaps)] = True
+    gap = is_gap[body]
+    new = np.zeros(len(body) + 1, bool)
+    new[offsets[:-1]] = True
+    first, last = ~gap, ~gap
+    first[1:] &= gap[:-1] | new[1:-1]
+    last[:-1] &= gap[1:] | new[1:-1]
+    a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+    # polynomial hash of a word from one running sum: sum(byte * B**i), divided by B**start
+    power, inverse = powers(len(body) + 1)
+    upto = np.zeros(len(body) + 1, np.uint64)
+    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * power[: len(body)], out=upto[1:])
+    return a, b, mix64((upto[b] - upto[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(BASE))

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, quality
 from .chat import format_turns, probe_rows, read_back, text_parts
-from .common import cut, table
+from .common import cut, shared_dir, table
 from .mixing import mix_counts
 from .rules import quality_rules
+from .tokenbin import decode_documents, read_shards, token_shards, with_starts, write_shards
+
+
+def remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +34,35 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(written)
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op8_quality_rules, op10_chat_format)}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(remainder(3) != 1).select("doc_id", "text", "lang"))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_starts(cut(decode_documents(tokens_written(table(spark, sf_dir, "documents")))))
+
+
+def tokens_written(docs: DataFrame) -> DataFrame:
+    """docs as token shards, written to a new path in the shared folder and read from it."""
+    import public_tokenizers
+
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
+    write_shards(token_shards(docs, public_tokenizers.path("word_bpe_49k.json")), path)
+    return read_shards(spark, path)
+
+
+def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(remainder(5) != 0))
+    out = quality.score(docs, model)
+    return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op2_source_mix, op3_language_id, op6_token_shards, op7_quality_mil, op8_quality_rules, op10_chat_format)}
 
 WS = r"[^\x20\x09-\x0D]+"
 ORACLE_SQL = {
