@@ -11,6 +11,7 @@ from . import langid, quality
 from .chat import format_turns, probe_rows, read_back, text_parts
 from .common import cut, shared_dir, table
 from .mixing import mix_counts
+from .ngramjoin import jaccard_components
 from .rules import quality_rules
 from .tokenbin import decode_documents, read_shards, token_shards, with_starts, write_shards
 
@@ -28,6 +29,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe_rows(spark))
     written = cut(format_turns(rows.select("conv_id", "turn", "role", text_parts(F.col("text")).alias("parts"))))
@@ -62,7 +67,7 @@ def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_language_id, op6_token_shards, op7_quality_mil, op8_quality_rules, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_source_mix, op3_language_id, op6_token_shards, op7_quality_mil, op8_quality_rules, op9_ngram_jaccard, op10_chat_format)}
 
 WS = r"[^\x20\x09-\x0D]+"
 ORACLE_SQL = {
