@@ -54,8 +54,8 @@ def running_start(df: DataFrame, keys: list[str], coarse: str, order: list, size
 def mix_schedule(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=(3, 1, 2), block_words: int = 1024, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
     """The mix as (documents, pieces).
 
-    documents: row_id, doc_id, source, size, source_size, target.
-    pieces: slot (place in the mix), source_no, block, row_id, doc_id, from_word, n_words; ordering by slot, then block offset,
+    documents: row_id, doc_id, same (hash of the text), source, size, source_size, target.
+    pieces: slot (place in the mix), source_no, block, row_id, doc_id, p (pass over the source), from_word, n_words; ordering by slot, then block offset,
     gives the mix.  Every piece is a run of words of one document.
     """
     spark = docs.sparkSession
@@ -77,14 +77,14 @@ def mix_schedule(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=
     t = targets.select(F.col("source").alias("_s"), "source_no", "source_size", "target", "quota")
     placed = sized.join(t, sized["source"].eqNullSafe(F.col("_s"))).drop("_s").withColumn("coarse", F.substring("key", 1, 3))
     placed = running_start(placed, ["source_no"], "coarse", ["key", "doc_id", "size", "same"], "size", "start")
-    placed = cut(placed.withColumn("row_id", F.monotonically_increasing_id()).drop("key", "same", "coarse"))
+    placed = cut(placed.withColumn("row_id", F.monotonically_increasing_id()).drop("key", "coarse"))
 
     # Blocks of each document in both passes over the stream, cut off at the quota.
     passes = placed.filter("size > 0").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(int(cap) - 1))))
     passes = passes.withColumn("a", F.col("start") + F.col("p") * F.col("source_size")).withColumn("b", F.least(F.col("a") + F.col("size"), "quota")).filter("a < b")
     pieces = passes.withColumn("block", F.explode(F.sequence(F.floor(F.col("a") / block_words), F.floor((F.col("b") - 1) / block_words))))
     begin = F.greatest("a", F.col("block") * block_words)
-    pieces = pieces.select("source_no", "block", "row_id", "doc_id", (begin - F.col("a")).alias("from_word"), (F.least("b", (F.col("block") + 1) * block_words) - begin).alias("n_words"))
+    pieces = pieces.select("source_no", "block", "row_id", "doc_id", "p", (begin - F.col("a")).alias("from_word"), (F.least("b", (F.col("block") + 1) * block_words) - begin).alias("n_words"))
 
     # Slots: golden-ratio points through the cumulative shares.  Cells turn the range look-up into an equi-join.
     cell = PERIOD // 4096
@@ -99,7 +99,7 @@ def mix_schedule(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=
     short = short.withColumn("r", F.row_number().over(Window.orderBy("block", "source_no")))
     spare = ranked.filter("block >= blocks").select("slot", F.row_number().over(Window.orderBy("slot")).alias("r"))
     schedule = own.unionByName(short.join(spare, "r").select("slot", "source_no", "block"))
-    return placed.select("row_id", "doc_id", "source", "size", "source_size", "target"), pieces.join(schedule, ["source_no", "block"])
+    return placed.select("row_id", "doc_id", "same", "source", "size", "source_size", "target"), pieces.join(schedule, ["source_no", "block"])
 
 
 def mix_counts(docs: DataFrame, **options) -> DataFrame:
@@ -108,3 +108,25 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
     taken = pieces.groupBy("row_id").agg(F.sum("n_words").alias("taken"))
     out = documents.join(taken, "row_id", "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents with docs' columns: a row for each pass that takes words of a document.
+
+    Only a document in which a source reaches its target is cut (after the words taken, which single spaces then join);
+    all others stay whole.  n_chars, if there, follows the text.
+    """
+    documents, pieces = mix_schedule(docs, **options)
+    taken = pieces.groupBy("row_id", "p").agg(F.sum("n_words").alias("_n"))
+    # equal rows are told apart by number
+    number = lambda d, order: d.withColumn("_r", F.row_number().over(Window.partitionBy("_id", "_same").orderBy(order)))
+    takes = number(documents.select(F.col("doc_id").alias("_id"), F.col("same").alias("_same"), "row_id", "size"), "row_id").join(taken, "row_id")
+    takes = takes.select(F.col("_id").alias("_i"), F.col("_same").alias("_s"), F.col("_r").alias("_k"), "_n", F.col("size").alias("_size"))
+    rows = number(docs.withColumn("_id", F.col("doc_id")).withColumn("_same", F.xxhash64("text")), F.lit(1))
+    # the number is compared outside the join keys, so the rows numbered above need no second shuffle
+    joined = rows.join(takes, rows["_id"].eqNullSafe(F.col("_i")) & (rows["_same"] == F.col("_s")) & (F.abs(F.col("_r") - F.col("_k")) < 1))
+    text = F.when(F.col("_n") >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), 1, F.col("_n").cast("int")), " "))
+    out = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

@@ -47,10 +47,11 @@ def shingle_sets(body: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.
         x[:m] = mix64(x[:m]) * np.uint64(BASE) + key[j : j + m]
     count = np.where(words >= n, words - n + 1, np.minimum(words, 1))
     for d in np.flatnonzero((words > 0) & (words < n)):
-        h = key[first[d]]
-        for k in range(1, words[d]):
-            h = mix64(np.array([h]))[0] * np.uint64(BASE) + key[first[d] + k]
-        x[first[d]] = mix64(np.array([h + np.uint64(words[d])]))[0]
+        w = key[first[d] : first[d] + words[d]]
+        h = w[:1]
+        for k in range(1, len(w)):
+            h = mix64(h) * np.uint64(BASE) + w[k : k + 1]
+        x[first[d]] = mix64(h + np.uint64(len(w)))[0]
     start = np.cumsum(count) - count
     x = mix64(x[np.arange(int(count.sum())) - np.repeat(start, count) + np.repeat(first, count)])
     for s, c in zip(start.tolist(), count.tolist(), strict=True):
@@ -363,3 +364,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     root = digest.join(linked.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = root.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return root.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component of near copies: the one with the least doc_id."""
+    stays = jaccard_components(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import langid, quality
 from .chat import format_turns, probe_rows, read_back, text_parts
 from .common import cut, shared_dir, table
+from .decontaminate import leaks
+from .linededup import drop_widespread_lines
 from .mixing import mix_counts
 from .ngramjoin import jaccard_components
 from .rules import quality_rules
@@ -20,6 +22,10 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -46,6 +52,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_widespread_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_starts(cut(decode_documents(tokens_written(table(spark, sf_dir, "documents")))))
 
@@ -67,7 +78,7 @@ def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_language_id, op6_token_shards, op7_quality_mil, op8_quality_rules, op9_ngram_jaccard, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_source_mix, op3_language_id, op4_line_dedup, op6_token_shards, op7_quality_mil, op8_quality_rules, op9_ngram_jaccard, op10_chat_format)}
 
 WS = r"[^\x20\x09-\x0D]+"
 ORACLE_SQL = {
@@ -96,6 +107,19 @@ WITH d AS (
 SELECT doc_id, size, source_size, target,
        CAST(greatest(0, least(a + size, quota) - a) + greatest(0, least(a + size, quota - source_size) - a) AS BIGINT) AS taken
 FROM p""",
+    "op4_line_dedup": r"""
+WITH l AS (
+  SELECT rid, doc_id, source, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, unnest(range(1, len(ls) + 1)) AS i, ls
+  FROM (SELECT row_number() OVER () AS rid, doc_id, source, string_split(text, chr(10)) AS ls, NULL AS line FROM documents)
+), x AS (
+  SELECT rid, doc_id, source, i, ls[i] AS line, trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM l
+), g AS (
+  SELECT t FROM x WHERE length(t) >= 20 GROUP BY t HAVING count(DISTINCT coalesce('s' || source, 'null')) >= 8
+)
+SELECT doc_id, count(*) AS n_lines, count(g.t) AS n_removed,
+       md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (g.t IS NULL), '')) AS kept_md5
+FROM x LEFT JOIN g ON x.t = g.t GROUP BY rid, doc_id
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL""",
     "op8_quality_rules": f"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WS}') AS w,
