@@ -1,8 +1,63 @@
-"""Training-corpus pipeline."""
+"""Training-corpus pipeline: filter by quality, drop near copies, drop benchmark leaks, mix sources, write token shards.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read as the next one's docs.
+All but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from segflow.llm import quality
+from segflow.llm.common import cut, shared_dir, table
+from segflow.llm.decontaminate import clean_documents
+from segflow.llm.mixing import mixed_documents
+from segflow.llm.ngramjoin import one_of_each_group
+from segflow.llm.queries import tokens_written
+from segflow.llm.tokenbin import decode_documents, with_starts
+
+LEAST_SCORE = 0.3
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among them, scores at LEAST_SCORE or more."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).filter(F.col("score") >= LEAST_SCORE).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (word 4-gram Jaccard of 0.85 or more)."""
+    return one_of_each_group(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs within its edit budget."""
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix takes them."""
+    return mixed_documents(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards of the mix, read back: doc_id, start, n_tokens and ids_crc32 of every row."""
+    return with_starts(cut(decode_documents(tokens_written(docs))))
+
+
+STAGES = [("quality_classifier", keep_quality), ("near_copies", drop_near_copies), ("decontamination", drop_leaks), ("source_mix", mix_sources), ("token_shards", write_tokens)]
+
+#: SQL can't express the classifier, the edit matching or the tokenizer; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
