@@ -38,7 +38,7 @@ def shingle_sets(body: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.
     body[(body >= 65) & (body <= 90)] += 32
     a, _, key = word_spans(body, offsets)
     docs = len(offsets) - 1
-    words = np.bincount(np.searchsorted(offsets, a, "right") - 1, minlength=docs)
+    words = np.diff(np.searchsorted(a, offsets))
     first = np.cumsum(words) - words
     x = key.copy()
     for j in range(1, n):

@@ -49,20 +49,11 @@ class WaveletMatrix:
             packed = np.packbits(bits, bitorder="little")
             planes.append(packed)
             ranks.append(cls.directory(packed))
-            into, zero = cls.places(bits)
-            zeros.append(zero)
-            moved = np.empty_like(x)
-            moved[into] = x
-            x = moved
+            low = np.flatnonzero(~bits)
+            zeros.append(len(low))
+            x = np.concatenate([x.take(low), x.take(np.flatnonzero(bits))])
         return cls(n, planes, ranks, zeros)
 
-    @staticmethod
-    def places(bits: np.ndarray) -> tuple[np.ndarray, int]:
-        """Where each element goes when those with bit 0 move, in order, before those with bit 1; and how many are 0."""
-        ones = np.cumsum(bits, dtype=np.int32)
-        zero = len(bits) - int(ones[-1]) if len(bits) else 0
-        return np.where(bits, ones + np.int32(zero - 1), np.arange(len(bits), dtype=np.int32) - ones), zero
-
     @staticmethod
     def directory(packed: np.ndarray) -> np.ndarray:
         padded = np.zeros(-(-max(1, len(packed)) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
@@ -123,8 +114,10 @@ class WaveletMatrix:
         x = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level in range(len(self.planes) - 1, -1, -1):
             bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            x = x[self.places(bits)[0]]
-            x |= bits.astype(x.dtype) << x.dtype.type(len(self.planes) - 1 - level)
+            out, zero = np.empty_like(x), self.zeros[level]
+            out[np.flatnonzero(~bits)] = x[:zero]
+            out[np.flatnonzero(bits)] = x[zero:] | x.dtype.type(1 << (len(self.planes) - 1 - level))
+            x = out
         return x
 
     def to_bytes(self) -> bytes:
@@ -174,54 +167,59 @@ def open_shard(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, Wavelet
 class Encoder:
     """Encodes batches of texts with one call of the tokenizer per distinct piece."""
 
-    KEEP = 600_000
+    KEEP = 1_200_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted word hashes and their rows in starts
+        self.pieces: dict[str, bytes] = {}
         self.starts, self.flat = array("q", [0]), array("I")
 
-    def word(self, w: str) -> list[int]:
+    def word(self, w: str) -> bytes:
+        """Ids of a word as unsigned 32-bit integers."""
         if SIMPLE.fullmatch(w) and "<|" not in w:
-            out: list[int] = []
+            out = []
             for p in PIECES.findall(w.lower()):
                 ids = self.pieces.get(p)
                 if ids is None:
                     # an ASCII letter run passes the normaliser and byte mapping unchanged
-                    ids = [t.id for t in self.tokenizer.model.tokenize(p)] if p.isascii() and p.isalpha() else self.tokenizer.encode(p, add_special_tokens=False).ids
-                    self.pieces[p] = ids
-                out += ids
-            return out
-        return self.tokenizer.encode(w, add_special_tokens=False).ids
+                    ids = self.pieces[p] = array("I", [t.id for t in self.model.tokenize(p)] if p.isascii() and p.isalpha() else self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
+                out.append(ids)
+            return b"".join(out)
+        return array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
 
     def encode(self, body: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids (each document followed by end_id) and the count per document."""
         n_docs = len(offsets) - 1
-        if len(self.known) > self.KEEP:
+        if len(self.keys) > self.KEEP:
             self.clear()
         a, b, key = word_spans(body, offsets, (32, 10))
         distinct, where, index = np.unique(key, return_index=True, return_inverse=True)
-        rows = np.empty(len(distinct), np.int64)
-        known, data = self.known, body.tobytes()
-        for j, h in enumerate(distinct.tolist()):
-            r = known.get(h)
-            if r is None:
-                i = where[j]
-                ids = self.word(data[a[i] : b[i]].decode("utf-8", "replace"))
-                r = known[h] = len(self.starts) - 1
-                self.flat.extend(ids)
+        at = np.searchsorted(self.keys, distinct)
+        fresh = np.ones(len(distinct), bool)
+        inside = at < len(self.keys)
+        fresh[inside] = self.keys[at[inside]] != distinct[inside]
+        if fresh.any():
+            data, begin, end = body.tobytes(), a[where[fresh]].tolist(), b[where[fresh]].tolist()
+            first = len(self.starts) - 1
+            for i, j in zip(begin, end, strict=True):
+                self.flat.frombytes(self.word(data[i:j].decode("utf-8", "replace")))
                 self.starts.append(len(self.flat))
-            rows[j] = r
+            keys = np.concatenate([self.keys, distinct[fresh]])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.rows = keys[order], np.concatenate([self.rows, np.arange(first, first + len(begin))])[order]
+            at = np.searchsorted(self.keys, distinct)
+        rows = self.rows[at]
         starts, flat = np.array(self.starts), np.array(self.flat, np.uint32)
         row = rows[index]
         size = starts[row + 1] - starts[row]
-        doc = np.searchsorted(offsets, a, "right") - 1
+        doc = np.repeat(np.arange(n_docs), np.diff(np.searchsorted(a, offsets)))
         counts = np.bincount(doc, weights=size, minlength=n_docs).astype(np.int64) + 1
         ids = np.full(int(counts.sum()), end_id, np.uint32)
         # a word's ids go to its own place: ids of all words before it, plus one end id per document before its own
