@@ -15,6 +15,7 @@ from .linededup import drop_widespread_lines
 from .mixing import mix_counts
 from .ngramjoin import jaccard_components
 from .rules import quality_rules
+from .suffixdedup import drop_repeats
 from .tokenbin import decode_documents, read_shards, token_shards, with_starts, write_shards
 
 
@@ -57,6 +58,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_starts(cut(decode_documents(tokens_written(table(spark, sf_dir, "documents")))))
 
@@ -78,7 +83,7 @@ def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_source_mix, op3_language_id, op4_line_dedup, op6_token_shards, op7_quality_mil, op8_quality_rules, op9_ngram_jaccard, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_source_mix, op3_language_id, op4_line_dedup, op5_suffix_dedup, op6_token_shards, op7_quality_mil, op8_quality_rules, op9_ngram_jaccard, op10_chat_format)}
 
 WS = r"[^\x20\x09-\x0D]+"
 ORACLE_SQL = {
