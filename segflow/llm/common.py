@@ -86,12 +86,14 @@ def slices(batch, most_bytes: int = 8 << 20, column: str = "text"):
 #: Fixed value: odd multiplier of the polynomial hashes modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
+#: Bytes that are hashed together, so that the arrays stay in cache.
+STRETCH = 1 << 18
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64 and of its inverse, at least n of each."""
     if "p" not in _POWERS or len(_POWERS["p"]) < n:
-        n = max(n, 1 << 20)
+        n = max(n, STRETCH + 1)
         for k, base in (("p", BASE), ("q", pow(BASE, -1, 2**64))):
             out = np.ones(n, np.uint64)
             done = 1
@@ -114,8 +116,14 @@ def word_spans(body: np.ndarray, offsets: np.ndarray, gaps=(32, 9, 10, 11, 12, 1
     first[1:] &= gap[:-1] | new[1:-1]
     last[:-1] &= gap[1:] | new[1:-1]
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    # polynomial hash of a word from one running sum: sum(byte * B**i), divided by B**start
-    power, inverse = powers(len(body) + 1)
-    upto = np.zeros(len(body) + 1, np.uint64)
-    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * power[: len(body)], out=upto[1:])
-    return a, b, mix64((upto[b] - upto[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(BASE))
+    # polynomial hash of a word from a running sum: sum(byte * B**i), divided by B**start; a stretch of words at a time
+    key, i = np.empty(len(a), np.uint64), 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(b, a[i] + STRETCH, "right")))
+        low, high = a[i], b[j - 1]
+        power, inverse = powers(int(high - low) + 1)
+        upto = np.zeros(high - low + 1, np.uint64)
+        np.cumsum((body[low:high].astype(np.uint64) + np.uint64(1)) * power[: high - low], out=upto[1:])
+        key[i:j] = (upto[b[i:j] - low] - upto[a[i:j] - low]) * inverse[a[i:j] - low]
+        i = j
+    return a, b, mix64(key + (b - a).astype(np.uint64) * np.uint64(BASE))

@@ -133,6 +133,16 @@ def doc_part(doc: np.ndarray, n_parts: int) -> np.ndarray:
     return ((mix64(doc.view(np.uint64)) >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
 
 
+def segments(body: np.ndarray, offsets: np.ndarray, most: int = 2 << 20):
+    """(body, offsets, base) of all windows: as they are, or a very long document in overlapping stretches that start at base."""
+    if len(body) <= 2 * most or len(offsets) > 2:
+        yield body, offsets, 0
+        return
+    for base in range(0, len(body) - LENGTH + 1, most):
+        part = body[base : base + most + LENGTH - 1]
+        yield part, np.array([0, len(part)], np.int64), base
+
+
 class Splitters:
     """Bucket bounds in (key, doc) order: the last suffix of each bucket but the final one, with its content hash and place."""
 
@@ -162,9 +172,10 @@ def sample_splitters(docs: DataFrame, n_parts: int, sample_rows: int = 500) -> t
         import pyarrow as pa
 
         for batch in batches:
-            for piece in slices(batch, 4 << 20):
+            for piece in slices(batch, 2 << 20):
                 body, offsets = utf8(piece.column(1))
                 doc, crc = doc_keys(piece.column(0)), checksums(body, offsets)
+                body, offsets, _ = next(segments(body, offsets))
                 owner, at, _, key, span = anchored(body, offsets)
                 one = np.zeros(len(key), SAMPLE)
                 one["key"], one["doc"], one["crc"], one["at"], one["span"] = key, doc[owner], crc[owner], at, span
@@ -192,12 +203,13 @@ def suffix_blocks(docs: DataFrame, n_parts: int, splitters: dict) -> DataFrame:
     def run(batches):
         split = restore(splitters)
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, 2 << 20):
                 body, offsets = utf8(piece.column(1))
-                doc, crc = doc_keys(piece.column(0)), checksums(body, offsets)
-                owner, at, more, key, span = anchored(body, offsets)
-                doc, crc = doc[owner], crc[owner]
-                yield batch_of(pack(split.part(key, doc), n_parts, key, span, doc, crc, at.astype(np.uint32), more))
+                docs_, crcs = doc_keys(piece.column(0)), checksums(body, offsets)
+                for part, bounds, base in segments(body, offsets):
+                    owner, at, more, key, span = anchored(part, bounds)
+                    doc, crc = docs_[owner], crcs[owner]
+                    yield batch_of(pack(split.part(key, doc), n_parts, key, span, doc, crc, (at + base).astype(np.uint32), more))
 
     return docs.mapInArrow(run, "part int, body binary")
 
@@ -303,33 +315,31 @@ def open_windows(docs: DataFrame, unsettled: DataFrame, n_parts: int, splitters:
         import zstandard
 
         split, unzip = restore(splitters), zstandard.ZstdDecompressor().decompress
+        held: list[tuple] = []  # (doc, crc, first window, bytes) of open stretches
+
+        def flush():
+            size = np.array([len(x[3]) for x in held], np.int64)
+            whole = gram_hashes(np.frombuffer(b"".join(x[3] for x in held), np.uint8))[1]
+            p, owner = windows(np.concatenate([[0], np.cumsum(size)]))
+            doc, crc = np.array([x[0] for x in held], np.int64)[owner], np.array([x[1] for x in held], np.uint32)[owner]
+            at = p - (np.cumsum(size) - size)[owner] + np.array([x[2] for x in held], np.int64)[owner]
+            held.clear()
+            key = whole[p]
+            return batch_of(pack(split.part(key, doc), n_parts, key, np.zeros(len(key), np.uint64), doc, crc, at.astype(np.uint32), np.zeros(len(key), np.uint8)))
+
+        size = 0
         for batch in batches:
-            held: list[tuple] = []
-            size = 0
-
-            def flush():
-                body = np.frombuffer(b"".join(x[2] for x in held), np.uint8)
-                offsets = np.concatenate([[0], np.cumsum([len(x[2]) for x in held])]).astype(np.int64)
-                whole = gram_hashes(body)[1]
-                pairs = [np.frombuffer(x[3], np.int64).reshape(-1, 2) for x in held]
-                owner = np.repeat(np.arange(len(held)), [len(p) for p in pairs])
-                pairs = np.concatenate(pairs)
-                count = pairs[:, 1] - pairs[:, 0] + 1
-                at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(pairs[:, 0], count)
-                owner = np.repeat(owner, count)
-                key = whole[at + offsets[owner]]
-                doc, crc = np.array([x[0] for x in held], np.int64)[owner], np.array([x[1] for x in held], np.uint32)[owner]
-                held.clear()
-                return batch_of(pack(split.part(key, doc), n_parts, key, np.zeros(len(key), np.uint64), doc, crc, at.astype(np.uint32), np.zeros(len(key), np.uint8)))
-
             for doc, crc, z, spans in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                held.append((doc, crc, unzip(z), spans))
-                size += len(held[-1][2])
-                if size >= 8 << 20:
-                    yield flush()
-                    size = 0
-            if held:
-                yield flush()
+                text = unzip(z)
+                for a, b in np.frombuffer(spans, np.int64).reshape(-1, 2).tolist():
+                    for first in range(a, b + 1, 1 << 20):
+                        held.append((doc, crc, first, text[first : min(b + 1, first + (1 << 20)) + LENGTH - 1]))
+                        size += len(held[-1][3])
+                        if size >= 2 << 20:
+                            yield flush()
+                            size = 0
+        if held:
+            yield flush()
 
     return rows.select("doc", "crc", "z", "spans").mapInArrow(run, "part int, body binary")
 
