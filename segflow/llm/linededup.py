@@ -34,7 +34,8 @@ def widespread(docs: DataFrame, text: str = "text", site: str = "source", min_si
     spread = cut(sketched.filter(F.col("n") >= min_sites).select("line", F.hll_sketch_estimate("sketch").alias("sites")))
     far = spread.filter(F.col("sites") > min_sites * (1 + band))
     near = spread.filter((F.col("sites") <= min_sites * (1 + band)) & (F.col("sites") >= min_sites * (1 - band))).select("line")
-    exact = counted.join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites")).filter(F.col("sites") >= min_sites)
+    # pairs are made distinct in each task before they move, so a line that is everywhere sends few rows
+    exact = counted.groupBy("line", "site").agg(F.count("*").alias("n")).join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites")).filter(F.col("sites") >= min_sites)
     return far.unionByName(exact)
 
 
