@@ -191,9 +191,12 @@ def sample_splitters(docs: DataFrame, n_parts: int, sample_rows: int = 500) -> t
 
 
 def batch_of(rows, names=("part", "body")):
+    """Packed rows as an Arrow batch, bodies compressed: columns of documents and places shrink far more than in the shuffle's own codec."""
     import pyarrow as pa
+    import zstandard
 
-    rows = list(rows)
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    rows = [(*r[:-1], squeeze(r[-1])) for r in rows]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if names[k] == "body" else pa.int32()) for k in range(len(names))], list(names))
 
 
@@ -214,6 +217,13 @@ def suffix_blocks(docs: DataFrame, n_parts: int, splitters: dict) -> DataFrame:
     return docs.mapInArrow(run, "part int, body binary")
 
 
+def loosened(bodies: list[bytes], kinds: tuple) -> list[np.ndarray]:
+    import zstandard
+
+    unzip = zstandard.ZstdDecompressor().decompress
+    return unpack([unzip(b) for b in bodies], kinds)
+
+
 def restore(state: dict) -> Splitters:
     made = Splitters.__new__(Splitters)
     vars(made).update(state)
@@ -230,7 +240,7 @@ def settle(blocks: DataFrame, n_parts: int, splitters: dict, exact: bool) -> Dat
         split = restore(splitters)
         rows = [r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         for part in sorted({p for p, _ in rows}):
-            key, span, doc, crc, at, more = unpack([b for p, b in rows if p == part], SUFFIX)
+            key, span, doc, crc, at, more = loosened([b for p, b in rows if p == part], SUFFIX)
             order = multikey_order([key, span, doc, crc, at])
             key, span, doc, crc, at, more = (x[order] for x in (key, span, doc, crc, at, more))
             n = len(key)
@@ -270,7 +280,7 @@ def per_document(spans: DataFrame, n_parts: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        doc, crc, a, b = unpack([x for batch in batches for x in batch.column(1).to_pylist()], SPAN)
+        doc, crc, a, b = loosened([x for batch in batches for x in batch.column(1).to_pylist()], SPAN)
         order = np.lexsort((b, a, crc, doc))
         doc, crc, a, b = doc[order], crc[order], a[order].astype(np.int64), b[order].astype(np.int64)
         new = np.ones(len(doc), bool)
@@ -297,7 +307,7 @@ def compressed(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
-        pack_text = zstandard.ZstdCompressor(level=1).compress
+        pack_text = zstandard.ZstdCompressor(level=4).compress
         for batch in batches:
             for piece in slices(batch):
                 body, offsets = utf8(piece.column(1))
