@@ -122,8 +122,12 @@ def split_long_segments(segments: DataFrame, max_chars: int = 420, least_tail: i
         b = F.when(ended, stop).when(s["i"] > s["a"], s["i"] - 1).otherwise(s["i"])
         a = F.when(cut, b + 1).otherwise(s["a"])
         length = F.when(cut, F.greatest(F.lit(0), F.get(upto, s["i"] + 1) - F.get(upto, a) - 1)).otherwise(grown)
-        done = F.when(cut, F.array_append(s["done"], F.struct(s["a"].alias("a"), b.alias("b")))).otherwise(s["done"])
-        return F.struct(done.alias("done"), a.alias("a"), length.alias("n"), F.when(cut, -1).otherwise(stop).alias("stop"), (s["i"] + 1).alias("i"))
+        # what follows the cut may overflow with this word at once
+        again = cut & (length > max_chars) & (s["i"] > a)
+        piece = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+        done = F.when(cut, F.array_append(s["done"], piece(s["a"], b))).otherwise(s["done"])
+        done = F.when(again, F.array_append(done, piece(a, s["i"] - 1))).otherwise(done)
+        return F.struct(done.alias("done"), F.when(again, s["i"]).otherwise(a).alias("a"), F.when(again, n).otherwise(length).alias("n"), F.when(cut, -1).otherwise(stop).alias("stop"), (s["i"] + 1).alias("i"))
 
     pieces = F.aggregate(w, start, step, lambda s: F.filter(F.array_append(s["done"], F.struct(s["a"].alias("a"), (s["i"] - 1).alias("b"))), lambda p: p["a"] <= p["b"]))
     rows = rows.select("*", F.posexplode(pieces).alias("piece_idx", "_p"))

@@ -45,7 +45,7 @@ def nearest_voice(vectors: DataFrame, voices: DataFrame) -> DataFrame:
 def voice_votes(vectors: DataFrame, voices: DataFrame, excluded: list[str] | None = None) -> DataFrame:
     """AG6: per speaker the voices by votes of its vectors, then mean distance, then catalogue order; rank 1 wins."""
     allowed = voices.filter(~F.col("voice").isin(excluded)) if excluded else voices
-    votes = nearest_voice(vectors, allowed).groupBy("media_id", "speaker", "voice", "voice_ord").agg(F.count("*").alias("votes"), F.round(F.avg("distance"), 6).alias("mean_distance"))
+    votes = nearest_voice(vectors, allowed).groupBy("media_id", "speaker", "voice", "voice_ord").agg(F.count("*").alias("votes"), F.round(F.sum(F.round(F.col("distance") * 1_000_000).cast("long")) / F.count("*") / 1_000_000, 9).alias("mean_distance"))
     by = Window.partitionBy("media_id", "speaker").orderBy(F.desc("votes"), "mean_distance", "voice_ord")
     return votes.withColumn("rank", F.row_number().over(by))
 

@@ -550,7 +550,7 @@ def ag5_voice_stats(x):
 
 
 @query(sql("""SELECT media_id, speaker, voice, voice_ord, votes, mean_distance, row_number() OVER (PARTITION BY media_id, speaker ORDER BY votes DESC, mean_distance, voice_ord) AS rank FROM (
-  SELECT media_id, speaker, b.v AS voice, b.o AS voice_ord, count(*) AS votes, round(avg(round(b.d, 6)), 6) AS mean_distance FROM nn GROUP BY ALL)""", "speaker_vecs", "voices", more=VOICE_NN))
+  SELECT media_id, speaker, b.v AS voice, b.o AS voice_ord, count(*) AS votes, round(sum(CAST(round(round(b.d, 6) * 1000000) AS BIGINT)) / count(*) / 1000000, 9) AS mean_distance FROM nn GROUP BY ALL)""", "speaker_vecs", "voices", more=VOICE_NN))
 def ag6_voice_votes(x):
     return voices.voice_votes(x.speaker_vecs(), x.voices())
 
