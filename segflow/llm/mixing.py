@@ -47,7 +47,7 @@ def running_start(df: DataFrame, keys: list[str], coarse: str, order: list, size
     upto = Window.partitionBy(*keys).orderBy(coarse)
     parts = parts.withColumn("_base", F.sum("_n").over(upto) - F.col("_n")).drop("_n")
     joined = df.join(parts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(coarse).alias("_coarse"), "_base"), [df[k].eqNullSafe(F.col(f"_{k}")) for k in keys] + [df[coarse] == F.col("_coarse")])
-    inner = Window.partitionBy(*keys, coarse).orderBy(*order)
+    inner = Window.partitionBy(*keys, coarse).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn(out, F.col("_base") + F.sum(size).over(inner) - F.col(size)).drop(*[f"_{k}" for k in keys], "_coarse", "_base")
 
 

@@ -362,7 +362,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     groups = near.select(F.col("u").alias("cls"), F.col("v").alias("grp")).unionByName(near.select(F.col("v").alias("cls"), F.col("v").alias("grp")).distinct())
     linked = components(links(cut(groups), sets))
     root = digest.join(linked.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = root.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # written, so that the join below has an exchange of its own, which can be split where one component is large
+    least = cut(root.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least")))
     return root.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

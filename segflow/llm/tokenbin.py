@@ -167,7 +167,7 @@ def open_shard(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, Wavelet
 class Encoder:
     """Encodes batches of texts with one call of the tokenizer per distinct piece."""
 
-    KEEP = 1_200_000
+    KEEP = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -232,7 +232,8 @@ class Encoder:
 def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_tokens: int = 1 << 20, levels: int = 16) -> DataFrame:
     """Shards (part, seq, n_docs, n_tokens, body) of all documents in ascending doc_id order.
 
-    part is the range partition, seq the shard within it; a shard closes once it has shard_tokens tokens.  A task holds
+    part is the range partition, seq the shard within it; a shard closes after the slice (4 MB) of texts with which it
+    reaches shard_tokens tokens.  A task holds
     one Arrow batch and one open shard.  Token ids must be below 2**levels.
     """
     n = partitions(docs.sparkSession)
