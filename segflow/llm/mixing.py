@@ -68,7 +68,7 @@ def mix_schedule(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=
     targets = targets.withColumn("source_no", no).withColumn("quota", quota)
     targets = targets.withColumn("blocks", F.ceil(F.col("quota") / block_words).cast("long"))
     everything = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, 0)
-    all_blocks = F.sum("blocks").over(Window.partitionBy())
+    all_blocks = F.greatest(F.sum("blocks").over(Window.partitionBy()), F.lit(1))
     upto = F.sum("blocks").over(everything)
     targets = cut(targets.withColumn("lo", F.floor((upto - F.col("blocks")) / all_blocks * F.lit(float(PERIOD))).cast("long")).withColumn("hi", F.floor(upto / all_blocks * F.lit(float(PERIOD))).cast("long")))
     n_slots = targets.agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("n")).first()["n"]
