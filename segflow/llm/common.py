@@ -36,6 +36,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_texts(rows: DataFrame, run, schema) -> DataFrame:
+    """rows.mapInArrow(run, schema) with batches bounded by bytes: texts differ too much in length for a bound on rows.
+
+    The bound is a session setting; one that the user has lowered stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = rows.sparkSession.conf
+    if conf.get(key, "64m").rstrip("b") in ("67108864", "64m"):
+        conf.set(key, "8m")
+    return rows.mapInArrow(run, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

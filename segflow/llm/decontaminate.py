@@ -19,7 +19,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_texts, slices
 
 NOT_WORD = re.compile(r"[\W_]+")
 
@@ -132,7 +132,7 @@ def search(rows: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFr
                 columns = list(zip(*hits, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "edits", "start", "end"])
 
-    return rows.mapInArrow(run, "doc_id long, item_id long, edits long, start long, end long")
+    return map_texts(rows, run, "doc_id long, item_id long, edits long, start long, end long")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = 0.08, least: int = 30, block_chars: int = 1_000_000) -> DataFrame:
@@ -153,4 +153,4 @@ def without(docs: DataFrame, items: list[tuple[int, str]], text: str, rate: floa
             for piece in slices(batch, column=text):
                 yield piece.filter(pa.array([not (find and t and find(normal(t))) for t in piece.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_texts, slices
 
 ALPHABET, SEGMENT = 64, 256
 UNKNOWN, PAD = ALPHABET - 1, ALPHABET
@@ -184,4 +184,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                 langs, score = model.predict(texts)
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*piece.schema.names[:-1], "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)

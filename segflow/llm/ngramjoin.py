@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, cut, mix64, partitions, slices, utf8, word_spans
+from .common import BASE, cut, map_texts, mix64, partitions, slices, utf8, word_spans
 from .components import components
 
 N, PERCENT = 4, 85
@@ -138,11 +138,12 @@ def digests(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for piece in slices(batch, 4 << 20):
+            for piece in slices(batch, 2 << 20):
                 _, size, cls = shingle_sets(*utf8(piece.column(1)))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(size.astype(np.int64)), pa.array(cls)], ["doc_id", "n_shingles", "cls"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_texts(rows, run, "doc_id long, n_shingles long, cls long")
 
 
 def frequent_columns(docs: DataFrame, sample_rows: int = 1000, share: float = 0.02) -> np.ndarray:
@@ -153,7 +154,7 @@ def frequent_columns(docs: DataFrame, sample_rows: int = 1000, share: float = 0.
         import pyarrow as pa
 
         for batch in batches:
-            for piece in slices(batch, 4 << 20):
+            for piece in slices(batch, 2 << 20):
                 x, size, _ = shingle_sets(*utf8(piece.column(0)))
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], ["x"])
 
@@ -232,10 +233,10 @@ def set_blocks(rows: DataFrame, n_parts: int, frequent: np.ndarray, whole: bool)
                 x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
                 yield from emit(x, sizes, cls)
             else:
-                for piece in slices(batch, 4 << 20):
+                for piece in slices(batch, 2 << 20):
                     yield from emit(*shingle_sets(*utf8(piece.column(0))))
 
-    return (rows.select("cls", "n_shingles", "body") if whole else rows.select("text")).mapInArrow(run, PACKED)
+    return map_texts(rows.select("cls", "n_shingles", "body") if whole else rows.select("text"), run, PACKED)
 
 
 def gathered(batches, n_parts):
@@ -347,7 +348,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for piece in slices(batch, 4 << 20):
+            for piece in slices(batch, 2 << 20):
                 x, size, cls = shingle_sets(*utf8(piece.column(1)))
                 ends = np.cumsum(size)
                 want = piece.column(0).to_numpy(zero_copy_only=False)
@@ -355,7 +356,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cls[mine]), pa.array(size[mine].astype(np.int64)), pa.array([x[ends[i] - size[i] : ends[i]].tobytes() for i in mine.tolist()], pa.binary())], ["cls", "n_shingles", "body"])
 
     chosen = docs.join(stands.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id"))).select("cls", "text")
-    sets = cut(chosen.mapInArrow(packed, "cls long, n_shingles long, body binary"))
+    sets = cut(map_texts(chosen, packed, "cls long, n_shingles long, body binary"))
     columns = cut(candidate_columns(sets, frequent))
     hub = columns.groupBy("col").agg(F.min("cls").alias("v"), F.count("*").alias("n")).filter("n > 1")
     near = components(columns.join(hub, "col").filter("cls <> v").select(F.col("cls").alias("u"), "v"))

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8, word_spans
+from .common import map_texts, slices, utf8, word_spans
 
 PASSAGE, PAIRS = 512, 64
 
@@ -155,13 +155,13 @@ def passages(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for piece in slices(batch, 4 << 20):
+            for piece in slices(batch, 1 << 20):
                 x, owner = encode(*utf8(piece.column(2)))
                 n = np.bincount(owner, minlength=piece.num_rows)
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(n.astype(np.int32)), pa.array([x[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)], pa.binary())], ["y", "rank", "n", "x"])
 
-    return docs.mapInArrow(run, FEATURES)
+    return map_texts(docs, run, FEATURES)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, sample_bytes: int = 20_000, seed: int = 3) -> Model:
@@ -190,8 +190,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         model = Model.restore(shared.value)
         for batch in batches:
-            for piece in slices(batch, 4 << 20, text):
+            for piece in slices(batch, 1 << 20, text):
                 x, owner = encode(*utf8(piece.column(at)))
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(model.score(x, owner, piece.num_rows), pa.float64())], [*names, "score"])
 
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, cut, mix64, partitions, slices, utf8
+from .common import BASE, cut, map_texts, mix64, partitions, slices, utf8
 from .ngramjoin import pack, unpack
 
 LENGTH, GRAM = 100, 40
@@ -172,7 +172,7 @@ def sample_splitters(docs: DataFrame, n_parts: int, sample_rows: int = 500) -> t
         import pyarrow as pa
 
         for batch in batches:
-            for piece in slices(batch, 2 << 20):
+            for piece in slices(batch, 1 << 20):
                 body, offsets = utf8(piece.column(1))
                 doc, crc = doc_keys(piece.column(0)), checksums(body, offsets)
                 body, offsets, _ = next(segments(body, offsets))
@@ -206,7 +206,7 @@ def suffix_blocks(docs: DataFrame, n_parts: int, splitters: dict) -> DataFrame:
     def run(batches):
         split = restore(splitters)
         for batch in batches:
-            for piece in slices(batch, 2 << 20):
+            for piece in slices(batch, 1 << 20):
                 body, offsets = utf8(piece.column(1))
                 docs_, crcs = doc_keys(piece.column(0)), checksums(body, offsets)
                 for part, bounds, base in segments(body, offsets):
@@ -214,7 +214,7 @@ def suffix_blocks(docs: DataFrame, n_parts: int, splitters: dict) -> DataFrame:
                     doc, crc = docs_[owner], crcs[owner]
                     yield batch_of(pack(split.part(key, doc), n_parts, key, span, doc, crc, (at + base).astype(np.uint32), more))
 
-    return docs.mapInArrow(run, "part int, body binary")
+    return map_texts(docs, run, "part int, body binary")
 
 
 def loosened(bodies: list[bytes], kinds: tuple) -> list[np.ndarray]:
@@ -309,12 +309,12 @@ def compressed(docs: DataFrame) -> DataFrame:
 
         pack_text = zstandard.ZstdCompressor(level=4).compress
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, 4 << 20):
                 body, offsets = utf8(piece.column(1))
                 o, view = offsets.tolist(), memoryview(body.tobytes())
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(doc_keys(piece.column(0))), pa.array(checksums(body, offsets).astype(np.int64)), pa.array([pack_text(view[a:b]) for a, b in zip(o, o[1:], strict=False)], pa.binary())], ["doc_id", "doc", "crc", "z"])
 
-    return docs.mapInArrow(run, "doc_id long, doc long, crc long, z binary")
+    return map_texts(docs, run, "doc_id long, doc long, crc long, z binary")
 
 
 def open_windows(docs: DataFrame, unsettled: DataFrame, n_parts: int, splitters: dict) -> DataFrame:
@@ -345,13 +345,13 @@ def open_windows(docs: DataFrame, unsettled: DataFrame, n_parts: int, splitters:
                     for first in range(a, b + 1, 1 << 20):
                         held.append((doc, crc, first, text[first : min(b + 1, first + (1 << 20)) + LENGTH - 1]))
                         size += len(held[-1][3])
-                        if size >= 2 << 20:
+                        if size >= 1 << 20:
                             yield flush()
                             size = 0
         if held:
             yield flush()
 
-    return rows.select("doc", "crc", "z", "spans").mapInArrow(run, "part int, body binary")
+    return map_texts(rows.select("doc", "crc", "z", "spans"), run, "part int, body binary")
 
 
 def cut_out(text: bytes, pairs: np.ndarray) -> tuple[bytes, int, int]:
@@ -399,4 +399,4 @@ def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]], names[: len(columns) + 1])
 
-    return rows.mapInArrow(run, RESULT + ", kept binary" * with_text)
+    return map_texts(rows, run, RESULT + ", kept binary" * with_text)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, utf8, word_spans
+from .common import map_texts, partitions, slices, utf8, word_spans
 
 MAGIC, BLOCK = b"WMX1", 512
 SHARDS = "part int, seq int, n_docs long, n_tokens long, body binary"
@@ -280,7 +280,7 @@ def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_to
         if open_docs:
             yield close()
 
-    return rows.mapInArrow(run, SHARDS)
+    return map_texts(rows, run, SHARDS)
 
 
 def write_shards(shards: DataFrame, path: str) -> None:
