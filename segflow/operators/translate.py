@@ -174,3 +174,23 @@ def emotion_label(code: Column, enabled: bool = True) -> Column:
         return F.lit("Neutral")
     known = F.create_map(*[F.lit(x) for kv in EMOTIONS.items() for x in kv])
     return F.when(code == "None", F.lit(None).cast("string")).otherwise(F.coalesce(F.try_element_at(known, F.coalesce(code, F.lit(""))), F.lit("Neutral")))
+
+
+def emotion_model(texts: list) -> list:
+    """Deterministic stub of the emotion classifier: a code by the text's last mark."""
+    return [None if t is None else {"!": "hap", "?": "ang", ".": "neu"}.get(t[-1:], "sad") for t in texts]
+
+
+def voice_model(plans: list) -> list:
+    """Deterministic stub of the voice encoder: a short vector from an excerpt plan's times."""
+    return [[p["start_ms"] % 97 / 97, p["end_ms"] % 89 / 89, (p["end_ms"] - p["start_ms"]) % 83 / 83] for p in plans]
+
+
+def context_model(texts: list) -> list:
+    """Deterministic stub of the context analysis: one chapter, named by the text's first word."""
+    return [{"domain": "talk", "chapters": [{"title": (t or "").split(" ")[0], "summary": str(len(t or ""))}]} for t in texts]
+
+
+def speakable(rows: DataFrame, text: str = "text") -> DataFrame:
+    """FL5, FL6: rows whose speaker and text are both there and not blank."""
+    return rows.filter((F.trim(F.coalesce("speaker", F.lit(""))) != "") & (F.trim(F.coalesce(F.col(text), F.lit(""))) != ""))

@@ -852,3 +852,71 @@ def ud3_adjust_length(x):
 def snk12_synthesis_plan(x):
     rows = timeline.real_positions(placed(x)).select("media_id", "seg_idx", "speaker", "grp", "ratio")
     return voices.tts_system(rows, systems(x), "gamma")
+
+
+# --- the remaining entries of the inventory ------------------------------------------------------------------------------
+
+
+@query(sql(f"SELECT media_id, speaker, CAST(total_ms AS BIGINT) AS total_ms, first_start_ms, round(total_ms / sum(total_ms) OVER (PARTITION BY media_id), 6) AS share, {clock_sql('CAST(total_ms AS BIGINT)', 'mmss')} AS mmss FROM (SELECT media_id, speaker, sum(end_ms - start_ms) AS total_ms, min(start_ms) AS first_start_ms FROM rolls GROUP BY ALL)", "rolls"))
+def ag1_speaking_time(x):
+    return speakers.speaking_time(x.rolls())
+
+
+@query(sql("""SELECT r.media_id, r.roll_idx, r.start_ms, r.end_ms, n.name AS speaker FROM rolls r JOIN (SELECT media_id, speaker, printf('SPEAKER_%02d', row_number() OVER (PARTITION BY media_id ORDER BY sum(end_ms - start_ms) DESC, min(start_ms), speaker) - 1) AS name FROM rolls GROUP BY media_id, speaker) n USING (media_id, speaker)""", "rolls"))
+def wn2_rename(x):
+    return speakers.remap(x.rolls(), speakers.rename_by_time(x.rolls())).select("media_id", "roll_idx", "start_ms", "end_ms", "speaker")
+
+
+@query(sql("SELECT media_id, speaker, roll_idx, start_ms, end_ms, rank FROM (SELECT media_id, speaker, roll_idx, start_ms, end_ms, row_number() OVER (PARTITION BY media_id, speaker ORDER BY end_ms - start_ms DESC, start_ms, roll_idx) AS rank FROM rolls WHERE end_ms - start_ms >= 1000) WHERE rank <= 3", "rolls"))
+def top2_longest_segments(x):
+    return speakers.longest_turns(x.rolls(), n=3, least_ms=1000).select("media_id", "speaker", "roll_idx", "start_ms", "end_ms", "rank")
+
+
+@query(sql("SELECT media_id, seg_idx FROM segments WHERE seg_idx % 3 <> 0 AND seg_idx % 5 <> 0", "segments"))
+def fl5_fl6_speakable(x):
+    k = F.col("seg_idx")
+    rows = x.segments().select("media_id", "seg_idx", F.when(k % 3 != 0, F.col("speaker")).alias("speaker"), F.when(k % 5 != 0, F.col("text")).otherwise(" ").alias("text"))
+    return translate.speakable(rows).select("media_id", "seg_idx")
+
+
+@query(sql("SELECT voice, '{\"voice\":\"' || voice || '\",\"n\":' || voice_ord || ',\"dim\":' || len(embedding) || '}' AS json FROM voices", "voices"))
+def snk10_voice_json(x):
+    v = x.voices()
+    return files.voice_json(v.select("voice", F.col("voice_ord").alias("n")), v.select("voice", F.size("embedding").alias("dim")))
+
+
+@query()
+def snk11_attempt_log(x):
+    """Chunks of more than four lines fail at first, so the log holds rounds of halves."""
+    model = lambda batch: [None if len(p) > 4 else r for p, r in zip(batch, translate.echo_model(batch), strict=True)]
+    return translate.translate(translate.chunk_text(chunks(x)), model, "fr", "en")[1]
+
+
+@query(sql("SELECT media_id, chunk_idx, CAST(row_number() OVER (PARTITION BY media_id, chunk_idx ORDER BY seg_idx) - 1 AS BIGINT) AS line_no, speaker, text AS original, text AS translation, true AS ok FROM chunked", "segments", "chunked", recursive=CHUNK_WALK))
+def val3_same_language(x):
+    return translate.translate(translate.chunk_text(chunks(x)), translate.echo_model, "fr", "fr")[0]
+
+
+@query(sql("SELECT media_id, start_ms, end_ms, speaker FROM (SELECT media_id, start_ms, end_ms, speaker FROM rolls UNION ALL SELECT media_id, start_ms, end_ms, speaker FROM segments)", "rolls", "segments"))
+def set1_union(x):
+    return x.rolls().select("media_id", "start_ms", "end_ms", "speaker").unionByName(x.segments().select("media_id", "start_ms", "end_ms", "speaker"))
+
+
+@query(sql("SELECT media_id, seg_idx, CASE right(text, 1) WHEN '!' THEN 'Happy' WHEN '?' THEN 'Angry' WHEN '.' THEN 'Neutral' ELSE 'Sad' END AS emotion FROM segments", "segments"))
+def ud5_emotions(x):
+    rows = translate.call_model(x.segments().select("media_id", "seg_idx", "text"), translate.emotion_model, "text", "code")
+    return rows.select("media_id", "seg_idx", translate.emotion_label(F.col("code")).alias("emotion"))
+
+
+@query(sql("SELECT media_id, speaker, roll_idx, round(start_ms % 97 / 97.0::DOUBLE, 6) AS v1, round((least(end_ms, start_ms + 60000 - before_ms)) % 89 / 89.0::DOUBLE, 6) AS v2 FROM (SELECT *, CAST(sum(end_ms - start_ms) OVER (PARTITION BY media_id, speaker ORDER BY start_ms, roll_idx) AS BIGINT) - (end_ms - start_ms) AS before_ms FROM rolls) WHERE before_ms < 60000", "rolls"))
+def ud6_voice_vectors(x):
+    plan = intervals.excerpt_plan(x.rolls()).select("media_id", "speaker", "roll_idx", F.struct("start_ms", "end_ms").alias("plan"))
+    v = F.from_json("raw", "array<double>")
+    return translate.call_model(plan, translate.voice_model, "plan", "raw").select("media_id", "speaker", "roll_idx", F.round(v[0], 6).alias("v1"), F.round(v[1], 6).alias("v2"))
+
+
+@query("SELECT doc_id, 'talk' AS domain, split_part(text, ' ', 1) AS title, CAST(length(text) AS VARCHAR) AS summary, '00:00:00' AS start_time FROM documents")
+def ud7_context(x):
+    raw = translate.call_model(x.table("documents").select("doc_id", "text"), translate.context_model, "text", "raw").select("doc_id", translate.context_info(F.col("raw")).alias("i"))
+    c = F.col("i.chapters")[0]
+    return raw.select("doc_id", "i.domain", c["title"].alias("title"), c["summary"].alias("summary"), c["start_time"].alias("start_time"))
