@@ -123,7 +123,10 @@ def doc_keys(column) -> np.ndarray:
     return column.fill_null(NONE).to_numpy(zero_copy_only=False)
 
 
-def checksums(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def checksums(body: np.ndarray, offsets: np.ndarray, told_apart: bool) -> np.ndarray:
+    """crc32 of each text, where ids alone don't tell documents apart; else 0, which costs nothing in the shuffles."""
+    if told_apart:
+        return np.zeros(len(offsets) - 1, np.uint32)
     view = memoryview(body.tobytes())
     o = offsets.tolist()
     return np.array([zlib.crc32(view[a:b]) for a, b in zip(o, o[1:], strict=False)], np.uint32)
@@ -165,7 +168,7 @@ class Splitters:
 SAMPLE = np.dtype([("key", np.uint64), ("doc", np.int64), ("crc", np.uint32), ("at", np.uint32), ("span", np.uint64)])
 
 
-def sample_splitters(docs: DataFrame, n_parts: int, sample_rows: int = 500) -> tuple[Splitters, Splitters]:
+def sample_splitters(docs: DataFrame, n_parts: int, told_apart: bool, sample_rows: int = 500) -> tuple[Splitters, Splitters]:
     """Splitters for anchored suffixes and for windows, from at most sample_rows documents (windows are thinned by content)."""
 
     def run(batches):
@@ -174,7 +177,7 @@ def sample_splitters(docs: DataFrame, n_parts: int, sample_rows: int = 500) -> t
         for batch in batches:
             for piece in slices(batch, 1 << 20):
                 body, offsets = utf8(piece.column(1))
-                doc, crc = doc_keys(piece.column(0)), checksums(body, offsets)
+                doc, crc = doc_keys(piece.column(0)), checksums(body, offsets, told_apart)
                 body, offsets, _ = next(segments(body, offsets))
                 owner, at, _, key, span = anchored(body, offsets)
                 one = np.zeros(len(key), SAMPLE)
@@ -200,7 +203,7 @@ def batch_of(rows, names=("part", "body")):
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if names[k] == "body" else pa.int32()) for k in range(len(names))], list(names))
 
 
-def suffix_blocks(docs: DataFrame, n_parts: int, splitters: dict) -> DataFrame:
+def suffix_blocks(docs: DataFrame, n_parts: int, splitters: dict, told_apart: bool) -> DataFrame:
     """Anchored suffixes of all documents, dealt to their buckets."""
 
     def run(batches):
@@ -208,7 +211,7 @@ def suffix_blocks(docs: DataFrame, n_parts: int, splitters: dict) -> DataFrame:
         for batch in batches:
             for piece in slices(batch, 1 << 20):
                 body, offsets = utf8(piece.column(1))
-                docs_, crcs = doc_keys(piece.column(0)), checksums(body, offsets)
+                docs_, crcs = doc_keys(piece.column(0)), checksums(body, offsets, told_apart)
                 for part, bounds, base in segments(body, offsets):
                     owner, at, more, key, span = anchored(part, bounds)
                     doc, crc = docs_[owner], crcs[owner]
@@ -300,7 +303,7 @@ def per_document(spans: DataFrame, n_parts: int) -> DataFrame:
     return spans.select("part", "body").repartitionById(n_parts, "part").mapInArrow(run, "doc long, crc long, spans binary")
 
 
-def compressed(docs: DataFrame) -> DataFrame:
+def compressed(docs: DataFrame, told_apart: bool) -> DataFrame:
     """(doc_id, doc, crc, z): texts packed for the shuffle."""
 
     def run(batches):
@@ -312,7 +315,7 @@ def compressed(docs: DataFrame) -> DataFrame:
             for piece in slices(batch, 4 << 20):
                 body, offsets = utf8(piece.column(1))
                 o, view = offsets.tolist(), memoryview(body.tobytes())
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(doc_keys(piece.column(0))), pa.array(checksums(body, offsets).astype(np.int64)), pa.array([pack_text(view[a:b]) for a, b in zip(o, o[1:], strict=False)], pa.binary())], ["doc_id", "doc", "crc", "z"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(doc_keys(piece.column(0))), pa.array(checksums(body, offsets, told_apart).astype(np.int64)), pa.array([pack_text(view[a:b]) for a, b in zip(o, o[1:], strict=False)], pa.binary())], ["doc_id", "doc", "crc", "z"])
 
     return map_texts(docs, run, "doc_id long, doc long, crc long, z binary")
 
@@ -368,20 +371,27 @@ def cut_out(text: bytes, pairs: np.ndarray) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def ids_differ(docs: DataFrame) -> bool:
+    """Whether no two different texts share a doc_id."""
+    crc = F.crc32(F.coalesce("text", F.lit("")))
+    return not docs.groupBy("doc_id").agg(F.min(crc).alias("a"), F.max(crc).alias("b")).filter("a <> b").limit(1).take(1)
+
+
+def repeated_spans(docs: DataFrame, told_apart: bool) -> DataFrame:
     """(doc, crc, spans) of every document with repeated windows."""
     n_parts = partitions(docs.sparkSession)
-    one, two = (vars(s) for s in sample_splitters(docs, n_parts))
-    first = cut(settle(suffix_blocks(docs, n_parts, one), n_parts, one, False))
+    one, two = (vars(s) for s in sample_splitters(docs, n_parts, told_apart))
+    first = cut(settle(suffix_blocks(docs, n_parts, one, told_apart), n_parts, one, False))
     unsettled = per_document(first.filter("kind = 1"), n_parts)
-    second = settle(open_windows(compressed(docs), unsettled, n_parts, two), n_parts, two, True)
+    second = settle(open_windows(compressed(docs, told_apart), unsettled, n_parts, two), n_parts, two, True)
     return per_document(first.filter("kind = 0").unionByName(second), n_parts)
 
 
 def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs (doc_id, text); with_text adds the remaining bytes as kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = compressed(docs).join(repeated_spans(docs), ["doc", "crc"], "left").select("doc_id", "z", "spans")
+    told_apart = ids_differ(docs)
+    rows = compressed(docs, told_apart).join(repeated_spans(docs, told_apart), ["doc", "crc"], "left").select("doc_id", "z", "spans")
 
     def run(batches):
         import pyarrow as pa
