@@ -9,7 +9,7 @@ length, each starting a new phrase, so that many segments advance together, one
 transition tables.  Whole texts are parsed.
 
 Nulls: a null text, or one without a letter, gets `und` with score 0, and so does every text if no language was learned.
-A null doc_id counts as held out from nothing (it takes part in fitting like others).  Repeated rows get equal answers;
+A null doc_id takes part in fitting like any other.  Repeated rows get equal answers;
 equal phrase counts go to the language that sorts first.  Extra columns pass by unused.
 """
 

@@ -19,8 +19,9 @@ from .suffixdedup import drop_repeats
 from .tokenbin import decode_documents, read_shards, token_shards, with_starts, write_shards
 
 
-def remainder(n: int):
-    return F.crc32(F.col("doc_id").cast("string")) % n
+def held_out(n: int, k: int):
+    """Whether crc32 of the id leaves k modulo n; a null id doesn't."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n == k, F.lit(False))
 
 
 def op1_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +49,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = langid.fit(docs.filter(remainder(3) != 1).select("doc_id", "text", "lang"))
+    model = langid.fit(docs.filter(~held_out(3, 1)).select("doc_id", "text", "lang"))
     out = langid.identify(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +79,9 @@ def tokens_written(docs: DataFrame) -> DataFrame:
 
 def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(remainder(5) != 0))
+    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~held_out(5, 0)))
     out = quality.score(docs, model)
-    return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_source_mix, op3_language_id, op4_line_dedup, op5_suffix_dedup, op6_token_shards, op7_quality_mil, op8_quality_rules, op9_ngram_jaccard, op10_chat_format)}
