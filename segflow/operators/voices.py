@@ -30,14 +30,15 @@ def fixed_rate_ms(text: Column, wpm: float = WPM) -> Column:
     return F.round(word_count(text) * F.lit(60_000.0) / wpm, 3)
 
 
-def nearest_voice(vectors: DataFrame, voices: DataFrame) -> DataFrame:
+def nearest_voice(vectors: DataFrame, voices: DataFrame, spread: int = 64) -> DataFrame:
     """JN7: each vector (media_id, speaker, vec_idx, embedding) with its nearest voice (voice, voice_ord, embedding); ties by catalogue order.
 
-    The catalogue is turned into one array per row of a shuffle-free join only as far as Spark's own size check allows a broadcast; vectors
-    of another size than the voice's match nothing.
+    Vectors are dealt into `spread` groups, and the catalogue, the small side, goes to each group: an equi-join that no key makes lopsided and
+    that needs no broadcast.  Vectors of another size than the voice's match nothing.
     """
-    v = voices.select("voice", "voice_ord", F.col("embedding").alias("ref"), F.size("embedding").alias("dim"))
-    pairs = vectors.withColumn("dim", F.size("embedding")).join(v, "dim").withColumn("d", F.round(cosine_distance(F.col("embedding"), F.col("ref")), 9)).filter("d IS NOT NULL")
+    v = voices.select("voice", "voice_ord", F.col("embedding").alias("ref"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("part"))
+    dealt = vectors.withColumn("part", F.pmod(F.xxhash64("media_id", "speaker", "vec_idx"), F.lit(spread)).cast("int"))
+    pairs = dealt.join(v, "part").withColumn("d", F.round(cosine_distance(F.col("embedding"), F.col("ref")), 9)).filter("d IS NOT NULL")
     best = pairs.groupBy("media_id", "speaker", "vec_idx").agg(F.min(F.struct("d", "voice_ord", "voice")).alias("b"))
     return best.select("media_id", "speaker", "vec_idx", F.col("b.voice").alias("voice"), F.col("b.voice_ord").alias("voice_ord"), F.round("b.d", 6).alias("distance"))
 
