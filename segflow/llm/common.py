@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
 import numpy as np
@@ -36,16 +37,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_texts(rows: DataFrame, run, schema) -> DataFrame:
+#: Where a worker process keeps what its next task of the same operator can use.
+KEPT = "_segflow_kept"
+
+
+def map_texts(rows: DataFrame, run, schema, keeps: bool = False) -> DataFrame:
     """rows.mapInArrow(run, schema) with batches bounded by bytes: texts differ too much in length for a bound on rows.
 
-    The bound is a session setting; one that the user has lowered stays.
+    The bound is a session setting; one that the user has lowered stays.  Unless run keeps things for the next task, the worker first drops
+    what an earlier operator kept there.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = rows.sparkSession.conf
     if conf.get(key, "64m").rstrip("b") in ("67108864", "64m"):
         conf.set(key, "8m")
-    return rows.mapInArrow(run, schema)
+    kept = KEPT
+
+    def alone(batches):
+        sys.__dict__.pop(kept, None)
+        yield from run(batches)
+
+    return rows.mapInArrow(run if keeps else alone, schema)
 
 
 def partitions(spark: SparkSession) -> int:

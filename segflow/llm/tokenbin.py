@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, partitions, slices, utf8, word_spans
+from .common import KEPT, map_texts, partitions, slices, utf8, word_spans
 
 MAGIC, BLOCK = b"WMX1", 512
 SHARDS = "part int, seq int, n_docs long, n_tokens long, body binary"
@@ -167,7 +167,7 @@ def open_shard(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, Wavelet
 class Encoder:
     """Encodes batches of texts with one call of the tokenizer per distinct piece."""
 
-    KEEP = 400_000
+    KEEP = 300_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -246,7 +246,7 @@ def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_to
 
         part, seq = TaskContext.get().partitionId(), 0
         # the worker process keeps the encoder for its next task
-        kept = sys.__dict__.setdefault("_segflow_encoders", {})
+        kept = sys.__dict__.setdefault(KEPT, {})
         encoder = kept.get(tokenizer_path) or kept.setdefault(tokenizer_path, Encoder(tokenizer_path))
         open_ids: list[np.ndarray] = []
         open_docs: list[tuple] = []
@@ -280,7 +280,7 @@ def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_to
         if open_docs:
             yield close()
 
-    return map_texts(rows, run, SHARDS)
+    return map_texts(rows, run, SHARDS, keeps=True)
 
 
 def write_shards(shards: DataFrame, path: str) -> None:
@@ -311,7 +311,7 @@ def decode_documents(shards: DataFrame) -> DataFrame:
                     names,
                 )
 
-    return shards.mapInArrow(run, DECODED)
+    return map_texts(shards, run, DECODED)
 
 
 def with_starts(decoded: DataFrame) -> DataFrame:
