@@ -1 +1,8 @@
-"""segflow: Spark operators over time-coded speech transcripts."""
+"""segflow: Spark operators over time-coded speech transcripts, and over training corpora."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need not have this package on their path: its functions travel with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
