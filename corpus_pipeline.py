@@ -29,8 +29,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (word 4-gram Jaccard of 0.85 or more)."""
-    return one_of_each_group(docs)
+    """One document of each group of near copies (word 5-gram Jaccard of 0.8 or more)."""
+    return one_of_each_group(docs, 5, 80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ column blocks, which travel as packed arrays, one shuffle row per block and batc
 2. The same pass over all columns of the remaining rows gives column counts.  A row with too few shared columns drops out;
    the others keep their rarest shared columns, as many as the size bound needs, and rows that meet in one are candidates.
 3. Candidate groups (components of that graph) are multiplied block by block: overlaps add up over column chunks, pairs below
-   85 % of the union are discarded, and each block returns a spanning forest of its links.  Groups too large for one
+   PERCENT of the union are discarded, and each block returns a spanning forest of its links.  Groups too large for one
    block are split by size class and hash, and only blocks whose sizes can match meet.
 
 No bound, count or hash order ever drops a real link.  Frequent columns found in a bounded sample skip the column blocks
@@ -68,28 +68,28 @@ def shingle_sets(body: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.
     return x, size, mix64(total[ends] - total[ends - size] + size.astype(np.uint64)).view(np.int64)
 
 
-def least_overlap(size):
-    """Overlap that a set of this size needs with any partner, as 85 % of the larger set at least."""
-    return -(-PERCENT * size // 100)
+def least_overlap(size, percent: int = PERCENT):
+    """Overlap that a set of this size needs with any partner, as percent of the larger set at least."""
+    return -(-percent * size // 100)
 
 
-def extra(size):
-    return size * 15 // 100
+def extra(size, percent: int = PERCENT):
+    return size * (100 - percent) // 100
 
 
-def prefix(size):
+def prefix(size, percent: int = PERCENT):
     """Columns of the first pass: any partner shares extra(smaller size) + 1 of them at least."""
-    return np.minimum(size, size - least_overlap(size) + 1 + extra(size))
+    return np.minimum(size, size - least_overlap(size, percent) + 1 + extra(size, percent))
 
 
-def first_bound(size):
+def first_bound(size, percent: int = PERCENT):
     """Shared columns that a row needs in the first pass, whatever its partner's size.  The pass knows columns by 38 bits or more, and
     the allowance covers two columns of one row that fall together."""
-    return extra(least_overlap(size)) - size // 2048
+    return extra(least_overlap(size, percent), percent) - size // 2048
 
 
-def second_bound(size):
-    return least_overlap(size)
+def second_bound(size, percent: int = PERCENT):
+    return least_overlap(size, percent)
 
 
 def pack(part: np.ndarray, n_parts: int, *columns: np.ndarray):
@@ -131,7 +131,7 @@ def spread(x: np.ndarray, n_parts: int) -> np.ndarray:
     return ((x >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, n: int = N) -> DataFrame:
     """(doc_id, n_shingles, cls): cls identifies the shingle set."""
 
     def run(batches):
@@ -139,14 +139,14 @@ def digests(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for piece in slices(batch, 2 << 20):
-                _, size, cls = shingle_sets(*utf8(piece.column(1)))
+                _, size, cls = shingle_sets(*utf8(piece.column(1)), n)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(size.astype(np.int64)), pa.array(cls)], ["doc_id", "n_shingles", "cls"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_texts(rows, run, "doc_id long, n_shingles long, cls long")
 
 
-def frequent_columns(docs: DataFrame, sample_rows: int = 1000, share: float = 0.02) -> np.ndarray:
+def frequent_columns(docs: DataFrame, sample_rows: int = 1000, share: float = 0.02, n: int = N) -> np.ndarray:
     """Shingles in at least this share of a bounded sample of rows (only the speed depends on it)."""
     rows = docs.select("text").sample(0.05, seed=1).limit(sample_rows)
 
@@ -155,7 +155,7 @@ def frequent_columns(docs: DataFrame, sample_rows: int = 1000, share: float = 0.
 
         for batch in batches:
             for piece in slices(batch, 2 << 20):
-                x, size, _ = shingle_sets(*utf8(piece.column(0)))
+                x, size, _ = shingle_sets(*utf8(piece.column(0)), n)
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], ["x"])
 
     found = rows.mapInArrow(run, "x long").groupBy("x").agg(F.count("*").alias("n")).filter(F.col("n") >= max(8, int(share * sample_rows))).select("x").collect()
@@ -196,7 +196,7 @@ def shared_columns(sets: DataFrame, n_parts: int, frequent: np.ndarray, whole: b
     return sets.filter("part < 1000000").repartitionById(n_parts, "part").mapInArrow(columns, PACKED).unionByName(sets.filter("part >= 1000000").select((F.col("part") - 1000000).alias("part"), "body"))
 
 
-def set_blocks(rows: DataFrame, n_parts: int, frequent: np.ndarray, whole: bool) -> DataFrame:
+def set_blocks(rows: DataFrame, n_parts: int, frequent: np.ndarray, whole: bool, n: int = N, percent: int = PERCENT) -> DataFrame:
     """Column blocks of the matrix from rows (cls, n_shingles, body) of sets or (text,) of texts; frequent columns go straight to their rows' part,
     numbered from 1000000."""
 
@@ -204,7 +204,7 @@ def set_blocks(rows: DataFrame, n_parts: int, frequent: np.ndarray, whole: bool)
         owner = np.repeat(np.arange(len(size)), size)
         if not whole:
             rank = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
-            keep = rank < np.repeat(prefix(size), size)
+            keep = rank < np.repeat(prefix(size, percent), size)
             x, owner = x[keep], owner[keep]
         known = np.isin(x, frequent)
         y, of = mix64(x[~known]), owner[~known]
@@ -221,8 +221,8 @@ def set_blocks(rows: DataFrame, n_parts: int, frequent: np.ndarray, whole: bool)
         if len(of):
             many = np.full(len(of), 2**31 - 1, np.int32)
             if not whole:
-                of, n = np.unique(of, return_counts=True)
-                y, many = n.astype(np.uint64), n.astype(np.int32)
+                of, hits = np.unique(of, return_counts=True)
+                y, many = hits.astype(np.uint64), hits.astype(np.int32)
             row = cls[of]
             yield as_batch((p + 1000000, b) for p, b in pack(spread(mix64(row.view(np.uint64)), n_parts), n_parts, row, size[of].astype(np.int32), y | np.uint64(1 << 63) if whole else y, many))
 
@@ -234,7 +234,7 @@ def set_blocks(rows: DataFrame, n_parts: int, frequent: np.ndarray, whole: bool)
                 yield from emit(x, sizes, cls)
             else:
                 for piece in slices(batch, 2 << 20):
-                    yield from emit(*shingle_sets(*utf8(piece.column(0))))
+                    yield from emit(*shingle_sets(*utf8(piece.column(0)), n))
 
     return map_texts(rows.select("cls", "n_shingles", "body") if whole else rows.select("text"), run, PACKED)
 
@@ -246,7 +246,7 @@ def gathered(batches, n_parts):
     return cls[order], size[order], column[order], count[order]
 
 
-def possible_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def possible_rows(docs: DataFrame, frequent: np.ndarray, n: int = N, percent: int = PERCENT) -> DataFrame:
     """cls of the sets that pass the first bound.  Frequent columns may count once per batch that repeats the set, which only keeps more."""
     n_parts = partitions(docs.sparkSession)
 
@@ -256,12 +256,12 @@ def possible_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         cls, size, _, count = gathered(batches, n_parts)
         one, start = np.unique(cls, return_index=True)
         total = np.add.reduceat(count.astype(np.int64), start) if len(one) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(one[total >= first_bound(size[start].astype(np.int64))])], ["cls"])
+        yield pa.RecordBatch.from_arrays([pa.array(one[total >= first_bound(size[start].astype(np.int64), percent)])], ["cls"])
 
-    return shared_columns(set_blocks(docs, n_parts, frequent, False), n_parts, frequent, False).repartitionById(n_parts, "part").mapInArrow(bound, "cls long")
+    return shared_columns(set_blocks(docs, n_parts, frequent, False, n, percent), n_parts, frequent, False).repartitionById(n_parts, "part").mapInArrow(bound, "cls long")
 
 
-def candidate_columns(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
+def candidate_columns(sets: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
     """(col, cls): the rarest shared columns of each row that passes the second bound."""
     n_parts = partitions(sets.sparkSession)
 
@@ -270,7 +270,7 @@ def candidate_columns(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
 
         cls, size, column, count = gathered(batches, n_parts)
         _, start, n = np.unique(cls, return_index=True, return_counts=True)
-        keep = n - second_bound(size[start].astype(np.int64)) + 1
+        keep = n - second_bound(size[start].astype(np.int64), percent) + 1
         rank = np.arange(len(cls)) - np.repeat(start, n)
         ok = rank < np.repeat(keep, n)
         yield pa.RecordBatch.from_arrays([pa.array(column[ok].view(np.int64)), pa.array(cls[ok])], ["col", "cls"])
@@ -278,7 +278,7 @@ def candidate_columns(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
     return shared_columns(set_blocks(sets, n_parts, frequent, True), n_parts, frequent, True).repartitionById(n_parts, "part").mapInArrow(rarest, "col long, cls long")
 
 
-def product_forest(cls: np.ndarray, sets: list[np.ndarray], chunk: int = 4096) -> tuple[np.ndarray, np.ndarray, int]:
+def product_forest(cls: np.ndarray, sets: list[np.ndarray], chunk: int = 4096, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, int]:
     """Spanning forest of the links among the given sets, and the number of links: overlaps add up over column chunks."""
     size = np.array([len(s) for s in sets], np.int64)
     g = len(sets)
@@ -297,7 +297,7 @@ def product_forest(cls: np.ndarray, sets: list[np.ndarray], chunk: int = 4096) -
         block = np.zeros((g, min(chunk, n_columns - c)), overlap.dtype)
         block[owner[a:b], column[a:b] - c] = 1
         overlap += block @ block.T
-    link = (100 + PERCENT) * overlap >= PERCENT * (size[:, None] + size[None, :])
+    link = (100 + percent) * overlap >= percent * (size[:, None] + size[None, :])
     np.fill_diagonal(link, False)
     root = np.arange(g)
     while True:  # each row takes the least label among its links until nothing changes
@@ -309,13 +309,13 @@ def product_forest(cls: np.ndarray, sets: list[np.ndarray], chunk: int = 4096) -
     return cls, cls[root], int(link.sum()) // 2
 
 
-def links(groups: DataFrame, sets: DataFrame, block_rows: int = 1000, block_entries: int = 2_000_000) -> DataFrame:
+def links(groups: DataFrame, sets: DataFrame, percent: int, block_rows: int = 1000, block_entries: int = 2_000_000) -> DataFrame:
     """(u, v) spanning edges of the exact links inside candidate groups (cls, grp) of sets (cls, n_shingles, body)."""
     plan = groups.join(sets.select("cls", "n_shingles"), "cls")
     weight = plan.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n_shingles") / block_entries)).cast("int").alias("nb"))
     plan = plan.join(weight, "grp").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
     # sizes that can match lie in the same class or the next one
-    plan = plan.withColumn("s", F.floor(F.log("n_shingles") / -float(np.log(PERCENT / 100 - 0.001))).cast("int"))
+    plan = plan.withColumn("s", F.floor(F.log("n_shingles") / -float(np.log(percent / 100 - 0.001))).cast("int"))
     others = F.sequence(F.lit(0), F.col("nb") - 1)
     same = F.transform(others, lambda j: F.struct(F.col("s").alias("s"), F.lit(0).alias("d"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
     up = F.transform(others, lambda j: F.struct(F.col("s").alias("s"), F.lit(1).alias("d"), F.col("own").alias("i"), j.alias("j")))
@@ -328,19 +328,22 @@ def links(groups: DataFrame, sets: DataFrame, block_rows: int = 1000, block_entr
         import pyarrow as pa
 
         cls = t.column("cls").to_numpy()
-        u, v, _ = product_forest(cls, [np.frombuffer(b.as_py(), np.uint64) for b in t.column("body")])
+        u, v, _ = product_forest(cls, [np.frombuffer(b.as_py(), np.uint64) for b in t.column("body")], percent=percent)
         keep = u != v
         return pa.table({"u": pa.array(np.maximum(u, v)[keep]), "v": pa.array(np.minimum(u, v)[keep])})
 
     return rows.select("grp", "task", "cls", "body").groupBy("grp", "task").applyInArrow(run, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (least doc_id of those reachable by links) of every row of docs (doc_id, text)."""
+def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id (least doc_id of those reachable by links) of every row of docs (doc_id, text).
+
+    Documents are linked when their sets of word n-grams have a Jaccard similarity of percent / 100 or more.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digest = cut(digests(docs))
-    frequent = frequent_columns(docs)
-    possible = cut(possible_rows(docs, frequent))
+    digest = cut(digests(docs, n))
+    frequent = frequent_columns(docs, n=n)
+    possible = cut(possible_rows(docs, frequent, n, percent))
     # one document stands for each set that can have a link
     stands = digest.filter("n_shingles > 0").join(possible, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
 
@@ -349,7 +352,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for piece in slices(batch, 2 << 20):
-                x, size, cls = shingle_sets(*utf8(piece.column(1)))
+                x, size, cls = shingle_sets(*utf8(piece.column(1)), n)
                 ends = np.cumsum(size)
                 want = piece.column(0).to_numpy(zero_copy_only=False)
                 mine = np.flatnonzero(want == cls)
@@ -357,19 +360,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     chosen = docs.join(stands.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id"))).select("cls", "text")
     sets = cut(map_texts(chosen, packed, "cls long, n_shingles long, body binary"))
-    columns = cut(candidate_columns(sets, frequent))
+    columns = cut(candidate_columns(sets, frequent, percent))
     hub = columns.groupBy("col").agg(F.min("cls").alias("v"), F.count("*").alias("n")).filter("n > 1")
     near = components(columns.join(hub, "col").filter("cls <> v").select(F.col("cls").alias("u"), "v"))
     groups = near.select(F.col("u").alias("cls"), F.col("v").alias("grp")).unionByName(near.select(F.col("v").alias("cls"), F.col("v").alias("grp")).distinct())
-    linked = components(links(cut(groups), sets))
+    linked = components(links(cut(groups), sets, percent))
     root = digest.join(linked.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     # written, so that the join below has an exchange of its own, which can be split where one component is large
     least = cut(root.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least")))
     return root.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
+def one_of_each_group(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component of near copies: the one with the least doc_id."""
-    stays = jaccard_components(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    stays = jaccard_components(docs, n, percent).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi")
     return kept.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from segflow.llm import ngramjoin
 
 
@@ -70,3 +71,54 @@ def test_edge_cases(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def brute_groups(rows, n, percent):
+    """The least id of each row's component, by all pairs."""
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+
+    sets, least = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]) and least[i] != least[j]:
+                old, new = max(least[i], least[j]), min(least[i], least[j])
+                least = [new if x == old else x for x in least]
+    return sorted((rows[i][0], len(s), rows[k][0]) for i, (s, k) in enumerate(zip(sets, least, strict=True)))
+
+
+def near_pairs(seed):
+    """corpus() and pairs of 45 to 80 words that differ in one or two: about 0.8 of their 5-grams, 0.85 of their 4-grams."""
+    rng = random.Random(seed)
+    rows = [(d, t) for d, t in corpus(seed)]
+    for size in range(45, 80):
+        w = [f"{seed}.{size}.{i}" for i in range(size)]
+        for _ in range(2):
+            x = list(w)
+            x[rng.randrange(5, size - 5)] = f"y{rng.random()}"
+            rows.append((len(rows), " ".join(x)))
+        rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+def test_other_lengths_and_thresholds(spark, monkeypatch):
+    rows = near_pairs(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    found = {}
+    for n, percent in ((5, 80), (4, 85), (3, 60)):
+        found[n] = sorted(map(tuple, ngramjoin.jaccard_components(df, n, percent).collect()))
+        assert found[n] == brute_groups(rows, n, percent)
+    assert found[5] != found[4]
+    monkeypatch.setattr(ngramjoin.links, "__defaults__", (7, 500))
+    assert sorted(map(tuple, ngramjoin.jaccard_components(df, 5, 80).collect())) == found[5]
+
+
+def test_stage_drops_five_word_copies(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = near_pairs(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == [d for d, _, least in brute_groups(rows, 5, 80) if d == least]
+    assert got != [d for d, _, least in brute_groups(rows, 4, 85) if d == least]
