@@ -144,3 +144,40 @@ def test_chunk_offsets_and_short_tail(spark):
     blocks = spark.createDataFrame([(1, k, 300_000) for k in range(7)] + [(2, 0, 100_000)] + [(3, 0, 2_000_000), (3, 1, 10_000)], "media_id long, block_idx int, dur_ms long")
     got = sorted(tuple(r) for r in packing.block_chunks(blocks).collect())
     assert got == [(1, 0, 0, 900_000, 3), (1, 1, 900_000, 900_000, 3), (1, 2, 1_800_000, 300_000, 1), (2, 0, 0, 100_000, 1), (3, 0, 0, 2_010_000, 2)]
+
+
+def test_chunks_of_long_media(spark):
+    rng = random.Random(8)
+    segments, blocks, want, want_blocks = [], [], [], []
+    for m, n in ((1, 25_000), (2, 1), (3, 40), (None, 30)):
+        count, switches, before, chunk, ms, block = 0, 0, None, -1, 0, -1
+        for k in range(n):
+            speaker, dur = rng.choice(["A", "A", "A", "B", "C", None]), rng.choice([0, 1_000, 90_000, 400_000, 950_000])
+            switches += before is not None and speaker is not None and speaker != before
+            if k == 0 or count == 10 or switches > 3:
+                count, switches, chunk = 0, 0, chunk + 1
+            count, before = count + 1, speaker
+            if k == 0 or ms + dur > 900_000:
+                ms, block = 0, block + 1
+            ms += dur
+            segments.append((m, k, speaker))
+            blocks.append((m, k, dur))
+            want.append((m, chunk, k, speaker))
+            want_blocks.append((m, block, dur))
+    rng.shuffle(segments)
+    got = packing.translation_chunks(spark.createDataFrame(segments, "media_id long, seg_idx int, speaker string"))
+    assert got.columns == ["media_id", "chunk_idx", "seg_idx", "speaker"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    expect = {}
+    for m, b, dur in want_blocks:
+        expect.setdefault(m, {}).setdefault(b, []).append(dur)
+    for chunks in expect.values():
+        last = max(chunks)
+        if last and sum(chunks[last]) < 300_000:
+            chunks[last - 1] += chunks.pop(last)
+    found = packing.block_chunks(spark.createDataFrame(blocks, "media_id long, block_idx int, dur_ms long"))
+    rows = sorted(((r["media_id"], r["chunk_idx"], r["dur_ms"], r["n_blocks"]) for r in found.collect()), key=str)
+    assert rows == sorted(((m, b, sum(d), len(d)) for m, chunks in expect.items() for b, d in chunks.items()), key=str)
+    # no media item is gathered in one row
+    for df in (got, found):
+        assert "collect_list" not in df._jdf.queryExecution().toString()
