@@ -20,3 +20,29 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def same_size(vector: Column, size: int) -> Column:
     """The vector if it has the catalogue's size, else null."""
     return F.when(F.size(vector) == size, vector)
+
+
+class Vectors:
+    """Rows of vectors by their size, as matrices, for products of whole blocks."""
+
+    def __init__(self, vectors: list):
+        import numpy as np
+
+        self.rows, self.matrix, self.norm = {}, {}, {}
+        by: dict[int, list[int]] = {}
+        for i, v in enumerate(vectors):
+            if v is not None and len(v):
+                by.setdefault(len(v), []).append(i)
+        for size, rows in by.items():
+            self.rows[size] = np.array(rows)
+            self.matrix[size] = np.array([vectors[i] for i in rows], np.float64)
+            self.norm[size] = np.sqrt((self.matrix[size] ** 2).sum(1))
+
+    def distances(self, other: Vectors):
+        """(rows of self, rows of other, cosine distances) for each size that both have; a distance to or from a vector of norm 0 or with a null is infinite."""
+        import numpy as np
+
+        for size in self.rows.keys() & other.rows.keys():
+            with np.errstate(divide="ignore", invalid="ignore"):
+                d = np.round(1 - self.matrix[size] @ other.matrix[size].T / (self.norm[size][:, None] * other.norm[size][None, :]), 9)
+            yield self.rows[size], other.rows[size], np.where(np.isfinite(d), d, np.inf)

@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def from_json_map(rows: DataFrame, raw: str = "raw") -> DataFrame:
+    """SRC11: a JSON object of translations (key to list of speaker and text) per row as (key, translated_pairs); what is no such object gives nothing."""
+    entries = F.from_json(raw, "map<string, array<struct<speaker:string, text:string>>>")
+    return rows.select(F.explode(entries).alias("key", "translated_pairs")).filter("translated_pairs IS NOT NULL")
+
+
 def look_up(rows: DataFrame, cache: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
     """JN9: (hits, misses): rows with the cache's columns, and rows whose key it lacks.  A key kept twice counts once."""
     once = cache.dropDuplicates([key])
@@ -30,5 +36,5 @@ def hit_counts(rows: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame
 
 
 def append(new: DataFrame, path: str, key: str = "key") -> None:
-    """SNK9: add new entries to the Parquet cache at path."""
+    """SNK9: add new entries to the Parquet cache at path, each key once."""
     new.dropDuplicates([key]).write.mode("append").parquet(path)

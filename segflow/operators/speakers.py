@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefmt import minutes
-from ..functions.vectors import cosine_distance
+from ..functions.vectors import Vectors
 from .graph import roots
 
 
@@ -29,14 +29,38 @@ def remap(rows: DataFrame, names: DataFrame) -> DataFrame:
     return found.withColumn("speaker", F.coalesce("new_speaker", F.concat(F.lit("UNKNOWN_"), "speaker"))).select(*rows.columns)
 
 
-def earlier_match(vecs: DataFrame, limit: float = 0.15) -> DataFrame:
+def earlier_match(vecs: DataFrame, limit: float = 0.15, block: int = 1024) -> DataFrame:
     """JN6: each (chunk, speaker) with its closest speaker of any earlier chunk of the media, where their cosine distance is below limit.
 
-    A join within a media item, whose chunks times speakers are few; ties go to the earlier chunk, then the speaker that sorts first.
+    A media item's vectors are dealt to blocks of about `block`, and each pair of blocks is one matrix product in one task, so a large item spreads over many; ties
+    go to the earlier chunk, then the speaker that sorts first.
     """
-    cur = vecs.select("media_id", F.col("chunk_idx").alias("chunk"), F.col("speaker").alias("spk"), F.col("embedding").alias("a"))
-    prev = vecs.select(F.col("media_id").alias("m"), F.col("chunk_idx").alias("prev_chunk"), F.col("speaker").alias("prev_speaker"), F.col("embedding").alias("b"))
-    pairs = cur.join(prev, (F.col("media_id") == F.col("m")) & (F.col("prev_chunk") < F.col("chunk"))).withColumn("d", F.round(cosine_distance(F.col("a"), F.col("b")), 9)).filter(F.col("d") < limit)
+    rows = vecs.select(F.col("media_id").cast("long").alias("media_id"), F.col("chunk_idx").cast("long").alias("chunk"), F.col("speaker").alias("spk"), F.col("embedding").cast("array<double>").alias("v"))
+    sized = rows.groupBy("media_id").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    dealt = rows.join(sized, "media_id").withColumn("own", F.pmod(F.xxhash64("chunk", "spk"), F.col("nb")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("nb") - 1)
+    task = lambda i, j, later: F.struct(i.alias("i"), j.alias("j"), F.lit(later).alias("later"))
+    tasks = F.concat(F.transform(others, lambda k: task(F.col("own"), k, True)), F.transform(others, lambda k: task(k, F.col("own"), False)))
+    dealt = dealt.select("media_id", "chunk", "spk", "v", F.explode(tasks).alias("t")).select("media_id", "chunk", "spk", "v", "t.*")
+
+    def run(t):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        cur = t.filter(t.column("later"))
+        prev = t.filter(pc.invert(t.column("later"))).sort_by([("chunk", "ascending"), ("spk", "ascending")])
+        chunk, before = cur.column("chunk").to_numpy(), prev.column("chunk").to_numpy()
+        out = []
+        for mine, theirs, d in Vectors(cur.column("v").to_pylist()).distances(Vectors(prev.column("v").to_pylist())):
+            d = np.where(before[theirs][None, :] < chunk[mine][:, None], d, np.inf)
+            best = d.argmin(1)
+            low = d[np.arange(len(best)), best]
+            out += [(int(i), int(theirs[k]), float(x)) for i, k, x in zip(mine, best, low, strict=True) if x < limit]
+        i, k = pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())
+        return pa.table([cur.column("media_id").take(i), cur.column("chunk").take(i), cur.column("spk").take(i), pa.array([o[2] for o in out], pa.float64()), prev.column("chunk").take(k), prev.column("spk").take(k)], ["media_id", "chunk", "spk", "d", "prev_chunk", "prev_speaker"])
+
+    pairs = dealt.groupBy("media_id", "i", "j").applyInArrow(run, "media_id long, chunk long, spk string, d double, prev_chunk long, prev_speaker string")
     best = pairs.groupBy("media_id", "chunk", "spk").agg(F.min(F.struct("d", "prev_chunk", "prev_speaker")).alias("best"))
     return best.select("media_id", F.col("chunk").alias("chunk_idx"), F.col("spk").alias("speaker"), F.col("best.prev_chunk").alias("prev_chunk"), F.col("best.prev_speaker").alias("prev_speaker"), F.round("best.d", 6).alias("distance"))
 
@@ -86,6 +110,24 @@ def unmuted_ranges(rolls: DataFrame, muted: list[str] | str) -> DataFrame:
     return unmuted(rolls, muted).select("media_id", "start_ms", "end_ms").distinct()
 
 
+def is_long(ms: int = 750) -> Column:
+    """FL2: whether a roll is longer than ms, whichever way its ends lie."""
+    return F.abs(F.col("end_ms") - F.col("start_ms")) > ms
+
+
+def is_too_short(ms: int = 500) -> Column:
+    """FL3: whether a roll is shorter than ms, and so not worth transcribing."""
+    return F.col("end_ms") - F.col("start_ms") < ms
+
+
+def all_turns(*tables: DataFrame) -> DataFrame:
+    """SET1: the turns of several tables (chunks, recognisers) in one; equal ones stay."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def probe_windows(clips: DataFrame, n: int = 3) -> DataFrame:
     """SC19: n windows over each clip (media_id, clip_idx, dur_ms): 3, 4 or 5 s wide by its length; start, middle and end, or even steps.
 

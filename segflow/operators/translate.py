@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import strip
+from .cache import look_up
 from .packing import halve_failed
 
 PAIRS = "array<struct<speaker:string,text:string>>"
@@ -40,15 +42,42 @@ def render(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
-#: Own prompt texts; a persona that is not listed falls back to normal.
-PERSONAS = {"normal": "Translate faithfully.", "formal": "Use formal address.", "casual": "Use everyday speech.", "brief": "Prefer short sentences."}
-TEMPLATE = "{persona}\nTranslate from {source} to {target}.\nTerms:\n{glossary}Before:\n{before}\nText:\n{text}\nAfter:\n{after}"
-
-
-def prompts(chunks: DataFrame, source: str, target: str, glossary: dict[str, str] | None = None, persona: str = "normal") -> DataFrame:
-    """chunks (with context) and their prompt."""
-    values = {"persona": F.lit(PERSONAS.get(persona, PERSONAS["normal"])), "source": F.lit(source), "target": F.lit(target), "glossary": F.lit(glossary_section(glossary or {})), "before": F.col("context_before"), "after": F.col("context_after"), "text": F.col("text")}
-    return chunks.withColumn("prompt", render(F.lit(TEMPLATE), values))
+#: Own prompt texts: what each persona asks of a translation; one that is not listed falls back to normal.
+PERSONAS = {
+    "normal": "Translate faithfully.",
+    "casual_manager": "Speak like a relaxed colleague in a meeting: plain verbs, no slogans.",
+    "child": "Use words that a ten-year-old knows, and short sentences.",
+    "housewife": "Keep it warm and practical, with comparisons from home life.",
+    "science_popularizer": "Explain terms in passing and keep the wonder of the subject.",
+    "it_buddy": "Talk like a fellow developer; common technical words stay as they are.",
+    "ai_buddy": "Talk like a friend who works on machine learning; its usual terms stay as they are.",
+    "pedantic": "Be exact: full sentences, no contractions, every qualification kept.",
+    "ai_visioner": "Sound confident about the future, without adding claims.",
+    "poet": "Give the lines rhythm and images, without losing a fact.",
+    "pushkin_style": "Use the measured, slightly archaic tone of classical verse tales.",
+    "adhd_clarity": "One thought a sentence; the point first, the detail after it.",
+}
+#: The heading under which a prompt states its persona's rules; the next heading ends them.
+RULES_HEADING = "# Rules of the persona"
+TEMPLATES = {
+    "translate": "{persona}\nTranslate from {source} to {target}.\nTerms:\n{glossary}Before:\n{before}\nText:\n{text}\nAfter:\n{after}",
+    "refine": "Polish a translation from {source} to {target} for speaking aloud.\n\n" + RULES_HEADING + "\n{persona}\n\n# Terms\n{glossary}\n# About\n{domain}; {tone}\n{summary}\n\n# Before\n{before}\n\n# Original\n{text}\n\n# Translation\n{translated}\n\n# After\n{after}\n\nGive every line a very short, a short and a long form too.",
+    "adjust": "Say the {source} text in {target} in about {target_chars} characters.\n{persona_rules}\nTerms:\n{glossary}Text:\n{text}",
+}
+
+
+def persona_rules(prompt: Column) -> Column:
+    """SC16: what a prompt says under the persona's heading, up to the next heading or its end; empty if it has none."""
+    return strip(F.regexp_extract(prompt, r"(?s)" + RULES_HEADING + r"\n(.*?)(?=\n# |$)", 1))
+
+
+def prompts(chunks: DataFrame, source: str, target: str, glossary: dict[str, str] | None = None, persona: str = "normal", template: str = "translate") -> DataFrame:
+    """SC16: chunks (with context; to refine, with their translation too) and their prompt.  Columns that a template names and chunks lack are left empty."""
+    rules = F.lit(PERSONAS.get(persona, PERSONAS["normal"]))
+    fixed = {"persona": rules, "source": F.lit(source), "target": F.lit(target), "glossary": F.lit(glossary_section(glossary or {}))}
+    own = {"before": "context_before", "after": "context_after", "domain": "domain", "tone": "tone", "summary": "summary", "translated": "translated", "target_chars": "target_chars", "persona_rules": "persona_rules", "text": "text"}
+    named = {k: F.col(c).cast("string") if c in chunks.columns else F.lit("") for k, c in own.items()}
+    return chunks.withColumn("prompt", render(F.lit(TEMPLATES[template]), fixed | named))
 
 
 def check_translation(rows: DataFrame, raw: str = "raw", pairs: str = "pairs") -> DataFrame:
@@ -113,55 +142,93 @@ def call_model(rows: DataFrame, model: Callable, column: str, out: str) -> DataF
     return rows.mapInArrow(run, schema)
 
 
-def echo_model(prompt_pairs: list) -> list:
-    """Deterministic stub: every line in brackets."""
-    return [[{"speaker": p["speaker"], "text": f"[{p['text']}]"} for p in pairs] for pairs in prompt_pairs]
-
-
-def variants_model(prompt_pairs: list) -> list:
-    """Deterministic stub of the refiner: text with very short, short and long forms."""
-    return [[{"speaker": p["speaker"], "text": p["text"], "very_short": p["text"][: len(p["text"]) * 45 // 100], "short": p["text"][: len(p["text"]) * 60 // 100], "long": p["text"] + " " + p["text"][: len(p["text"]) // 5]} for p in pairs] for pairs in prompt_pairs]
-
-
-def adjust_length(texts: list) -> list:
-    """Deterministic stub of the length adjuster: (text, target_chars) cut or repeated to the target."""
-    return [None if t is None else (t["text"] * (1 + (t["target_chars"] or 0) // max(1, len(t["text"]))))[: t["target_chars"] or 0] or t["text"] for t in texts]
+def translate(chunks: DataFrame, model: Callable, source: str, target: str, rounds: int = 4, attempts: int = 5) -> tuple[DataFrame, DataFrame]:
+    """UD1 with VAL1, VAL3 and PK8: (lines, log).
 
-
-def translate(chunks: DataFrame, model: Callable, source: str, target: str, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
-    """UD1 with VAL1, VAL3 and PK8: (lines, attempts).
-
-    Same-language jobs pass through without a call.  Chunks that fail the check are halved and tried again, rounds times at most; each
-    round runs only over failed rows, whose results are written before the next.  lines: media_id, chunk_idx, line_no, speaker, original,
-    translation (the original where all rounds failed) and ok.
+    Same-language jobs pass through without a call.  A part (a chunk at first) is tried up to `attempts` times; one that fails them all is halved, rounds
+    times at most, and its halves are tried alike.  Each try runs only over failed rows, whose results are written before the next.  lines: media_id, chunk_idx, line_no,
+    speaker, original, translation (the original where all failed) and ok.  log: media_id, chunk_idx, part (which half of which half), attempt (from 1 within the part),
+    raw, reason.
     """
     from .graph import shared_folder_set
 
     shared_folder_set(chunks)
+    chunks = chunks.select("media_id", "chunk_idx", "pairs").checkpoint()
     lines = chunks.select("media_id", "chunk_idx", F.posexplode("pairs").alias("line_no", "p")).select("media_id", "chunk_idx", "line_no", F.col("p.speaker").alias("speaker"), F.col("p.text").alias("original"))
     if source == target:
         return lines.withColumn("translation", F.col("original")).withColumn("ok", F.lit(True)), chunks.sparkSession.createDataFrame([], "media_id long, chunk_idx long, part string, attempt int, raw string, reason string")
     todo = chunks.select("media_id", "chunk_idx", F.lit("").alias("part"), F.lit(0).alias("first"), "pairs")
-    done, attempts = [], []
-    for attempt in range(rounds + 1):
-        tried = check_translation(call_model(todo, model, "pairs", "raw")).checkpoint()
-        attempts.append(tried.select("media_id", "chunk_idx", "part", F.lit(attempt).alias("attempt"), "raw", "reason"))
-        done.append(tried.filter("reason IS NULL").select("media_id", "chunk_idx", F.posexplode("parsed").alias("k", "t"), "first").select("media_id", "chunk_idx", (F.col("first") + F.col("k")).alias("line_no"), F.col("t.text").alias("translation")))
-        failed = tried.filter("reason IS NOT NULL AND size(pairs) > 1")
-        if attempt == rounds or not failed.take(1):
+    tries = []
+    for half in range(rounds + 1):
+        for attempt in range(1, attempts + 1):
+            tried = check_translation(call_model(todo, model, "pairs", "raw")).withColumn("attempt", F.lit(attempt)).checkpoint()
+            tries.append(tried)
+            todo = tried.filter("reason IS NOT NULL").select(todo.columns)
+            if not todo.take(1):
+                break
+        failed = todo.filter("size(pairs) > 1")
+        if half == rounds or not failed.take(1):
             break
         flat = failed.select("media_id", "chunk_idx", "part", "first", F.posexplode("pairs").alias("line_no", "p"))
         halved = halve_failed(flat, ("media_id", "chunk_idx", "part"))
         pairs = F.sort_array(F.collect_list(F.struct("line_no", "p")))
         todo = halved.groupBy("media_id", "chunk_idx", F.concat("part", F.col("half").cast("string")).alias("part")).agg(F.min(F.col("first") + F.col("line_no")).alias("first"), F.transform(pairs, lambda x: x["p"]).alias("pairs"))
-    found = done[0]
-    for d in done[1:]:
-        found = found.unionByName(d)
-    log = attempts[0]
-    for a in attempts[1:]:
-        log = log.unionByName(a)
+    log = tries[0]
+    for t in tries[1:]:
+        log = log.unionByName(t)
+    found = log.filter("reason IS NULL").select("media_id", "chunk_idx", F.posexplode("parsed").alias("k", "t"), "first").select("media_id", "chunk_idx", (F.col("first") + F.col("k")).alias("line_no"), F.col("t.text").alias("translation"))
     out = lines.join(found, ["media_id", "chunk_idx", "line_no"], "left")
-    return out.select("media_id", "chunk_idx", "line_no", "speaker", "original", F.coalesce("translation", "original").alias("translation"), F.col("translation").isNotNull().alias("ok")), log
+    lines = out.select("media_id", "chunk_idx", "line_no", "speaker", "original", F.coalesce("translation", "original").alias("translation"), F.col("translation").isNotNull().alias("ok"))
+    return lines, log.select("media_id", "chunk_idx", "part", "attempt", "raw", "reason")
+
+
+def translate_cached(chunks: DataFrame, cache: DataFrame, model: Callable, source: str, target: str, key: str = "key", **options) -> tuple[DataFrame, DataFrame]:
+    """UD1 through the cache of SRC11 (key, translated_pairs): (lines as of translate(), new cache rows).
+
+    Only the misses reach the model, each key once; a chunk is new in the cache if all its lines were translated.  SNK9 appends the new rows.
+    """
+    from .graph import shared_folder_set
+
+    hits, misses = look_up(chunks.select("media_id", "chunk_idx", key, "pairs"), cache.select(key, "translated_pairs"), key)
+    shared_folder_set(chunks)
+    once = misses.dropDuplicates([key]).checkpoint()
+    made, _ = translate(once, model, source, target, **options)
+    made = made.join(once.select("media_id", "chunk_idx", key), ["media_id", "chunk_idx"]).select(key, "line_no", "speaker", "translation", "ok")
+    said = F.sort_array(F.collect_list(F.struct("line_no", "speaker", F.col("translation").alias("text"))))
+    new = made.groupBy(key).agg(F.bool_and("ok").alias("ok"), F.transform(said, lambda x: F.struct(x["speaker"], x["text"])).cast(PAIRS).alias("translated_pairs")).filter("ok").select(key, "translated_pairs")
+    asked = misses.select("media_id", "chunk_idx", key, F.posexplode("pairs").alias("line_no", "p"))
+    fresh = asked.join(made.select(key, "line_no", "translation", "ok"), [key, "line_no"])
+    kept = hits.select("media_id", "chunk_idx", F.posexplode("pairs").alias("line_no", "p"), F.col("translated_pairs").alias("t"))
+    kept = kept.withColumn("translation", F.get("t", F.col("line_no"))["text"])
+    kept = kept.withColumn("ok", F.col("translation").isNotNull())
+    columns = ["media_id", "chunk_idx", "line_no", F.col("p.speaker").alias("speaker"), F.col("p.text").alias("original"), F.coalesce("translation", "p.text").alias("translation"), "ok"]
+    return fresh.select(*columns).unionByName(kept.select(*columns)), new
+
+
+def refine(chunks: DataFrame, model: Callable, attempts: int = 3) -> DataFrame:
+    """UD2 with VAL2: chunks (media_id, chunk_idx, pairs) with refined lines; those that needed a repair are asked for again, and the last attempt is kept as repaired."""
+    from .graph import shared_folder_set
+
+    shared_folder_set(chunks)
+    todo, done = chunks, None
+    for attempt in range(1, attempts + 1):
+        answers = call_model(todo, model, "pairs", "raw").withColumn("refined", F.from_json("raw", REFINED))
+        tried = repair_refinement(answers, attempt == attempts).withColumn("attempt", F.lit(attempt)).checkpoint()
+        ready = tried.filter(~F.col("needs_retry"))
+        done = ready if done is None else done.unionByName(ready)
+        todo = tried.filter("needs_retry").select(chunks.columns)
+        if attempt == attempts or not todo.take(1):
+            return done
+
+
+def spoken_ms(rows: DataFrame, estimate: Column, engine: Callable | None = None, text: str = "text", measured: str | None = None) -> DataFrame:
+    """UD4: rows with spoken_ms: the measured length where there is one, else the engine's own estimate (a function of a list of texts; None where it has none), else
+    the native estimate."""
+    known = F.col(measured).cast("double") if measured else F.lit(None).cast("double")
+    if engine is None:
+        return rows.withColumn("spoken_ms", F.coalesce(known, estimate))
+    asked = call_model(rows, lambda texts: [None if x is None else str(x) for x in engine(texts)], text, "engine_ms")
+    return asked.withColumn("spoken_ms", F.coalesce(known, F.col("engine_ms").cast("double"), estimate)).drop("engine_ms")
 
 
 #: Emotion codes and their labels.
@@ -176,21 +243,6 @@ def emotion_label(code: Column, enabled: bool = True) -> Column:
     return F.when(code == "None", F.lit(None).cast("string")).otherwise(F.coalesce(F.try_element_at(known, F.coalesce(code, F.lit(""))), F.lit("Neutral")))
 
 
-def emotion_model(texts: list) -> list:
-    """Deterministic stub of the emotion classifier: a code by the text's last mark."""
-    return [None if t is None else {"!": "hap", "?": "ang", ".": "neu"}.get(t[-1:], "sad") for t in texts]
-
-
-def voice_model(plans: list) -> list:
-    """Deterministic stub of the voice encoder: a short vector from an excerpt plan's times."""
-    return [[p["start_ms"] % 97 / 97, p["end_ms"] % 89 / 89, (p["end_ms"] - p["start_ms"]) % 83 / 83] for p in plans]
-
-
-def context_model(texts: list) -> list:
-    """Deterministic stub of the context analysis: one chapter, named by the text's first word."""
-    return [{"domain": "talk", "chapters": [{"title": (t or "").split(" ")[0], "summary": str(len(t or ""))}]} for t in texts]
-
-
 def speakable(rows: DataFrame, text: str = "text") -> DataFrame:
     """FL5, FL6: rows whose speaker and text are both there and not blank."""
     return rows.filter((F.trim(F.coalesce("speaker", F.lit(""))) != "") & (F.trim(F.coalesce(F.col(text), F.lit(""))) != ""))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import char_count, complexity, word_count
-from ..functions.vectors import cosine_distance
+from ..functions.vectors import Vectors
 
 WPM, CPS = 150.0, 12.5
 
@@ -30,17 +30,42 @@ def fixed_rate_ms(text: Column, wpm: float = WPM) -> Column:
     return F.round(word_count(text) * F.lit(60_000.0) / wpm, 3)
 
 
-def nearest_voice(vectors: DataFrame, voices: DataFrame, spread: int = 64) -> DataFrame:
+def nearest_voice(vectors: DataFrame, voices: DataFrame, block: int = 4096) -> DataFrame:
     """JN7: each vector (media_id, speaker, vec_idx, embedding) with its nearest voice (voice, voice_ord, embedding); ties by catalogue order.
 
-    Vectors are dealt into `spread` groups, and the catalogue, the small side, goes to each group: an equi-join that no key makes lopsided and
-    that needs no broadcast.  Vectors of another size than the voice's match nothing.
+    The catalogue is a query set: it goes out in blocks of about `block` voices, each of which meets the vectors as one matrix product where they lie, without
+    a shuffle.  Vectors of another size than the voice's match nothing.
     """
-    v = voices.select("voice", "voice_ord", F.col("embedding").alias("ref"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("part"))
-    dealt = vectors.withColumn("part", F.pmod(F.xxhash64("media_id", "speaker", "vec_idx"), F.lit(spread)).cast("int"))
-    pairs = dealt.join(v, "part").withColumn("d", F.round(cosine_distance(F.col("embedding"), F.col("ref")), 9)).filter("d IS NOT NULL")
-    best = pairs.groupBy("media_id", "speaker", "vec_idx").agg(F.min(F.struct("d", "voice_ord", "voice")).alias("b"))
-    return best.select("media_id", "speaker", "vec_idx", F.col("b.voice").alias("voice"), F.col("b.voice_ord").alias("voice_ord"), F.round("b.d", 6).alias("distance"))
+    n_blocks = max(1, -(-voices.count() // block))
+    found = None
+    for k in range(n_blocks):
+        part = voices.filter(F.pmod(F.xxhash64("voice"), F.lit(n_blocks)) == k).select("voice", "voice_ord", "embedding").collect()
+        one = nearest_in_block(vectors, sorted(part, key=lambda r: (r["voice_ord"], r["voice"])))
+        found = one if found is None else found.unionByName(one)
+    best = found if n_blocks == 1 else found.groupBy("media_id", "speaker", "vec_idx").agg(F.min(F.struct("d", "voice_ord", "voice")).alias("b")).select("media_id", "speaker", "vec_idx", "b.*")
+    return best.select("media_id", "speaker", "vec_idx", "voice", "voice_ord", F.round("d", 6).alias("distance"))
+
+
+def nearest_in_block(vectors: DataFrame, part: list) -> DataFrame:
+    rows = vectors.select(F.col("media_id").cast("long").alias("media_id"), "speaker", F.col("vec_idx").cast("long").alias("vec_idx"), F.col("embedding").cast("array<double>").alias("embedding"))
+    names, ords, refs = [r["voice"] for r in part], [r["voice_ord"] for r in part], [r["embedding"] for r in part]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        catalogue = Vectors(refs)
+        for b in batches:
+            nearest = [(np.inf, -1)] * b.num_rows
+            for mine, theirs, d in Vectors(b.column(3).to_pylist()).distances(catalogue):
+                for i, j, x in zip(mine.tolist(), theirs[d.argmin(1)].tolist(), d.min(1).tolist(), strict=True):
+                    nearest[i] = (x, j)
+            hit = [i for i, (x, _) in enumerate(nearest) if x < np.inf]
+            at = [nearest[i][1] for i in hit]
+            kept = b.take(pa.array(hit, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:3], pa.array([names[j] for j in at], pa.string()), pa.array([ords[j] for j in at], pa.int64()), pa.array([nearest[i][0] for i in hit], pa.float64())], ["media_id", "speaker", "vec_idx", "voice", "voice_ord", "d"])
+
+    return rows.mapInArrow(run, "media_id long, speaker string, vec_idx long, voice string, voice_ord long, d double")
 
 
 def voice_votes(vectors: DataFrame, voices: DataFrame, excluded: list[str] | None = None) -> DataFrame:
@@ -70,11 +95,10 @@ def exclusive_voices(candidates: DataFrame, order: DataFrame, default: str = "de
 
 
 def tts_system(rows: DataFrame, mapping: DataFrame, default: str) -> DataFrame:
-    """JN3: rows with tts_system by exact speaker, else by the mapping's '*', else default."""
+    """JN3: rows with tts_system by exact speaker, else by the mapping's '*' (the first in order of systems if it has several), else default."""
     exact = mapping.filter("speaker <> '*'").select("speaker", F.col("system").alias("_s"))
-    star = mapping.filter("speaker = '*'").select(F.lit("*").alias("_star"), F.col("system").alias("_any"))
-    found = rows.join(exact, "speaker", "left").withColumn("_star", F.lit("*")).join(star, "_star", "left")
-    return found.select(*rows.columns, F.coalesce("_s", "_any", F.lit(default)).alias("tts_system"))
+    star = mapping.filter("speaker = '*'").agg(F.min("system")).scalar()
+    return rows.join(exact, "speaker", "left").select(*rows.columns, F.coalesce("_s", star, F.lit(default)).alias("tts_system"))
 
 
 def voice_of(rows: DataFrame, mapping: DataFrame, catalogue: DataFrame, default: str = "default") -> DataFrame:
@@ -82,13 +106,18 @@ def voice_of(rows: DataFrame, mapping: DataFrame, catalogue: DataFrame, default:
 
     mapping (ord, speaker, voice); a voice counts only if the catalogue has it in any letter case, and is spelled as there.
     """
-    first = mapping.agg(F.min_by("voice", "ord").alias("_first")).withColumn("_k", F.lit(1))
+    first = mapping.agg(F.min_by("voice", "ord")).scalar()
     named = catalogue.select(F.lower("voice").alias("_low"), F.col("voice").alias("_named"))
-    found = rows.join(mapping.select("speaker", F.col("voice").alias("_m")), "speaker", "left").withColumn("_k", F.lit(1)).join(first, "_k", "left")
-    found = found.withColumn("_low", F.lower(F.coalesce("voice_override", "_m", "_first"))).join(named, "_low", "left")
+    found = rows.join(mapping.select("speaker", F.col("voice").alias("_m")), "speaker", "left")
+    found = found.withColumn("_low", F.lower(F.coalesce("voice_override", "_m", first))).join(named, "_low", "left")
     return found.select(*rows.columns, F.coalesce("_named", F.lit(default)).alias("voice"))
 
 
+def pinnable(references: DataFrame, least_ms: int = 500, pin_ms: int = 3000) -> DataFrame:
+    """FL10: references with dur_ms only where it suffices for a vector (else null), and whether the voice found by it may be kept for the speaker."""
+    return references.withColumn("usable_ms", F.when(F.col("dur_ms") >= least_ms, F.col("dur_ms"))).withColumn("pin", F.col("dur_ms") >= pin_ms)
+
+
 def style_prompt(mapped: Column, hint: Column, voice: Column, emotion: Column) -> Column:
     """SC17: mapping, else the segment's hint, else a sentence from voice and emotion; it ends with a colon."""
     made = F.when(emotion.isNotNull(), F.concat(F.lit("Make "), voice, F.lit(" sound "), F.lower(emotion)))

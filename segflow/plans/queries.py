@@ -12,6 +12,7 @@ from ..operators import cache, frames, intervals, packing, reports, speakers, su
 from ..sinks import files
 from ..sources import media as media_sources
 from ..sources import transcripts
+from . import stubs
 from .fixtures import Inputs, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,15 +163,19 @@ def snk3_transcript(x):
 
 
 def contexts(x: Inputs) -> DataFrame:
-    chapter = F.struct(F.concat(F.lit("Part "), F.col("seg_idx").cast("string")).alias("title"), F.substring("text", 1, 40).alias("summary"), timefmt.clock(F.col("start_ms")).alias("start_time"))
-    c = x.segments().filter("seg_idx % 10 = 0").groupBy("media_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seg_idx", chapter.alias("c")))), lambda r: r["c"]).alias("chapters"))
+    """A context with a chapter for every ten segments, summed up by their texts' digest."""
+    rows = x.segments().withColumn("part", F.floor(F.col("seg_idx") / 10))
+    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_idx", "text"))), lambda r: r["text"]), "\n")
+    parts = rows.groupBy("media_id", "part").agg(F.md5(texts).alias("summary"), F.min("start_ms").alias("start_ms"))
+    chapter = F.struct(F.concat(F.lit("Part "), F.col("part").cast("string")).alias("title"), "summary", timefmt.clock(F.col("start_ms")).alias("start_time"))
+    c = parts.groupBy("media_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", chapter.alias("c")))), lambda r: r["c"]).alias("chapters"))
     return c.select("media_id", F.to_json(F.struct("chapters", F.lit("film").alias("domain"))).alias("raw"))
 
 
-CHAPTERS = "SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY seg_idx) - 1 AS BIGINT) AS chapter, " + clock_sql("start_ms", "clock") + " AS t, seg_idx, left(text, 40) AS summary FROM segments WHERE seg_idx % 10 = 0"
+CHAPTERS = "SELECT media_id, chapter, " + clock_sql("s", "clock") + " AS t, summary FROM (SELECT media_id, seg_idx // 10 AS chapter, min(start_ms) AS s, md5(string_agg(text, chr(10) ORDER BY seg_idx)) AS summary FROM segments GROUP BY ALL)"
 
 
-@query(sql(f"SELECT media_id, chapter, CASE WHEN t LIKE '00:%' THEN substr(t, 4) ELSE t END || ' - Part ' || seg_idx AS line, summary FROM ({CHAPTERS})", "segments"))
+@query(sql(f"SELECT media_id, chapter, CASE WHEN t LIKE '00:%' THEN substr(t, 4) ELSE t END || ' - Part ' || chapter AS line, summary FROM ({CHAPTERS})", "segments"))
 def snk4_chapters(x):
     return reports.chapter_lines(contexts(x).select("media_id", translate.context_info(F.col("raw")).alias("info")))
 
@@ -202,8 +207,7 @@ def fl1_unmuted(x):
 
 @query(sql("SELECT media_id, roll_idx, end_ms - start_ms AS dur_ms, end_ms - start_ms > 750 AS keeps, end_ms - start_ms < 500 AS skips FROM rolls", "rolls"))
 def fl2_fl3_roll_lengths(x):
-    d = F.col("end_ms") - F.col("start_ms")
-    return x.rolls().select("media_id", "roll_idx", d.alias("dur_ms"), (F.abs(d) > 750).alias("keeps"), (d < 500).alias("skips"))
+    return x.rolls().select("media_id", "roll_idx", (F.col("end_ms") - F.col("start_ms")).alias("dur_ms"), speakers.is_long().alias("keeps"), speakers.is_too_short().alias("skips"))
 
 
 @query(sql("SELECT media_id, seg_idx FROM segments WHERE trim(text) <> '' AND start_ms < end_ms AND seg_idx % 3 <> 0", "segments"))
@@ -229,8 +233,8 @@ def fl9_cuts_on_keyframes(x):
 
 @query(sql("SELECT media_id, seg_idx, CASE WHEN end_ms - start_ms >= 500 THEN end_ms - start_ms END AS usable_ms, end_ms - start_ms >= 3000 AS pinnable FROM segments", "segments"))
 def fl10_embedding_eligibility(x):
-    d = F.col("end_ms") - F.col("start_ms")
-    return x.segments().select("media_id", "seg_idx", F.when(d >= 500, d).alias("usable_ms"), (d >= 3000).alias("pinnable"))
+    rows = x.segments().select("media_id", "seg_idx", (F.col("end_ms") - F.col("start_ms")).alias("dur_ms"))
+    return voices.pinnable(rows).select("media_id", "seg_idx", "usable_ms", F.col("pin").alias("pinnable"))
 
 
 @query(sql("SELECT DISTINCT media_id, start_ms, end_ms FROM rolls WHERE speaker <> 'S_1'", "rolls"))
@@ -356,18 +360,14 @@ def jn10_audible(x):
     return intervals.audible(x.pauses(), x.media())
 
 
-@query(sql("""SELECT w.media_id, w.seg_idx AS word_idx, w.start_ms, w.end_ms, arg_max(r.speaker, {'n': least(w.end_ms, r.end_ms) - greatest(w.start_ms, r.start_ms), 's': -r.start_ms, 'i': -r.turn_idx}) AS speaker
-FROM segments w LEFT JOIN merged_turns r ON w.media_id = r.media_id AND least(w.end_ms, r.end_ms + 700) > greatest(w.start_ms, r.start_ms + 700) AND least(w.end_ms, r.end_ms) > greatest(w.start_ms, r.start_ms) GROUP BY ALL""", "merged_turns") if False else None)
+@query(sql("""SELECT w.media_id, w.word_idx, w.start_ms, w.end_ms, arg_max(r.speaker, {'n': least(w.end_ms, r.end_ms) - greatest(w.start_ms, r.start_ms), 's': -r.start_ms, 'i': -r.turn_idx}) AS speaker
+FROM (SELECT media_id, seg_idx AS word_idx, start_ms + 700 AS start_ms, end_ms + 700 AS end_ms FROM segments) w
+LEFT JOIN merged_turns r ON w.media_id = r.media_id AND least(w.end_ms, r.end_ms) > greatest(w.start_ms, r.start_ms) GROUP BY ALL""", "segments", "merged_turns"))
 def jn11_speaker_of_words(x):
     turns = intervals.merge_turns(as_rolls(x.segments())).withColumnRenamed("turn_idx", "roll_idx")
     return intervals.speaker_of_words(x.segments().select("media_id", F.col("seg_idx").alias("word_idx"), (F.col("start_ms") + 700).alias("start_ms"), (F.col("end_ms") + 700).alias("end_ms")), turns)
 
 
-ORACLE_SQL["jn11_speaker_of_words"] = sql("""SELECT w.media_id, w.word_idx, w.start_ms, w.end_ms, arg_max(r.speaker, {'n': least(w.end_ms, r.end_ms) - greatest(w.start_ms, r.start_ms), 's': -r.start_ms, 'i': -r.turn_idx}) AS speaker
-FROM (SELECT media_id, seg_idx AS word_idx, start_ms + 700 AS start_ms, end_ms + 700 AS end_ms FROM segments) w
-LEFT JOIN merged_turns r ON w.media_id = r.media_id AND least(w.end_ms, r.end_ms) > greatest(w.start_ms, r.start_ms) GROUP BY ALL""", "segments", "merged_turns")
-
-
 @query(sql("SELECT media_id, seg_idx, CASE seg_idx % 6 WHEN 0 THEN 'Neutral' WHEN 1 THEN 'Angry' WHEN 2 THEN 'Happy' WHEN 3 THEN 'Sad' WHEN 5 THEN 'Neutral' END AS emotion FROM segments", "segments"))
 def jn12_emotions(x):
     code = F.element_at(F.array(*map(F.lit, ("neu", "ang", "hap", "sad", "None", "??"))), (F.col("seg_idx") % 6 + 1).cast("int"))
@@ -386,6 +386,22 @@ def jn13_remap(x):
 # --- ordered folds -----------------------------------------------------------------------------------------------------
 
 
+def pack_sql(pieces: str, limit: int) -> str:
+    """Greedy packing of a list of strings by single spaces, as a list; chr(1) marks the breaks on the way."""
+    return f"CASE WHEN len({pieces}) = 0 THEN CAST([] AS VARCHAR[]) ELSE string_split(list_reduce({pieces}, lambda a, b: a || CASE WHEN length(split_part(a, chr(1), -1)) + 1 + length(b) <= {limit} THEN ' ' ELSE chr(1) END || b), chr(1)) END"
+
+
+def pack_sentences_ctes(source: str, key: str, limit: int) -> str:
+    """CTEs that end in packed_texts(key, pieces): the texts t of source(key, t) packed to at most limit characters."""
+    return rf"""bare_texts AS MATERIALIZED (SELECT {key}, regexp_replace(coalesce(t, ''), '^\s+|\s+$', '', 'g') AS t FROM {source}
+), cut_texts AS (SELECT {key}, t, list_filter(list_transform(regexp_extract_all(t, '[^.!?]+[.!?]*'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS ss FROM bare_texts
+), word_texts AS (SELECT {key}, t, i, ss[i] AS s, flatten(list_transform(list_filter(regexp_split_to_array(ss[i], '\s+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) <= {limit} THEN [w] ELSE list_transform(range(0, (length(w) - 1) // {limit} + 1), lambda k: substr(w, k * {limit} + 1, {limit})) END)) AS ws
+  FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM cut_texts)
+), line_texts AS (SELECT {key}, i, CASE WHEN length(s) <= {limit} THEN [s] ELSE {pack_sql('ws', limit)} END AS ps FROM word_texts
+), all_texts AS (SELECT {key}, flatten(list(ps ORDER BY i)) AS ps FROM line_texts GROUP BY ALL
+), packed_texts AS (SELECT b.{key}, CASE WHEN t = '' THEN CAST([] AS VARCHAR[]) WHEN length(t) <= {limit} THEN [t] ELSE {pack_sql('ps', limit)} END AS pieces FROM bare_texts b LEFT JOIN all_texts a ON a.{key} IS NOT DISTINCT FROM b.{key})"""
+
+
 def pk1_sql(limit: int) -> str:
     walk = f"""walk AS (
   SELECT media_id, seg_idx, speaker, text, start_ms, end_ms, length(text) AS chars, 0::BIGINT AS g FROM segments WHERE seg_idx = 0
@@ -430,18 +446,39 @@ def pk4_block_chunks(x):
     return packing.block_chunks(x.segments().select("media_id", F.col("seg_idx").alias("block_idx"), (20 * (F.col("end_ms") - F.col("start_ms"))).alias("dur_ms")))
 
 
-@query()
+@query(sql("""SELECT media_id, seg_idx, piece AS piece_idx, speaker, array_to_string(ws[a + 1 : b + 1], ' ') AS text, w_start[a + 1] AS start_ms, w_end[b + 1] AS end_ms FROM cut
+UNION ALL SELECT media_id, seg_idx, 0, speaker, text, start_ms, end_ms FROM segments WHERE length(text) <= 120""", "segments", "words", recursive="""listed AS MATERIALIZED (
+  SELECT *, list_transform(range(0, len(ws) + 1), lambda k: coalesce(list_sum(list_transform(ws[1 : k], lambda w: length(w) + 1)), 0)) AS p
+  FROM (SELECT media_id, seg_idx, any_value(speaker) AS speaker, list(word ORDER BY k) AS ws, list(w_start ORDER BY k) AS w_start, list(w_end ORDER BY k) AS w_end FROM words WHERE length(text) > 120 GROUP BY ALL)
+), cut AS (
+  SELECT media_id, seg_idx, speaker, ws, w_start, w_end, p, 0::BIGINT AS piece, -1::BIGINT AS a, -1::BIGINT AS b FROM listed
+  UNION ALL
+  SELECT media_id, seg_idx, speaker, ws, w_start, w_end, p, CASE WHEN b < 0 THEN 0 ELSE piece + 1 END, b + 1,
+    CASE WHEN j IS NULL THEN len(ws) - 1 WHEN stop IS NULL THEN greatest(j - 1, b + 1) WHEN p[len(ws) + 1] - p[stop + 2] - 1 < 50 THEN len(ws) - 1 ELSE stop END
+  FROM (SELECT *, list_filter(range(b + 1, coalesce(j, b) + 1), lambda k: regexp_matches(ws[k + 1], '[.!?]$'))[-1] AS stop
+    FROM (SELECT *, list_filter(range(b + 1, len(ws)), lambda k: p[k + 2] - p[b + 2] - 1 > 120)[1] AS j FROM cut WHERE b + 1 < len(ws)))
+)""").replace("FROM cut\nUNION", "FROM cut WHERE a >= 0\nUNION"))
 def pk5_split_long_segments(x):
     return packing.split_long_segments(x.words(), 120)
 
 
-@query()
+@query(f"WITH d AS (SELECT doc_id, text AS t FROM documents), {pack_sentences_ctes('d', 'doc_id', 360)} SELECT doc_id, CAST(i AS BIGINT) AS piece, pieces[i + 1] AS text FROM (SELECT doc_id, pieces, unnest(range(0, len(pieces))) AS i FROM packed_texts)")
 def pk6_pack_sentences(x):
     d = x.table("documents")
     return d.select("doc_id", F.posexplode(text.pack_sentences(F.col("text"), 360)).alias("piece", "text"))
 
 
-@query()
+PK7_WALK = """ordered AS MATERIALIZED (SELECT media_id, speaker, first_idx % 3 <> 0 AS pins, row_number() OVER (PARTITION BY media_id ORDER BY first_idx, speaker) AS r FROM (SELECT media_id, speaker, min(vec_idx) AS first_idx FROM speaker_vecs GROUP BY ALL)
+), wishes AS MATERIALIZED (SELECT media_id, speaker, list(voice ORDER BY votes DESC, mean_distance, voice_ord) AS ws FROM votes GROUP BY ALL
+), walk AS (
+  SELECT media_id, 0::BIGINT AS r, NULL::VARCHAR AS speaker, NULL::VARCHAR AS voice, CAST([] AS VARCHAR[]) AS taken FROM (SELECT DISTINCT media_id FROM ordered)
+  UNION ALL
+  SELECT media_id, r, speaker, coalesce(free, 'default'), CASE WHEN pins AND free IS NOT NULL THEN list_append(taken, free) ELSE taken END
+  FROM (SELECT o.media_id, o.r, o.speaker, o.pins, w.taken, list_filter(coalesce(ws, []), lambda v: NOT list_contains(w.taken, v))[1] AS free FROM walk w JOIN ordered o ON o.media_id = w.media_id AND o.r = w.r + 1 LEFT JOIN wishes s ON s.media_id = o.media_id AND s.speaker = o.speaker))"""
+
+
+@query(sql("SELECT media_id, speaker, voice FROM walk WHERE r > 0", "speaker_vecs", "voices", recursive=f"""{VOICE_NN}, votes AS (
+  SELECT media_id, speaker, b.v AS voice, b.o AS voice_ord, count(*) AS votes, round(sum(CAST(round(round(b.d, 6) * 1000000) AS BIGINT)) / count(*) / 1000000, 9) AS mean_distance FROM nn GROUP BY ALL), """ + PK7_WALK))
 def pk7_exclusive_voices(x):
     v = x.speaker_vecs()
     order = v.groupBy("media_id", "speaker").agg(F.min("vec_idx").alias("first_idx")).withColumn("ref_ms", F.when(F.col("first_idx") % 3 == 0, 2000).otherwise(5000))
@@ -512,7 +549,15 @@ def wn8_excerpt_plan(x):
     return intervals.excerpt_plan(x.rolls())
 
 
-@query()
+@query(sql("""SELECT media_id, seg_idx, row_number() OVER (PARTITION BY media_id, seg_idx ORDER BY i, j) - 1 AS part, f + (u - f) * j // len(pieces) AS start_ms, f + (u - f) * (j + 1) // len(pieces) AS end_ms, pieces[j + 1] AS text
+FROM (SELECT *, unnest(range(0, len(pieces))) AS j FROM timed JOIN packed_texts USING (id))""", "segments", more=r"""said AS MATERIALIZED (
+  SELECT media_id, seg_idx, start_ms, end_ms, text, list_transform(list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[.!?:;]$') THEN s ELSE s || '.' END) AS ss FROM segments
+), timed AS MATERIALIZED (
+  SELECT media_id, seg_idx, 0::BIGINT AS i, media_id || '/' || seg_idx || '/0' AS id, text AS t, start_ms AS f, end_ms AS u FROM said WHERE len(ss) <= 1 AND length(text) <= 60
+  UNION ALL
+  SELECT media_id, seg_idx, i, media_id || '/' || seg_idx || '/' || i, ss[i], start_ms + (end_ms - start_ms) * n0 // greatest(n, 1), start_ms + (end_ms - start_ms) * (n0 + length(ss[i])) // greatest(n, 1)
+  FROM (SELECT *, coalesce(list_sum(list_transform(ss[1 : i - 1], lambda s: length(s))), 0)::BIGINT AS n0, list_sum(list_transform(ss, lambda s: length(s)))::BIGINT AS n FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM said WHERE NOT (len(ss) <= 1 AND length(text) <= 60)))
+), """ + pack_sentences_ctes("timed", "id", 60)))
 def wn9_cues(x):
     return subtitles.cues(x.segments(), max_chars=60)
 
@@ -831,13 +876,12 @@ def val4_vector_size(x):
 
 @query(sql("SELECT media_id, chunk_idx, CAST(row_number() OVER (PARTITION BY media_id, chunk_idx ORDER BY seg_idx) - 1 AS BIGINT) AS line_no, speaker, text AS original, '[' || text || ']' AS translation, true AS ok FROM chunked", "segments", "chunked", recursive=CHUNK_WALK))
 def ud1_translate(x):
-    return translate.translate(translate.chunk_text(chunks(x)), translate.echo_model, "fr", "en")[0]
+    return translate.translate(translate.chunk_text(chunks(x)), stubs.echo_model, "fr", "en")[0]
 
 
 @query(sql("SELECT media_id, chunk_idx, CAST(row_number() OVER (PARTITION BY media_id, chunk_idx ORDER BY seg_idx) - 1 AS BIGINT) AS line_no, text AS original, left(text, length(text) * 60 // 100) AS short, text || ' ' || left(text, length(text) // 5) AS long FROM chunked", "segments", "chunked", recursive=CHUNK_WALK))
 def ud2_snk7_refine_report(x):
-    c = translate.call_model(translate.chunk_text(chunks(x)), translate.variants_model, "pairs", "raw").withColumn("refined", F.from_json("raw", translate.REFINED))
-    z = translate.repair_refinement(c).select("media_id", "chunk_idx", F.posexplode(F.arrays_zip("pairs", "lines")).alias("line_no", "z"))
+    z = translate.refine(translate.chunk_text(chunks(x)), stubs.variants_model).select("media_id", "chunk_idx", F.posexplode(F.arrays_zip("pairs", "lines")).alias("line_no", "z"))
     return z.select("media_id", "chunk_idx", "line_no", F.col("z.pairs.text").alias("original"), F.col("z.lines.short").alias("short"), F.col("z.lines.long").alias("long"))
 
 
@@ -845,7 +889,7 @@ def ud2_snk7_refine_report(x):
 def ud3_adjust_length(x):
     slot, spoken = F.col("end_ms") - F.col("start_ms"), F.nullif(F.col("spoken_ms"), F.lit(0))
     rows = x.synth().select("media_id", "seg_idx", F.struct("text", variants.target_chars(F.col("text"), slot, spoken).alias("target_chars")).alias("ask"))
-    return translate.call_model(rows, translate.adjust_length, "ask", "adjusted").select("media_id", "seg_idx", "adjusted")
+    return translate.call_model(rows, stubs.adjust_length, "ask", "adjusted").select("media_id", "seg_idx", "adjusted")
 
 
 @query(sql("SELECT s.media_id, s.seg_idx, s.speaker, CASE s.speaker WHEN 'S_user' THEN 'alpha' ELSE 'beta' END AS tts_system, p.g AS grp, round(q.ratio, 6) AS ratio FROM segments s JOIN placed p USING (media_id, seg_idx) JOIN (SELECT media_id, speaker, g, round(greatest(0.5::DOUBLE, least(1.15::DOUBLE, (max_by(end_ms, seg_idx) - min(start_ms)) / max(in_end))), 9) AS ratio FROM placed GROUP BY ALL) q ON q.media_id = p.media_id AND q.speaker = p.speaker AND q.g = p.g", "synth", recursive=PLACED))
@@ -885,26 +929,31 @@ def snk10_voice_json(x):
     return files.voice_json(v.select("voice", F.col("voice_ord").alias("n")), v.select("voice", F.size("embedding").alias("dim")))
 
 
-@query()
+@query(sql("""SELECT media_id, chunk_idx, part, t.attempt, n AS n_lines, CASE WHEN n > 4 THEN 'empty' END AS reason FROM parts JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS attempt) t ON n > 4 OR t.attempt = 1""", "segments", "chunked", recursive=CHUNK_WALK, more="""parts AS (
+  SELECT media_id, chunk_idx, '' AS part, count(*) AS n FROM chunked GROUP BY ALL
+  UNION ALL
+  SELECT media_id, chunk_idx, part || h, CASE h WHEN '0' THEN n // 2 ELSE n - n // 2 END FROM parts, (SELECT unnest(['0', '1']) AS h) WHERE n > 4)"""))
 def snk11_attempt_log(x):
-    """Chunks of more than four lines fail at first, so the log holds rounds of halves."""
-    model = lambda batch: [None if len(p) > 4 else r for p, r in zip(batch, translate.echo_model(batch), strict=True)]
-    return translate.translate(translate.chunk_text(chunks(x)), model, "fr", "en")[1]
+    """Chunks of more than four lines fail all attempts, so the log holds rounds of halves."""
+    log = translate.translate(translate.chunk_text(chunks(x)), stubs.short_chunks_model, "fr", "en")[1]
+    sizes = chunks(x).groupBy("media_id", "chunk_idx").agg(F.count("*").alias("n"))
+    half = F.aggregate(F.split("part", ""), F.col("n"), lambda n, h: F.when(h == "0", F.floor(n / 2)).when(h == "1", n - F.floor(n / 2)).otherwise(n))
+    return log.join(sizes, ["media_id", "chunk_idx"]).select("media_id", "chunk_idx", "part", "attempt", half.alias("n_lines"), "reason")
 
 
 @query(sql("SELECT media_id, chunk_idx, CAST(row_number() OVER (PARTITION BY media_id, chunk_idx ORDER BY seg_idx) - 1 AS BIGINT) AS line_no, speaker, text AS original, text AS translation, true AS ok FROM chunked", "segments", "chunked", recursive=CHUNK_WALK))
 def val3_same_language(x):
-    return translate.translate(translate.chunk_text(chunks(x)), translate.echo_model, "fr", "fr")[0]
+    return translate.translate(translate.chunk_text(chunks(x)), stubs.echo_model, "fr", "fr")[0]
 
 
 @query(sql("SELECT media_id, start_ms, end_ms, speaker FROM (SELECT media_id, start_ms, end_ms, speaker FROM rolls UNION ALL SELECT media_id, start_ms, end_ms, speaker FROM segments)", "rolls", "segments"))
 def set1_union(x):
-    return x.rolls().select("media_id", "start_ms", "end_ms", "speaker").unionByName(x.segments().select("media_id", "start_ms", "end_ms", "speaker"))
+    return speakers.all_turns(x.rolls().select("media_id", "start_ms", "end_ms", "speaker"), x.segments().select("media_id", "start_ms", "end_ms", "speaker"))
 
 
 @query(sql("SELECT media_id, seg_idx, CASE right(text, 1) WHEN '!' THEN 'Happy' WHEN '?' THEN 'Angry' WHEN '.' THEN 'Neutral' ELSE 'Sad' END AS emotion FROM segments", "segments"))
 def ud5_emotions(x):
-    rows = translate.call_model(x.segments().select("media_id", "seg_idx", "text"), translate.emotion_model, "text", "code")
+    rows = translate.call_model(x.segments().select("media_id", "seg_idx", "text"), stubs.emotion_model, "text", "code")
     return rows.select("media_id", "seg_idx", translate.emotion_label(F.col("code")).alias("emotion"))
 
 
@@ -912,11 +961,94 @@ def ud5_emotions(x):
 def ud6_voice_vectors(x):
     plan = intervals.excerpt_plan(x.rolls()).select("media_id", "speaker", "roll_idx", F.struct("start_ms", "end_ms").alias("plan"))
     v = F.from_json("raw", "array<double>")
-    return translate.call_model(plan, translate.voice_model, "plan", "raw").select("media_id", "speaker", "roll_idx", F.round(v[0], 6).alias("v1"), F.round(v[1], 6).alias("v2"))
+    return translate.call_model(plan, stubs.voice_model, "plan", "raw").select("media_id", "speaker", "roll_idx", F.round(v[0], 6).alias("v1"), F.round(v[1], 6).alias("v2"))
 
 
 @query("SELECT doc_id, 'talk' AS domain, split_part(text, ' ', 1) AS title, CAST(length(text) AS VARCHAR) AS summary, '00:00:00' AS start_time FROM documents")
 def ud7_context(x):
-    raw = translate.call_model(x.table("documents").select("doc_id", "text"), translate.context_model, "text", "raw").select("doc_id", translate.context_info(F.col("raw")).alias("i"))
+    raw = translate.call_model(x.table("documents").select("doc_id", "text"), stubs.context_model, "text", "raw").select("doc_id", translate.context_info(F.col("raw")).alias("i"))
     c = F.col("i.chapters")[0]
     return raw.select("doc_id", "i.domain", c["title"].alias("title"), c["summary"].alias("summary"), c["start_time"].alias("start_time"))
+
+
+# --- the rest of the inventory -----------------------------------------------------------------------------------------
+
+
+def cache_maps(x: Inputs) -> DataFrame:
+    """One JSON object of translations per media item: each text's key with its line in brackets."""
+    rows = keyed(x)[0].join(x.segments().select("media_id", "seg_idx", "speaker"), ["media_id", "seg_idx"])
+    one = rows.groupBy("media_id", "key").agg(F.min(F.struct("seg_idx", "speaker", F.concat(F.lit("["), "text", F.lit("]")).alias("text"))).alias("p"))
+    entry = F.struct("key", F.array(F.struct("p.speaker", "p.text")).alias("v"))
+    return one.groupBy("media_id").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("raw"))
+
+
+@query(sql("SELECT md5(text || '|fr|en|p|m|0.5|') AS key, min_by(speaker, seg_idx) AS speaker, '[' || min_by(text, seg_idx) || ']' AS text FROM segments GROUP BY media_id, md5(text || '|fr|en|p|m|0.5|')", "segments"))
+def src11_translation_cache(x):
+    found = cache.from_json_map(cache_maps(x))
+    return found.select("key", F.col("translated_pairs")[0]["speaker"].alias("speaker"), F.col("translated_pairs")[0]["text"].alias("text"))
+
+
+def chunk_keys(x: Inputs) -> DataFrame:
+    c = translate.chunk_text(chunks(x))
+    return c.withColumn("key", keys.translation_key(F.col("text"), F.lit("fr"), F.lit("en"), "p", "m", 0.5))
+
+
+@query(sql("SELECT media_id, chunk_idx, CAST(row_number() OVER (PARTITION BY media_id, chunk_idx ORDER BY seg_idx) - 1 AS BIGINT) AS line_no, speaker, text AS original, CASE WHEN media_id % 2 = 0 THEN '<' || text || '>' ELSE '[' || text || ']' END AS translation, true AS ok FROM chunked", "segments", "chunked", recursive=CHUNK_WALK))
+def ud1_translate_cached(x):
+    """Chunks of even media items come from the cache (in angle brackets), the others from the model."""
+    c = chunk_keys(x)
+    known = c.filter("media_id % 2 = 0").select("key", F.transform("pairs", lambda p: F.struct(p["speaker"].alias("speaker"), F.concat(F.lit("<"), p["text"], F.lit(">")).alias("text"))).alias("translated_pairs"))
+    return translate.translate_cached(c, known, stubs.echo_model, "fr", "en")[0]
+
+
+@query(sql("SELECT key, count(*) AS n_lines, md5(string_agg('[' || text || ']', chr(10) ORDER BY seg_idx)) AS lines_md5 FROM (SELECT *, md5(string_agg(speaker || ': ' || text, chr(10) ORDER BY seg_idx) OVER (PARTITION BY media_id, chunk_idx ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) || '|fr|en|p|m|0.5|') AS key, min(media_id * 100000 + chunk_idx) OVER () AS z FROM chunked) WHERE key NOT IN (SELECT md5(string_agg(speaker || ': ' || text, chr(10) ORDER BY seg_idx) || '|fr|en|p|m|0.5|') FROM chunked WHERE media_id % 2 = 0 GROUP BY media_id, chunk_idx) GROUP BY key", "segments", "chunked", recursive=CHUNK_WALK))
+def snk9_cache_rows(x):
+    """The new rows of a cached translation, appended to a Parquet cache and read from it."""
+    import uuid
+
+    from ..operators.graph import shared_folder_set
+
+    c = chunk_keys(x)
+    known = c.filter("media_id % 2 = 0").select("key", F.col("pairs").alias("translated_pairs"))
+    shared_folder_set(c)
+    path = f"{x.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cache-{uuid.uuid4().hex}"
+    cache.append(translate.translate_cached(c, known, stubs.echo_model, "fr", "en")[1], path)
+    return x.spark.read.parquet(path).select("key", F.size("translated_pairs").alias("n_lines"), F.md5(F.array_join(F.transform("translated_pairs", lambda p: p["text"]), "\n")).alias("lines_md5"))
+
+
+@query(sql("SELECT media_id, seg_idx, row_number() OVER (ORDER BY media_id, start_ms, seg_idx) - 1 AS place FROM segments", "segments"))
+def top7_by_start(x):
+    """Places are read off the sorted partitions: rows before a partition, then the row in it."""
+    rows = files.by_start(x.segments().select("media_id", "seg_idx", "start_ms"), "seg_idx").withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33))
+    rows = rows.checkpoint() if x.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else rows.persist()
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
+    return rows.join(before, "part").select("media_id", "seg_idx", (F.col("before") + F.col("at") - F.shiftleft("part", 33)).alias("place"))
+
+
+@query(sql("SELECT media_id, seg_idx, CAST(floor(start_ms / 1000.0::DOUBLE * 1000) AS BIGINT) AS back_ms, start_ms / 1000.0::DOUBLE AS seconds, CAST(floor((end_ms / 1000.0::DOUBLE + 0.0004::DOUBLE) * 1000) AS BIGINT) AS cut_ms FROM segments", "segments"))
+def sc22_seconds(x):
+    s = timefmt.ms_to_seconds(F.col("start_ms"))
+    return x.segments().select("media_id", "seg_idx", timefmt.seconds_to_ms(s).alias("back_ms"), s.alias("seconds"), timefmt.seconds_to_ms(timefmt.ms_to_seconds(F.col("end_ms")) + 0.0004).alias("cut_ms"))
+
+
+@query(pk1_sql(600).replace("string_agg(text, ' ' ORDER BY seg_idx) AS text", "string_agg(text, ' ' ORDER BY seg_idx) AS text, string_agg(CASE WHEN seg_idx % 7 <> 0 THEN left(text, length(text) * 60 // 100) END, ' ' ORDER BY seg_idx) AS translation").replace("count(*) AS n_pieces FROM walk GROUP BY media_id, g", "count(*) AS n_pieces FROM walk GROUP BY media_id, g").replace("SELECT media_id, g AS seg_idx", "SELECT media_id, g AS seg_idx"))
+def pk1_merge_translations(x):
+    """The pass after translation: the limit counts source text, translations join beside it; every seventh is missing."""
+    t = F.substring("text", F.lit(1), F.floor(F.length("text") * 60 / 100).cast("int"))
+    return packing.merge_segments(x.segments().withColumn("translation", F.when(F.col("seg_idx") % 7 != 0, t)), 600, extra=("translation",)).withColumn("translation", F.nullif("translation", F.lit("")))
+
+
+@query(sql(f"SELECT media_id, seg_idx, round(CASE WHEN seg_idx % 4 = 0 THEN CAST(end_ms - start_ms AS DOUBLE) WHEN NOT regexp_matches(text, '[0-9]') THEN CAST(70 * length(text) AS DOUBLE) ELSE greatest(100, round(({WORDS_SQL.format(t='text')} / 150.0::DOUBLE * 60 + length(text) / 12.5::DOUBLE) / 2 * {COMPLEXITY.format(t='text')} * 1000, 3)) END, 1) AS spoken_ms FROM segments", "segments"))
+def ud4_spoken_lengths(x):
+    """Every fourth length is measured; the engine can't tell texts with digits."""
+    rows = x.segments().select("media_id", "seg_idx", "text", F.when(F.col("seg_idx") % 4 == 0, F.col("end_ms") - F.col("start_ms")).alias("measured"))
+    native = voices.estimated_ms(F.col("text"), F.lit(150.0), F.lit(12.5), F.lit(True))
+    return translate.spoken_ms(rows, native, stubs.letters_estimator, measured="measured").select("media_id", "seg_idx", F.round("spoken_ms", 1).alias("spoken_ms"))
+
+
+@query(sql("SELECT media_id, chunk_idx, 'Use words that a ten-year-old knows, and short sentences.' AS rules, md5('Polish a translation from fr to en for speaking aloud.' || chr(10) || chr(10) || '# Rules of the persona' || chr(10) || 'Use words that a ten-year-old knows, and short sentences.' || chr(10) || chr(10) || '# Terms' || chr(10) || '- a = b' || chr(10) || chr(10) || '# About' || chr(10) || 'talk; ' || chr(10) || 'all' || chr(10) || chr(10) || '# Before' || chr(10) || coalesce(CASE WHEN b2 IS NULL THEN b1 ELSE b2 || chr(10) || chr(10) || b1 END, '') || chr(10) || chr(10) || '# Original' || chr(10) || t || chr(10) || chr(10) || '# Translation' || chr(10) || upper(t) || chr(10) || chr(10) || '# After' || chr(10) || coalesce(a1, '') || chr(10) || chr(10) || 'Give every line a very short, a short and a long form too.') AS prompt_md5 FROM (SELECT media_id, chunk_idx, t, lag(t, 2) OVER w AS b2, lag(t) OVER w AS b1, lead(t) OVER w AS a1 FROM (SELECT media_id, chunk_idx, string_agg(speaker || ': ' || text, chr(10) ORDER BY seg_idx) AS t FROM chunked GROUP BY ALL) WINDOW w AS (PARTITION BY media_id ORDER BY chunk_idx))", "segments", "chunked", recursive=CHUNK_WALK))
+def sc16_refinement_prompts(x):
+    c = translate.with_context(translate.chunk_text(chunks(x))).withColumns({"translated": F.upper("text"), "domain": F.lit("talk"), "summary": F.lit("all")})
+    p = translate.prompts(c, "fr", "en", {"a": "b"}, "child", "refine")
+    return p.select("media_id", "chunk_idx", translate.persona_rules(F.col("prompt")).alias("rules"), F.md5("prompt").alias("prompt_md5"))

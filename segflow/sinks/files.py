@@ -24,6 +24,11 @@ def write_srt(numbered: DataFrame, path: str) -> None:
     srt_entries(numbered).repartition("media_id").sortWithinPartitions("media_id", "cue_no").select("media_id", "entry").write.partitionBy("media_id").text(path)
 
 
+def by_start(rows: DataFrame, *ties: str) -> DataFrame:
+    """TOP7: rows in one order over all partitions: media item, start, then ties.  A sort for sinks; operators keep to sorts within partitions."""
+    return rows.orderBy("media_id", "start_ms", *ties)
+
+
 def write_tsv(rows: DataFrame, path: str) -> None:
     """SNK2"""
     rows.write.option("sep", "\t").option("header", "true").csv(path)

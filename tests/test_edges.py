@@ -60,7 +60,7 @@ def test_failed_chunks_are_halved_until_they_pass(spark):
     lines, log = translate.translate(chunks, model, "en", "fr")
     got = values(lines, "chunk_idx", "line_no", "translation", "ok")
     assert got == [(0, i, f"LINE {i}", True) for i in range(7)] + [(1, 0, "bad", False)]
-    assert log.agg(F.max("attempt")).first()[0] == 2
+    assert log.agg(F.max(F.length("part"))).first()[0] == 2
     same, none = translate.translate(chunks, model, "en", "en")
     assert same.filter("translation = original AND ok").count() == 8 and none.count() == 0
 
