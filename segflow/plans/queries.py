@@ -1047,8 +1047,8 @@ def ud4_spoken_lengths(x):
     return translate.spoken_ms(rows, native, stubs.letters_estimator, measured="measured").select("media_id", "seg_idx", F.round("spoken_ms", 1).alias("spoken_ms"))
 
 
-@query(sql("SELECT media_id, chunk_idx, 'Use words that a ten-year-old knows, and short sentences.' AS rules, md5('Polish a translation from fr to en for speaking aloud.' || chr(10) || chr(10) || '# Rules of the persona' || chr(10) || 'Use words that a ten-year-old knows, and short sentences.' || chr(10) || chr(10) || '# Terms' || chr(10) || '- a = b' || chr(10) || chr(10) || '# About' || chr(10) || 'talk; ' || chr(10) || 'all' || chr(10) || chr(10) || '# Before' || chr(10) || coalesce(CASE WHEN b2 IS NULL THEN b1 ELSE b2 || chr(10) || chr(10) || b1 END, '') || chr(10) || chr(10) || '# Original' || chr(10) || t || chr(10) || chr(10) || '# Translation' || chr(10) || upper(t) || chr(10) || chr(10) || '# After' || chr(10) || coalesce(a1, '') || chr(10) || chr(10) || 'Give every line a very short, a short and a long form too.') AS prompt_md5 FROM (SELECT media_id, chunk_idx, t, lag(t, 2) OVER w AS b2, lag(t) OVER w AS b1, lead(t) OVER w AS a1 FROM (SELECT media_id, chunk_idx, string_agg(speaker || ': ' || text, chr(10) ORDER BY seg_idx) AS t FROM chunked GROUP BY ALL) WINDOW w AS (PARTITION BY media_id ORDER BY chunk_idx))", "segments", "chunked", recursive=CHUNK_WALK))
+@query(sql("SELECT media_id, chunk_idx, 'Use words that a ten-year-old knows, and short sentences.' AS rules, md5('Polish a translation from fr to en for speaking aloud.' || chr(10) || chr(10) || '# Rules of the persona' || chr(10) || 'Use words that a ten-year-old knows, and short sentences.' || chr(10) || chr(10) || '# Terms' || chr(10) || '- a = b' || chr(10) || chr(10) || '# About' || chr(10) || 'talk; ' || chr(10) || 'all' || chr(10) || chr(10) || '# Before' || chr(10) || coalesce(CASE WHEN b2 IS NULL THEN b1 ELSE b2 || chr(10) || chr(10) || b1 END, '') || chr(10) || chr(10) || '# Original' || chr(10) || t || chr(10) || chr(10) || '# Translation' || chr(10) || '[' || t || ']' || chr(10) || chr(10) || '# After' || chr(10) || coalesce(a1, '') || chr(10) || chr(10) || 'Give every line a very short, a short and a long form too.') AS prompt_md5 FROM (SELECT media_id, chunk_idx, t, lag(t, 2) OVER w AS b2, lag(t) OVER w AS b1, lead(t) OVER w AS a1 FROM (SELECT media_id, chunk_idx, string_agg(speaker || ': ' || text, chr(10) ORDER BY seg_idx) AS t FROM chunked GROUP BY ALL) WINDOW w AS (PARTITION BY media_id ORDER BY chunk_idx))", "segments", "chunked", recursive=CHUNK_WALK))
 def sc16_refinement_prompts(x):
-    c = translate.with_context(translate.chunk_text(chunks(x))).withColumns({"translated": F.upper("text"), "domain": F.lit("talk"), "summary": F.lit("all")})
+    c = translate.with_context(translate.chunk_text(chunks(x))).withColumns({"translated": F.concat(F.lit("["), "text", F.lit("]")), "domain": F.lit("talk"), "summary": F.lit("all")})
     p = translate.prompts(c, "fr", "en", {"a": "b"}, "child", "refine")
     return p.select("media_id", "chunk_idx", translate.persona_rules(F.col("prompt")).alias("rules"), F.md5("prompt").alias("prompt_md5"))
