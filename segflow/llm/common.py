@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 
 import numpy as np
@@ -28,36 +27,50 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder once and go on from there; Spark deletes the files when no plan needs them."""
+    """Write df to the shared folder once and go on from there.  With spark.cleaner.referenceTracking.cleanCheckpoints Spark deletes the files when
+    no plan needs them; without it they stay until the folder is emptied."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate files, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Where a worker process keeps what its next task of the same operator can use.
-KEPT = "_segflow_kept"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_texts(rows: DataFrame, run, schema, keeps: bool = False) -> DataFrame:
-    """rows.mapInArrow(run, schema) with batches bounded by bytes: texts differ too much in length for a bound on rows.
+def map_texts(rows: DataFrame, run, schema) -> DataFrame:
+    """rows.mapInArrow(run, schema) with batches bounded by bytes: texts and packed columns differ too much in length for a bound on rows.
 
-    The bound is a session setting; one that the user has lowered stays.  Unless run keeps things for the next task, the worker first drops
-    what an earlier operator kept there.
+    The bound is a session setting, read when the plan runs, so it stays set; one that the user has chosen is left alone.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = rows.sparkSession.conf
     if conf.get(key, "64m").rstrip("b") in ("67108864", "64m"):
-        conf.set(key, "8m")
-    kept = KEPT
+        conf.set(key, "4m")
+    return rows.mapInArrow(run, schema)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have (whatever the letter case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole_row(df: DataFrame):
+    """All columns of df as one struct, so that no column that an operator adds can meet one of df's."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
-    def alone(batches):
-        sys.__dict__.pop(kept, None)
-        yield from run(batches)
 
-    return rows.mapInArrow(run if keeps else alone, schema)
+def row_hash(df: DataFrame, row: str, by=F.xxhash64):
+    """A hash of the columns of df in the struct row (maps have none and are left out)."""
+    return by(*[F.col(row).getField(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
 
 
 def partitions(spark: SparkSession) -> int:

@@ -10,14 +10,15 @@ column blocks, which travel as packed arrays, one shuffle row per block and batc
    the others keep their rarest shared columns, as many as the size bound needs, and rows that meet in one are candidates.
 3. Candidate groups (components of that graph) are multiplied block by block: overlaps add up over column chunks, pairs below
    PERCENT of the union are discarded, and each block returns a spanning forest of its links.  Groups too large for one
-   block are split by size class and hash, and only blocks whose sizes can match meet.
+   block are dealt to blocks by size class and hash; only what these leave unconnected meets every row whose size can match.
 
 No bound, count or hash order ever drops a real link.  Frequent columns found in a bounded sample skip the column blocks
 (they are shared anyway), so a passage that a third of the documents contain doesn't gather in one task.
 
 Shingles are 64-bit hashes.  Nulls: null and blank texts have the empty set and link with nothing; a null doc_id is a
 document of its own, and its component is the least non-null id of those it links with.  Ties don't matter: the result is a
-set of components.  Repeated rows belong to one component.  Empty tables give empty results; extra columns are ignored.
+set of components.  Repeated rows belong to one component.  A text of any length is one row of the matrix, in the memory of one task.
+Empty tables give empty results; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, cut, map_texts, mix64, partitions, slices, utf8, word_spans
+from .common import BASE, cut, fresh, map_texts, mix64, partitions, row_hash, slices, utf8, whole_row, word_spans
 from .components import components
 
 N, PERCENT = 4, 85
@@ -158,7 +159,7 @@ def frequent_columns(docs: DataFrame, sample_rows: int = 1000, share: float = 0.
                 x, size, _ = shingle_sets(*utf8(piece.column(0)), n)
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], ["x"])
 
-    found = rows.mapInArrow(run, "x long").groupBy("x").agg(F.count("*").alias("n")).filter(F.col("n") >= max(8, int(share * sample_rows))).select("x").collect()
+    found = map_texts(rows, run, "x long").groupBy("x").agg(F.count("*").alias("n")).filter(F.col("n") >= max(8, int(share * sample_rows))).select("x").collect()
     return np.sort(np.array([r["x"] for r in found], np.int64).view(np.uint64))
 
 
@@ -193,7 +194,7 @@ def shared_columns(sets: DataFrame, n_parts: int, frequent: np.ndarray, whole: b
             most[inverse] = size
             yield as_batch(pack(spread(mix64(one.view(np.uint64)), n_parts), n_parts, one, most, n.astype(np.uint64), n.astype(np.int32)))
 
-    return sets.filter("part < 1000000").repartitionById(n_parts, "part").mapInArrow(columns, PACKED).unionByName(sets.filter("part >= 1000000").select((F.col("part") - 1000000).alias("part"), "body"))
+    return map_texts(sets.filter("part < 1000000").repartitionById(n_parts, "part"), columns, PACKED).unionByName(sets.filter("part >= 1000000").select((F.col("part") - 1000000).alias("part"), "body"))
 
 
 def set_blocks(rows: DataFrame, n_parts: int, frequent: np.ndarray, whole: bool, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -258,7 +259,7 @@ def possible_rows(docs: DataFrame, frequent: np.ndarray, n: int = N, percent: in
         total = np.add.reduceat(count.astype(np.int64), start) if len(one) else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(one[total >= first_bound(size[start].astype(np.int64), percent)])], ["cls"])
 
-    return shared_columns(set_blocks(docs, n_parts, frequent, False, n, percent), n_parts, frequent, False).repartitionById(n_parts, "part").mapInArrow(bound, "cls long")
+    return map_texts(shared_columns(set_blocks(docs, n_parts, frequent, False, n, percent), n_parts, frequent, False).repartitionById(n_parts, "part"), bound, "cls long")
 
 
 def candidate_columns(sets: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
@@ -275,7 +276,7 @@ def candidate_columns(sets: DataFrame, frequent: np.ndarray, percent: int = PERC
         ok = rank < np.repeat(keep, n)
         yield pa.RecordBatch.from_arrays([pa.array(column[ok].view(np.int64)), pa.array(cls[ok])], ["col", "cls"])
 
-    return shared_columns(set_blocks(sets, n_parts, frequent, True), n_parts, frequent, True).repartitionById(n_parts, "part").mapInArrow(rarest, "col long, cls long")
+    return map_texts(shared_columns(set_blocks(sets, n_parts, frequent, True), n_parts, frequent, True).repartitionById(n_parts, "part"), rarest, "col long, cls long")
 
 
 def product_forest(cls: np.ndarray, sets: list[np.ndarray], chunk: int = 4096, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, int]:
@@ -309,30 +310,67 @@ def product_forest(cls: np.ndarray, sets: list[np.ndarray], chunk: int = 4096, p
     return cls, cls[root], int(link.sum()) // 2
 
 
-def links(groups: DataFrame, sets: DataFrame, percent: int, block_rows: int = 1000, block_entries: int = 2_000_000) -> DataFrame:
-    """(u, v) spanning edges of the exact links inside candidate groups (cls, grp) of sets (cls, n_shingles, body)."""
-    plan = groups.join(sets.select("cls", "n_shingles"), "cls")
-    weight = plan.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n_shingles") / block_entries)).cast("int").alias("nb"))
-    plan = plan.join(weight, "grp").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
-    # sizes that can match lie in the same class or the next one
-    plan = plan.withColumn("s", F.floor(F.log("n_shingles") / -float(np.log(percent / 100 - 0.001))).cast("int"))
-    others = F.sequence(F.lit(0), F.col("nb") - 1)
-    same = F.transform(others, lambda j: F.struct(F.col("s").alias("s"), F.lit(0).alias("d"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    up = F.transform(others, lambda j: F.struct(F.col("s").alias("s"), F.lit(1).alias("d"), F.col("own").alias("i"), j.alias("j")))
-    down = F.transform(others, lambda j: F.struct((F.col("s") - 1).alias("s"), F.lit(1).alias("d"), j.alias("i"), F.col("own").alias("j")))
-    alone = F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("d"), F.lit(0).alias("i"), F.lit(0).alias("j")))
-    plan = plan.select("cls", "grp", F.explode(F.when(F.col("nb") == 1, alone).otherwise(F.concat(same, up, down))).alias("task"))
-    rows = sets.select("cls", "body").join(plan, "cls")
+def multiply(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): a spanning forest of the exact links in each task of tasks (cls, task)."""
+    rows = sets.select("cls", "body").join(tasks, "cls")
 
     def run(t):
         import pyarrow as pa
 
-        cls = t.column("cls").to_numpy()
-        u, v, _ = product_forest(cls, [np.frombuffer(b.as_py(), np.uint64) for b in t.column("body")], percent=percent)
+        cls, first = np.unique(t.column("cls").to_numpy(), return_index=True)
+        bodies = t.column("body").take(pa.array(first))
+        u, v, _ = product_forest(cls, [np.frombuffer(b.as_py(), np.uint64) for b in bodies], percent=percent)
         keep = u != v
         return pa.table({"u": pa.array(np.maximum(u, v)[keep]), "v": pa.array(np.minimum(u, v)[keep])})
 
-    return rows.select("grp", "task", "cls", "body").groupBy("grp", "task").applyInArrow(run, "u long, v long")
+    return rows.select("task", "cls", "body").groupBy("task").applyInArrow(run, "u long, v long")
+
+
+def blocks_of(rows: DataFrame, keys: list[str], name: str, block_rows: int, block_entries: int) -> DataFrame:
+    """(keys, name): blocks that the rows of each key need."""
+    need = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n_shingles") / block_entries))
+    return rows.groupBy(*keys).agg(need.cast("int").alias(name))
+
+
+def links(groups: DataFrame, sets: DataFrame, percent: int, block_rows: int = 1000, block_entries: int = 2_000_000) -> DataFrame:
+    """(u, v): edges that connect what exact links connect, inside candidate groups (cls, grp) of sets (cls, n_shingles, body).
+
+    A group of one block is multiplied at once.  A larger one is dealt to blocks by size class and hash, twice over, each block with a few
+    rows of its own and the next smaller class that all blocks get; that connects what belongs together with work in proportion to the group's rows.
+    Only rows that are then outside their group's largest component meet all other rows of sizes that can match.
+    """
+    plan = groups.join(sets.select("cls", "n_shingles"), "cls")
+    plan = plan.join(blocks_of(plan, ["grp"], "whole", block_rows, block_entries), "grp")
+    # sizes that can match lie in the same class or the next one
+    plan = cut(plan.withColumn("s", F.floor(F.log("n_shingles") / -float(np.log(percent / 100 - 0.001))).cast("int")))
+    named = lambda *parts: F.concat_ws(":", *parts)
+    small, large = plan.filter("whole = 1"), plan.filter("whole > 1")
+    edges = cut(multiply(small.select("cls", named("grp").alias("task")), sets, percent))
+    if not large.take(1):
+        return edges
+    large = cut(large.join(blocks_of(large, ["grp", "s"], "nb", block_rows, block_entries), ["grp", "s"]).select("cls", "grp", "s", "nb", "n_shingles"))
+    dealt = large.withColumn("deal", F.explode(F.array(F.lit(1), F.lit(2))))
+    dealt = dealt.select("cls", named("grp", "s", "deal", F.pmod(F.xxhash64("cls", "deal"), F.col("nb"))).alias("task"))
+    pivots = large.groupBy("grp", "s", F.pmod(F.xxhash64("cls"), F.lit(8))).agg(F.min("cls").alias("cls"))
+    classes = large.select("grp", F.col("s").alias("t"), "nb").distinct()
+    pivots = pivots.join(classes, "grp").filter("t = s OR t = s + 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("deal", F.explode(F.array(F.lit(1), F.lit(2))))
+    pivots = pivots.select("cls", named("grp", "t", "deal", "i").alias("task"))
+    edges = cut(edges.unionByName(multiply(dealt.unionByName(pivots), sets, percent)))
+    # what is left: rows outside the largest component of their group
+    root = components(edges)
+    held = large.join(root.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    largest = held.groupBy("grp", "root").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    left = cut(held.join(largest, "grp").filter("root <> most").select("cls", "grp", "s", "n_shingles"))
+    if not left.take(1):
+        return edges
+    nl = blocks_of(left, ["grp", "s"], "nl", block_rows, block_entries)
+    near = nl.withColumn("t", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)))
+    # each block of left rows against each block of all rows whose sizes can match
+    left_tasks = left.join(nl, ["grp", "s"]).withColumn("i", F.pmod(F.xxhash64("cls"), F.col("nl"))).withColumn("t", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)))
+    left_tasks = left_tasks.join(classes, ["grp", "t"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("cls", named("grp", "s", "i", "t", "j").alias("task"))
+    all_tasks = large.withColumn("j", F.pmod(F.xxhash64("cls"), F.col("nb"))).withColumnRenamed("s", "t").join(near, ["grp", "t"])
+    all_tasks = all_tasks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nl") - 1))).select("cls", named("grp", "s", "i", "t", "j").alias("task"))
+    return cut(edges.unionByName(multiply(left_tasks.unionByName(all_tasks), sets, percent)))
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -344,8 +382,9 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     digest = cut(digests(docs, n))
     frequent = frequent_columns(docs, n=n)
     possible = cut(possible_rows(docs, frequent, n, percent))
-    # one document stands for each set that can have a link
-    stands = digest.filter("n_shingles > 0").join(possible, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    # one document stands for each set; equal sets are combined before they move
+    by_set = cut(digest.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
+    stands = by_set.join(possible, "cls", "left_semi")
 
     def packed(batches):
         import pyarrow as pa
@@ -365,14 +404,23 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     near = components(columns.join(hub, "col").filter("cls <> v").select(F.col("cls").alias("u"), "v"))
     groups = near.select(F.col("u").alias("cls"), F.col("v").alias("grp")).unionByName(near.select(F.col("v").alias("cls"), F.col("v").alias("grp")).distinct())
     linked = components(links(cut(groups), sets, percent))
-    root = digest.join(linked.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    # written, so that the join below has an exchange of its own, which can be split where one component is large
-    least = cut(root.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least")))
-    return root.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    root = by_set.join(linked.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    # written, so that these joins have exchanges of their own, which can be split where a component has many sets or a set many documents
+    root = cut(root)
+    least = cut(root.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    found = cut(root.join(least, "root").select("cls", "component_id"))
+    return digest.join(found, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each component of near copies: the one with the least doc_id."""
-    stays = jaccard_components(docs, n, percent).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    """docs with one document of each component of near copies: the one with the least doc_id.
+
+    Rows without an id stay only if nothing with an id is linked to them.  Rows of equal id and text are one document: of these the row with the least hash
+    of all columns stays.  Columns of any names pass through.
+    """
+    stays = jaccard_components(docs, n, percent).filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
+    key, text_hash, row = fresh(docs, "key"), fresh(docs, "text_hash"), fresh(docs, "row")
+    as_key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    kept = docs.select(as_key.alias(key), F.xxhash64("text").alias(text_hash), whole_row(docs).alias(row))
+    kept = kept.join(stays.select(as_key.alias(key)).distinct(), key, "left_semi")
+    return kept.groupBy(key, text_hash).agg(F.min_by(row, row_hash(docs, row)).alias(row)).select(f"{row}.*")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import langid, quality
 from .chat import format_turns, probe_rows, read_back, text_parts
-from .common import cut, shared_dir, table
+from .common import cut, remove, shared_dir, table
 from .decontaminate import leaks
 from .linededup import drop_widespread_lines
 from .mixing import mix_counts
@@ -29,7 +29,7 @@ def op1_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_pieces")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,17 +64,23 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_starts(cut(decode_documents(tokens_written(table(spark, sf_dir, "documents")))))
+    return tokens_read_back(table(spark, sf_dir, "documents"))
 
 
-def tokens_written(docs: DataFrame) -> DataFrame:
-    """docs as token shards, written to a new path in the shared folder and read from it."""
+def tokens_read_back(docs: DataFrame, path: str | None = None, order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs written as token shards in the given order and read back: doc_id, start, n_tokens and ids_crc32 of each.
+
+    The shards stay in path if one is given; else they go to a new folder of the shared one and are removed once they are read.
+    """
     import public_tokenizers
 
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
-    write_shards(token_shards(docs, public_tokenizers.path("word_bpe_49k.json")), path)
-    return read_shards(spark, path)
+    place = path or f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
+    write_shards(token_shards(docs, public_tokenizers.path("word_bpe_49k.json"), order=order), place)
+    out = with_starts(cut(decode_documents(read_shards(spark, place))))
+    if path is None:
+        remove(spark, place)
+    return out
 
 
 def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +96,7 @@ WS = r"[^\x20\x09-\x0D]+"
 ORACLE_SQL = {
     "op2_source_mix": f"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WS}')) AS BIGINT) AS size,
+  SELECT row_number() OVER () AS rid, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WS}')) AS BIGINT) AS size,
          md5('mix:' || CAST(doc_id AS VARCHAR)) AS k
   FROM documents
 ), s AS (
@@ -105,14 +111,37 @@ WITH d AS (
   FROM s
 ), t AS (
   SELECT source, source_size, least(most, coalesce((SELECT min_by(level, most / weight) FROM r WHERE level * weight <= most) * weight, most)) AS target FROM r
+), q AS (
+  SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), 2 * source_size) AS quota, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM t
+), b AS (
+  SELECT *, CAST(ceil(quota / 1024) AS BIGINT) AS blocks FROM q
+), c AS (
+  SELECT *, CAST(floor((sum(blocks) OVER o - blocks) / greatest(sum(blocks) OVER (), 1) * 2147483648.0::DOUBLE) AS BIGINT) AS lo,
+         CAST(floor(sum(blocks) OVER o / greatest(sum(blocks) OVER (), 1) * 2147483648.0::DOUBLE) AS BIGINT) AS hi
+  FROM b WINDOW o AS (ORDER BY no)
+), slots AS (
+  SELECT i AS slot, no, blocks, row_number() OVER (PARTITION BY no ORDER BY i) - 1 AS block
+  FROM (SELECT i, (i % 2147483648) * 1327217885 % 2147483648 AS u FROM range((SELECT CAST(sum(blocks) AS BIGINT) FROM c)) x(i)) JOIN c ON lo <= u AND u < hi
+), short AS (
+  SELECT no, block, row_number() OVER (ORDER BY block, no) AS r
+  FROM (SELECT c.no, unnest(range(CAST(coalesce(met, 0) AS BIGINT), blocks)) AS block FROM c LEFT JOIN (SELECT no, count(*) AS met FROM slots GROUP BY no) m USING (no))
+), spare AS (
+  SELECT slot, row_number() OVER (ORDER BY slot) AS r FROM slots WHERE block >= blocks
+), plan AS (
+  SELECT no, block, slot FROM slots WHERE block < blocks UNION ALL SELECT no, block, slot FROM short JOIN spare USING (r)
 ), p AS (
-  SELECT d.*, t.source_size, t.target, least(CAST(floor(t.target + 0.5) AS BIGINT), 2 * t.source_size) AS quota,
+  SELECT d.rid, d.doc_id, d.size, c.source_size, c.target, c.quota, c.no,
          CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS a
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
+), w AS (
+  SELECT rid, no, a + n * source_size AS x, least(a + n * source_size + size, quota) AS y FROM p, (SELECT unnest([0, 1]) AS n) WHERE size > 0
+), z AS (
+  SELECT rid, count(*) AS n_pieces, min(slot) AS first_slot FROM (SELECT rid, no, unnest(range(x // 1024, (y - 1) // 1024 + 1)) AS block FROM w WHERE x < y) JOIN plan USING (no, block) GROUP BY rid
 )
 SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(a + size, quota) - a) + greatest(0, least(a + size, quota - source_size) - a) AS BIGINT) AS taken
-FROM p""",
+       CAST(greatest(0, least(a + size, quota) - a) + greatest(0, least(a + size, quota - source_size) - a) AS BIGINT) AS taken,
+       first_slot, coalesce(n_pieces, 0) AS n_pieces
+FROM p LEFT JOIN z USING (rid)""",
     "op4_line_dedup": r"""
 WITH l AS (
   SELECT rid, doc_id, source, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, unnest(range(1, len(ls) + 1)) AS i, ls
@@ -141,12 +170,15 @@ WITH d AS (
 ), m AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
-         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
+         len(list_distinct(w)) AS n_distinct, len(list_filter(w, lambda x: regexp_full_match(x, '[!-@\\[-`{{-~]+'))) AS n_no_letters,
+         len(list_filter(lines, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS n_cut_off
   FROM d LEFT JOIN rep USING (rid)
 ), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 100 * n_symbols > 20 * word_chars OR word_chars < 2 * n_words OR word_chars > 25 * n_words
-            OR (n_lines >= 10 AND 100 * n_dup_lines > 60 * n_lines)) AS kept
+            OR (n_lines >= 10 AND 100 * n_dup_lines > 60 * n_lines) OR n_distinct < 12 OR 100 * n_no_letters > 70 * n_words
+            OR (n_lines >= 5 AND 100 * n_cut_off > 60 * n_lines)) AS kept
 FROM b""",
     "op9_ngram_jaccard": f"""
 WITH RECURSIVE d AS (

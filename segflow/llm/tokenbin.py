@@ -6,18 +6,17 @@ bit-planes of the wavelet matrix (each compressed, with rank counts per 512 bits
 token, count a token in a range and find its k-th occurrence.  Shards travel in a binary column, so any store that Spark
 can write holds them.
 
-Encoding goes by words: the tokenizer's normaliser and pre-tokenizer never join across a space or line feed, so a text's ids
-are the ids of its pieces between them, and each distinct piece is encoded once per worker.
+Encoding goes by the finest pieces that give the tokenizer's own ids (tested when it is loaded): parts of words, words, or whole texts.  The tokenizer encodes
+each distinct piece once per task.
 
 Nulls: a null text is empty (it only gets the end id); a null doc_id sorts first.  Repeated ids are ordered by a hash of the
-text, then the text.  An empty table writes no shard.  Extra columns are ignored.
+text, then the text.  An empty table writes no shard.  A text of any length is encoded whole, and its shard grows with it.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 import struct
-import sys
 import zlib
 from array import array
 
@@ -25,14 +24,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import KEPT, map_texts, partitions, slices, utf8, word_spans
+from .common import map_texts, partitions, slices, utf8
 
 MAGIC, BLOCK = b"WMX1", 512
+#: Bytes of text that are encoded together.
+SLICE = 1 << 20
 SHARDS = "part int, seq int, n_docs long, n_tokens long, body binary"
 DECODED = "part int, seq int, k long, doc_id long, local long, n_tokens long, ids_crc32 long"
-#: Pieces of text for which the tokenizer's own normaliser changes nothing but letter case.
-SIMPLE = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
-PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 class WaveletMatrix:
@@ -164,127 +162,222 @@ def open_shard(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, Wavelet
     return docs, valid, lengths, WaveletMatrix.from_bytes(body, 8 + 13 * n)
 
 
+#: Letters of two bytes, all of which begin with this one, that pieces() counts as letters.
+LATIN, LATIN_LEAD = "".join(chr(i) for i in range(0xC0, 0x100) if i not in (0xD7, 0xF7)), 0xC3
+LETTERS = frozenset(LATIN + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def piece_classes() -> np.ndarray:
+    """Class of each byte for pieces(): 0 gap, 1 letter, 2 digit, 3 other mark, 4 what only a whole word tells (quotes, markup, control and most non-ASCII bytes)."""
+    table = np.full(256, 4, np.uint8)
+    table[33:127] = 3
+    table[[ord("'"), ord("<")]] = 4
+    table[48:58] = 2
+    table[65:91] = table[97:123] = 1
+    table[[32, 10]] = 0
+    return table
+
+
+def pieces(body: np.ndarray, offsets: np.ndarray, classes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of texts laid end to end: their bytes without gaps, the bounds of the pieces in these, and pieces up to the end of each text.
+
+    Words lie between spaces and line feeds.  With classes, a word of letters (ASCII and LATIN), digits and marks alone falls into letter runs, single digits and runs of
+    marks; any other word stays whole.
+    """
+    kind = (piece_classes() if classes is None else classes)[body]
+    inside = kind != 0
+    new = np.zeros(len(body) + 1, bool)
+    new[offsets[:-1]] = True
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | new[1:-1]
+    kept, first, at = kind[inside], first[inside], np.concatenate([[0], np.cumsum(inside, dtype=np.int32)])
+    body = body[inside]
+    if classes is not None and len(kept):
+        lead = np.flatnonzero(body[:-1] == LATIN_LEAD)
+        lead = lead[(body[lead + 1] & 0xBF != 0x97) & (body[lead + 1] != 0xB7)]
+        kept[lead] = kept[lead + 1] = 1
+        words = np.flatnonzero(first)
+        whole = np.maximum.reduceat(kept, words) == 4
+        kept[np.repeat(whole, np.diff(np.append(words, len(kept))))] = 4
+        first[1:] |= kept[1:] != kept[:-1]
+        first |= kept == 2
+    starts = np.flatnonzero(first)
+    return body, np.append(starts, len(kept)).astype(np.int32), np.searchsorted(starts, at[offsets[1:]])
+
+
 class Encoder:
-    """Encodes batches of texts with one call of the tokenizer per distinct piece."""
+    """Ids of texts, a piece at a time: each distinct piece is encoded once by the tokenizer and remembered.
+
+    Which pieces give the ids of the whole text depends on the tokenizer.  When it is loaded, the finest of three cuts that does so on PROBES and on random strings is chosen:
+    parts of words (see pieces()), words, or whole texts; whether the tokenizer's model alone does for plain letters is tested likewise.  The memory of pieces is emptied when it passes memo_bytes; pieces longer than LONG are not remembered.
+    """
+
+    LONG = 64
+    PROBES = ("Two  words, it's 3.14!\nNext line\n\n  indented Été ÜBER", "a\u0301 \u0301b ﬁn ½ 10,000 x_y <|endoftext|> <|a|>", " lead and trail \n", "日本語 текст\tтаб\r\nend e\u0301", "×÷ aà×b ÷é É1é ¿Qué? «Où» –ñ", "don't  won't'll ''s ## $5 A1b2C3 x--y ... (a) [B] {c}; 1.2.3,4 e.g. a@b.c/d?e=f&g")
 
-    KEEP = 300_000
+    def __init__(self, path: str, memo_bytes: int = 24 << 20):
+        import random
 
-    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted word hashes and their rows in starts
-        self.pieces: dict[str, bytes] = {}
-        self.starts, self.flat = array("q", [0]), array("I")
-
-    def word(self, w: str) -> bytes:
-        """Ids of a word as unsigned 32-bit integers."""
-        if SIMPLE.fullmatch(w) and "<|" not in w:
-            out = []
-            for p in PIECES.findall(w.lower()):
-                ids = self.pieces.get(p)
-                if ids is None:
-                    # an ASCII letter run passes the normaliser and byte mapping unchanged
-                    ids = self.pieces[p] = array("I", [t.id for t in self.model.tokenize(p)] if p.isascii() and p.isalpha() else self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
-                out.append(ids)
-            return b"".join(out)
-        return array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, body: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids (each document followed by end_id) and the count per document."""
-        n_docs = len(offsets) - 1
-        if len(self.keys) > self.KEEP:
-            self.clear()
-        a, b, key = word_spans(body, offsets, (32, 10))
-        distinct, where, index = np.unique(key, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, distinct)
-        fresh = np.ones(len(distinct), bool)
-        inside = at < len(self.keys)
-        fresh[inside] = self.keys[at[inside]] != distinct[inside]
-        if fresh.any():
-            data, begin, end = body.tobytes(), a[where[fresh]].tolist(), b[where[fresh]].tolist()
-            first = len(self.starts) - 1
-            for i, j in zip(begin, end, strict=True):
-                self.flat.frombytes(self.word(data[i:j].decode("utf-8", "replace")))
-                self.starts.append(len(self.flat))
-            keys = np.concatenate([self.keys, distinct[fresh]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.rows = keys[order], np.concatenate([self.rows, np.arange(first, first + len(begin))])[order]
-            at = np.searchsorted(self.keys, distinct)
-        rows = self.rows[at]
-        starts, flat = np.array(self.starts), np.array(self.flat, np.uint32)
-        row = rows[index]
-        size = starts[row + 1] - starts[row]
-        doc = np.repeat(np.arange(n_docs), np.diff(np.searchsorted(a, offsets)))
-        counts = np.bincount(doc, weights=size, minlength=n_docs).astype(np.int64) + 1
-        ids = np.full(int(counts.sum()), end_id, np.uint32)
-        # a word's ids go to its own place: ids of all words before it, plus one end id per document before its own
-        into = np.cumsum(size) - size + doc
-        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        ids[np.repeat(into, size) + step] = flat[np.repeat(starts[row], size) + step]
-        return ids, counts
-
-
-def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_tokens: int = 1 << 20, levels: int = 16) -> DataFrame:
-    """Shards (part, seq, n_docs, n_tokens, body) of all documents in ascending doc_id order.
-
-    part is the range partition, seq the shard within it; a shard closes after the slice (4 MB) of texts with which it
-    reaches shard_tokens tokens.  A task holds
-    one Arrow batch and one open shard.  Token ids must be below 2**levels.
+        self.memo_bytes, self.held = memo_bytes, 0
+        self.memo: dict[bytes, bytes] = {}
+        special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word))
+        self.mark_id, self.mark = (special[0][0], special[0][1].encode()) if special else (-1, None)
+        rng = random.Random(1)
+        # plain letters may reach the model without normaliser and pre-tokenizer, as they are or in lower case, in the pre-tokenizer's spelling of bytes
+        pre, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        spelt = {ord(c): "".join(x for x, _ in pre.pre_tokenize_str(c)) for c in LATIN} if pre is not None else {}
+        letters = ["".join(rng.choice("etaoinshrdluETAOINzqxj" + LATIN * (i % 2)) for _ in range(rng.randrange(1, 15))) for i in range(400)]
+        ways = [lambda w: w.decode().translate(spelt), lambda w: w.decode().lower().translate(spelt)]
+        direct = lambda way, w: array("I", [t.id for t in model.tokenize(way(w.encode()))]).tobytes()
+        self.spell = next((f for f in ways if all(direct(f, w) == self.whole(w) for w in letters)), None)
+        self.lower = self.spell is ways[1]
+        probes = [*self.PROBES, *("".join(chr(rng.randrange(32, 127)) for _ in range(rng.randrange(40))) for _ in range(200))]
+        for self.by in ("parts", "words", "texts"):
+            if all(self.cut_ids(t) == self.whole(t) for t in probes):
+                break
+        self.memo.clear()
+
+    def whole(self, text: str) -> bytes:
+        """Ids of a text as unsigned 32-bit integers."""
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def cut_ids(self, text: str) -> bytes:
+        """Ids of a text piece by piece."""
+        data = text.encode("utf-8", "replace")
+        if self.by == "texts":
+            return self.whole(text)
+        body, bounds, _ = pieces(np.frombuffer(data, np.uint8), np.array([0, len(data)]), piece_classes() if self.by == "parts" else None)
+        flat = body.tobytes()
+        self.memo.clear()
+        return b"".join(self.known([flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]))
+
+    def together(self, found: list[bytes], at_once: int = 20) -> list[bytes]:
+        """Ids of each of some pieces, a few to a call: a special token between them, which no piece may hold, tells where one ends."""
+        if self.mark is None or any(self.mark[:1] in w for w in found):
+            return [self.whole(w.decode("utf-8", "replace")) for w in found]
+        out: list[bytes] = []
+        groups = [found[i : i + at_once] for i in range(0, len(found), at_once)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([self.mark.join(g).decode("utf-8", "replace") for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            cuts = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
+            if len(cuts) != len(group) - 1:
+                out += [self.whole(w.decode("utf-8", "replace")) for w in group]
+                continue
+            flat = ids.tobytes()
+            out += [flat[a:b] for a, b in zip([0, *(x + 4 for x in cuts)], [*cuts, len(flat)], strict=True)]
+        return out
+
+    def known(self, found: list[bytes]) -> list[bytes]:
+        """Ids of each piece."""
+        memo, spell, lower, tokenize = self.memo, self.spell, self.lower, self.tokenizer.model.tokenize
+        if self.held > self.memo_bytes:
+            memo.clear()
+            self.held = 0
+        out = [memo.get(w) for w in found]
+        rest = []
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            w = found[k]
+            if spell is None or len(w) > self.LONG:
+                rest.append(k)
+            elif w.isalpha():  # ASCII letters alone
+                out[k] = memo[w] = array("I", [t.id for t in tokenize((w.lower() if lower else w).decode())]).tobytes()
+            elif set(w.decode("utf-8", "replace")) <= LETTERS:
+                out[k] = memo[w] = array("I", [t.id for t in tokenize(spell(w))]).tobytes()
+            else:
+                rest.append(k)
+        self.held = 300 * len(memo)
+        for i in range(0, len(rest), 500):
+            part = rest[i : i + 500]
+            words = [found[k] for k in part]
+            for k, w, ids in zip(part, words, self.together(words), strict=True):
+                out[k] = ids
+                if len(w) <= self.LONG:
+                    memo[w] = ids
+        self.held = 300 * len(memo)  # with its id bytes and its place, an entry of LONG bytes takes no more
+        return out
+
+    def encode(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow column of texts (each followed by end_id) and the count per text; null counts as empty."""
+        import pyarrow as pa
+
+        if self.by == "texts":
+            known = [self.whole(t or "") for t in texts.to_pylist()]
+            at, ends = np.arange(len(known)), np.arange(1, len(known) + 1)
+        else:
+            body, bounds, ends = pieces(*utf8(texts), piece_classes() if self.by == "parts" else None)
+            code = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(body)]).dictionary_encode()
+            known, at = self.known(code.dictionary.to_pylist()), code.indices.to_numpy()
+        # the end id is one more piece, which stands after each text's last
+        places = np.full(len(at) + len(ends), len(known), np.int32)
+        mine = np.ones(len(places), bool)
+        mine[ends + np.arange(len(ends))] = False
+        places[mine] = at
+        known.append(array("I", [end_id]).tobytes())
+        size = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        flat = np.frombuffer(b"".join(known), np.uint32)
+        n = size[places]
+        upto = np.cumsum(n, dtype=np.int32)
+        step = np.repeat((np.cumsum(size, dtype=np.int32) - size)[places] - (upto - n), n)
+        step += np.arange(len(step), dtype=np.int32)
+        return flat[step], np.diff(upto[ends + np.arange(len(ends))].astype(np.int64), prepend=0)
+
+
+def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_tokens: int = 1 << 21, levels: int = 16, order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Shards (part, seq, n_docs, n_tokens, body) of all documents in ascending order of the columns order, then of the text.
+
+    part is the range partition, seq the shard within it; a shard closes after the slice (SLICE bytes) of texts with which it
+    reaches shard_tokens tokens.  A task holds one Arrow batch and one open shard.  Token ids must be below 2**levels.
     """
     n = partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
+    places = [f"p{k}" for k in range(len(order))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(p) for c, p in zip(order, places, strict=True)])
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, *places, "h").sortWithinPartitions(*places, "h", "text").select("doc_id", "text")
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
-        # the worker process keeps the encoder for its next task
-        kept = sys.__dict__.setdefault(KEPT, {})
-        encoder = kept.get(tokenizer_path) or kept.setdefault(tokenizer_path, Encoder(tokenizer_path))
+        part, seq, held = TaskContext.get().partitionId(), 0, 0
+        encoder = None
         open_ids: list[np.ndarray] = []
         open_docs: list[tuple] = []
         names = [x.split()[0] for x in SHARDS.split(", ")]
 
         def close():
-            nonlocal seq
-            ids = np.concatenate(open_ids).astype(np.uint16 if levels <= 16 else np.uint32)
+            nonlocal seq, held
+            ids = np.concatenate(open_ids)
+            open_ids.clear()
             docs_, valid, lengths = (np.concatenate([x[i] for x in open_docs]) for i in range(3))
+            open_docs.clear()
             body = shard_bytes(ids, docs_, valid, lengths, levels)
             row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(docs_)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([body], pa.binary())], names)
-            open_ids.clear()
-            open_docs.clear()
-            seq += 1
+            seq, held = seq + 1, 0
             return row
 
-        held = 0
         for batch in batches:
-            for piece in slices(batch, 4 << 20):
-                body, offsets = utf8(piece.column(1))
-                ids, counts = encoder.encode(body, offsets, end_id)
+            encoder = encoder or Encoder(tokenizer_path)
+            for piece in slices(batch, SLICE):
+                ids, counts = encoder.encode(piece.column(1), end_id)
                 if len(ids) and int(ids.max()) >> levels:
                     raise ValueError("a token id does not fit the given levels")
                 column = piece.column(0)
-                open_ids.append(ids)
+                open_ids.append(ids.astype(np.uint16 if levels <= 16 else np.uint32))
                 open_docs.append((column.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(column.is_valid().to_numpy(zero_copy_only=False)), counts))
                 held += len(ids)
                 if held >= shard_tokens:
                     yield close()
-                    held = 0
         if open_docs:
             yield close()
 
-    return map_texts(rows, run, SHARDS, keeps=True)
+    return map_texts(rows, run, SHARDS)
 
 
 def write_shards(shards: DataFrame, path: str) -> None:
-    shards.write.option("parquet.enable.dictionary", "false").option("compression", "uncompressed").mode("errorifexists").parquet(path)
+    """One Parquet file per shard."""
+    shards.write.option("maxRecordsPerFile", 1).option("parquet.enable.dictionary", "false").option("compression", "uncompressed").mode("errorifexists").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:

@@ -10,27 +10,61 @@ from segflow.llm import langid, quality, queries, tokenbin
 SMALL, DATA = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
-def test_phrases_match_a_plain_parse():
-    ref = "the cat sat on the mat. a dog ran"
-    model = langid.Model({"en": [ref], "xx": ["zzz qqq zzz"]}, 1000)
-    codes = lambda t: langid.encode([t], model.table)[0].tolist()
-    held = bytes(codes(ref))
-
-    def phrases(t):
-        n, cur = 1, b""
-        for c in codes(t):
-            nxt = cur + bytes([c])
-            if nxt in held:
-                cur = nxt
-            else:
-                n += 1
-                cur = bytes([c]) if bytes([c]) in held else b""
-        return n
-
-    for t in ("the mat", "dog on cat the", "a zebra sat", "THE CAT", "the--cat"):
-        rate = model.rates([t])[0][0, 0]
-        assert rate == pytest.approx(phrases(t) * np.log2(len(held)) / len(codes(t)))
-    assert model.predict(["the cat", "qqq zzz", "", "123 !"])[0] == ["en", "xx", "und", "und"]
+def plain_rate(text, codes):
+    """Phrases of one greedy parse from start to end, normalised, letter by letter."""
+    held, cur, n = "".join(map(chr, codes.tolist())), "", 0
+    letters = langid.encode([text], langid.alphabet())[0].tolist()
+    for c in map(chr, letters):
+        if cur and cur + c in held:
+            cur += c
+        else:
+            n, cur = n + 1, c if c in held else ""
+    unseen = sum(chr(c) not in held for c in letters)
+    return (n * np.log2(max(2, len(codes))) + 21 * unseen) / max(1, len(letters))
+
+
+@pytest.mark.parametrize("dense", [1, 5, 40])
+def test_phrases_match_a_plain_parse(monkeypatch, dense):
+    import random
+
+    monkeypatch.setattr(langid, "DENSE", dense)
+    monkeypatch.setattr(langid, "SEGMENT", 64)
+    rng = random.Random(dense)
+    words = [" ".join(rng.choice(["cat", "sat", "mat", "über", "dog", "the", "жук", "x"]) for _ in range(400)) for _ in range(2)]
+    codes = {"aa": langid.reference(words[:1], 1500), "bb": langid.reference([words[1][::-1], "日本語の本"], 5000), "cc": langid.reference(["z"], 10)}
+    model = langid.Model(codes).build()
+    texts = ["the mat", "THE--CAT", "a zebra", "日本", "q", "12 3", "", words[0], words[0][300:900] + words[1][:700], words[1][::-1] * 2, "жук" * 300, "qqq" * 100, "".join(rng.choice("abcdstx 語") for _ in range(1500))]
+    rates, letters = model.rates(texts)
+    for i, t in enumerate(texts):
+        assert letters[i] == any(c.isalpha() for c in t)
+        for j, lang in enumerate(model.langs):
+            assert rates[i, j] == pytest.approx(plain_rate(t, model.codes[lang])), (t[:20], lang)
+    assert model.predict(["the cat", "12 3", ""])[0] == ["aa", "und", "und"]
+
+
+def test_large_scripts_are_told_apart():
+    # two scripts of 600 letters each, and a third language that shares one of them in other orders
+    import random
+
+    rng = random.Random(1)
+    one, two = [chr(0x4E00 + i) for i in range(600)], [chr(0xAC00 + i) for i in range(600)]
+    text = lambda letters: "".join(rng.choice(letters) for _ in range(3000))
+    texts = {"zh": text(one), "ko": text(two), "xx": text(one)}
+    model = langid.Model({k: langid.reference([v], 24_000) for k, v in texts.items()}).build()
+    assert model.predict([texts["zh"], texts["ko"], texts["xx"], texts["zh"][500:900]])[0] == ["zh", "ko", "xx", "zh"]
+
+
+def test_short_labelled_texts_are_learned(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat", "en"), ("a dog", "en"), ("le chat", "fr"), ("un chien", "fr"), ("12", "no")] * 3)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["en", "fr"]
+    assert model.build().predict(["the dog", "le chien", "cat", "un chat"])[0] == ["en", "fr", "en", "fr"]
+
+
+def test_long_texts_give_passages_to_the_reference(spark):
+    rows = [(1, "header " * 3000 + "body of the text " * 3000, "en"), (2, "kurz und gut", "de")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), passage_chars=500)
+    assert len(model.codes["en"]) == 501 or len(model.codes["en"]) == 500
 
 
 def test_language_held_out_accuracy(spark):
@@ -105,19 +139,20 @@ def path():
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def test_encoder_equals_the_tokenizer(path):
+@pytest.mark.parametrize("name, by", [("word_bpe_49k.json", "parts"), ("byte_bpe_50k.json", "texts")])
+def test_encoder_equals_the_tokenizer(name, by):
     import random
 
     import pyarrow as pa
-    from segflow.llm.common import utf8
 
+    public_tokenizers = pytest.importorskip("public_tokenizers")
     rng = random.Random(3)
-    alphabet = list(" \n\t'eEéÉßİΣςσab1 .,!×÷µªº\x85 ") + ["́", "'s", "<|endoftext|>", "😀", "中", "ñ"]
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 20))) for _ in range(3000)] + ["", None, "word " * 5000]
-    encoder = tokenbin.Encoder(path)
-    encoder.KEEP = 2000
-    for part in (texts[:1500], texts[1500:]):
-        ids, counts = encoder.encode(*utf8(pa.array(part, pa.string())), 2)
+    alphabet = list(" \n\t'eEéÉßİΣςσab12 .,!-$(×÷µªº\x85 \x00\x7f") + ["\u0301", "'s", "<|endoftext|>", "😀", "中", "ñ"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 20))) for _ in range(3000)] + ["", None, "word " * 5000, "x" * 5000]
+    encoder = tokenbin.Encoder(public_tokenizers.path(name), memo_bytes=100_000)
+    assert encoder.by == by
+    for part in (texts[:1500], texts[1500:], [], [None]):
+        ids, counts = encoder.encode(pa.array(part, pa.string()), 2)
         ends = np.cumsum(counts)
         for t, e, c in zip(part, ends, counts, strict=True):
             assert ids[e - c : e].tolist() == encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [2]

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from segflow.llm import ngramjoin
 
 
@@ -122,3 +123,39 @@ def test_stage_drops_five_word_copies(spark):
     got = sorted(r["doc_id"] for r in pipeline.drop_near_copies(spark, docs, "").collect())
     assert got == [d for d, _, least in brute_groups(rows, 5, 80) if d == least]
     assert got != [d for d, _, least in brute_groups(rows, 4, 85) if d == least]
+
+
+def test_one_large_group_costs_in_proportion(spark, monkeypatch):
+    """A group of near copies much larger than a block: rows dealt to tasks stay a small multiple of its rows."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(1500):
+        w = list(base)
+        w[rng.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(9000 + i, " ".join(f"y{rng.random()}" if rng.random() < 0.2 else x for x in base)) for i in range(40)]  # in the group, linked with few
+    monkeypatch.setattr(ngramjoin.links, "__defaults__", (50, 10**9))
+    dealt, real = [], ngramjoin.multiply
+
+    def counted(tasks, sets, percent):
+        dealt.append(tasks.count())
+        return real(tasks, sets, percent)
+
+    monkeypatch.setattr(ngramjoin, "multiply", counted)
+    assert run(spark, rows) == brute(rows)
+    assert max(dealt) < 8 * len(rows)
+
+
+def test_clashing_names_and_equal_rows_in_the_stage(spark):
+    rows = [(1, "a b c d e f", k) for k in range(3)] + [(1, "a b c d e f", 0), (2, "A b c d e f", 9), (None, "q r s t u v", 1), (None, None, 1), (3, "", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    for c in ("_h", "_id", "key", "row", "text_hash", "component_id", "cls", "part", "body", "root"):
+        df = df.withColumn(c, F.concat(F.lit(c), F.col("n").cast("string")))
+    out = ngramjoin.one_of_each_group(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(1, "a b c d e f"), (None, "q r s t u v"), (None, None), (3, "")], key=str)
+    assert all(r[c] == f"{c}{r['n']}" for r in got for c in ("_h", "_id", "key", "row", "text_hash", "component_id", "cls", "part", "body", "root"))
+    again = ngramjoin.one_of_each_group(df.repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
