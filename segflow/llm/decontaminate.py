@@ -5,11 +5,14 @@ survives unchanged, so one Aho-Corasick pass over a text finds every place where
 verified with Myers' bit-parallel edit distance.  Both sides are lower-cased and every run of characters that are neither
 letters nor digits counts as one space.
 
-The test items are the stated query set: they go out in blocks of bounded size, each block against all documents.
+The test items are the stated query set: they go out in blocks of bounded size, each block against all documents, one block after
+the other, so that neither the driver nor a task holds more than a block.
 
-Nulls: a null or blank text or item matches nothing; items of fewer than `least` characters are left out, since they would match
-by chance.  Overlapping places of one item in a document give one row.  Repeated documents or items each give their rows;
-empty tables give empty results; extra columns are ignored.
+Items of fewer than `least` characters would match by chance inside other words: they have no edit budget and match only between word bounds.
+
+Nulls: a null or blank text or item matches nothing, nor does one without a letter or digit; a null item_id or doc_id is reported as null.  Overlapping places
+of one item in a document give one row.  Repeated documents or items each give their rows, ties between places go to the first.  A text of any length is searched
+whole, in the memory of one task.  Empty tables give empty results; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices
+from .common import cut, map_texts, slices
 
 NOT_WORD = re.compile(r"[\W_]+")
 
@@ -58,12 +61,12 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-def matcher(items: list[tuple[int, str]], rate: float):
+def matcher(items: list[tuple[int | None, str]], rate: float, least: int):
     """Function from a normalised text to {(item index): (edits, start, end)} of its best places."""
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
-    budgets = [int(rate * len(t)) for _, t in items]
+    budgets = [int(rate * len(t)) if len(t) >= least else 0 for _, t in items]
     for k, (_, t) in enumerate(items):
         for at, piece in pieces(t, budgets[k]):
             automaton.add_word(piece, [*automaton.get(piece, []), (k, at + len(piece) - 1)])
@@ -77,7 +80,12 @@ def matcher(items: list[tuple[int, str]], rate: float):
         found = {}
         for k, starts in places.items():
             item, e = items[k][1], budgets[k]
-            m, best, covered = len(item), None, -1
+            m, best = len(item), None
+            if m < least:  # the piece is the item
+                inside = [s for s in starts if (s == 0 or text[s - 1] == " ") and text[s + m : s + m + 1] in ("", " ")]
+                if inside:
+                    found[k] = (0, min(inside), min(inside) + m)
+                continue
             run: list[list[int]] = []
             for s in sorted(starts):  # places whose windows overlap are verified together
                 if run and s - e <= run[-1][1]:
@@ -98,31 +106,34 @@ def matcher(items: list[tuple[int, str]], rate: float):
     return find
 
 
-def blocks(benchmark: DataFrame, least: int, block_chars: int):
+def blocks(benchmark: DataFrame, block_chars: int):
     """The test items, a block of about block_chars characters at a time, as lists of (item_id, normalised text)."""
-    sized = benchmark.filter("text IS NOT NULL").select("item_id", "text")
+    sized = benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_chars))
     for block in range(n_blocks):
-        part = sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).collect()
-        yield sorted((r["item_id"], t) for r in part if len(t := normal(r["text"])) >= least)
+        part = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).collect()
+        items = [(r["item_id"], t) for r in part if (t := normal(r["text"]))]
+        yield n_blocks, sorted(items, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least: int = 30, block_chars: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, edits, start, end): each document and item that occurs in it, with its best place in the normalised text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for items in blocks(benchmark, least, block_chars):
-        found = search(rows, items, rate)
+    for n_blocks, items in blocks(benchmark, block_chars):
+        found = search(rows, items, rate, least)
+        # a block's result is written before the next one is read
+        found = cut(found) if n_blocks > 1 else found
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def search(rows: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFrame:
+def search(rows: DataFrame, items: list[tuple[int | None, str]], rate: float, least: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        find = matcher(items, rate) if items else None
+        find = matcher(items, rate, least) if items else None
         for batch in batches:
             for piece in slices(batch):
                 hits = []
@@ -137,18 +148,19 @@ def search(rows: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFr
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = 0.08, least: int = 30, block_chars: int = 1_000_000) -> DataFrame:
     """docs without the rows that hold a test item.  Each row is searched and kept or dropped where it is: no join, no shuffle."""
-    for items in blocks(benchmark, least, block_chars):
-        docs = without(docs, items, text, rate)
+    for n_blocks, items in blocks(benchmark, block_chars):
+        docs = without(docs, items, text, rate, least)
+        docs = cut(docs) if n_blocks > 1 else docs
     return docs
 
 
-def without(docs: DataFrame, items: list[tuple[int, str]], text: str, rate: float) -> DataFrame:
+def without(docs: DataFrame, items: list[tuple[int | None, str]], text: str, rate: float, least: int) -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches):
         import pyarrow as pa
 
-        find = matcher(items, rate) if items else None
+        find = matcher(items, rate, least) if items else None
         for batch in batches:
             for piece in slices(batch, column=text):
                 yield piece.filter(pa.array([not (find and t and find(normal(t))) for t in piece.column(at).to_pylist()], pa.bool_()))
