@@ -1,11 +1,13 @@
 """Line dedup by distinct-site spread.  DataFrame functions only.
 
 A line (trimmed of white space) that occurs on many sites is boilerplate.  Per line hash a HyperLogLog sketch of its sites
-is built in each task and merged by aggregation.  Lines whose estimate lies clearly above the threshold go, those clearly
-below stay, and only lines near it get an exact distinct count.  Lines shorter than `least` characters are never removed.
+is built in each task and the sketches are merged by aggregation: only sketches move.  Lines whose estimate lies clearly above
+the threshold go, those clearly below stay, and only lines near it get an exact distinct count.  Lines shorter than `least`
+characters are never removed.
 
 Nulls: a null source is one site of its own; a null text has no lines and stays null; blank lines stay.  Repeated rows don't
-raise a line's spread (sites count once).  Empty tables give empty results; extra columns pass through.
+raise a line's spread (sites count once), and each gets its result.  A text of any length is split whole.  Empty tables give empty results.  Extra columns
+pass through, whatever their names; n_lines and n_removed are replaced if docs has them.
 """
 
 from __future__ import annotations
@@ -13,44 +15,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, cut
+from .common import SPACE_CHARS, cut, fresh, row_hash, whole_row
 
 
 def line_key(line: Column) -> Column:
     return F.xxhash64(F.btrim(line, F.lit(SPACE_CHARS)))
 
 
+def counts(line: Column, least: int) -> Column:
+    return F.length(F.btrim(line, F.lit(SPACE_CHARS))) >= least
+
+
 def lines(docs: DataFrame, text: str, site: str, least: int) -> DataFrame:
     """(line, site) of every line that counts, once per document."""
-    split = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) >= least)
+    split = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: counts(x, least))
     return docs.select(F.coalesce(F.concat(F.lit("s"), F.col(site)), F.lit("null")).alias("site"), F.explode(F.array_distinct(F.transform(split, line_key))).alias("line"))
 
 
+def sketches(docs: DataFrame, text: str, site: str, least: int, lg_k: int) -> DataFrame:
+    """(line, sites): the estimated number of sites of every line hash, from sketches that are merged."""
+    return lines(docs, text, site, least).groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"))
+
+
 def widespread(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 8, least: int = 20, lg_k: int = 12, band: float = 0.25) -> DataFrame:
     """(line, sites): hashes of lines on at least min_sites sites; sites is exact inside the band and estimated above it."""
-    counted = lines(docs, text, site, least)
-    # a line in fewer documents than min_sites can't be on that many sites, so it needs no sketch
-    sketched = counted.groupBy("line", "site").agg(F.count("*").alias("n")).groupBy("line").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.sum("n").alias("n"))
-    spread = cut(sketched.filter(F.col("n") >= min_sites).select("line", F.hll_sketch_estimate("sketch").alias("sites")))
+    spread = cut(sketches(docs, text, site, least, lg_k).filter(F.col("sites") >= min_sites * (1 - band)))
     far = spread.filter(F.col("sites") > min_sites * (1 + band))
-    near = spread.filter((F.col("sites") <= min_sites * (1 + band)) & (F.col("sites") >= min_sites * (1 - band))).select("line")
+    near = spread.filter(F.col("sites") <= min_sites * (1 + band)).select("line")
     # pairs are made distinct in each task before they move, so a line that is everywhere sends few rows
-    exact = counted.groupBy("line", "site").agg(F.count("*").alias("n")).join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites")).filter(F.col("sites") >= min_sites)
+    pairs = lines(docs, text, site, least).join(near, "line", "left_semi").groupBy("line", "site").agg(F.lit(1))
+    exact = pairs.groupBy("line").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
     return far.unionByName(exact)
 
 
 def drop_widespread_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 8, least: int = 20, **options) -> DataFrame:
     """docs with text rid of widespread lines, and n_lines and n_removed.  A document whose lines all stay is unchanged."""
     gone = cut(widespread(docs, text, site, min_sites, least, **options).select("line"))
-    # which widespread lines each text holds: texts are known by two hashes, so equal texts share one answer
-    same = lambda d: d.withColumn("_h", F.xxhash64(text)).withColumn("_c", F.crc32(F.col(text)))
-    keyed = same(docs.select(text)).select("_h", "_c", F.explode(F.array_distinct(F.transform(F.split(F.col(text), "\n"), line_key))).alias("line"))
-    held = keyed.join(gone, "line").groupBy("_h", "_c").agg(F.collect_set("line").alias("_gone"))
-    joined = same(docs).join(held, ["_h", "_c"], "left")
-    split = F.split(F.col(text), "\n")
-    stay = F.filter(split, lambda x: ~(F.array_contains("_gone", line_key(x)) & (F.length(F.btrim(x, F.lit(SPACE_CHARS))) >= least)))
-    kept = F.when(F.col("_gone").isNull(), split).otherwise(stay)
-    n = F.coalesce(F.size(split), F.lit(0)).cast("long")
-    out = joined.withColumn("_kept", kept).withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(n).cast("long"))
-    out = out.withColumn("n_removed", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
-    return out.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join("_kept", "\n"))).select(*docs.columns, "n_lines", "n_removed")
+    # rows are known by hashes of all their columns: equal texts of different documents don't meet in one task, equal rows share their answer
+    of, row, key, check, held = (fresh(docs, x) for x in ("of", "row", "key", "check", "held"))
+    whole = docs.select(F.col(text).alias(of), whole_row(docs).alias(row))
+    keyed = whole.select(row_hash(docs, row).alias(key), row_hash(docs, row, F.hash).alias(check), of, row)
+    each = keyed.select(key, check, F.explode(F.array_distinct(F.transform(F.filter(F.split(of, "\n"), lambda x: counts(x, least)), line_key))).alias("line"))
+    found = each.join(gone, "line").groupBy(key, check).agg(F.collect_set("line").alias(held))
+    joined = keyed.join(found, [key, check], "left")
+    split = F.split(F.col(of), "\n")
+    stay = F.when(F.col(held).isNull(), split).otherwise(F.filter(split, lambda x: ~(F.array_contains(held, line_key(x)) & counts(x, least))))
+    n = F.when(F.col(of).isNull(), 0).otherwise(F.size(split)).cast("long")
+    cut_text = F.when(F.col(of).isNotNull(), F.array_join(stay, "\n"))
+    removed = F.when(F.col(of).isNull(), 0).otherwise(F.size(split) - F.size(stay)).cast("long")
+    kept = [cut_text.alias(c) if c == text else F.col(row).getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*kept, n.alias("n_lines"), removed.alias("n_removed"))
