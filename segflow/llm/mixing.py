@@ -5,9 +5,12 @@ word counts.  Slot i of the mix takes the golden-ratio point frac(i * phi); the
 source owns that point, and the k-th slot of a source plays its k-th block.  The few blocks that find no slot of
 their own fill the slots that a source could not use, so every source ends exactly at its rounded target.
 
+A document's place in the mix is the first slot that plays words of it; mixed_documents() returns the mix in that order.
+
 Nulls: a null source is a source of its own (last in order); a null or blank text has size 0, takes part in nothing
-and is returned with 0.  An empty table gives an empty result.  Repeated rows and repeated ids count as documents of
-their own.  Extra columns are ignored.
+and is returned with 0 and no slot.  An empty table gives an empty result.  Repeated rows and repeated ids count as documents of
+their own: ties are ordered by a hash of all columns, so only rows that are equal throughout can stand for each other.  A text of any length is cut at blocks.
+Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, words
+from .common import cut, partitions, row_hash, whole_row, words
 
 #: Modulus and multiplier of the integer golden-ratio sequence (multiplier / modulus = 0.6180339887).
 PERIOD, GOLDEN = 2**31, 1327217885
@@ -54,12 +57,14 @@ def running_start(df: DataFrame, keys: list[str], coarse: str, order: list, size
 def mix_schedule(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=(3, 1, 2), block_words: int = 1024, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
     """The mix as (documents, pieces).
 
-    documents: row_id, doc_id, same (hash of the text), source, size, source_size, target.
+    documents: row_id, doc_id, same (hash of the row), source, size, source_size, target.
     pieces: slot (place in the mix), source_no, block, row_id, doc_id, p (pass over the source), from_word, n_words; ordering by slot, then block offset,
     gives the mix.  Every piece is a run of words of one document.
     """
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))).alias("key"), F.xxhash64("text").alias("same"))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("row.doc_id").cast("string")))
+    sized = docs.select(whole_row(docs).alias("row"), F.size(words(F.col("text"))).cast("long").alias("size"))
+    sized = sized.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "size", key.alias("key"), row_hash(docs, "row").alias("same"))
     sized = cut(sized)
     targets = source_targets(sized, share, cap, weights)
     # The rest of the plan only handles numbers: one row per document, then one per block.
@@ -103,30 +108,36 @@ def mix_schedule(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=
 
 
 def mix_counts(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target and taken, the words that the mix takes from it."""
+    """One row per document: doc_id, source, size, source_size, target, taken (words that the mix takes from it), first_slot (place of the first of them in
+    the schedule, null if none) and n_pieces (runs of words that its slots play)."""
     documents, pieces = mix_schedule(docs, **options)
-    taken = pieces.groupBy("row_id").agg(F.sum("n_words").alias("taken"))
+    taken = pieces.groupBy("row_id").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_pieces"))
     out = documents.join(taken, "row_id", "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("doc_id", "source", "size", "source_size", "target", number("taken"), "first_slot", number("n_pieces"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents with docs' columns: a row for each pass that takes words of a document.
+    """The mix as documents with docs' columns: a row for each pass that takes words of a document, in the order of first slots.
 
-    Only a document in which a source reaches its target is cut (after the words taken, which single spaces then join);
-    all others stay whole.  n_chars, if there, follows the text.
+    Partitions hold consecutive stretches of the schedule, each sorted, so files written from the result hold the mix in order.  Only a document in which a source
+    reaches its target is cut (after the words taken, which single spaces then join); all others stay whole.  n_chars, if there, follows the text.
     """
     documents, pieces = mix_schedule(docs, **options)
-    taken = pieces.groupBy("row_id", "p").agg(F.sum("n_words").alias("_n"))
+    taken = pieces.groupBy("row_id", "p").agg(F.sum("n_words").alias("n"), F.min("slot").alias("slot"))
     # equal rows are told apart by number
-    number = lambda d, order: d.withColumn("_r", F.row_number().over(Window.partitionBy("_id", "_same").orderBy(order)))
-    takes = number(documents.select(F.col("doc_id").alias("_id"), F.col("same").alias("_same"), "row_id", "size"), "row_id").join(taken, "row_id")
-    takes = takes.select(F.col("_id").alias("_i"), F.col("_same").alias("_s"), F.col("_r").alias("_k"), "_n", F.col("size").alias("_size"))
-    rows = number(docs.withColumn("_id", F.col("doc_id")).withColumn("_same", F.xxhash64("text")), F.lit(1))
+    number = lambda d, order: d.withColumn("r", F.row_number().over(Window.partitionBy("id", "same").orderBy(order)))
+    takes = number(documents.select(F.col("doc_id").alias("id"), "same", "row_id", "size"), "row_id").join(taken, "row_id")
+    takes = takes.select(F.col("id").alias("i"), F.col("same").alias("s"), F.col("r").alias("k"), "n", "size", "slot", "p", "row_id")
+    rows = docs.select(whole_row(docs).alias("row")).select("row", F.col("row.doc_id").alias("id"), row_hash(docs, "row").alias("same"))
+    rows = number(rows, F.lit(1))
     # the number is compared outside the join keys, so the rows numbered above need no second shuffle
-    joined = rows.join(takes, rows["_id"].eqNullSafe(F.col("_i")) & (rows["_same"] == F.col("_s")) & (F.abs(F.col("_r") - F.col("_k")) < 1))
-    text = F.when(F.col("_n") >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), 1, F.col("_n").cast("int")), " "))
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    joined = rows.join(takes, rows["id"].eqNullSafe(F.col("i")) & (rows["same"] == F.col("s")) & (F.abs(F.col("r") - F.col("k")) < 1))
+    whole = F.col("row.text")
+    text = F.when(F.col("n") >= F.col("size"), whole).otherwise(F.array_join(F.slice(words(whole), 1, F.col("n").cast("int")), " "))
+    n_parts = partitions(docs.sparkSession)
+    n_slots = taken.agg(F.max("slot")).first()[0] or 0
+    joined = joined.select("row", text.alias("text"), "slot", "row_id", "p", F.floor(F.col("slot") * n_parts / (n_slots + 1)).cast("int").alias("part"))
+    joined = joined.repartitionById(n_parts, "part").sortWithinPartitions("slot", "row_id", "p")
+    made = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return joined.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
