@@ -7,8 +7,9 @@ of the weighted passage vector sum(a * h).  Training runs on a bounded sample of
 are parameters); scoring covers all passages of all documents.
 
 Nulls: a null or empty text is one empty passage and gets a score like any other; null labels are left out of the fit.
-Without any label, or with one class only, the score is that class's share (0.5 if none).  Repeated rows score alike.
-Extra columns pass by unused.
+Without any label, or with one class only, the score is that class's share (0.5 if none).  Repeated rows score alike; of ties in the fit's order the row whose id, then
+text hash is least goes first.  A text of any length is scored whole.  Empty tables give empty results.  Extra columns pass by unused, whatever their names; one
+named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -55,7 +56,8 @@ def encode(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     out[:, :CLASSES] = np.bincount(of * CLASSES + byte_classes()[body], minlength=n * CLASSES).reshape(n, CLASSES) / length[:, None]
     if len(body) > 1:
         pair = (body[:-1].astype(np.uint32) * np.uint32(2654435) + body[1:].astype(np.uint32) * np.uint32(40503)) >> np.uint32(7) & np.uint32(PAIRS - 1)
-        out[:, CLASSES : CLASSES + PAIRS] = np.bincount(of[:-1] * PAIRS + pair, minlength=n * PAIRS).reshape(n, PAIRS) / length[:, None]
+        inside = place[1:] > 0  # no pair reaches into the next document
+        out[:, CLASSES : CLASSES + PAIRS] = np.bincount(of[:-1][inside] * PAIRS + pair[inside], minlength=n * PAIRS).reshape(n, PAIRS) / length[:, None]
     a, b, key = word_spans(body, offsets)
     at = of[a] if len(a) else np.zeros(0, np.int64)
     words = np.maximum(1, np.bincount(at, minlength=n))
@@ -164,26 +166,31 @@ def passages(docs: DataFrame) -> DataFrame:
     return map_texts(docs, run, FEATURES)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, sample_bytes: int = 20_000, seed: int = 3) -> Model:
-    """Fit on docs (doc_id, text) joined with labels (doc_id, quality): the sample_rows rows of at most sample_bytes characters that come first in
-    a hashed order.  Only their passage features reach the driver (sample_rows * sample_bytes / PASSAGE rows at most)."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, sample_chars: int = 20_000, seed: int = 3) -> Model:
+    """Fit on docs (doc_id, text) joined with labels (doc_id, quality): the sample_rows labelled rows of docs that come first in a hashed order; a text of more
+    than sample_chars characters gives a passage of that length that begins at a hashed place.  Only their features reach the driver (about
+    sample_rows * sample_chars / PASSAGE rows at most)."""
     order = F.xxhash64(F.lit(seed), "doc_id")
     chosen = labels.filter("quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("y"), order.alias("rank"))
-    chosen = chosen.orderBy("rank", "doc_id").limit(2 * sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.coalesce(F.length("text"), F.lit(0)) <= sample_bytes)
-    got = sorted(passages(rows.select("y", "rank", "text")).collect(), key=lambda r: (r["rank"], r["x"]))[:sample_rows]
+    chosen = chosen.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy("rank", "doc_id", "y").limit(sample_rows)
+    n = F.length("text")
+    place = F.when(n > sample_chars, F.pmod(F.xxhash64(F.lit(seed), "text"), n - sample_chars)).otherwise(0).cast("int")
+    # the broadcast side has at most sample_rows rows of three numbers
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.select("y", "rank", "doc_id", F.substring(F.col("text"), place + 1, F.lit(sample_chars)).alias("text")).orderBy("rank", "doc_id", F.xxhash64("text"), "y").limit(sample_rows)
+    got = sorted(passages(rows.select("y", "rank", "text")).collect(), key=lambda r: (r["rank"], r["x"]))
     x = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH) for r in got]) if got else np.zeros((0, WIDTH), np.float32)
     owner = np.repeat(np.arange(len(got)), [r["n"] for r in got]) if got else np.zeros(0, int)
     return Model().fit(x, owner, np.array([r["y"] for r in got], np.float32))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with a score column (0 to 1)."""
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """docs with a column of that name (0 to 1) added or replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain arrays: a broadcast may not name this package
-    names = [c for c in docs.columns if c != "score"]
+    names = [c for c in docs.columns if c.lower() != name.lower()]
     rows = docs.select(*names)
     at = names.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{name}` double"
 
     def run(batches):
         import pyarrow as pa
@@ -192,6 +199,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             for piece in slices(batch, 1 << 20, text):
                 x, owner = encode(*utf8(piece.column(at)))
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(model.score(x, owner, piece.num_rows), pa.float64())], [*names, "score"])
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(model.score(x, owner, piece.num_rows), pa.float64())], [*names, name])
 
     return map_texts(rows, run, schema)
