@@ -1,30 +1,32 @@
-"""Exact substring dedup with a sparse, distributed suffix sort.
+"""Exact substring dedup by a distributed suffix sort.
 
 A byte goes when a LENGTH-byte string over it also starts earlier (smaller doc_id, or the same document further left).
-Sorting every suffix would move a hundred times the text, so suffixes are taken at anchors first: the anchor of a window
-(a LENGTH-byte string) is its least hashed GRAM-byte gram, so equal windows have equal anchors at equal distances, and a
-run of neighbouring windows shares one.
-
-1. Anchored suffixes (leading gram, hash of the run's whole span, document, place) are range-partitioned by splitters that
-   a bounded sample of documents gives, and each bucket is sorted by multikey sort.  A suffix equal to the one before it in its
-   bucket, or to the splitter that the bucket starts at, repeats as a whole run.  The first of its kind whose gram also
-   occurs in other surroundings, or crosses a bucket boundary, is left open.  A gram that occurs once settles as unique.
-2. All windows of the open runs become suffixes themselves and pass through the same bucketed sort; equality now means
-   equal LENGTH-byte strings, so this decides them.
-3. Repeated runs and windows merge into spans per document, and the text's remaining bytes are hashed.
-
-Spans are compared by 64-bit hashes of their content (together with their gram's hash in step 1).  A hot string spreads
-over buckets because splitters also hold the document.
+Sorting every suffix would move a hundred times the text, so suffixes are taken at anchors: the anchor of a window
+(a LENGTH-byte string) is the start of its least hashed GRAM-byte gram, so equal windows have equal anchors at equal distances, and a
+run of neighbouring windows shares one.  A suffix stands for its run: it starts at the anchor, and carries the bytes of all windows of the run.
+
+1. A first pass only counts: hashes of the grams at anchors are dealt out, and runs whose gram's hash occurs once are left out.
+   Runs whose gram repeats in their own slice of texts are known at once, and one of them goes out for all.
+2. The suffixes of the runs that are left are range-partitioned by splitters, real suffixes from a bounded sample, compared by their leading
+   GRAM bytes and then by document, so that a hot string spreads over buckets.  Equal runs of one slice are combined before they move.
+3. A bucket sorts its suffixes by content with multikey quicksort on eight bytes at a time.  A run whose bytes are those of the suffix before it
+   repeats as a whole.  Suffixes that share the gram in other surroundings are compared window by window.
+4. A gram that a splitter begins with can lie on both sides of a bucket's boundary.  The windows over it that are first in
+   their bucket are compared by content across all buckets, and those that are not first there repeat too.
+5. Repeated runs and windows merge into spans per document, and the text's remaining bytes are hashed.
+
+Nothing is removed on the word of a hash: hashes only choose what is compared, and every repetition is decided on the bytes.
 
 Nulls: a null text is empty; a null doc_id sorts first.  Documents with equal ids are ordered by the crc32 of the text,
-and repeated rows (equal id and text) are judged as one document, so each gets its result.  Empty tables give empty results;
-extra columns are ignored.
+and repeated rows (equal id and text) are judged as one document, so each gets its result.  A text of any length is worked on in stretches.  Empty tables
+give empty results; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,9 +36,18 @@ from .common import BASE, cut, map_texts, mix64, partitions, slices, utf8
 from .ngramjoin import pack, unpack
 
 LENGTH, GRAM = 100, 40
+#: A suffix's bytes: as many left of the anchor as a window can reach, and as many from the anchor on.
+LEFT, WIDTH = LENGTH - GRAM, 2 * LENGTH - GRAM
+#: Low bits of an anchor's rank that hold its place; slices of text are shorter.
+PLACE_BITS = 22
 NONE = -(2**63)
-SUFFIX = (np.uint64, np.uint64, np.int64, np.uint32, np.uint32, np.uint8)
+KEYS = (np.uint64, np.int64, np.uint32, np.uint32, np.uint8)
+RUN = (np.dtype(f"V{WIDTH}"), np.uint8, np.uint8, np.int64, np.uint32, np.uint32)
+WINDOW = (np.dtype(f"V{LENGTH}"), np.int64, np.uint32, np.uint32)
 SPAN = (np.int64, np.uint32, np.uint32, np.uint32)
+#: Kinds of packed rows: spans of windows by document (SPAN), and what is dealt to be compared (KEYS, RUN or WINDOW).
+SPANS, COMPARE = 0, 1
+PACKED = "kind int, part int, body binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -48,8 +59,8 @@ def join_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def gram_hashes(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the GRAM and LENGTH bytes that start at each place (the end is padded with zeros)."""
+def gram_hashes(body: np.ndarray) -> np.ndarray:
+    """Hash of the GRAM bytes that start at each place (the end is padded with zeros)."""
     n = len(body)
     m = -(-(n + 2 * LENGTH) // 8) * 8
     raw = np.zeros(m + 8, np.uint8)
@@ -61,9 +72,7 @@ def gram_hashes(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h8 = mix64(h8)
     h16 = join_hash(h8[:-8], h8[8:])
     h32 = join_hash(h16[:-16], h16[16:])
-    h40 = join_hash(h32[: n + 64], h8[32 : n + 96])
-    h64 = join_hash(h32[:n], h32[32 : n + 32])
-    return h40[: n + 64], join_hash(h64, h40[LENGTH - GRAM : n + LENGTH - GRAM]) if n else h64
+    return join_hash(h32[: n + 64], h8[32 : n + 96])
 
 
 def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,13 +83,12 @@ def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchored(body: np.ndarray, offsets: np.ndarray):
-    """Runs of windows with one anchor: document, first place in it, windows after the first, gram hash, span hash."""
-    gram, whole = gram_hashes(body)
+    """Runs of windows with one anchor: document, place of the first window, windows after it, place of the anchor, hash of its gram (places count from body's start)."""
     at, owner = windows(offsets)
     if not len(at):
-        zero = np.zeros(0, np.uint64)
-        return owner, at, np.zeros(0, np.uint8), zero, zero
-    bits = np.uint64((1 << int(len(gram)).bit_length()) - 1)
+        return owner, at, np.zeros(0, np.uint8), at, np.zeros(0, np.uint64)
+    gram = gram_hashes(body)
+    bits = np.uint64((1 << PLACE_BITS) - 1)
     least = (gram & ~bits) | np.arange(len(gram), dtype=np.uint64)
     width = LENGTH - GRAM + 1
     step = 1
@@ -94,27 +102,87 @@ def anchored(body: np.ndarray, offsets: np.ndarray):
     new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    a, b, x = at[first], at[last], anchor[first]
-    span = join_hash(join_hash(whole[a], whole[b]), ((b - a) << 8 | (x - a)).astype(np.uint64))
-    return owner[first], a - offsets[owner[first]], (b - a).astype(np.uint8), mix64(gram[x]), span
-
-
-def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
-    """Order by keys in turn; only rows that tie so far are compared by the next key."""
-    order = np.argsort(keys[0], kind="stable")
-    first = keys[0][order]
-    same = first[1:] == first[:-1]
-    for key in keys[1:]:
-        if not same.any():
-            break
-        starts, tied = np.ones(len(order), bool), np.zeros(len(order), bool)
-        starts[1:] = ~same
-        tied[1:] |= same
-        tied[:-1] |= same
-        part = np.flatnonzero(tied)
-        order[part] = order[part][np.lexsort((key[order[part]], np.cumsum(starts)[part]))]
-        now = key[order]
-        same &= now[1:] == now[:-1]
+    return owner[first], at[first], (at[last] - at[first]).astype(np.uint8), anchor[first], mix64(gram[anchor[first]])
+
+
+def contents(body: np.ndarray, first: np.ndarray, more: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """WIDTH bytes about each anchor, zero outside the run's windows."""
+    out = np.zeros((len(first), WIDTH), np.uint8)
+    step = np.arange(-LEFT, LENGTH, dtype=np.int32)
+    for i in range(0, len(first), 4096):
+        part = slice(i, i + 4096)
+        at = anchor[part].astype(np.int32)[:, None] + step
+        inside = (at >= first[part, None]) & (at < (first[part] + more[part] + LENGTH)[:, None])
+        out[part] = np.where(inside, body[np.clip(at, 0, len(body) - 1)], 0)
+    return out
+
+
+def content_hash(rows: np.ndarray) -> np.ndarray:
+    """Hash of each row of bytes; only a filter in front of comparing them."""
+    k = -(-rows.shape[1] // 8)
+    words = np.zeros((len(rows), 8 * k), np.uint8)
+    words[:, : rows.shape[1]] = rows
+    words = words.view(np.uint64)
+    h = np.zeros(len(rows), np.uint64)
+    for j in range(k):
+        h = join_hash(h, words[:, j])
+    return h
+
+
+def same_content(rows: np.ndarray) -> np.ndarray:
+    """Number of each row's class of equal bytes."""
+    if not len(rows):
+        return np.zeros(0, np.int64)
+    _, first, label = np.unique(content_hash(rows), return_index=True, return_inverse=True)
+    wrong = (rows != rows[first[label]]).any(1)
+    if wrong.any():  # different rows with one hash are told apart by their bytes
+        mixed = np.flatnonzero(np.isin(label, label[wrong]))
+        order = multikey_quicksort(list(big_endian(rows[mixed]).T))
+        held = rows[mixed[order]]
+        new = np.append(True, (held[1:] != held[:-1]).any(1))
+        label[mixed[order]] = len(first) + np.cumsum(new)
+    return label
+
+
+def firsts(label: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Whether a row is the first of its class in the order of place."""
+    order = np.lexsort((*place[::-1], label))
+    out = np.zeros(len(label), bool)
+    held = label[order]
+    out[order[np.append(True, held[1:] != held[:-1])[: len(order)]]] = True
+    return out
+
+
+def big_endian(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of numbers that sort alike, eight bytes each."""
+    k = -(-rows.shape[1] // 8)
+    out = np.zeros((len(rows), 8 * k), np.uint8)
+    out[:, : rows.shape[1]] = rows
+    return out.view(">u8").astype(np.uint64)
+
+
+def multikey_quicksort(keys: list[np.ndarray], small: int = 1024) -> np.ndarray:
+    """Order of rows by keys in turn: rows are parted in three about a pivot of one key, and those equal to it go on with the next.
+
+    Parts of at most small rows are sorted by the keys that are left at once.
+    """
+    order = np.arange(len(keys[0]))
+    todo = [(0, len(order), 0)]
+    while todo:
+        lo, hi, depth = todo.pop()
+        if hi - lo < 2 or depth == len(keys):
+            continue
+        part = order[lo:hi]
+        if hi - lo <= small:
+            order[lo:hi] = part[np.lexsort([k[part] for k in keys[: depth - 1 if depth else None : -1]])]
+            continue
+        x = keys[depth][part]
+        some = np.sort(x[:: max(1, len(x) // 9)])
+        pivot = some[len(some) // 2]
+        less, equal = x < pivot, x == pivot
+        a, b = lo + int(less.sum()), lo + int(less.sum()) + int(equal.sum())
+        order[lo:hi] = np.concatenate([part[less], part[equal], part[~(less | equal)]])
+        todo += [(lo, a, depth), (a, b, depth + 1), (b, hi, depth)]
     return order
 
 
@@ -138,7 +206,7 @@ def doc_part(doc: np.ndarray, n_parts: int) -> np.ndarray:
 
 def segments(body: np.ndarray, offsets: np.ndarray, most: int = 2 << 20):
     """(body, offsets, base) of all windows: as they are, or a very long document in overlapping stretches that start at base."""
-    if len(body) <= 2 * most or len(offsets) > 2:
+    if len(body) <= most or len(offsets) > 2:
         yield body, offsets, 0
         return
     for base in range(0, len(body) - LENGTH + 1, most):
@@ -146,30 +214,34 @@ def segments(body: np.ndarray, offsets: np.ndarray, most: int = 2 << 20):
         yield part, np.array([0, len(part)], np.int64), base
 
 
+def hash_part(key: np.ndarray, n_parts: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
+
+
 class Splitters:
-    """Bucket bounds in (key, doc) order: the last suffix of each bucket but the final one, with its content hash and place."""
+    """Bucket bounds: the last suffix of each bucket but the final one, as its leading GRAM bytes and its document, in that order."""
 
-    def __init__(self, rows: np.ndarray, n_parts: int):
-        rows = np.sort(rows, order=["key", "doc", "crc", "at"])
-        self.rows = rows[np.unique(np.linspace(0, len(rows), n_parts + 1)[1:-1].astype(int))] if len(rows) else rows
+    def __init__(self, rows: list[tuple[bytes, int]], n_parts: int):
+        rows = sorted(rows)
+        self.rows = [rows[i] for i in sorted(set(np.linspace(0, len(rows), n_parts + 1)[1:-1].astype(int).tolist()))] if rows else []
         self.n_parts = n_parts
-
-    def part(self, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        if not len(self.rows):
-            return ((key >> np.uint64(32)) * np.uint64(self.n_parts) >> np.uint64(32)).astype(np.int64)
-        keys = self.rows["key"]
-        low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-        part = low.astype(np.int64)
-        for i in np.flatnonzero(low < high).tolist():  # the key is a splitter's: the document decides
-            part[i] = low[i] + np.searchsorted(self.rows["doc"][low[i] : high[i]], doc[i], "left")
+        self.leading = big_endian(np.frombuffer(b"".join(g for g, _ in self.rows), np.uint8).reshape(-1, GRAM))[:, 0]
+
+    def part(self, gram: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Bucket of each suffix, from rows of GRAM bytes and documents."""
+        first = big_endian(gram)[:, 0]
+        part = np.searchsorted(self.leading, first, "left")
+        for i in np.flatnonzero(part < np.searchsorted(self.leading, first, "right")).tolist():  # begins like a splitter: all bytes, then the document decide
+            part[i] = bisect_left(self.rows, (gram[i].tobytes(), int(doc[i])))
         return part
 
-
-SAMPLE = np.dtype([("key", np.uint64), ("doc", np.int64), ("crc", np.uint32), ("at", np.uint32), ("span", np.uint64)])
+    def edges(self, part: int) -> list[bytes]:
+        """Grams that can lie on both sides of a bucket's bounds."""
+        return [g for g, _ in self.rows[max(0, part - 1) : part + 1]]
 
 
-def sample_splitters(docs: DataFrame, n_parts: int, told_apart: bool, sample_rows: int = 500) -> tuple[Splitters, Splitters]:
-    """Splitters for anchored suffixes and for windows, from at most sample_rows documents (windows are thinned by content)."""
+def sample_splitters(docs: DataFrame, n_parts: int, sample_rows: int = 1000, sample_runs: int = 32) -> list[tuple[bytes, int]]:
+    """Leading bytes and document of at most sample_runs suffixes of each of at most sample_rows documents."""
 
     def run(batches):
         import pyarrow as pa
@@ -177,47 +249,26 @@ def sample_splitters(docs: DataFrame, n_parts: int, told_apart: bool, sample_row
         for batch in batches:
             for piece in slices(batch, 1 << 20):
                 body, offsets = utf8(piece.column(1))
-                doc, crc = doc_keys(piece.column(0)), checksums(body, offsets, told_apart)
-                body, offsets, _ = next(segments(body, offsets))
-                owner, at, _, key, span = anchored(body, offsets)
-                one = np.zeros(len(key), SAMPLE)
-                one["key"], one["doc"], one["crc"], one["at"], one["span"] = key, doc[owner], crc[owner], at, span
-                p, owner = windows(offsets)
-                key = gram_hashes(body)[1][p]
-                thin = (mix64(key) & np.uint64(63)) == 0
-                two = np.zeros(int(thin.sum()), SAMPLE)
-                two["key"], two["doc"], two["crc"], two["at"] = key[thin], doc[owner[thin]], crc[owner[thin]], (p - offsets[owner])[thin]
-                yield pa.RecordBatch.from_arrays([pa.array([one.tobytes()], pa.binary()), pa.array([two.tobytes()], pa.binary())], ["one", "two"])
-
-    rows = docs.sample(0.1, seed=2).limit(sample_rows).mapInArrow(run, "one binary, two binary").collect()
-    return tuple(Splitters(np.concatenate([np.frombuffer(r[k], SAMPLE) for r in rows]) if rows else np.zeros(0, SAMPLE), n_parts) for k in ("one", "two"))
-
-
-def batch_of(rows, names=("part", "body")):
-    """Packed rows as an Arrow batch, bodies compressed: columns of documents and places shrink far more than in the shuffle's own codec."""
-    import pyarrow as pa
-    import zstandard
-
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    rows = [(*r[:-1], squeeze(r[-1])) for r in rows]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if names[k] == "body" else pa.int32()) for k in range(len(names))], list(names))
+                doc = doc_keys(piece.column(0))
+                part, bounds, _ = next(segments(body, offsets))
+                owner, first, more, anchor, _ = anchored(part, bounds)
+                begin = np.searchsorted(owner, np.arange(len(bounds)))
+                pick = np.unique(np.concatenate([np.linspace(a, b, sample_runs, endpoint=False).astype(int) for a, b in zip(begin, begin[1:], strict=False) if b > a])) if len(owner) else np.zeros(0, int)
+                rows = contents(part, first[pick], more[pick], anchor[pick])[:, LEFT : LEFT + GRAM]
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(doc[owner[pick]], pa.int64())], ["gram", "doc"])
 
+    rows = docs.sample(0.1, seed=2).limit(sample_rows)
+    return [(bytes(r["gram"]), r["doc"]) for r in map_texts(rows, run, "gram binary, doc long").collect()]
 
-def suffix_blocks(docs: DataFrame, n_parts: int, splitters: dict, told_apart: bool) -> DataFrame:
-    """Anchored suffixes of all documents, dealt to their buckets."""
 
-    def run(batches):
-        split = restore(splitters)
-        for batch in batches:
-            for piece in slices(batch, 1 << 20):
-                body, offsets = utf8(piece.column(1))
-                docs_, crcs = doc_keys(piece.column(0)), checksums(body, offsets, told_apart)
-                for part, bounds, base in segments(body, offsets):
-                    owner, at, more, key, span = anchored(part, bounds)
-                    doc, crc = docs_[owner], crcs[owner]
-                    yield batch_of(pack(split.part(key, doc), n_parts, key, span, doc, crc, (at + base).astype(np.uint32), more))
+def batch_of(kind: int, rows):
+    """Packed (part, body) rows as an Arrow batch, bodies compressed."""
+    import pyarrow as pa
+    import zstandard
 
-    return map_texts(docs, run, "part int, body binary")
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    rows = [(p, squeeze(b)) for p, b in rows]
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["kind", "part", "body"])
 
 
 def loosened(bodies: list[bytes], kinds: tuple) -> list[np.ndarray]:
@@ -227,80 +278,97 @@ def loosened(bodies: list[bytes], kinds: tuple) -> list[np.ndarray]:
     return unpack([unzip(b) for b in bodies], kinds)
 
 
-def restore(state: dict) -> Splitters:
-    made = Splitters.__new__(Splitters)
-    vars(made).update(state)
-    return made
+def spans_batch(n_parts: int, doc: np.ndarray, crc: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """Spans of window starts, merged, as packed rows dealt by document."""
+    doc, crc, a, b, _ = merged(doc, crc, a, b)
+    return batch_of(SPANS, pack(doc_part(doc, n_parts), n_parts, doc, crc, a.astype(np.uint32), b.astype(np.uint32)))
+
+
+def merged(doc, crc, a, b):
+    """The spans in order, those of a document that overlap or follow each other made one, and whether a document begins."""
+    order = np.lexsort((b, a, crc, doc))
+    doc, crc, a, b = doc[order], crc[order], a[order].astype(np.int64), b[order].astype(np.int64)
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])
+    # ends run on within a document: documents are told apart by adding more than any place
+    far = np.int64(1) << 33
+    base = (np.cumsum(new) - 1) * far
+    reach = np.maximum.accumulate(b + base) if len(b) else b
+    begins = new.copy()
+    begins[1:] |= a[1:] + base[1:] > reach[:-1] + 1
+    first = np.flatnonzero(begins)
+    last = np.append(first[1:], len(doc)) - 1 if len(first) else first
+    return doc[first], crc[first], a[first], reach[last] - base[last] if len(first) else a[first], new[first]
+
+
+def by_part(batches):
+    """Bodies of this task's rows: {part: [body]} of those to compare; rows of spans are given back as they are."""
+    held: dict[int, list[bytes]] = {}
+    passed = []
+    for batch in batches:
+        for kind, part, body in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if kind == SPANS:
+                passed.append((kind, part, body))
+            else:
+                held.setdefault(part, []).append(body)
+    return held, passed
+
+
+def given_back(rows):
+    import pyarrow as pa
 
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k == 2 else pa.int32()) for k in range(3)], ["kind", "part", "body"])
 
-def settle(blocks: DataFrame, n_parts: int, splitters: dict, exact: bool) -> DataFrame:
-    """Sort each bucket and compare neighbours: (kind, part, body) rows of spans, dealt by document; kind 0 repeats, 1 is open.
 
-    exact says that equal keys mean equal strings, so nothing stays open.
-    """
+def repeated_grams(docs: DataFrame, n_parts: int, told_apart: bool) -> DataFrame:
+    """Packed spans of the runs whose gram's hash occurs more than once."""
 
-    def run(batches):
-        split = restore(splitters)
-        rows = [r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        for part in sorted({p for p, _ in rows}):
-            key, span, doc, crc, at, more = loosened([b for p, b in rows if p == part], SUFFIX)
-            order = multikey_order([key, span, doc, crc, at])
-            key, span, doc, crc, at, more = (x[order] for x in (key, span, doc, crc, at, more))
-            n = len(key)
-            same_key, repeats = np.zeros(n, bool), np.zeros(n, bool)
-            same_key[1:] = key[1:] == key[:-1]
-            repeats[1:] = same_key[1:] & (span[1:] == span[:-1])
-            own = np.zeros(n, bool)  # repeated rows of a table are one suffix, not its repetition
-            own[1:] = repeats[1:] & (doc[1:] == doc[:-1]) & (crc[1:] == crc[:-1]) & (at[1:] == at[:-1])
-            begins = ~repeats
-            # rows equal to the bucket's first row of their content, down to the place, stand with it
-            leader = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
-            firsts = (doc == doc[leader]) & (crc == crc[leader]) & (at == at[leader])
-            repeats &= ~firsts
-            below = split.rows[part - 1 : part] if 0 < part <= len(split.rows) else split.rows[:0]
-            if len(below):  # compare across the boundary: the splitter is the last suffix of the bucket before
-                s = below[0]
-                after = (doc > s["doc"]) | ((doc == s["doc"]) & ((crc > s["crc"]) | ((crc == s["crc"]) & (at > s["at"]))))
-                repeats |= (key == s["key"]) & (span == s["span"]) & after
-            keep = ~own
-            spans = lambda pick: (doc[pick], crc[pick], at[pick], at[pick] + more[pick])  # noqa: E731, B023
-            hit = np.flatnonzero(repeats & keep)
-            yield batch_of(((0, p, b) for p, b in pack(doc_part(doc[hit], n_parts), n_parts, *spans(hit))), ("kind", "part", "body"))
-            if not exact:
-                # a gram seen in other surroundings, or next to a boundary, can repeat in part
-                run_of = np.cumsum(~same_key) - 1
-                kinds = np.bincount(run_of, weights=begins) if n else np.zeros(0)
-                edge = np.isin(key, split.rows["key"][max(0, part - 1) : part + 1])
-                hit = np.flatnonzero(~repeats & keep & ((kinds[run_of] > 1) | edge)) if n else np.zeros(0, int)
-                yield batch_of(((1, p, b) for p, b in pack(doc_part(doc[hit], n_parts), n_parts, *spans(hit))), ("kind", "part", "body"))
-
-    return blocks.repartitionById(n_parts, "part").mapInArrow(run, "kind int, part int, body binary")
+    def deal(batches):
+        for batch in batches:
+            for piece in slices(batch, 1 << 20):
+                body, offsets = utf8(piece.column(1))
+                docs_, crcs = doc_keys(piece.column(0)), checksums(body, offsets, told_apart)
+                for part, bounds, base in segments(body, offsets):
+                    owner, first, more, _, key = anchored(part, bounds)
+                    doc, crc, at = docs_[owner], crcs[owner], (first - bounds[owner] + base).astype(np.uint32)
+                    _, one, label, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                    known = count[label] > 1
+                    yield spans_batch(n_parts, doc[known], crc[known], at[known], at[known] + more[known])
+                    flag = more[one] | (known[one] << 7).astype(np.uint8)
+                    yield batch_of(COMPARE, pack(hash_part(key[one], n_parts), n_parts, key[one], doc[one], crc[one], at[one], flag))
+
+    def count(batches):
+        held, passed = by_part(batches)
+        yield given_back(passed)
+        for part in sorted(held):
+            key, doc, crc, at, flag = loosened(held.pop(part), KEYS)
+            order = np.argsort(key, kind="stable")
+            same = key[order][1:] == key[order][:-1]
+            again = np.zeros(len(key), bool)
+            again[order[1:][same]] = True
+            again[order[:-1][same]] = True
+            pick = again & (flag < 128)
+            yield spans_batch(n_parts, doc[pick], crc[pick], at[pick], at[pick] + flag[pick])
+
+    return map_texts(map_texts(docs, deal, PACKED).repartitionById(n_parts, "part"), count, PACKED)
 
 
 def per_document(spans: DataFrame, n_parts: int) -> DataFrame:
-    """(doc_id, crc, spans): merged spans of window starts of each document, as int64 pairs (first, last)."""
+    """(doc, crc, spans): merged spans of window starts of each document, as int64 pairs (first, last)."""
 
     def run(batches):
         import pyarrow as pa
 
         doc, crc, a, b = loosened([x for batch in batches for x in batch.column(1).to_pylist()], SPAN)
-        order = np.lexsort((b, a, crc, doc))
-        doc, crc, a, b = doc[order], crc[order], a[order].astype(np.int64), b[order].astype(np.int64)
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])
-        ends = np.append(np.flatnonzero(new)[1:], len(doc))
-        out = []
-        for s, e in zip(np.flatnonzero(new).tolist(), ends.tolist() if len(doc) else [], strict=True):
-            reach = np.maximum.accumulate(b[s:e])
-            cutting = np.ones(e - s, bool)
-            cutting[1:] = a[s + 1 : e] > reach[:-1] + 1
-            first = np.flatnonzero(cutting)
-            out.append((int(doc[s]), int(crc[s]), np.stack([a[s:e][first], reach[np.append(first[1:], e - s) - 1]], 1).tobytes()))
-        for i in range(0, len(out), 5000):
-            part = list(zip(*out[i : i + 5000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.binary())], ["doc", "crc", "spans"])
-
-    return spans.select("part", "body").repartitionById(n_parts, "part").mapInArrow(run, "doc long, crc long, spans binary")
+        doc, crc, a, b, new = merged(doc, crc, a, b)
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(doc)) if len(starts) else starts
+        pairs = np.stack([a, b], 1)
+        for i in range(0, len(starts), 5000):
+            s, e = starts[i : i + 5000].tolist(), ends[i : i + 5000].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(doc[s], pa.int64()), pa.array(crc[s].astype(np.int64)), pa.array([pairs[x:y].tobytes() for x, y in zip(s, e, strict=True)], pa.binary())], ["doc", "crc", "spans"])
+
+    return map_texts(spans.select("part", "body").repartitionById(n_parts, "part"), run, "doc long, crc long, spans binary")
 
 
 def compressed(docs: DataFrame, told_apart: bool) -> DataFrame:
@@ -320,25 +388,29 @@ def compressed(docs: DataFrame, told_apart: bool) -> DataFrame:
     return map_texts(docs, run, "doc_id long, doc long, crc long, z binary")
 
 
-def open_windows(docs: DataFrame, unsettled: DataFrame, n_parts: int, splitters: dict) -> DataFrame:
-    """Every window of the open runs, dealt to its bucket."""
-    rows = docs.select("doc", "crc", "z").join(unsettled, ["doc", "crc"])
+def suffixes(rows: DataFrame, n_parts: int, sample: list[tuple[bytes, int]]) -> DataFrame:
+    """The suffixes of the given spans of (doc, crc, z, spans), dealt to their buckets; runs equal to an earlier one of the slice become spans at once."""
 
     def run(batches):
         import zstandard
 
-        split, unzip = restore(splitters), zstandard.ZstdDecompressor().decompress
-        held: list[tuple] = []  # (doc, crc, first window, bytes) of open stretches
+        split, unzip = Splitters(sample, n_parts), zstandard.ZstdDecompressor().decompress
+        held: list[tuple] = []  # (doc, crc, first window, bytes) of stretches of text
 
         def flush():
             size = np.array([len(x[3]) for x in held], np.int64)
-            whole = gram_hashes(np.frombuffer(b"".join(x[3] for x in held), np.uint8))[1]
-            p, owner = windows(np.concatenate([[0], np.cumsum(size)]))
+            bounds = np.concatenate([[0], np.cumsum(size)])
+            body = np.frombuffer(b"".join(x[3] for x in held), np.uint8)
+            owner, first, more, anchor, _ = anchored(body, bounds)
             doc, crc = np.array([x[0] for x in held], np.int64)[owner], np.array([x[1] for x in held], np.uint32)[owner]
-            at = p - (np.cumsum(size) - size)[owner] + np.array([x[2] for x in held], np.int64)[owner]
+            at = (first - bounds[owner] + np.array([x[2] for x in held], np.int64)[owner]).astype(np.uint32)
             held.clear()
-            key = whole[p]
-            return batch_of(pack(split.part(key, doc), n_parts, key, np.zeros(len(key), np.uint64), doc, crc, at.astype(np.uint32), np.zeros(len(key), np.uint8)))
+            content, back = contents(body, first, more, anchor), (anchor - first).astype(np.uint8)
+            stays = firsts(same_content(np.column_stack([content, back, more])), doc, crc, at)
+            again = ~stays
+            yield spans_batch(n_parts, doc[again], crc[again], at[again], at[again] + more[again])
+            part = split.part(content[stays][:, LEFT : LEFT + GRAM], doc[stays])
+            yield batch_of(COMPARE, pack(part, n_parts, content[stays].view(RUN[0]).ravel(), back[stays], more[stays], doc[stays], crc[stays], at[stays]))
 
         size = 0
         for batch in batches:
@@ -349,12 +421,84 @@ def open_windows(docs: DataFrame, unsettled: DataFrame, n_parts: int, splitters:
                         held.append((doc, crc, first, text[first : min(b + 1, first + (1 << 20)) + LENGTH - 1]))
                         size += len(held[-1][3])
                         if size >= 1 << 20:
-                            yield flush()
+                            yield from flush()
                             size = 0
         if held:
-            yield flush()
+            yield from flush()
+
+    return map_texts(rows.select("doc", "crc", "z", "spans"), run, PACKED)
+
+
+def sorted_buckets(dealt: DataFrame, n_parts: int, sample: list[tuple[bytes, int]]) -> DataFrame:
+    """Sort each bucket and compare neighbours: packed spans that repeat, and the windows that must be compared across buckets."""
+
+    def run(batches):
+        split = Splitters(sample, n_parts)
+        held, passed = by_part(batches)
+        yield given_back(passed)
+        for part in sorted(held):
+            content, back, more, doc, crc, at = loosened(held.pop(part), RUN)
+            content = content.view(np.uint8).reshape(-1, WIDTH)
+            right, left = big_endian(content[:, LEFT:]), big_endian(content[:, :LEFT])
+            order = multikey_quicksort([*right.T, *left.T, back, more, doc, crc, at])
+            del right, left
+            content, back, more, doc, crc, at = (x[order] for x in (content, back, more, doc, crc, at))
+            same = (content[1:] == content[:-1]).all(1) & (back[1:] == back[:-1]) & (more[1:] == more[:-1])
+            again = np.append(False, same)[: len(doc)]
+            yield spans_batch(n_parts, doc[again], crc[again], at[again], at[again] + more[again])
+            content, back, more, doc, crc, at = (x[~again] for x in (content, back, more, doc, crc, at))
+            gram = content[:, LEFT : LEFT + GRAM]
+            new = np.append(True, (gram[1:] != gram[:-1]).any(1))[: len(doc)]
+            group = np.cumsum(new) - 1
+            edge = np.zeros(len(doc), bool)
+            for g in split.edges(part):
+                edge |= (gram == np.frombuffer(g, np.uint8)).all(1)
+            pick = np.flatnonzero((np.bincount(group)[group] > 1) | edge) if len(doc) else np.zeros(0, int)
+            # windows at one distance from the anchor are compared with each other; a stretch of whole groups at a time
+            begin = 0
+            while begin < len(pick):
+                end = int(np.searchsorted(group[pick], group[pick[min(begin + 4096, len(pick)) - 1]], "right"))
+                rows, hits, apart = pick[begin:end], [], []
+                for r in range(-LEFT, 1):
+                    mine = rows[(-r <= back[rows].astype(int)) & (r <= more[rows].astype(int) - back[rows])]
+                    if len(mine):
+                        window = np.ascontiguousarray(content[mine, LEFT + r : LEFT + r + LENGTH])
+                        stays = firsts(same_content(window), doc[mine], crc[mine], at[mine])
+                        place = (at[mine].astype(np.int64) + back[mine] + r).astype(np.uint32)
+                        hits.append((mine[~stays], place[~stays]))
+                        out = stays & edge[mine]
+                        apart.append((window[out].view(WINDOW[0]).ravel(), doc[mine[out]], crc[mine[out]], place[out]))
+                row, place = (np.concatenate([h[k] for h in hits]) for k in (0, 1))
+                yield spans_batch(n_parts, doc[row], crc[row], place, place)
+                window, d, c, p = (np.concatenate([x[k] for x in apart]) for k in range(4))
+                yield batch_of(COMPARE, pack(np.zeros(len(d), np.int64), 1, window, d, c, p))
+                begin = end
+
+    return map_texts(dealt.repartitionById(n_parts, "part"), run, PACKED)
+
+
+def across_buckets(compared: DataFrame, n_parts: int) -> DataFrame:
+    """Packed spans of the windows that are not the first of their content among those that buckets could not decide alone."""
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for body in batch.column(2).to_pylist():
+                window, doc, crc, at = loosened([body], WINDOW)
+                for i in range(0, len(doc), 10_000):
+                    part = slice(i, i + 10_000)
+                    yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in window[part]], pa.binary()), pa.array(doc[part]), pa.array(crc[part].astype(np.int64)), pa.array(at[part].astype(np.int64))], ["w", "doc", "crc", "at"])
+
+    def packed(batches):
+        for batch in batches:
+            doc, crc, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            yield spans_batch(n_parts, doc, crc.astype(np.uint32), at, at)
 
-    return map_texts(rows.select("doc", "crc", "z", "spans"), run, "part int, body binary")
+    found = map_texts(compared, rows, "w binary, doc long, crc long, at long")
+    place = F.struct("doc", "crc", "at")
+    first = found.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("w", "first")
+    return map_texts(found.join(first, "w").filter(place != F.col("first")).select("doc", "crc", "at"), packed, PACKED)
 
 
 def cut_out(text: bytes, pairs: np.ndarray) -> tuple[bytes, int, int]:
@@ -380,11 +524,13 @@ def ids_differ(docs: DataFrame) -> bool:
 def repeated_spans(docs: DataFrame, told_apart: bool) -> DataFrame:
     """(doc, crc, spans) of every document with repeated windows."""
     n_parts = partitions(docs.sparkSession)
-    one, two = (vars(s) for s in sample_splitters(docs, n_parts, told_apart))
-    first = cut(settle(suffix_blocks(docs, n_parts, one, told_apart), n_parts, one, False))
-    unsettled = per_document(first.filter("kind = 1"), n_parts)
-    second = settle(open_windows(compressed(docs, told_apart), unsettled, n_parts, two), n_parts, two, True)
-    return per_document(first.filter("kind = 0").unionByName(second), n_parts)
+    sample = sample_splitters(docs, n_parts)
+    wanted = per_document(repeated_grams(docs, n_parts, told_apart), n_parts)
+    # rows that repeat id and text are one document
+    rows = compressed(docs, told_apart).select("doc", "crc", "z").dropDuplicates(["doc", "crc"]).join(wanted, ["doc", "crc"])
+    done = cut(sorted_buckets(suffixes(rows, n_parts, sample), n_parts, sample))
+    spans = done.filter(F.col("kind") == SPANS).unionByName(across_buckets(done.filter(F.col("kind") == COMPARE), n_parts))
+    return per_document(spans, n_parts)
 
 
 def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
