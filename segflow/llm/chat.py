@@ -10,7 +10,8 @@ reading is exact; a newline in a role is written "\\n".  Loss spans cover the es
 
 One row per turn goes out, sorted by conversation, turn, role and text, so a conversation of any length streams through.
 Nulls: a null text or part list is empty, a null role is an empty role, a null conv_id is a conversation of its own, a
-null turn sorts first.  Ties in turn are ordered by role, then text.  Repeated rows are turns of their own.
+null turn sorts first.  Ties in turn are ordered by role, then text.  Repeated rows are turns of their own.  A text of any length is one turn.  Empty tables give
+empty results; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 START, END = "<|im_start|>", "<|im_end|>"
 PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
 #: Tokens a part stands for once a model expands it: per 14 x 14 pixel patch, per second and per page.
@@ -76,7 +79,7 @@ def text_parts(text):
 def format_turns(turns: DataFrame) -> DataFrame:
     """One formatted row per turn of (conv_id, turn, role, parts), in order within each conversation; seq numbers its turns."""
     rows = turns.select("conv_id", "turn", "role", F.col("parts").cast(PARTS).alias("parts"))
-    rows = rows.withColumn("_order", F.to_json("parts")).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "_order")
+    rows = rows.withColumn("_order", F.to_json("parts")).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "_order").drop("_order")
 
     def run(batches):
         import pyarrow as pa
@@ -93,7 +96,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return rows.mapInArrow(run, FORMATTED)
+    return map_texts(rows, run, FORMATTED)
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
@@ -143,7 +146,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             close(state)
         yield flush()
 
-    return rows.mapInArrow(run, DIGEST)
+    return map_texts(rows, run, DIGEST)
 
 
 def probe_rows(spark: SparkSession) -> DataFrame:
