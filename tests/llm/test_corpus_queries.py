@@ -1,11 +1,9 @@
-"""Registered corpus queries against their SQL, and the pipeline stage by stage against plain versions."""
+"""Registered corpus queries against their SQL."""
 
 from pathlib import Path
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
-from segflow.llm import decontaminate, mixing, ngramjoin, quality
 from segflow.llm.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -24,34 +22,3 @@ def test_matches_sql(spark, name):
     columns = sorted(df.columns)
     got = sorted(normal(r) for r in df.select(*columns).collect())
     assert got == sorted(normal(r) for r in con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall())
-
-
-def test_pipeline_stages(spark, tmp_path):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    names = [n for n, _ in pipeline.STAGES]
-    out = {}
-    for name, stage in pipeline.STAGES:
-        stage(spark, docs, DATA).write.parquet(str(tmp_path / name))
-        after = spark.read.parquet(str(tmp_path / name))
-        out[name] = (docs, after)
-        if name != names[-1]:
-            assert after.schema.simpleString() == docs.schema.simpleString()
-        docs = after
-    before, after = out["quality_classifier"]
-    scored = quality.score(before, quality.fit(before, spark.read.parquet(f"{DATA}/labels.parquet")))
-    assert after.count() == scored.filter("score >= 0.3").count() < before.count()
-    before, after = out["near_copies"]
-    stays = ngramjoin.jaccard_components(before).filter("doc_id = component_id")
-    assert sorted(r[0] for r in after.select("doc_id").collect()) == sorted(r[0] for r in stays.select("doc_id").collect())
-    before, after = out["decontamination"]
-    leaked = {r["doc_id"] for r in decontaminate.leaks(before, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
-    assert sorted(r[0] for r in after.select("doc_id").collect()) == sorted(r[0] for r in before.select("doc_id").collect() if r[0] not in leaked)
-    before, after = out["source_mix"]
-    taken = {r["doc_id"]: r["taken"] for r in mixing.mix_counts(before).collect() if r["taken"]}
-    words = F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "))
-    assert {r[0]: r[1] for r in after.groupBy("doc_id").agg(F.sum(words)).collect()} == taken
-    before, after = out["token_shards"]
-    assert after.count() == before.count()
-    run = pipeline.run(spark, DATA)
-    assert sorted(map(tuple, run.collect())) == sorted(map(tuple, after.collect()))

@@ -79,13 +79,41 @@ def test_features_match_plain_counts(spark):
 
 
 def test_order_does_not_change_the_verdict(spark):
-    rows = rules.with_features(docs(spark, [(1, "word " * 60, "s"), (2, " ".join(f"w{i}" for i in range(80)), "s"), (3, "#$% " * 60, "s")]))
-    a = rules.cascade(rows, list(rules.RULES)).select("doc_id", "kept").collect()
-    b = rules.cascade(rows, list(reversed(rules.RULES))).select("doc_id", "kept").collect()
-    assert sorted(a) == sorted(b) == [(1, False), (2, True), (3, False)]
+    words = lambda k: " ".join(f"w{i}" for i in range(k))
+    lines = "\n".join(f"{words(9)} {i}..." for i in range(9))
+    rows = docs(spark, [(1, "word " * 60, "s"), (2, words(80), "s"), (3, "#$% " * 60, "s"), (4, " ".join(str(1000 + i) for i in range(90)), "s"), (5, lines, "s"), (6, "a b c d e f g h i j k " * 3 + words(60), "s")])
+    rows = rows.withColumn("kept", F.lit("mine")).withColumn("words", F.lit("own")).withColumn("base", F.lit("own")).withColumn("verdict", F.lit("own")).withColumn("row", F.lit("own"))
+    for order in (rules.RULES, rules.RULES[::-1]):
+        out = rules.cascade(rules.Measured(rows, "text"), list(order))
+        assert sorted((r["doc_id"], r["kept"]) for r in out.collect()) == [(1, False), (2, True), (3, False), (4, False), (5, False), (6, True)]
+        assert out.filter("words = 'own' AND base = 'own' AND verdict = 'own' AND row = 'own' AND size = 1").count() == 6
     assert rules.quality_rules(docs(spark, [])).count() == 0
 
 
+def test_rejected_rows_pay_for_no_later_rule(spark):
+    # the last rule's measure fails when it is evaluated
+    bomb = rules.Rule("bomb", lambda t, w, m: F.raise_error(F.concat(F.lit("measured "), F.size(w).cast("string"))).cast("boolean"))
+    rejects = rules.Rule("rejects", lambda t, w, m: F.size(F.filter(w, lambda x: x == "bad")) > 0)
+    rows = docs(spark, [(1, "bad " + " ".join(f"w{i}" for i in range(80)), "s"), (2, "bad", "s")])
+    order = [*(r for r in rules.RULES if r.base), rejects, bomb]
+    out = rules.cascade(rules.Measured(rows, "text"), order).collect()
+    assert sorted((r["doc_id"], r["failed_rule"]) for r in out) == [(1, "rejects"), (2, "too_short")]
+    alive = docs(spark, [(3, " ".join(f"w{i}" for i in range(80)), "s")])
+    with pytest.raises(Exception, match="measured 80"):
+        rules.cascade(rules.Measured(alive, "text"), order).collect()
+
+
+def test_rules_are_ordered_by_rejections_per_cost(spark):
+    slow = rules.Rule("slow", lambda t, w, m: F.size(F.array_sort(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: w)))) > 10**6)
+    never = rules.Rule("never", lambda t, w, m: F.size(w) < 0)
+    often = rules.Rule("often", lambda t, w, m: F.element_at(w, 1) == "a")
+    rows = docs(spark, [(i, ("a " if i % 2 else "b ") + " ".join(f"w{k}" for k in range(60)), "s") for i in range(200)])
+    found = rules.order_rules(rows, (slow, never, often, rules.RULES[0]), fraction=1.0)
+    assert [r.name for r, _, _ in found][:2] == ["too_short", "often"]
+    assert {r.name: share for r, _, share in found} == {"too_short": 0, "often": 0.5, "never": 0, "slow": 0}
+    assert {r.name: s for r, s, _ in found}["slow"] > {r.name: s for r, s, _ in found}["often"]
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 
@@ -135,6 +163,33 @@ def test_schedule_interleaves_sources(spark):
         assert abs(sum(slots[:k]) - share * k) < 4
 
 
+def test_mixed_documents_interleave(spark, tmp_path):
+    rows = [(i, "w " * 40, "ab"[i % 2]) for i in range(300)]
+    mixing.mixed_documents(docs(spark, rows).repartition(5), block_words=40).write.parquet(str(tmp_path / "mix"))
+    out = spark.read.parquet(str(tmp_path / "mix")).select("source", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index")
+    got = [r["source"] for r in out.collect()]
+    share = got.count("a") / len(got)
+    assert 0.3 < share < 0.8
+    for k in range(20, len(got) + 1, 20):
+        assert abs(got[:k].count("a") - share * k) < 5
+
+
+def test_many_sources_leave_few_blocks_without_a_slot(spark):
+    rows = [(i, "w " * (1 + i * 37 % 90), f"s{i % 300:03d}") for i in range(1500)]
+    documents, pieces = mixing.mix_schedule(docs(spark, rows), block_words=4)
+    slots = pieces.select("slot", "source_no", "block").distinct().collect()
+    assert sorted(r["slot"] for r in slots) == list(range(len(slots)))
+    out = mixing.mix_counts(docs(spark, rows), block_words=4).groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).collect()
+    assert len(out) == 300 and all(abs(r["n"] - r["t"]) <= 1 for r in out)
+
+
+def test_ties_in_the_mix_go_by_all_columns(spark):
+    rows = spark.createDataFrame([(1, "a b c d", "s", k) for k in range(6)] + [(2, "e f", "t", 0)], "doc_id long, text string, source string, other int")
+    first = sorted(map(tuple, mixing.mixed_documents(rows, share=0.7).collect()))
+    for n in (1, 3):
+        assert sorted(map(tuple, mixing.mixed_documents(rows.repartition(n).orderBy(F.rand(n)), share=0.7).collect())) == first
+
+
 def test_mixed_documents(spark):
     rows = [(1, "a b c d", "s"), (1, "a b c d", "s"), (2, "e\nf", "t"), (3, None, "t"), (4, "", None)]
     df = docs(spark, rows).withColumn("n_chars", F.length("text"))
@@ -171,6 +226,32 @@ def test_lines_on_many_sites_go(spark):
     assert linededup.drop_widespread_lines(docs(spark, [])).count() == 0
 
 
+def test_only_sketches_move_before_the_estimate(spark):
+    rows = docs(spark, [(i, f"a line that is long enough {i % 3}\nanother line that is long enough", f"s{i % 9}") for i in range(40)])
+    plan = linededup.sketches(rows, "text", "source", 20, 12)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "site" not in plan.split("Exchange hashpartitioning")[1].split(")")[0]
+    assert "partial_hll_sketch_agg(site" in plan
+    assert sorted(r["sites"] for r in linededup.sketches(rows, "text", "source", 20, 12).collect()) == [3, 3, 3, 9]
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    line = "this line is on many sites"
+    rows = spark.createDataFrame([(i, f"own\n{line}", f"s{i}", f"k{i}") for i in range(9)], "doc_id long, text string, source string, key string")
+    for c in ("of", "row", "check", "held", "_h", "_c", "_gone", "_kept", "line", "site"):
+        rows = rows.withColumn(c, F.concat(F.lit(c), F.col("doc_id")))
+    out = linededup.drop_widespread_lines(rows.withColumn("n_lines", F.lit("old")))
+    assert out.filter("text = 'own' AND n_lines = 2 AND n_removed = 1").count() == 9
+    for c in ("of", "row", "check", "held", "_h", "_c", "_gone", "_kept", "line", "site"):
+        assert out.filter(F.col(c) == F.concat(F.lit(c), F.col("doc_id"))).count() == 9
+
+
+def test_long_texts_of_many_lines(spark):
+    line = "this line is on many sites"
+    long = "\n".join(x for i in range(20_000) for x in (f"own {i}", line))
+    out = linededup.drop_widespread_lines(docs(spark, [(0, long, "s0")] + [(i, line, f"s{i}") for i in range(1, 9)])).filter("doc_id = 0").first()
+    assert (out["n_lines"], out["n_removed"]) == (40_000, 20_000) and out["text"] == "\n".join(f"own {i}" for i in range(20_000))
+
+
 # --- decontamination ---------------------------------------------------------------------------------------------------
 
 
@@ -206,8 +287,11 @@ def test_leaks_match_brute_force(spark):
     for d, t, _ in rows:
         for k, item in enumerate(items):
             m = decontaminate.normal(item)
-            if len(m) >= 30 and t and (e := edit_distance_in(m, decontaminate.normal(t))) <= int(0.08 * len(m)):
+            n = decontaminate.normal(t)
+            if len(m) >= 30 and t and (e := edit_distance_in(m, n)) <= int(0.08 * len(m)):
                 want.append((d, k, e))
+            elif 0 < len(m) < 30 and f" {m} " in f" {n} ":
+                want.append((d, k, 0))
     for block in (100, 10**6):
         got = sorted((r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.leaks(docs(spark, rows), bench, block_chars=block).collect())
         assert got == sorted(want)
@@ -216,3 +300,14 @@ def test_leaks_match_brute_force(spark):
     assert kept.columns == docs(spark, []).columns
     assert decontaminate.leaks(docs(spark, rows), bench.limit(0)).count() == 0
     assert decontaminate.leaks(docs(spark, []), bench).count() == 0
+
+
+def test_short_items_and_null_ids(spark):
+    rows = docs(spark, [(1, "We ask: what is 6 x 7? Nobody knew.", "s"), (2, "what is 6 x 71", "s"), (3, "somewhat is 6 x 7", "s"), (4, "what, is; 6 X 7!", "s"), (None, "what is 6 x 7", "s"), (5, "a" * 200_000 + " what is 6 x 7", "s")])
+    bench = spark.createDataFrame([(1, "What is 6 x 7?"), (None, "what is 6 x 7"), (None, None), (2, "?!")], "item_id long, text string")
+    got = decontaminate.leaks(rows, bench)
+    assert sorted(((r["doc_id"], r["item_id"], r["edits"]) for r in got.collect()), key=str) == sorted(((d, i, 0) for d in (1, 4, None, 5) for i in (1, None)), key=str)
+    assert sorted(r["doc_id"] for r in decontaminate.clean_documents(rows, bench).collect()) == [2, 3]
+    for block in (10, 20):  # several blocks, written one after the other
+        assert sorted(r["doc_id"] for r in decontaminate.clean_documents(rows, bench, block_chars=block).collect()) == [2, 3]
+        assert decontaminate.leaks(rows, bench, block_chars=block).count() == 8

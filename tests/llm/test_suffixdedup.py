@@ -81,8 +81,36 @@ def test_empty_table(spark):
     assert run(spark, []) == []
 
 
-def test_multikey_order_is_lexicographic():
+def test_multikey_quicksort_is_lexicographic():
     rng = np.random.default_rng(0)
-    keys = [rng.integers(0, 4, 500) for _ in range(4)]
-    order = suffixdedup.multikey_order(keys)
-    assert (order == np.lexsort(keys[::-1])).all() or all((k[order] == k[np.lexsort(keys[::-1])]).all() for k in keys)
+    for n in (0, 1, 2, 500, 6000):
+        keys = [rng.integers(0, 4, n) for _ in range(6)]
+        for small in (1, 64, 1024):
+            order = suffixdedup.multikey_quicksort(keys, small)
+            assert sorted(order.tolist()) == list(range(n))
+            assert all((k[order] == k[np.lexsort(keys[::-1])]).all() for k in keys)
+
+
+def test_equal_hashes_remove_nothing_wrong(spark, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "content_hash", lambda rows: np.zeros(len(rows), np.uint64))
+    rows = corpus(3, 60)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_equal_gram_hashes_remove_nothing_wrong(spark, monkeypatch):
+    # all grams have one of four hashes, so every suffix is compared
+    real = suffixdedup.gram_hashes
+    monkeypatch.setattr(suffixdedup, "gram_hashes", lambda body: real(body) & np.uint64(3 << 60))
+    rows = corpus(4, 40)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_long_texts_go_in_stretches(spark):
+    rng = random.Random(5)
+    own = "".join(rng.choice("abcdefghij klmno") for _ in range(3 << 20))
+    passage = "".join(rng.choice("pqrst uvwxyz") for _ in range(150))
+    cut = (2 << 20) - 70  # a passage over the end of a stretch
+    long = own[:cut] + passage + own[cut:]
+    rows = [(1, passage), (2, long), (3, own[1_000_000:1_000_300]), (4, long[-(1 << 20) - 60 :])]
+    got = {r[0]: r[1:4] for r in run(spark, rows)}
+    assert got == {1: (150, 0, 0), 2: (len(long), 150, 1), 3: (300, 300, 1), 4: (len(rows[3][1]), len(rows[3][1]), 1)}
