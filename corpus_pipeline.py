@@ -1,7 +1,12 @@
 """Training-corpus pipeline: filter by quality, drop near copies, drop benchmark leaks, mix sources, write token shards.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read as the next one's docs.
-All but the last return the columns of `documents`.
+All but the last return the columns of `documents`, and further columns of docs with them, whatever their names.
+
+Nulls, blank and long texts, repeated rows and empty tables (details in each operator's module): the classifier scores a null or blank text like any
+other; near copies never include a document without words, and of rows with equal id and text one stays; a null or blank text leaks nothing; the mix takes
+nothing of a text without words, so such documents end there; a null source is a source of its own.  The token stage keeps every row it gets.  Whole texts are
+worked on throughout, and an empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -12,12 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segflow.llm import quality
-from segflow.llm.common import cut, shared_dir, table
+from segflow.llm.common import fresh, remove, shared_dir, table
 from segflow.llm.decontaminate import clean_documents
 from segflow.llm.mixing import mixed_documents
 from segflow.llm.ngramjoin import one_of_each_group
-from segflow.llm.queries import tokens_written
-from segflow.llm.tokenbin import decode_documents, with_starts
+from segflow.llm.queries import tokens_read_back
 
 LEAST_SCORE = 0.3
 
@@ -25,7 +29,8 @@ LEAST_SCORE = 0.3
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, scores at LEAST_SCORE or more."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).filter(F.col("score") >= LEAST_SCORE).select(*docs.columns)
+    score = fresh(docs, "score")
+    return quality.score(docs, model, name=score).filter(F.col(score) >= LEAST_SCORE).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,25 +44,30 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them."""
+    """The documents as often as the mix takes them, in the order of the mix."""
     return mixed_documents(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards of the mix, read back: doc_id, start, n_tokens and ids_crc32 of every row."""
-    return with_starts(cut(decode_documents(tokens_written(docs))))
+    """Token shards of the mix in its order (that of the files and rows that docs is read from), read back: doc_id, start, n_tokens and ids_crc32 of every row."""
+    file, row = fresh(docs, "file"), fresh(docs, "row")
+    placed = docs.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    return tokens_read_back(placed, order=(file, row))
 
 
 STAGES = [("quality_classifier", keep_quality), ("near_copies", drop_near_copies), ("decontamination", drop_leaks), ("source_mix", mix_sources), ("token_shards", write_tokens)]
 
-#: SQL can't express the classifier, the edit matching or the tokenizer; tests compare each stage with a brute-force version.
+#: SQL can't express the classifier, the edit matching or the tokenizer; the tests compare each stage with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage.  The tables between the stages go to a new folder of the shared one, which is removed at the end."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, folder)
+    return out
