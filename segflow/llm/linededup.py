@@ -37,13 +37,24 @@ def sketches(docs: DataFrame, text: str, site: str, least: int, lg_k: int) -> Da
     return lines(docs, text, site, least).groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"))
 
 
+#: Lines (eight bytes each) that may go to every executor; more are joined by a shuffle.
+FEW_LINES = 500_000
+
+
+def few(found: DataFrame) -> bool:
+    """Whether a written table of lines is small enough to broadcast."""
+    return found.count() <= FEW_LINES
+
+
 def widespread(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 8, least: int = 20, lg_k: int = 12, band: float = 0.25) -> DataFrame:
     """(line, sites): hashes of lines on at least min_sites sites; sites is exact inside the band and estimated above it."""
     spread = cut(sketches(docs, text, site, least, lg_k).filter(F.col("sites") >= min_sites * (1 - band)))
     far = spread.filter(F.col("sites") > min_sites * (1 + band))
     near = spread.filter(F.col("sites") <= min_sites * (1 + band)).select("line")
     # pairs are made distinct in each task before they move, so a line that is everywhere sends few rows
-    pairs = lines(docs, text, site, least).join(near, "line", "left_semi").groupBy("line", "site").agg(F.lit(1))
+    every = lines(docs, text, site, least)
+    distinct = lambda rows: rows.groupBy("line", "site").agg(F.lit(1))
+    pairs = distinct(every.join(F.broadcast(near), "line", "left_semi")) if few(near) else distinct(every).join(near, "line", "left_semi")
     exact = pairs.groupBy("line").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
     return far.unionByName(exact)
 
@@ -56,7 +67,7 @@ def drop_widespread_lines(docs: DataFrame, text: str = "text", site: str = "sour
     whole = docs.select(F.col(text).alias(of), whole_row(docs).alias(row))
     keyed = whole.select(row_hash(docs, row).alias(key), row_hash(docs, row, F.hash).alias(check), of, row)
     each = keyed.select(key, check, F.explode(F.array_distinct(F.transform(F.filter(F.split(of, "\n"), lambda x: counts(x, least)), line_key))).alias("line"))
-    found = each.join(gone, "line").groupBy(key, check).agg(F.collect_set("line").alias(held))
+    found = each.join(F.broadcast(gone) if few(gone) else gone, "line").groupBy(key, check).agg(F.collect_set("line").alias(held))
     joined = keyed.join(found, [key, check], "left")
     split = F.split(F.col(of), "\n")
     stay = F.when(F.col(held).isNull(), split).otherwise(F.filter(split, lambda x: ~(F.array_contains(held, line_key(x)) & counts(x, least))))

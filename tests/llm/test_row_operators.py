@@ -245,6 +245,14 @@ def test_line_dedup_keeps_clashing_columns(spark):
         assert out.filter(F.col(c) == F.concat(F.lit(c), F.col("doc_id"))).count() == 9
 
 
+def test_many_lines_are_joined_by_a_shuffle(spark, monkeypatch):
+    rows = docs(spark, [(i, "\n".join(f"line number {k} on many sites" for k in range(i % 4, 12)), f"s{i}") for i in range(9)])
+    want = sorted((r["doc_id"], r["n_removed"], r["text"]) for r in linededup.drop_widespread_lines(rows).collect())
+    monkeypatch.setattr(linededup, "FEW_LINES", 0)
+    assert sorted((r["doc_id"], r["n_removed"], r["text"]) for r in linededup.drop_widespread_lines(rows).collect()) == want
+    assert sum(n for _, n, _ in want) > 0
+
+
 def test_long_texts_of_many_lines(spark):
     line = "this line is on many sites"
     long = "\n".join(x for i in range(20_000) for x in (f"own {i}", line))
