@@ -281,6 +281,18 @@ def test_token_stage(spark, pipeline, folder, tmp_path):
     assert [tuple(r) for r in got] == want
 
 
+def test_token_stage_of_a_table_without_files(spark, pipeline, folder):
+    docs = spark.createDataFrame([(3, "c"), (1, "a b"), (None, None)], "doc_id long, text string")
+    got = dict(pipeline.STAGES)["token_shards"](spark, docs, folder).orderBy("start").collect()
+    assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in got] == [(None, 0, 1), (1, 1, 3), (3, 4, 2)]
+
+
+def test_stages_take_tables_that_are_not_read_from_files(spark, pipeline, folder):
+    docs = table(spark, corpus()[0])
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs, folder).count() > 0
+
+
 def test_empty_tables(spark, pipeline, folder, tmp_path):
     for name, _ in pipeline.STAGES:
         assert run(spark, pipeline, name, [], folder, tmp_path).count() == 0
