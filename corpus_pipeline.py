@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +50,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards of the mix in its order (that of the files and rows that docs is read from), read back: doc_id, start, n_tokens and ids_crc32 of every row."""
+    """Token shards of the mix in its order, read back: doc_id, start, n_tokens and ids_crc32 of every row.
+
+    The order is that of the files and rows that docs is read from; a table that is not read from files goes by doc_id.
+    """
     file, row = fresh(docs, "file"), fresh(docs, "row")
-    placed = docs.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    try:
+        placed = docs.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    except AnalysisException:
+        return tokens_read_back(docs)
     return tokens_read_back(placed, order=(file, row))
 
 
