@@ -471,7 +471,8 @@ def sorted_buckets(dealt: DataFrame, n_parts: int, sample: list[tuple[bytes, int
                 row, place = (np.concatenate([h[k] for h in hits]) for k in (0, 1))
                 yield spans_batch(n_parts, doc[row], crc[row], place, place)
                 window, d, c, p = (np.concatenate([x[k] for x in apart]) for k in range(4))
-                yield batch_of(COMPARE, pack(np.zeros(len(d), np.int64), 1, window, d, c, p))
+                dealt_by = hash_part(mix64(content_hash(window.view(np.uint8).reshape(-1, LENGTH))), n_parts)
+                yield batch_of(COMPARE, pack(dealt_by, n_parts, window, d, c, p))
                 begin = end
 
     return map_texts(dealt.repartitionById(n_parts, "part"), run, PACKED)
@@ -480,25 +481,14 @@ def sorted_buckets(dealt: DataFrame, n_parts: int, sample: list[tuple[bytes, int
 def across_buckets(compared: DataFrame, n_parts: int) -> DataFrame:
     """Packed spans of the windows that are not the first of their content among those that buckets could not decide alone."""
 
-    def rows(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for body in batch.column(2).to_pylist():
-                window, doc, crc, at = loosened([body], WINDOW)
-                for i in range(0, len(doc), 10_000):
-                    part = slice(i, i + 10_000)
-                    yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in window[part]], pa.binary()), pa.array(doc[part]), pa.array(crc[part].astype(np.int64)), pa.array(at[part].astype(np.int64))], ["w", "doc", "crc", "at"])
-
-    def packed(batches):
-        for batch in batches:
-            doc, crc, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            yield spans_batch(n_parts, doc, crc.astype(np.uint32), at, at)
+    def run(batches):
+        held, _ = by_part(batches)
+        for part in sorted(held):
+            window, doc, crc, at = loosened(held.pop(part), WINDOW)
+            again = ~firsts(same_content(window.view(np.uint8).reshape(-1, LENGTH)), doc, crc, at)
+            yield spans_batch(n_parts, doc[again], crc[again], at[again], at[again])
 
-    found = map_texts(compared, rows, "w binary, doc long, crc long, at long")
-    place = F.struct("doc", "crc", "at")
-    first = found.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("w", "first")
-    return map_texts(found.join(first, "w").filter(place != F.col("first")).select("doc", "crc", "at"), packed, PACKED)
+    return map_texts(compared.repartitionById(n_parts, "part"), run, PACKED)
 
 
 def cut_out(text: bytes, pairs: np.ndarray) -> tuple[bytes, int, int]:
