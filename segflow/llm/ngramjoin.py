@@ -332,11 +332,11 @@ def blocks_of(rows: DataFrame, keys: list[str], name: str, block_rows: int, bloc
     return rows.groupBy(*keys).agg(need.cast("int").alias(name))
 
 
-def links(groups: DataFrame, sets: DataFrame, percent: int, block_rows: int = 1000, block_entries: int = 2_000_000) -> DataFrame:
+def links(groups: DataFrame, sets: DataFrame, percent: int, block_rows: int = 2000, block_entries: int = 2_000_000) -> DataFrame:
     """(u, v): edges that connect what exact links connect, inside candidate groups (cls, grp) of sets (cls, n_shingles, body).
 
-    A group of one block is multiplied at once.  A larger one is dealt to blocks by size class and hash, twice over, each block with a few
-    rows of its own and the next smaller class that all blocks get; that connects what belongs together with work in proportion to the group's rows.
+    A group of one block is multiplied at once.  A larger one is dealt to blocks by size class and hash, each block with a few rows of its own and the next smaller
+    class that all blocks get; that connects what belongs together with work in proportion to the group's rows, and where much stays apart another deal follows.
     Only rows that are then outside their group's largest component meet all other rows of sizes that can match.
     """
     plan = groups.join(sets.select("cls", "n_shingles"), "cls")
@@ -349,26 +349,35 @@ def links(groups: DataFrame, sets: DataFrame, percent: int, block_rows: int = 10
     if not large.take(1):
         return edges
     large = cut(large.join(blocks_of(large, ["grp", "s"], "nb", block_rows, block_entries), ["grp", "s"]).select("cls", "grp", "s", "nb", "n_shingles"))
-    dealt = large.withColumn("deal", F.explode(F.array(F.lit(1), F.lit(2))))
-    dealt = dealt.select("cls", named("grp", "s", "deal", F.pmod(F.xxhash64("cls", "deal"), F.col("nb"))).alias("task"))
-    pivots = large.groupBy("grp", "s", F.pmod(F.xxhash64("cls"), F.lit(8))).agg(F.min("cls").alias("cls"))
     classes = large.select("grp", F.col("s").alias("t"), "nb").distinct()
-    pivots = pivots.join(classes, "grp").filter("t = s OR t = s + 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("deal", F.explode(F.array(F.lit(1), F.lit(2))))
-    pivots = pivots.select("cls", named("grp", "t", "deal", "i").alias("task"))
-    edges = cut(edges.unionByName(multiply(dealt.unionByName(pivots), sets, percent)))
-    # what is left: rows outside the largest component of their group
-    root = components(edges)
-    held = large.join(root.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    largest = held.groupBy("grp", "root").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
-    left = cut(held.join(largest, "grp").filter("root <> most").select("cls", "grp", "s", "n_shingles"))
+
+    def dealt(rows: DataFrame, deal: int) -> DataFrame:
+        own = rows.select("cls", named("grp", "s", F.pmod(F.xxhash64("cls", F.lit(deal)), F.col("nb"))).alias("task"))
+        pivots = rows.groupBy("grp", "s", F.pmod(F.xxhash64("cls", F.lit(deal)), F.lit(8))).agg(F.min("cls").alias("cls"))
+        pivots = pivots.join(classes, "grp").filter("t = s OR t = s + 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        return multiply(own.unionByName(pivots.select("cls", named("grp", "t", "i").alias("task"))), sets, percent)
+
+    def apart(edges: DataFrame) -> DataFrame:
+        """Rows outside the largest component of their group."""
+        root = components(edges)
+        held = large.join(root.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        largest = held.groupBy("grp", "root").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+        return cut(held.join(largest, "grp").filter("root <> most").select("cls", "grp", "s", "n_shingles"))
+
+    edges = cut(edges.unionByName(dealt(large, 1)))
+    left = apart(edges)
+    much = left.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows).select("grp")
+    if much.take(1):
+        edges = cut(edges.unionByName(dealt(large.join(much, "grp", "left_semi"), 2)))
+        left = apart(edges)
     if not left.take(1):
         return edges
     nl = blocks_of(left, ["grp", "s"], "nl", block_rows, block_entries)
-    near = nl.withColumn("t", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)))
+    near = F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1))
     # each block of left rows against each block of all rows whose sizes can match
-    left_tasks = left.join(nl, ["grp", "s"]).withColumn("i", F.pmod(F.xxhash64("cls"), F.col("nl"))).withColumn("t", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)))
+    left_tasks = left.join(nl, ["grp", "s"]).withColumn("i", F.pmod(F.xxhash64("cls"), F.col("nl"))).withColumn("t", near)
     left_tasks = left_tasks.join(classes, ["grp", "t"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("cls", named("grp", "s", "i", "t", "j").alias("task"))
-    all_tasks = large.withColumn("j", F.pmod(F.xxhash64("cls"), F.col("nb"))).withColumnRenamed("s", "t").join(near, ["grp", "t"])
+    all_tasks = large.withColumn("j", F.pmod(F.xxhash64("cls"), F.col("nb"))).withColumnRenamed("s", "t").join(nl.withColumn("t", near), ["grp", "t"])
     all_tasks = all_tasks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nl") - 1))).select("cls", named("grp", "s", "i", "t", "j").alias("task"))
     return cut(edges.unionByName(multiply(left_tasks.unionByName(all_tasks), sets, percent)))
 
