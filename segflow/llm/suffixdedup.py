@@ -17,7 +17,7 @@ run of neighbouring windows shares one.  A suffix stands for its run: it starts
 
 Nothing is removed on the word of a hash: hashes only choose what is compared, and every repetition is decided on the bytes.
 
-Nulls: a null text is empty; a null doc_id sorts first.  Documents with equal ids are ordered by the crc32 of the text,
+Nulls: a null text is empty; a null doc_id sorts first.  Documents with equal ids are ordered by the crc32 and then the SHA-256 of the text,
 and repeated rows (equal id and text) are judged as one document, so each gets its result.  A text of any length is worked on in stretches.  Empty tables
 give empty results; extra columns are ignored, whatever their names.
 """
@@ -25,14 +25,13 @@ give empty results; extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, cut, map_texts, mix64, partitions, slices, utf8
+from .common import BASE, cut, identified, map_texts, mix64, partitions, slices, utf8
 from .ngramjoin import pack, unpack
 
 LENGTH, GRAM = 100, 40
@@ -40,11 +39,10 @@ LENGTH, GRAM = 100, 40
 LEFT, WIDTH = LENGTH - GRAM, 2 * LENGTH - GRAM
 #: Low bits of an anchor's rank that hold its place; slices of text are shorter.
 PLACE_BITS = 22
-NONE = -(2**63)
-KEYS = (np.uint64, np.int64, np.uint32, np.uint32, np.uint8)
-RUN = (np.dtype(f"V{WIDTH}"), np.uint8, np.uint8, np.int64, np.uint32, np.uint32)
-WINDOW = (np.dtype(f"V{LENGTH}"), np.int64, np.uint32, np.uint32)
-SPAN = (np.int64, np.uint32, np.uint32, np.uint32)
+KEYS = (np.uint64, np.int64, np.uint32, np.uint8)
+RUN = (np.dtype(f"V{WIDTH}"), np.uint8, np.uint8, np.int64, np.uint32)
+WINDOW = (np.dtype(f"V{LENGTH}"), np.int64, np.uint32)
+SPAN = (np.int64, np.uint32, np.uint32)
 #: Kinds of packed rows: spans of windows by document (SPAN), and what is dealt to be compared (KEYS, RUN or WINDOW).
 SPANS, COMPARE = 0, 1
 PACKED = "kind int, part int, body binary"
@@ -187,17 +185,7 @@ def multikey_quicksort(keys: list[np.ndarray], small: int = 1024) -> np.ndarray:
 
 
 def doc_keys(column) -> np.ndarray:
-    """doc_id as int64, null as the least."""
-    return column.fill_null(NONE).to_numpy(zero_copy_only=False)
-
-
-def checksums(body: np.ndarray, offsets: np.ndarray, told_apart: bool) -> np.ndarray:
-    """crc32 of each text, where ids alone don't tell documents apart; else 0, which costs nothing in the shuffles."""
-    if told_apart:
-        return np.zeros(len(offsets) - 1, np.uint32)
-    view = memoryview(body.tobytes())
-    o = offsets.tolist()
-    return np.array([zlib.crc32(view[a:b]) for a, b in zip(o, o[1:], strict=False)], np.uint32)
+    return column.to_numpy(zero_copy_only=False)
 
 
 def doc_part(doc: np.ndarray, n_parts: int) -> np.ndarray:
@@ -278,18 +266,18 @@ def loosened(bodies: list[bytes], kinds: tuple) -> list[np.ndarray]:
     return unpack([unzip(b) for b in bodies], kinds)
 
 
-def spans_batch(n_parts: int, doc: np.ndarray, crc: np.ndarray, a: np.ndarray, b: np.ndarray):
+def spans_batch(n_parts: int, doc: np.ndarray, a: np.ndarray, b: np.ndarray):
     """Spans of window starts, merged, as packed rows dealt by document."""
-    doc, crc, a, b, _ = merged(doc, crc, a, b)
-    return batch_of(SPANS, pack(doc_part(doc, n_parts), n_parts, doc, crc, a.astype(np.uint32), b.astype(np.uint32)))
+    doc, a, b, _ = merged(doc, a, b)
+    return batch_of(SPANS, pack(doc_part(doc, n_parts), n_parts, doc, a.astype(np.uint32), b.astype(np.uint32)))
 
 
-def merged(doc, crc, a, b):
+def merged(doc, a, b):
     """The spans in order, those of a document that overlap or follow each other made one, and whether a document begins."""
-    order = np.lexsort((b, a, crc, doc))
-    doc, crc, a, b = doc[order], crc[order], a[order].astype(np.int64), b[order].astype(np.int64)
+    order = np.lexsort((b, a, doc))
+    doc, a, b = doc[order], a[order].astype(np.int64), b[order].astype(np.int64)
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])
+    new[1:] = doc[1:] != doc[:-1]
     # ends run on within a document: documents are told apart by adding more than any place
     far = np.int64(1) << 33
     base = (np.cumsum(new) - 1) * far
@@ -298,7 +286,7 @@ def merged(doc, crc, a, b):
     begins[1:] |= a[1:] + base[1:] > reach[:-1] + 1
     first = np.flatnonzero(begins)
     last = np.append(first[1:], len(doc)) - 1 if len(first) else first
-    return doc[first], crc[first], a[first], reach[last] - base[last] if len(first) else a[first], new[first]
+    return doc[first], a[first], reach[last] - base[last] if len(first) else a[first], new[first]
 
 
 def by_part(batches):
@@ -320,59 +308,60 @@ def given_back(rows):
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k == 2 else pa.int32()) for k in range(3)], ["kind", "part", "body"])
 
 
-def repeated_grams(docs: DataFrame, n_parts: int, told_apart: bool) -> DataFrame:
+def repeated_grams(docs: DataFrame, n_parts: int) -> DataFrame:
     """Packed spans of the runs whose gram's hash occurs more than once."""
 
     def deal(batches):
         for batch in batches:
             for piece in slices(batch, 1 << 20):
                 body, offsets = utf8(piece.column(1))
-                docs_, crcs = doc_keys(piece.column(0)), checksums(body, offsets, told_apart)
+                docs_ = doc_keys(piece.column(0))
                 for part, bounds, base in segments(body, offsets):
                     owner, first, more, _, key = anchored(part, bounds)
-                    doc, crc, at = docs_[owner], crcs[owner], (first - bounds[owner] + base).astype(np.uint32)
+                    doc, at = docs_[owner], (first - bounds[owner] + base).astype(np.uint32)
                     _, one, label, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
                     known = count[label] > 1
-                    yield spans_batch(n_parts, doc[known], crc[known], at[known], at[known] + more[known])
+                    yield spans_batch(n_parts, doc[known], at[known], at[known] + more[known])
                     flag = more[one] | (known[one] << 7).astype(np.uint8)
-                    yield batch_of(COMPARE, pack(hash_part(key[one], n_parts), n_parts, key[one], doc[one], crc[one], at[one], flag))
+                    yield batch_of(COMPARE, pack(hash_part(key[one], n_parts), n_parts, key[one], doc[one], at[one], flag))
 
     def count(batches):
         held, passed = by_part(batches)
         yield given_back(passed)
         for part in sorted(held):
-            key, doc, crc, at, flag = loosened(held.pop(part), KEYS)
+            key, doc, at, flag = loosened(held.pop(part), KEYS)
             order = np.argsort(key, kind="stable")
             same = key[order][1:] == key[order][:-1]
             again = np.zeros(len(key), bool)
             again[order[1:][same]] = True
             again[order[:-1][same]] = True
             pick = again & (flag < 128)
-            yield spans_batch(n_parts, doc[pick], crc[pick], at[pick], at[pick] + flag[pick])
+            yield spans_batch(n_parts, doc[pick], at[pick], at[pick] + flag[pick])
 
     return map_texts(map_texts(docs, deal, PACKED).repartitionById(n_parts, "part"), count, PACKED)
 
 
 def per_document(spans: DataFrame, n_parts: int) -> DataFrame:
-    """(doc, crc, spans): merged spans of window starts of each document, as int64 pairs (first, last)."""
+    """(doc, spans): merged spans of window starts of each document, as int64 pairs (first, last)."""
 
     def run(batches):
         import pyarrow as pa
 
-        doc, crc, a, b = loosened([x for batch in batches for x in batch.column(1).to_pylist()], SPAN)
-        doc, crc, a, b, new = merged(doc, crc, a, b)
+        doc, a, b = loosened([x for batch in batches for x in batch.column(1).to_pylist()], SPAN)
+        doc, a, b, new = merged(doc, a, b)
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], len(doc)) if len(starts) else starts
         pairs = np.stack([a, b], 1)
         for i in range(0, len(starts), 5000):
             s, e = starts[i : i + 5000].tolist(), ends[i : i + 5000].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(doc[s], pa.int64()), pa.array(crc[s].astype(np.int64)), pa.array([pairs[x:y].tobytes() for x, y in zip(s, e, strict=True)], pa.binary())], ["doc", "crc", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[s], pa.int64()), pa.array([pairs[x:y].tobytes() for x, y in zip(s, e, strict=True)], pa.binary())], ["doc", "spans"])
 
-    return map_texts(spans.select("part", "body").repartitionById(n_parts, "part"), run, "doc long, crc long, spans binary")
+    return map_texts(spans.select("part", "body").repartitionById(n_parts, "part"), run, "doc long, spans binary")
 
 
-def compressed(docs: DataFrame, told_apart: bool) -> DataFrame:
-    """(doc_id, doc, crc, z): texts packed for the shuffle."""
+def compressed(docs: DataFrame) -> DataFrame:
+    """docs with z, the text packed for the shuffle, in place of text."""
+    at = docs.columns.index("text")
 
     def run(batches):
         import pyarrow as pa
@@ -381,52 +370,54 @@ def compressed(docs: DataFrame, told_apart: bool) -> DataFrame:
         pack_text = zstandard.ZstdCompressor(level=4).compress
         for batch in batches:
             for piece in slices(batch, 4 << 20):
-                body, offsets = utf8(piece.column(1))
+                body, offsets = utf8(piece.column(at))
                 o, view = offsets.tolist(), memoryview(body.tobytes())
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(doc_keys(piece.column(0))), pa.array(checksums(body, offsets, told_apart).astype(np.int64)), pa.array([pack_text(view[a:b]) for a, b in zip(o, o[1:], strict=False)], pa.binary())], ["doc_id", "doc", "crc", "z"])
+                z = pa.array([pack_text(view[a:b]) for a, b in zip(o, o[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([z if k == at else c for k, c in enumerate(piece.columns)], [z_name if k == at else n for k, n in enumerate(piece.schema.names)])
 
-    return map_texts(docs, run, "doc_id long, doc long, crc long, z binary")
+    z_name = "z"
+    return map_texts(docs, run, ", ".join("z binary" if f.name == "text" else f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields))
 
 
 def suffixes(rows: DataFrame, n_parts: int, sample: list[tuple[bytes, int]]) -> DataFrame:
-    """The suffixes of the given spans of (doc, crc, z, spans), dealt to their buckets; runs equal to an earlier one of the slice become spans at once."""
+    """The suffixes of the given spans of (doc, z, spans), dealt to their buckets; runs equal to an earlier one of the slice become spans at once."""
 
     def run(batches):
         import zstandard
 
         split, unzip = Splitters(sample, n_parts), zstandard.ZstdDecompressor().decompress
-        held: list[tuple] = []  # (doc, crc, first window, bytes) of stretches of text
+        held: list[tuple] = []  # (doc, first window, bytes) of stretches of text
 
         def flush():
-            size = np.array([len(x[3]) for x in held], np.int64)
+            size = np.array([len(x[2]) for x in held], np.int64)
             bounds = np.concatenate([[0], np.cumsum(size)])
-            body = np.frombuffer(b"".join(x[3] for x in held), np.uint8)
+            body = np.frombuffer(b"".join(x[2] for x in held), np.uint8)
             owner, first, more, anchor, _ = anchored(body, bounds)
-            doc, crc = np.array([x[0] for x in held], np.int64)[owner], np.array([x[1] for x in held], np.uint32)[owner]
-            at = (first - bounds[owner] + np.array([x[2] for x in held], np.int64)[owner]).astype(np.uint32)
+            doc = np.array([x[0] for x in held], np.int64)[owner]
+            at = (first - bounds[owner] + np.array([x[1] for x in held], np.int64)[owner]).astype(np.uint32)
             held.clear()
             content, back = contents(body, first, more, anchor), (anchor - first).astype(np.uint8)
-            stays = firsts(same_content(np.column_stack([content, back, more])), doc, crc, at)
+            stays = firsts(same_content(np.column_stack([content, back, more])), doc, at)
             again = ~stays
-            yield spans_batch(n_parts, doc[again], crc[again], at[again], at[again] + more[again])
+            yield spans_batch(n_parts, doc[again], at[again], at[again] + more[again])
             part = split.part(content[stays][:, LEFT : LEFT + GRAM], doc[stays])
-            yield batch_of(COMPARE, pack(part, n_parts, content[stays].view(RUN[0]).ravel(), back[stays], more[stays], doc[stays], crc[stays], at[stays]))
+            yield batch_of(COMPARE, pack(part, n_parts, content[stays].view(RUN[0]).ravel(), back[stays], more[stays], doc[stays], at[stays]))
 
         size = 0
         for batch in batches:
-            for doc, crc, z, spans in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for doc, z, spans in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 text = unzip(z)
                 for a, b in np.frombuffer(spans, np.int64).reshape(-1, 2).tolist():
                     for first in range(a, b + 1, 1 << 20):
-                        held.append((doc, crc, first, text[first : min(b + 1, first + (1 << 20)) + LENGTH - 1]))
-                        size += len(held[-1][3])
+                        held.append((doc, first, text[first : min(b + 1, first + (1 << 20)) + LENGTH - 1]))
+                        size += len(held[-1][2])
                         if size >= 1 << 20:
                             yield from flush()
                             size = 0
         if held:
             yield from flush()
 
-    return map_texts(rows.select("doc", "crc", "z", "spans"), run, PACKED)
+    return map_texts(rows.select("doc", "z", "spans"), run, PACKED)
 
 
 def sorted_buckets(dealt: DataFrame, n_parts: int, sample: list[tuple[bytes, int]]) -> DataFrame:
@@ -437,16 +428,16 @@ def sorted_buckets(dealt: DataFrame, n_parts: int, sample: list[tuple[bytes, int
         held, passed = by_part(batches)
         yield given_back(passed)
         for part in sorted(held):
-            content, back, more, doc, crc, at = loosened(held.pop(part), RUN)
+            content, back, more, doc, at = loosened(held.pop(part), RUN)
             content = content.view(np.uint8).reshape(-1, WIDTH)
             right, left = big_endian(content[:, LEFT:]), big_endian(content[:, :LEFT])
-            order = multikey_quicksort([*right.T, *left.T, back, more, doc, crc, at])
+            order = multikey_quicksort([*right.T, *left.T, back, more, doc, at])
             del right, left
-            content, back, more, doc, crc, at = (x[order] for x in (content, back, more, doc, crc, at))
+            content, back, more, doc, at = (x[order] for x in (content, back, more, doc, at))
             same = (content[1:] == content[:-1]).all(1) & (back[1:] == back[:-1]) & (more[1:] == more[:-1])
             again = np.append(False, same)[: len(doc)]
-            yield spans_batch(n_parts, doc[again], crc[again], at[again], at[again] + more[again])
-            content, back, more, doc, crc, at = (x[~again] for x in (content, back, more, doc, crc, at))
+            yield spans_batch(n_parts, doc[again], at[again], at[again] + more[again])
+            content, back, more, doc, at = (x[~again] for x in (content, back, more, doc, at))
             gram = content[:, LEFT : LEFT + GRAM]
             new = np.append(True, (gram[1:] != gram[:-1]).any(1))[: len(doc)]
             group = np.cumsum(new) - 1
@@ -463,16 +454,16 @@ def sorted_buckets(dealt: DataFrame, n_parts: int, sample: list[tuple[bytes, int
                     mine = rows[(-r <= back[rows].astype(int)) & (r <= more[rows].astype(int) - back[rows])]
                     if len(mine):
                         window = np.ascontiguousarray(content[mine, LEFT + r : LEFT + r + LENGTH])
-                        stays = firsts(same_content(window), doc[mine], crc[mine], at[mine])
+                        stays = firsts(same_content(window), doc[mine], at[mine])
                         place = (at[mine].astype(np.int64) + back[mine] + r).astype(np.uint32)
                         hits.append((mine[~stays], place[~stays]))
                         out = stays & edge[mine]
-                        apart.append((window[out].view(WINDOW[0]).ravel(), doc[mine[out]], crc[mine[out]], place[out]))
+                        apart.append((window[out].view(WINDOW[0]).ravel(), doc[mine[out]], place[out]))
                 row, place = (np.concatenate([h[k] for h in hits]) for k in (0, 1))
-                yield spans_batch(n_parts, doc[row], crc[row], place, place)
-                window, d, c, p = (np.concatenate([x[k] for x in apart]) for k in range(4))
+                yield spans_batch(n_parts, doc[row], place, place)
+                window, d, p = (np.concatenate([x[k] for x in apart]) for k in range(3))
                 dealt_by = hash_part(mix64(content_hash(window.view(np.uint8).reshape(-1, LENGTH))), n_parts)
-                yield batch_of(COMPARE, pack(dealt_by, n_parts, window, d, c, p))
+                yield batch_of(COMPARE, pack(dealt_by, n_parts, window, d, p))
                 begin = end
 
     return map_texts(dealt.repartitionById(n_parts, "part"), run, PACKED)
@@ -484,9 +475,9 @@ def across_buckets(compared: DataFrame, n_parts: int) -> DataFrame:
     def run(batches):
         held, _ = by_part(batches)
         for part in sorted(held):
-            window, doc, crc, at = loosened(held.pop(part), WINDOW)
-            again = ~firsts(same_content(window.view(np.uint8).reshape(-1, LENGTH)), doc, crc, at)
-            yield spans_batch(n_parts, doc[again], crc[again], at[again], at[again])
+            window, doc, at = loosened(held.pop(part), WINDOW)
+            again = ~firsts(same_content(window.view(np.uint8).reshape(-1, LENGTH)), doc, at)
+            yield spans_batch(n_parts, doc[again], at[again], at[again])
 
     return map_texts(compared.repartitionById(n_parts, "part"), run, PACKED)
 
@@ -505,19 +496,12 @@ def cut_out(text: bytes, pairs: np.ndarray) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-def ids_differ(docs: DataFrame) -> bool:
-    """Whether no two different texts share a doc_id."""
-    crc = F.crc32(F.coalesce("text", F.lit("")))
-    return not docs.groupBy("doc_id").agg(F.min(crc).alias("a"), F.max(crc).alias("b")).filter("a <> b").limit(1).take(1)
-
-
-def repeated_spans(docs: DataFrame, told_apart: bool) -> DataFrame:
-    """(doc, crc, spans) of every document with repeated windows."""
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(doc, spans) of every document of (doc, text) with repeated windows; documents are ordered by doc, a number of their own."""
     n_parts = partitions(docs.sparkSession)
     sample = sample_splitters(docs, n_parts)
-    wanted = per_document(repeated_grams(docs, n_parts, told_apart), n_parts)
-    # rows that repeat id and text are one document
-    rows = compressed(docs, told_apart).select("doc", "crc", "z").dropDuplicates(["doc", "crc"]).join(wanted, ["doc", "crc"])
+    wanted = per_document(repeated_grams(docs, n_parts), n_parts)
+    rows = compressed(docs).join(wanted, "doc")
     done = cut(sorted_buckets(suffixes(rows, n_parts, sample), n_parts, sample))
     spans = done.filter(F.col("kind") == SPANS).unionByName(across_buckets(done.filter(F.col("kind") == COMPARE), n_parts))
     return per_document(spans, n_parts)
@@ -525,9 +509,8 @@ def repeated_spans(docs: DataFrame, told_apart: bool) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs (doc_id, text); with_text adds the remaining bytes as kept."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told_apart = ids_differ(docs)
-    rows = compressed(docs, told_apart).join(repeated_spans(docs, told_apart), ["doc", "crc"], "left").select("doc_id", "z", "spans")
+    docs = identified(docs)
+    rows = compressed(docs).join(repeated_spans(docs.select("doc", "text")), "doc", "left").select("doc_id", "copies", "z", "spans")
 
     def run(batches):
         import pyarrow as pa
@@ -536,13 +519,13 @@ def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         unzip = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for z, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for doc_id, copies, z, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = unzip(z)
                 kept, removed, runs = cut_out(text, np.frombuffer(spans, np.int64).reshape(-1, 2)) if spans else (text, 0, 0)
-                out.append((len(text), removed, runs, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
-            columns = list(zip(*out, strict=True)) or [()] * (4 + with_text)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                out += [(doc_id, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else []))] * copies
+            columns = list(zip(*out, strict=True)) or [()] * (5 + with_text)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]], names[: len(columns) + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names[: len(columns)])
 
     return map_texts(rows, run, RESULT + ", kept binary" * with_text)

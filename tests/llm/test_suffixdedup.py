@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 from segflow.llm import suffixdedup
@@ -11,7 +12,7 @@ LENGTH = suffixdedup.LENGTH
 
 def brute(rows):
     seen, out = set(), []
-    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, suffixdedup.zlib.crc32((r[1] or "").encode())))
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode())))
     result = {}
     for row in order:
         text = (row[1] or "").encode()
@@ -114,3 +115,17 @@ def test_long_texts_go_in_stretches(spark):
     rows = [(1, passage), (2, long), (3, own[1_000_000:1_000_300]), (4, long[-(1 << 20) - 60 :])]
     got = {r[0]: r[1:4] for r in run(spark, rows)}
     assert got == {1: (150, 0, 0), 2: (len(long), 150, 1), 3: (300, 300, 1), 4: (len(rows[3][1]), len(rows[3][1]), 1)}
+
+
+def test_equal_checksums_of_one_id_are_told_apart(spark):
+    rng = random.Random(6)
+    own = ["".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(2)]
+    seen, pair = {}, None
+    while pair is None:  # a birthday search for two texts with one crc32
+        text = own[rng.randrange(2)] + "".join(rng.choice("ijklmnop") for _ in range(12))
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        if other[:150] != text[:150]:
+            pair = (other, text)
+    rows = [(5, pair[0]), (5, pair[1]), (9, pair[0][:120]), (None, pair[0]), (None, pair[1])]
+    assert {r[0]: r[2] for r in run(spark, rows) if r[0] == 9} == {9: 120}
+    assert run(spark, [(5, pair[0]), (5, pair[1]), (1, pair[0][:120])]) == brute([(5, pair[0]), (5, pair[1]), (1, pair[0][:120])])
