@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, quality
+from .blockdedup import drop_repeated_passages
 from .chat import format_turns, probe_rows, read_back, text_parts
 from .common import cut, remove, shared_dir, table
 from .decontaminate import leaks
@@ -90,7 +91,11 @@ def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_source_mix, op3_language_id, op4_line_dedup, op5_suffix_dedup, op6_token_shards, op7_quality_mil, op8_quality_rules, op9_ngram_jaccard, op10_chat_format)}
+def op11_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_source_mix, op3_language_id, op4_line_dedup, op5_suffix_dedup, op6_token_shards, op7_quality_mil, op8_quality_rules, op9_ngram_jaccard, op10_chat_format, op11_block_dedup)}
 
 WS = r"[^\x20\x09-\x0D]+"
 ORACLE_SQL = {
@@ -194,6 +199,22 @@ WITH RECURSIVE d AS (
 ), r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.m, d.doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a) c USING (doc_id)""",
+    "op11_block_dedup": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{WS}') AS w FROM documents
+), win AS (
+  SELECT rid, i, md5(array_to_string(w[i:i + 34], ' ')) AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d)
+), dup AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1
+), gone AS (
+  SELECT DISTINCT rid, i + k AS i FROM dup, (SELECT unnest(range(35)) AS k)
+), word AS (
+  SELECT rid, i, w[i] AS x FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+), kept AS (
+  SELECT rid, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (rid, i) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)""",
     "op10_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
