@@ -12,6 +12,7 @@ from .blockdedup import drop_repeated_passages
 from .chat import format_turns, probe_rows, read_back, text_parts
 from .common import cut, remove, shared_dir, table
 from .decontaminate import leaks
+from .divergence import source_divergence
 from .linededup import drop_widespread_lines
 from .mixing import mix_counts
 from .ngramjoin import jaccard_components
@@ -95,7 +96,11 @@ def op11_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_source_mix, op3_language_id, op4_line_dedup, op5_suffix_dedup, op6_token_shards, op7_quality_mil, op8_quality_rules, op9_ngram_jaccard, op10_chat_format, op11_block_dedup)}
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_source_mix, op3_language_id, op4_line_dedup, op5_suffix_dedup, op6_token_shards, op7_quality_mil, op8_quality_rules, op9_ngram_jaccard, op10_chat_format, op11_block_dedup, op12_source_divergence)}
 
 WS = r"[^\x20\x09-\x0D]+"
 ORACLE_SQL = {
@@ -215,6 +220,35 @@ WITH d AS (
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (rid)""",
+    "op12_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), c AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT rid) AS docs FROM (SELECT rid, lang, source, unnest(w) AS term FROM d) GROUP BY ALL
+), k AS MATERIALIZED (
+  SELECT lang, term, sum(n) AS every FROM c GROUP BY lang, term HAVING sum(docs) >= 30
+), v AS (
+  SELECT lang, count(*) AS v, sum(every) AS total FROM k GROUP BY lang
+), s AS (
+  SELECT c.lang, c.source, sum(c.n) AS n FROM c JOIN k USING (lang, term) GROUP BY c.lang, c.source
+), g AS MATERIALIZED (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce(total, 0) AS total, coalesce(n, 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang) LEFT JOIN s USING (lang, source)
+), p AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (g.n + 5 * g.v) AS p, 1 + (1000000000 * (k.every + 5)) // (g.total + 5 * g.v) AS q
+  FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), x AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o WHERE part = 'pair' OR rank <= 50""",
     "op10_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
