@@ -1,8 +1,8 @@
 """Greedy packing of ordered rows: a row opens a new group when a rule on the group so far says so.
 
 Where the rule looks only at the row before, a window finds the breaks.  Otherwise rows are cut at such hard breaks
-first, and only the stretches in between are folded, each as an array of small structs.  Rules without hard breaks take
-sorted rows as a stream and keep the open group's state alone, so a media item may be of any length.
+first, and only the stretches in between are folded, each as an array of small structs.  Rules without hard breaks go by
+blocks of rows whose jump tables compose (jumps.py), so a media item may be of any length and is many tasks' work.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .jumps import BLOCK_ROWS, grouped
 
 
 def groups_of(items: Column, state: dict[str, Column], breaks: Callable, update: Callable) -> Column:
@@ -45,38 +46,6 @@ def packed(rows: DataFrame, keys: list[str], order: list[str], state, breaks, up
     return out.select(*keys, F.col("_g").cast("long").alias(group), F.explode("_rows").alias("_row")).select(*keys, group, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
-def streamed(rows: DataFrame, keys: list[str], order: list[str], values: list[str], step: Callable, group: str) -> DataFrame:
-    """rows with a group number (from 0) per keys, as packed() gives it, from one pass over the sorted rows.
-
-    step(state, *values) says whether a row opens a new group, and the next state; state is None at the first row of the keys.
-    """
-    others = [c for c in rows.columns if c not in keys]
-    rows = rows.select(*keys, *others)
-    n_keys, at = len(keys), [rows.columns.index(c) for c in values]
-    fields = [T.StructField(f.name, f.dataType) for f in rows.schema]
-    schema = T.StructType([*fields[:n_keys], T.StructField(group, T.LongType()), *fields[n_keys:]])
-
-    def run(batches):
-        import pyarrow as pa
-
-        last, state, number = None, None, 0
-        for b in batches:
-            columns = [b.column(i).to_pylist() for i in (*range(n_keys), *at)]
-            numbers = []
-            for row in zip(*columns, strict=True):
-                if row[:n_keys] != last:
-                    last, state, number = row[:n_keys], None, -1
-                new, state = step(state, *row[n_keys:])
-                number += new or number < 0
-                numbers.append(number)
-            arrays, names = list(b.columns), list(b.schema.names)
-            arrays.insert(n_keys, pa.array(numbers, pa.int64()))
-            names.insert(n_keys, group)
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order, *[c for c in others if c not in order]).mapInArrow(run, schema)
-
-
 def merge_segments(segments: DataFrame, max_chars: int = 500, max_gap_ms: int = 300, extra: tuple[str, ...] = ()) -> DataFrame:
     """PK1: neighbours of one speaker with a gap of at most max_gap_ms become one segment of at most max_chars characters.
 
@@ -103,7 +72,7 @@ def speaker_groups(segments: DataFrame, max_pause_ms: int = 3000, max_span_ms: i
     return packed(runs, ["media_id", "speaker", "run"], ["start_ms", "seg_idx"], {"begin": F.lit(0)}, lambda s, x: x["end_ms"] - s["begin"] > max_span_ms, lambda s, x, new: {"begin": F.when(new, x["start_ms"]).otherwise(s["begin"])}, "grp", ["media_id", "speaker"]).drop("run")
 
 
-def translation_chunks(segments: DataFrame, max_segments: int = 10, max_switches: int = 3) -> DataFrame:
+def translation_chunks(segments: DataFrame, max_segments: int = 10, max_switches: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """PK3: segments with chunk numbers; a chunk holds max_segments segments and max_switches changes of speaker at most."""
 
     def step(state, speaker):
@@ -114,7 +83,7 @@ def translation_chunks(segments: DataFrame, max_segments: int = 10, max_switches
         new = n >= max_segments or switches > max_switches
         return new, (1, 0, speaker) if new else (n + 1, switches, speaker)
 
-    return streamed(segments, ["media_id"], ["seg_idx"], ["speaker"], step, "chunk_idx")
+    return grouped(segments, ["media_id"], "seg_idx", ["speaker"], step, "chunk_idx", block_rows)
 
 
 def chunk_summary(chunked: DataFrame) -> DataFrame:
@@ -122,7 +91,7 @@ def chunk_summary(chunked: DataFrame) -> DataFrame:
     return chunked.groupBy("media_id", "chunk_idx").agg(F.count("*").alias("n_segments"), F.min("start_ms").alias("start_ms"), F.max_by("end_ms", "seg_idx").alias("end_ms"), F.array_join(F.sort_array(F.collect_set("speaker")), ",").alias("speakers"))
 
 
-def block_chunks(blocks: DataFrame, max_ms: int = 900_000, least_ms: int = 300_000) -> DataFrame:
+def block_chunks(blocks: DataFrame, max_ms: int = 900_000, least_ms: int = 300_000, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """PK4: consecutive blocks (media_id, block_idx, dur_ms) in chunks of at most max_ms; a last chunk under least_ms joins the one before.
 
     Returns media_id, chunk_idx, offset_ms, dur_ms, n_blocks.
@@ -133,7 +102,7 @@ def block_chunks(blocks: DataFrame, max_ms: int = 900_000, least_ms: int = 300_0
         new = state is None or (total is not None and total > max_ms)
         return new, (dur if new else total,)
 
-    cut = streamed(blocks, ["media_id"], ["block_idx"], ["dur_ms"], step, "chunk_idx")
+    cut = grouped(blocks, ["media_id"], "block_idx", ["dur_ms"], step, "chunk_idx", block_rows)
     chunks = cut.groupBy("media_id", "chunk_idx").agg(F.sum("dur_ms").alias("dur_ms"), F.count("*").alias("n_blocks"))
     by = Window.partitionBy("media_id").orderBy("chunk_idx")
     last = F.lead("chunk_idx").over(by).isNull()
