@@ -5,8 +5,11 @@ one placeholder, and its reference, offset and expanded token count are recorded
 
     <|im_start|>role NEWLINE content <|im_end|> NEWLINE
 
-Inside texts and roles a backslash becomes two and "<|" becomes "<\\|", so no marker can arise from a text and the
-reading is exact; a newline in a role is written "\\n".  Loss spans cover the escaped text of assistant parts.
+Inside texts and roles a backslash becomes two and "<|" becomes "<\\|", also where one text part ends with "<" and the next begins with "|", so no
+marker can arise from texts and the reading is exact; a newline in a role is written "\\n".  Loss spans cover the escaped text of assistant parts.
+
+Parts: a null part is left out.  A part of another type (or none) counts as text if it has a text; without one it becomes the placeholder of an
+attachment of its own type, of one token.  A length that is null, no number or below one counts as one unit.
 
 One row per turn goes out, sorted by conversation, turn, role and text, so a conversation of any length streams through.
 Nulls: a null text or part list is empty, a null role is an empty role, a null conv_id is a conversation of its own, a
@@ -17,6 +20,7 @@ empty results; extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +30,7 @@ from .common import map_texts
 
 START, END = "<|im_start|>", "<|im_end|>"
 PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
+OTHER = "<|attachment|>"
 #: Tokens a part stands for once a model expands it: per 14 x 14 pixel patch, per second and per page.
 PATCH, AUDIO_TOKENS, PAGE_TOKENS = 14, 25, 256
 PARTS = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
@@ -43,29 +48,35 @@ def unescape(text: str) -> str:
 
 
 def expanded_tokens(part: dict) -> int:
-    kind = part["type"]
+    kind = part.get("type")
     if kind == "image":
-        return max(1, -(-(part.get("width") or PATCH) // PATCH) * -(-(part.get("height") or PATCH) // PATCH))
+        return -(-max(1, part.get("width") or PATCH) // PATCH) * -(-max(1, part.get("height") or PATCH) // PATCH)
     if kind == "audio":
-        return max(1, round((part.get("seconds") or 0) * AUDIO_TOKENS))
-    return max(1, (part.get("pages") or 1) * PAGE_TOKENS)
+        seconds = part.get("seconds") or 0
+        return max(1, round(seconds * AUDIO_TOKENS)) if math.isfinite(seconds) else 1
+    return max(1, part.get("pages") or 1) * PAGE_TOKENS if kind == "document" else 1
 
 
 def visit(role: str | None, parts) -> tuple[str, list, list]:
     """Formatted turn, loss spans and attachments; offsets count code points from the turn's start."""
     role = role or ""
     out = [START, escape(role).replace("\n", "\\n"), "\n"]
-    at, loss, attached = sum(map(len, out)), [], []
+    at, loss, attached, ended = sum(map(len, out)), [], [], ""
     for part in parts if parts is not None else []:
-        kind = part["type"]
-        if kind in PLACEHOLDERS:
-            piece = PLACEHOLDERS[kind]
+        if part is None:
+            continue
+        kind = part.get("type")
+        if kind in PLACEHOLDERS or (kind != "text" and part.get("text") is None):
+            piece = PLACEHOLDERS.get(kind, OTHER)
             attached.append({"kind": kind, "ref": part.get("ref"), "start": at, "n_tokens": expanded_tokens(part)})
         else:
             piece = escape(part.get("text") or "")
+            if piece.startswith("|") and ended.endswith("<"):
+                piece = "\\" + piece
             if role == "assistant" and piece:
                 loss.append({"start": at, "length": len(piece)})
         out.append(piece)
+        ended = piece or ended
         at += len(piece)
     return "".join([*out, END, "\n"]), loss, attached
 
