@@ -8,7 +8,8 @@ letters nor digits counts as one space.
 The test items are the stated query set: they go out in blocks of bounded size, each block against all documents, one block after
 the other, so that neither the driver nor a task holds more than a block.
 
-Items of fewer than `least` characters would match by chance inside other words: they have no edit budget and match only between word bounds.
+One rule holds for items of every length: the budget is floor(rate * length), and an item is matched with a space on either side, so that an end inside
+another word costs an edit.  An item too short for a budget thus matches as whole words only.
 
 Nulls: a null or blank text or item matches nothing, nor does one without a letter or digit; a null item_id or doc_id is reported as null.  Overlapping places
 of one item in a document give one row.  Repeated documents or items each give their rows, ties between places go to the first.  A text of any length is searched
@@ -61,31 +62,28 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-def matcher(items: list[tuple[int | None, str]], rate: float, least: int):
+def matcher(items: list[tuple[int | None, str]], rate: float):
     """Function from a normalised text to {(item index): (edits, start, end)} of its best places."""
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
-    budgets = [int(rate * len(t)) if len(t) >= least else 0 for _, t in items]
-    for k, (_, t) in enumerate(items):
+    budgets = [int(rate * len(t)) for _, t in items]
+    bounded = [f" {t} " for _, t in items]
+    for k, t in enumerate(bounded):
         for at, piece in pieces(t, budgets[k]):
             automaton.add_word(piece, [*automaton.get(piece, []), (k, at + len(piece) - 1)])
     automaton.make_automaton()
 
     def find(text: str) -> dict[int, tuple[int, int, int]]:
+        size, text = len(text), f" {text} "
         places: dict[int, set[int]] = {}
         for end, hits in automaton.iter(text):
             for k, back in hits:
                 places.setdefault(k, set()).add(end - back)
         found = {}
         for k, starts in places.items():
-            item, e = items[k][1], budgets[k]
+            item, e = bounded[k], budgets[k]
             m, best = len(item), None
-            if m < least:  # the piece is the item
-                inside = [s for s in starts if (s == 0 or text[s - 1] == " ") and text[s + m : s + m + 1] in ("", " ")]
-                if inside:
-                    found[k] = (0, min(inside), min(inside) + m)
-                continue
             run: list[list[int]] = []
             for s in sorted(starts):  # places whose windows overlap are verified together
                 if run and s - e <= run[-1][1]:
@@ -99,8 +97,8 @@ def matcher(items: list[tuple[int | None, str]], rate: float, least: int):
                     best = (edits, a + end - back, a + end)
                 if best and best[0] == 0:
                     break
-            if best:
-                found[k] = best
+            if best:  # places without the spaces on either side
+                found[k] = (best[0], min(best[1], size), max(min(best[1], size), min(best[2] - 2, size)))
         return found
 
     return find
@@ -117,23 +115,23 @@ def blocks(benchmark: DataFrame, block_chars: int):
         yield n_blocks, sorted(items, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least: int = 30, block_chars: int = 1_000_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, block_chars: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, edits, start, end): each document and item that occurs in it, with its best place in the normalised text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for n_blocks, items in blocks(benchmark, block_chars):
-        found = search(rows, items, rate, least)
+        found = search(rows, items, rate)
         # a block's result is written before the next one is read
         found = cut(found) if n_blocks > 1 else found
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def search(rows: DataFrame, items: list[tuple[int | None, str]], rate: float, least: int) -> DataFrame:
+def search(rows: DataFrame, items: list[tuple[int | None, str]], rate: float) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        find = matcher(items, rate, least) if items else None
+        find = matcher(items, rate) if items else None
         for batch in batches:
             for piece in slices(batch):
                 hits = []
@@ -146,21 +144,21 @@ def search(rows: DataFrame, items: list[tuple[int | None, str]], rate: float, le
     return map_texts(rows, run, "doc_id long, item_id long, edits long, start long, end long")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = 0.08, least: int = 30, block_chars: int = 1_000_000) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = 0.08, block_chars: int = 1_000_000) -> DataFrame:
     """docs without the rows that hold a test item.  Each row is searched and kept or dropped where it is: no join, no shuffle."""
     for n_blocks, items in blocks(benchmark, block_chars):
-        docs = without(docs, items, text, rate, least)
+        docs = without(docs, items, text, rate)
         docs = cut(docs) if n_blocks > 1 else docs
     return docs
 
 
-def without(docs: DataFrame, items: list[tuple[int | None, str]], text: str, rate: float, least: int) -> DataFrame:
+def without(docs: DataFrame, items: list[tuple[int | None, str]], text: str, rate: float) -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches):
         import pyarrow as pa
 
-        find = matcher(items, rate, least) if items else None
+        find = matcher(items, rate) if items else None
         for batch in batches:
             for piece in slices(batch, column=text):
                 yield piece.filter(pa.array([not (find and t and find(normal(t))) for t in piece.column(at).to_pylist()], pa.bool_()))
