@@ -77,19 +77,24 @@ def row_hash(df: DataFrame, row: str, by=F.xxhash64):
 NO_ID = -(2**63)
 
 
-def identified(docs: DataFrame) -> DataFrame:
+def unique_ids(docs: DataFrame) -> bool:
+    """Whether no doc_id occurs twice, null and NO_ID counting as one."""
+    return not docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")).agg(F.count("*").alias("n")).filter("n > 1").limit(1).take(1)
+
+
+def identified(docs: DataFrame, nulls_last: bool = False) -> DataFrame:
     """(doc, copies, doc_id, text): each document of docs (doc_id, text) once, with a number that sorts as its doc_id does and how many rows repeat it.
 
-    Where every id occurs once the number is the id (a null id sorts first).  Else rows of equal id and text are one document, those of equal id and
+    A null id sorts first, or last where ids repeat and it is asked for.  Where every id occurs once the number is the id (a null id sorts first).  Else rows of equal id and text are one document, those of equal id and
     different texts are told apart by SHA-256 and ordered by the text's crc32 and SHA-256, and numbers are given out in that order over sorted ranges,
     written once so that a lost task can't deal others.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     doc = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")
-    if not rows.groupBy(doc).agg(F.count("*").alias("n")).filter("n > 1").limit(1).take(1):
+    if unique_ids(rows):
         return rows.select(doc, F.lit(1).alias("copies"), "doc_id", "text")
     text = F.coalesce("text", F.lit(""))
-    order = ["doc_id", "_crc", "_sha"]
+    order = [F.col("doc_id").isNull() if nulls_last else F.lit(0), "doc_id", "_crc", "_sha"]
     once = rows.groupBy("doc_id", F.crc32(text).alias("_crc"), F.sha2(text, 256).alias("_sha")).agg(F.first("text").alias("text"), F.count("*").cast("int").alias("copies"))
     return cut(once.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("doc"), "copies", "doc_id", "text"))
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, cut, fresh, map_texts, mix64, partitions, row_hash, slices, utf8, whole_row, word_spans
+from .common import BASE, cut, fresh, identified, map_texts, mix64, partitions, row_hash, slices, unique_ids, utf8, whole_row, word_spans
 from .components import components
 
 N, PERCENT = 4, 85
@@ -427,9 +427,15 @@ def one_of_each_group(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Da
     Rows without an id stay only if nothing with an id is linked to them.  Rows of equal id and text are one document: of these the row with the least hash
     of all columns stays.  Columns of any names pass through.
     """
-    stays = jaccard_components(docs, n, percent).filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    key, text_hash, row = fresh(docs, "key"), fresh(docs, "text_hash"), fresh(docs, "row")
-    as_key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
-    kept = docs.select(as_key.alias(key), F.xxhash64("text").alias(text_hash), whole_row(docs).alias(row))
-    kept = kept.join(stays.select(as_key.alias(key)).distinct(), key, "left_semi")
-    return kept.groupBy(key, text_hash).agg(F.min_by(row, row_hash(docs, row)).alias(row)).select(f"{row}.*")
+    key, sha, row = fresh(docs, "key"), fresh(docs, "sha"), fresh(docs, "row")
+    as_key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias(key)
+    if unique_ids(docs):
+        stays = jaccard_components(docs, n, percent).filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
+        return docs.select(as_key, whole_row(docs).alias(row)).join(stays.select(as_key), key, "left_semi").select(f"{row}.*")
+    # ids don't tell documents apart: they are known by id and text, and go by numbers of their own
+    as_sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias(sha)
+    each = identified(docs, nulls_last=True)
+    least = jaccard_components(each.select(F.col("doc").alias("doc_id"), "text"), n, percent).filter(F.col("component_id") == F.col("doc_id"))
+    stays = each.join(least.select(F.col("doc_id").alias("doc")), "doc", "left_semi").select(as_key, as_sha)
+    kept = docs.select(as_key, as_sha, F.col("text").isNull().alias(f"{sha}_null"), whole_row(docs).alias(row)).join(stays, [key, sha], "left_semi")
+    return kept.groupBy(key, sha, f"{sha}_null").agg(F.min_by(row, row_hash(docs, row)).alias(row)).select(f"{row}.*")
