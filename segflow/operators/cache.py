@@ -21,11 +21,12 @@ def look_up(rows: DataFrame, cache: DataFrame, key: str = "key") -> tuple[DataFr
 
 
 def cached(rows: DataFrame, cache: DataFrame, compute: Callable[[DataFrame], DataFrame], key: str = "key") -> tuple[DataFrame, DataFrame]:
-    """(all rows with results, new cache rows).  compute gets each missing key once."""
+    """(all rows with results, new cache rows).  compute gets each missing key once; rows without a key share what it makes of one of them, which isn't new in the cache."""
     hits, misses = look_up(rows, cache, key)
-    fresh = compute(misses.dropDuplicates([key]))
-    new = fresh.select(cache.columns)
-    return hits.unionByName(misses.join(new, key), allowMissingColumns=True), new
+    fresh = compute(misses.dropDuplicates([key])).select(cache.columns)
+    same = misses.alias("m").join(fresh.alias("f"), F.col(f"m.{key}").eqNullSafe(F.col(f"f.{key}")))
+    made = same.select("m.*", *[f"f.{c}" for c in cache.columns if c != key])
+    return hits.unionByName(made, allowMissingColumns=True), fresh.filter(F.col(key).isNotNull())
 
 
 def hit_counts(rows: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def trailing_silence(frames: DataFrame, limit: float = 0.4, frame_ms: int = 100, least_ms: int = 1000) -> DataFrame:
+def trailing_silence(frames: DataFrame, limit: float = 0.03, frame_ms: int = 100, least_ms: int = 1000) -> DataFrame:
     """AG8: per media of frames (media_id, frame_idx, rms) the share of trailing silence, and why it is invalid (null if valid).
 
     The reference is the 90th percentile of rms (the maximum if that is 0).  In dB below it, a frame is silent under the threshold

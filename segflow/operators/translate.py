@@ -125,6 +125,22 @@ def context_info(raw: Column) -> Column:
     return F.struct(F.coalesce(c["domain"], F.lit("general")).alias("domain"), F.coalesce(c["terminology"], F.array().cast("array<string>")).alias("terminology"), F.coalesce(c["tone"], F.lit("neutral")).alias("tone"), F.coalesce(c["themes"], F.array().cast("array<string>")).alias("themes"), chapters.alias("chapters"), F.coalesce(c["overall_summary"], F.lit("")).alias("overall_summary"))
 
 
+def lines_text(pairs: str | Column) -> Column:
+    """'speaker: text' lines of an array of pairs."""
+    return F.array_join(F.transform(pairs, lambda x: F.concat(F.coalesce(x["speaker"], F.lit("")), F.lit(": "), F.coalesce(x["text"], F.lit("")))), "\n")
+
+
+#: Columns of chunks that their prompts use, and that parts of a chunk inherit.
+CONTEXT_COLUMNS = ("context_before", "context_after", "domain", "tone", "summary", "translated")
+
+
+def asked(rows: DataFrame, model: Callable, source: str, target: str, glossary: dict[str, str] | None, persona: str, template: str) -> DataFrame:
+    """rows (pairs and any of CONTEXT_COLUMNS) with prompt, rendered over their own lines, and raw: model's answers to requests {prompt, pairs}."""
+    asking = prompts(rows.withColumn("text", lines_text("pairs")), source, target, glossary, persona, template)
+    asking = asking if "text" in rows.columns else asking.drop("text")
+    return call_model(asking.withColumn("_request", F.struct("prompt", "pairs")), model, "_request", "raw").drop("_request")
+
+
 def call_model(rows: DataFrame, model: Callable, column: str, out: str) -> DataFrame:
     """UD1-UD7: rows with out = model(list of values of column), called once per Arrow batch."""
     import json
@@ -142,26 +158,30 @@ def call_model(rows: DataFrame, model: Callable, column: str, out: str) -> DataF
     return rows.mapInArrow(run, schema)
 
 
-def translate(chunks: DataFrame, model: Callable, source: str, target: str, rounds: int = 4, attempts: int = 5) -> tuple[DataFrame, DataFrame]:
-    """UD1 with VAL1, VAL3 and PK8: (lines, log).
+def translate(chunks: DataFrame, model: Callable, source: str, target: str, rounds: int = 4, attempts: int = 5, glossary: dict[str, str] | None = None, persona: str = "normal") -> tuple[DataFrame, DataFrame]:
+    """UD1 with SC16, VAL1, VAL3 and PK8: (lines, log).
+
+    model takes a list of requests {prompt, pairs} and gives an answer for each.  The prompt holds the glossary, the persona, the lines asked for and the context that
+    chunks have (CONTEXT_COLUMNS, with_context); the halves of a chunk keep its context.
 
     Same-language jobs pass through without a call.  A part (a chunk at first) is tried up to `attempts` times; one that fails them all is halved, rounds
     times at most, and its halves are tried alike.  Each try runs only over failed rows, whose results are written before the next.  lines: media_id, chunk_idx, line_no,
     speaker, original, translation (the original where all failed) and ok.  log: media_id, chunk_idx, part (which half of which half), attempt (from 1 within the part),
-    raw, reason.
+    prompt, raw, reason.
     """
     from .graph import shared_folder_set
 
     shared_folder_set(chunks)
-    chunks = chunks.select("media_id", "chunk_idx", "pairs").checkpoint()
+    context = [c for c in CONTEXT_COLUMNS if c in chunks.columns]
+    chunks = chunks.select("media_id", "chunk_idx", "pairs", *context).checkpoint()
     lines = chunks.select("media_id", "chunk_idx", F.posexplode("pairs").alias("line_no", "p")).select("media_id", "chunk_idx", "line_no", F.col("p.speaker").alias("speaker"), F.col("p.text").alias("original"))
     if source == target:
-        return lines.withColumn("translation", F.col("original")).withColumn("ok", F.lit(True)), chunks.sparkSession.createDataFrame([], "media_id long, chunk_idx long, part string, attempt int, raw string, reason string")
-    todo = chunks.select("media_id", "chunk_idx", F.lit("").alias("part"), F.lit(0).alias("first"), "pairs")
+        return lines.withColumn("translation", F.col("original")).withColumn("ok", F.lit(True)), chunks.sparkSession.createDataFrame([], "media_id long, chunk_idx long, part string, attempt int, prompt string, raw string, reason string")
+    todo = chunks.select("media_id", "chunk_idx", F.lit("").alias("part"), F.lit(0).alias("first"), "pairs", *context)
     tries = []
     for half in range(rounds + 1):
         for attempt in range(1, attempts + 1):
-            tried = check_translation(call_model(todo, model, "pairs", "raw")).withColumn("attempt", F.lit(attempt)).checkpoint()
+            tried = check_translation(asked(todo, model, source, target, glossary, persona, "translate")).withColumn("attempt", F.lit(attempt)).checkpoint()
             tries.append(tried)
             todo = tried.filter("reason IS NOT NULL").select(todo.columns)
             if not todo.take(1):
@@ -169,17 +189,45 @@ def translate(chunks: DataFrame, model: Callable, source: str, target: str, roun
         failed = todo.filter("size(pairs) > 1")
         if half == rounds or not failed.take(1):
             break
-        flat = failed.select("media_id", "chunk_idx", "part", "first", F.posexplode("pairs").alias("line_no", "p"))
+        flat = failed.select("media_id", "chunk_idx", "part", "first", *context, F.posexplode("pairs").alias("line_no", "p"))
         halved = halve_failed(flat, ("media_id", "chunk_idx", "part"))
         pairs = F.sort_array(F.collect_list(F.struct("line_no", "p")))
-        todo = halved.groupBy("media_id", "chunk_idx", F.concat("part", F.col("half").cast("string")).alias("part")).agg(F.min(F.col("first") + F.col("line_no")).alias("first"), F.transform(pairs, lambda x: x["p"]).alias("pairs"))
+        todo = halved.groupBy("media_id", "chunk_idx", F.concat("part", F.col("half").cast("string")).alias("part")).agg(F.min(F.col("first") + F.col("line_no")).alias("first"), F.transform(pairs, lambda x: x["p"]).alias("pairs"), *[F.first(c).alias(c) for c in context])
     log = tries[0]
     for t in tries[1:]:
         log = log.unionByName(t)
     found = log.filter("reason IS NULL").select("media_id", "chunk_idx", F.posexplode("parsed").alias("k", "t"), "first").select("media_id", "chunk_idx", (F.col("first") + F.col("k")).alias("line_no"), F.col("t.text").alias("translation"))
     out = lines.join(found, ["media_id", "chunk_idx", "line_no"], "left")
     lines = out.select("media_id", "chunk_idx", "line_no", "speaker", "original", F.coalesce("translation", "original").alias("translation"), F.col("translation").isNotNull().alias("ok"))
-    return lines, log.select("media_id", "chunk_idx", "part", "attempt", "raw", "reason")
+    return lines, log.select("media_id", "chunk_idx", "part", "attempt", "prompt", "raw", "reason")
+
+
+def translate_in_rounds(chunks: DataFrame, model: Callable, source: str, target: str, before: int = 2, **options) -> tuple[DataFrame, DataFrame]:
+    """UD1 where each chunk sees the *translations* of up to `before` chunks before it, and the source text of the next: (lines, log) as of translate().
+
+    Round r translates the r-th chunk of every media item at once, so there are as many rounds as the longest item has chunks, each over all items that still have
+    one, and its results are written before the next.  Chunks (media_id, chunk_idx, text, pairs) may have the other columns of a context too.
+    """
+    from .graph import shared_folder_set
+
+    shared_folder_set(chunks)
+    by = Window.partitionBy("media_id").orderBy("chunk_idx")
+    todo = chunks.select("*", (F.row_number().over(by) - 1).alias("_round"), F.coalesce(F.lead("text").over(by), F.lit("")).alias("_next")).drop("context_before", "context_after").checkpoint()
+    n_rounds = (todo.agg(F.max("_round")).first()[0] or 0) + 1
+    said, lines, log = None, None, None
+    for r in range(n_rounds):
+        now = todo.filter(F.col("_round") == r)
+        now = now.join(said, "media_id", "left") if said is not None else now.withColumn("_said", F.array().cast("array<string>"))
+        now = now.withColumn("_said", F.coalesce("_said", F.array().cast("array<string>"))).withColumn("context_before", F.array_join("_said", "\n\n")).withColumn("context_after", F.col("_next")).checkpoint()
+        some, tried = translate(now, model, source, target, **options)
+        some = some.checkpoint()
+        lines, log = (some, tried) if lines is None else (lines.unionByName(some), log.unionByName(tried))
+        if r + 1 < n_rounds:
+            pairs = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "speaker", F.col("translation").alias("text")))), lambda x: F.struct(x["speaker"].alias("speaker"), x["text"].alias("text")))
+            latest = some.groupBy("media_id").agg(lines_text(pairs).alias("_new"))
+            kept = F.concat("_said", F.array("_new"))
+            said = now.join(latest, "media_id").select("media_id", F.slice(kept, F.greatest(F.lit(1), F.size(kept) - before + 1), before).alias("_said"))
+    return lines, log
 
 
 def translate_cached(chunks: DataFrame, cache: DataFrame, model: Callable, source: str, target: str, key: str = "key", **options) -> tuple[DataFrame, DataFrame]:
@@ -189,15 +237,19 @@ def translate_cached(chunks: DataFrame, cache: DataFrame, model: Callable, sourc
     """
     from .graph import shared_folder_set
 
-    hits, misses = look_up(chunks.select("media_id", "chunk_idx", key, "pairs"), cache.select(key, "translated_pairs"), key)
+    context = [c for c in CONTEXT_COLUMNS if c in chunks.columns]
+    hits, misses = look_up(chunks.select("media_id", "chunk_idx", key, "pairs", *context), cache.select(key, "translated_pairs"), key)
     shared_folder_set(chunks)
-    once = misses.dropDuplicates([key]).checkpoint()
+    # a chunk without a key is asked for by itself, and leaves nothing in the cache
+    own = F.concat(F.lit("chunk "), F.col("media_id").cast("string"), F.lit("/"), F.col("chunk_idx").cast("string"))
+    misses = misses.withColumn("_asked", F.coalesce(F.concat(F.lit("key "), F.col(key).cast("string")), own))
+    once = misses.dropDuplicates(["_asked"]).checkpoint()
     made, _ = translate(once, model, source, target, **options)
-    made = made.join(once.select("media_id", "chunk_idx", key), ["media_id", "chunk_idx"]).select(key, "line_no", "speaker", "translation", "ok")
+    made = made.join(once.select("media_id", "chunk_idx", key, "_asked"), ["media_id", "chunk_idx"]).select(key, "_asked", "line_no", "speaker", "translation", "ok")
     said = F.sort_array(F.collect_list(F.struct("line_no", "speaker", F.col("translation").alias("text"))))
-    new = made.groupBy(key).agg(F.bool_and("ok").alias("ok"), F.transform(said, lambda x: F.struct(x["speaker"], x["text"])).cast(PAIRS).alias("translated_pairs")).filter("ok").select(key, "translated_pairs")
-    asked = misses.select("media_id", "chunk_idx", key, F.posexplode("pairs").alias("line_no", "p"))
-    fresh = asked.join(made.select(key, "line_no", "translation", "ok"), [key, "line_no"])
+    new = made.filter(F.col(key).isNotNull()).groupBy(key).agg(F.bool_and("ok").alias("ok"), F.transform(said, lambda x: F.struct(x["speaker"], x["text"])).cast(PAIRS).alias("translated_pairs")).filter("ok").select(key, "translated_pairs")
+    wanted = misses.select("media_id", "chunk_idx", "_asked", F.posexplode("pairs").alias("line_no", "p"))
+    fresh = wanted.join(made.select("_asked", "line_no", "translation", "ok"), ["_asked", "line_no"])
     kept = hits.select("media_id", "chunk_idx", F.posexplode("pairs").alias("line_no", "p"), F.col("translated_pairs").alias("t"))
     kept = kept.withColumn("translation", F.get("t", F.col("line_no"))["text"])
     kept = kept.withColumn("ok", F.col("translation").isNotNull())
@@ -205,14 +257,15 @@ def translate_cached(chunks: DataFrame, cache: DataFrame, model: Callable, sourc
     return fresh.select(*columns).unionByName(kept.select(*columns)), new
 
 
-def refine(chunks: DataFrame, model: Callable, attempts: int = 3) -> DataFrame:
-    """UD2 with VAL2: chunks (media_id, chunk_idx, pairs) with refined lines; those that needed a repair are asked for again, and the last attempt is kept as repaired."""
+def refine(chunks: DataFrame, model: Callable, source: str = "", target: str = "", attempts: int = 3, glossary: dict[str, str] | None = None, persona: str = "normal") -> DataFrame:
+    """UD2 with SC16 and VAL2: chunks (media_id, chunk_idx, pairs) with prompt and refined lines; those that needed a repair are asked for again, and the last attempt is
+    kept as repaired.  model takes requests {prompt, pairs}, as translate() makes them."""
     from .graph import shared_folder_set
 
     shared_folder_set(chunks)
     todo, done = chunks, None
     for attempt in range(1, attempts + 1):
-        answers = call_model(todo, model, "pairs", "raw").withColumn("refined", F.from_json("raw", REFINED))
+        answers = asked(todo, model, source, target, glossary, persona, "refine").withColumn("refined", F.from_json("raw", REFINED))
         tried = repair_refinement(answers, attempt == attempts).withColumn("attempt", F.lit(attempt)).checkpoint()
         ready = tried.filter(~F.col("needs_retry"))
         done = ready if done is None else done.unionByName(ready)
@@ -221,6 +274,33 @@ def refine(chunks: DataFrame, model: Callable, attempts: int = 3) -> DataFrame:
             return done
 
 
+def adjust_lengths(rows: DataFrame, model: Callable, source: str, target: str, text: str = "text", chars: str = "target_chars", attempts: int = 3, glossary: dict[str, str] | None = None, persona: str = "normal") -> DataFrame:
+    """UD3: rows with adjusted, text said in about `chars` characters, and ok.
+
+    model takes requests {prompt, text, target_chars}.  Its answer is a JSON object with a text, or the text itself if it doesn't look like one; rows without a usable answer are
+    asked for again, `attempts` times in all, and then keep their text.  A null or blank text, or a null target, is kept without a call.
+    """
+    from .graph import shared_folder_set
+
+    shared_folder_set(rows)
+    rules = F.lit("Rules:\n" + PERSONAS.get(persona, PERSONAS["normal"]))
+    able = (F.trim(F.coalesce(text, F.lit(""))) != "") & F.col(chars).isNotNull()
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row")
+    every = rows.select(row, F.col(text).cast("string").alias("text"), F.col(chars).cast("long").alias("target_chars"), able.alias("_able")).checkpoint()
+    kept = lambda df, said, ok: df.select("_row.*", said.alias("adjusted"), F.lit(ok).alias("ok"))
+    out, todo = kept(every.filter(~F.col("_able")), F.col("text"), False), every.filter("_able").drop("_able")
+    for attempt in range(1, attempts + 1):
+        asking = prompts(todo.withColumn("persona_rules", rules), source, target, glossary, persona, "adjust").drop("persona_rules")
+        answered = call_model(asking.withColumn("_request", F.struct("prompt", "text", "target_chars")), model, "_request", "raw")
+        plain = F.when(~F.ltrim("raw").startswith("{"), F.col("raw"))
+        said = strip(F.coalesce(F.from_json("raw", "text string")["text"], plain))
+        tried = answered.withColumn("_said", F.when(said != "", said)).checkpoint()
+        out = out.unionByName(kept(tried.filter("_said IS NOT NULL"), F.col("_said"), True))
+        todo = tried.filter("_said IS NULL").select("_row", "text", "target_chars")
+        if attempt == attempts or not todo.take(1):
+            return out.unionByName(kept(todo, F.col("text"), False))
+
+
 def spoken_ms(rows: DataFrame, estimate: Column, engine: Callable | None = None, text: str = "text", measured: str | None = None) -> DataFrame:
     """UD4: rows with spoken_ms: the measured length where there is one, else the engine's own estimate (a function of a list of texts; None where it has none), else
     the native estimate."""

@@ -43,14 +43,15 @@ def select_variant(rows: DataFrame, estimate, prefer_shorter: bool = True, low:
     return out.select(*rows.columns, F.element_at(F.array(*map(F.lit, names)), F.col("_k") + 1).alias("track"), text.alias("chosen_text"), F.round("_best.d", 6).alias("deviation"))
 
 
-def reselect(attempts: DataFrame, low: float = COMFORT[0], high: float = COMFORT[1]) -> DataFrame:
+def reselect(attempts: DataFrame, prefer_shorter: bool = True, low: float = COMFORT[0], high: float = COMFORT[1]) -> DataFrame:
     """TOP6: per segment the best measured attempt (media_id, seg_idx, ord, track, text, slot_ms, spoken_ms).
 
-    A text already tried counts once (lowest ord), failed attempts (0 ms) are skipped, and a later one must be strictly better.
+    A text already tried counts once (lowest ord), failed attempts (0 ms) are skipped, and a later one must be strictly better: a smaller
+    absolute deviation, on ties a negative one if prefer_shorter (when pauses are removed).
     """
     tried = attempts.filter("spoken_ms > 0").groupBy("media_id", "seg_idx", "text").agg(F.min_by(F.struct("ord", "track", "slot_ms", "spoken_ms"), "ord").alias("t"))
     d = deviation(F.round(F.col("t.slot_ms") / F.col("t.spoken_ms"), 9), low, high)
-    key = F.struct(F.abs(d).alias("a"), F.col("t.ord").alias("o"))
+    key = F.struct(F.abs(d).alias("a"), F.when(F.lit(prefer_shorter) & (d < 0), 0).otherwise(1).alias("b"), F.col("t.ord").alias("o"))
     best = tried.groupBy("media_id", "seg_idx").agg(F.min_by(F.struct(F.col("t.track").alias("track"), "text", d.alias("d")), key).alias("b"))
     return best.select("media_id", "seg_idx", "b.track", "b.text", F.round("b.d", 6).alias("deviation"), (F.abs("b.d") > 0.15).alias("needs_adjusting"))
 

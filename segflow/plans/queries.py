@@ -692,7 +692,7 @@ def top5_first_phrases(x):
     return speakers.first_phrases(x.segments()).select("media_id", "seg_idx", "speaker", "text", "rank")
 
 
-@query(sql(f"""SELECT media_id, seg_idx, b.track AS track, b.t AS text, round(b.d, 6) AS deviation, abs(b.d) > 0.15 AS needs_adjusting FROM (SELECT media_id, seg_idx, arg_min({{'track': track, 't': t, 'd': d}}, {{'a': abs(d), 'o': ord}}) AS b FROM (
+@query(sql(f"""SELECT media_id, seg_idx, b.track AS track, b.t AS text, round(b.d, 6) AS deviation, abs(b.d) > 0.15 AS needs_adjusting FROM (SELECT media_id, seg_idx, arg_min({{'track': track, 't': t, 'd': d}}, {{'a': abs(d), 'b': CASE WHEN d < 0 THEN 0 ELSE 1 END, 'o': ord}}) AS b FROM (
   SELECT *, CAST({DEV.format(r='r')} AS DOUBLE) AS d FROM (SELECT media_id, seg_idx, t, min(ord) AS ord, arg_min(track, ord) AS track, round(any_value(end_ms - start_ms) / arg_min(sp, ord), 9) AS r FROM (
     SELECT media_id, seg_idx, start_ms, end_ms, ord, track, t, CASE WHEN seg_idx % 37 = 36 THEN 0 ELSE 60 * length(t) * (60 + seg_idx * 13 % 80) // 100 END AS sp FROM (
       SELECT *, unnest([0::BIGINT, 1, 2, 3]) AS ord, unnest(['translation', 'very_short_translation', 'short_translation', 'long_translation']) AS track, unnest([translation, very_short_translation, short_translation, long_translation]) AS t FROM variants)) WHERE sp > 0 GROUP BY media_id, seg_idx, t)) GROUP BY ALL)""", "variants"))
@@ -892,6 +892,42 @@ def ud3_adjust_length(x):
     return translate.call_model(rows, stubs.adjust_length, "ask", "adjusted").select("media_id", "seg_idx", "adjusted")
 
 
+@query(sql("""SELECT media_id, seg_idx, CASE WHEN n IS NULL THEN text WHEN length(text) % 4 = 0 THEN n || '/' || text WHEN length(text) % 4 = 1 THEN n || ':' || text ELSE text END AS adjusted, n IS NOT NULL AND length(text) % 4 < 2 AS ok
+FROM (SELECT *, CASE WHEN spoken_ms > 0 THEN CAST(greatest(1, floor(length(text) * least(2, greatest(0.2::DOUBLE, (end_ms - start_ms) / spoken_ms)))) AS BIGINT) END AS n FROM synth)""", "synth"))
+def ud3_adjust_or_keep(x):
+    """A model that answers in JSON, in plain text, brokenly or not at all; its prompt names the target, and what it can't adjust stays."""
+    slot, spoken = F.col("end_ms") - F.col("start_ms"), F.nullif(F.col("spoken_ms"), F.lit(0))
+    rows = x.synth().select("media_id", "seg_idx", "text", variants.target_chars(F.col("text"), slot, spoken).alias("target_chars"))
+    return translate.adjust_lengths(rows, stubs.moody_adjuster, "fr", "en").select("media_id", "seg_idx", "adjusted", "ok")
+
+
+ROUNDS = """chunk_list AS MATERIALIZED (
+  SELECT *, coalesce(lead(length(t)) OVER (PARTITION BY media_id ORDER BY chunk_idx), 0) AS after
+  FROM (SELECT media_id, chunk_idx, string_agg(speaker || ': ' || text, chr(10) ORDER BY seg_idx) AS t, count(*) AS n FROM chunked GROUP BY ALL)
+), told AS (
+  SELECT media_id, chunk_idx, after, 0::BIGINT AS before, CAST(length(t) + n * (3 + length('0') + length(CAST(after AS VARCHAR))) AS BIGINT) AS size, NULL::BIGINT AS last FROM chunk_list WHERE chunk_idx = 0
+  UNION ALL
+  SELECT media_id, chunk_idx, after, before, CAST(length(t) + n * (3 + length(CAST(before AS VARCHAR)) + length(CAST(after AS VARCHAR))) AS BIGINT), size
+  FROM (SELECT c.*, w.size, CAST(w.size + coalesce(w.last + 2, 0) AS BIGINT) AS before FROM told w JOIN chunk_list c ON c.media_id = w.media_id AND c.chunk_idx = w.chunk_idx + 1)
+)"""
+
+
+@query(sql("""SELECT c.media_id, c.chunk_idx, CAST(row_number() OVER (PARTITION BY c.media_id, c.chunk_idx ORDER BY seg_idx) - 1 AS BIGINT) AS line_no, text AS original, text || '<' || before || ',' || after || '>' AS translation
+FROM chunked c JOIN told USING (media_id, chunk_idx)""", "segments", "chunked", recursive=CHUNK_WALK, more=ROUNDS))
+def ud1_translated_context(x):
+    """A model that tells the sizes of the contexts in its prompt: the translated chunks before and the source of the next, for halves of a chunk too."""
+    lines, _ = translate.translate_in_rounds(translate.chunk_text(chunks(x)), stubs.context_echo_model, "fr", "en", attempts=1)
+    return lines.select("media_id", "chunk_idx", "line_no", "original", "translation")
+
+
+@query(sql("SELECT media_id, chunk_idx, CAST(row_number() OVER (PARTITION BY media_id, chunk_idx ORDER BY seg_idx) - 1 AS BIGINT) AS line_no, '- a = b' || chr(10) || '- c = d' || chr(10) AS short, 'Polish a translation from fr to en for speaking aloud.' AS long FROM chunked", "segments", "chunked", recursive=CHUNK_WALK))
+def ud2_prompted_refinement(x):
+    """A refiner that shows the terms and the heading of the prompt it got."""
+    out = translate.refine(translate.chunk_text(chunks(x)), stubs.prompt_echo_model, "fr", "en", glossary={"a": "b", "c": "d"})
+    z = out.select("media_id", "chunk_idx", F.posexplode("lines").alias("line_no", "z"))
+    return z.select("media_id", "chunk_idx", "line_no", "z.short", "z.long")
+
+
 @query(sql("SELECT s.media_id, s.seg_idx, s.speaker, CASE s.speaker WHEN 'S_user' THEN 'alpha' ELSE 'beta' END AS tts_system, p.g AS grp, round(q.ratio, 6) AS ratio FROM segments s JOIN placed p USING (media_id, seg_idx) JOIN (SELECT media_id, speaker, g, round(greatest(0.5::DOUBLE, least(1.15::DOUBLE, (max_by(end_ms, seg_idx) - min(start_ms)) / max(in_end))), 9) AS ratio FROM placed GROUP BY ALL) q ON q.media_id = p.media_id AND q.speaker = p.speaker AND q.g = p.g", "synth", recursive=PLACED))
 def snk12_synthesis_plan(x):
     rows = timeline.real_positions(placed(x)).select("media_id", "seg_idx", "speaker", "grp", "ratio")

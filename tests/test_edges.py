@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 from segflow.functions import timefmt
-from segflow.operators import cache, frames, intervals, translate
+from segflow.operators import cache, frames, intervals, translate, variants
 from segflow.plans.fixtures import Inputs
 from segflow.sinks import files
 from segflow.sources import media, transcripts
@@ -55,7 +55,7 @@ def test_failed_chunks_are_halved_until_they_pass(spark):
     chunks = spark.createDataFrame([(1, 0, pairs), (1, 1, [("B", "bad")])], "media_id long, chunk_idx long, pairs " + translate.PAIRS)
 
     def model(batch):  # answers only requests of up to two lines, and never the word bad
-        return [None if len(p) > 2 or p[0]["text"] == "bad" else [{"speaker": x["speaker"], "text": x["text"].upper()} for x in p] for p in batch]
+        return [None if len(p) > 2 or p[0]["text"] == "bad" else [{"speaker": x["speaker"], "text": x["text"].upper()} for x in p] for p in (r["pairs"] for r in batch)]
 
     lines, log = translate.translate(chunks, model, "en", "fr")
     got = values(lines, "chunk_idx", "line_no", "translation", "ok")
@@ -74,6 +74,61 @@ def test_cache_round(spark, tmp_path):
     assert cache.hit_counts(rows, spark.read.parquet(str(tmp_path / "c"))).first().asDict() == {"hits": 3, "misses": 1, "new_keys": 1}
 
 
+def test_prompts_reach_the_model_with_context_and_halves_keep_it(spark):
+    chunks = spark.createDataFrame([(1, 0, [("A", f"line {i}") for i in range(3)], "was", "comes"), (1, 1, [("B", "x")], None, None)], f"media_id long, chunk_idx long, pairs {translate.PAIRS}, context_before string, context_after string")
+
+    def model(batch):  # answers single lines, with its prompt
+        return [None if len(r["pairs"]) > 1 else [{"speaker": r["pairs"][0]["speaker"], "text": r["prompt"]}] for r in batch]
+
+    lines, log = translate.translate(chunks, model, "en", "fr", attempts=1, glossary={"sea": "mer"}, persona="poet")
+    want = lambda text, before, after: f"{translate.PERSONAS['poet']}\nTranslate from en to fr.\nTerms:\n- sea = mer\nBefore:\n{before}\nText:\n{text}\nAfter:\n{after}"
+    assert values(lines, "chunk_idx", "line_no", "translation") == [(0, i, want(f"A: line {i}", "was", "comes")) for i in range(3)] + [(1, 0, want("B: x", "", ""))]
+    assert want("A: line 0\nA: line 1\nA: line 2", "was", "comes") in {r["prompt"] for r in log.filter("part = ''").collect()}
+
+
+def test_rounds_use_translated_chunks(spark):
+    chunks = spark.createDataFrame([(m, c, f"A: t{c}", [("A", f"t{c}")]) for m, n in ((1, 4), (2, 1)) for c in range(n)], f"media_id long, chunk_idx long, text string, pairs {translate.PAIRS}")
+
+    def model(batch):
+        return [[{"speaker": "A", "text": r["pairs"][0]["text"].upper() + "(" + r["prompt"].split("Before:\n")[1].split("\nText:")[0].replace("\n\n", "+") + "/" + r["prompt"].split("After:\n")[1] + ")"}] for r in batch]
+
+    got = dict(values(translate.translate_in_rounds(chunks.filter("media_id = 1"), model, "en", "fr", before=2)[0], "chunk_idx", "translation"))
+    assert got[0] == "T0(/A: t1)" and got[1] == f"T1(A: {got[0]}/A: t2)" and got[2] == f"T2(A: {got[0]}+A: {got[1]}/A: t3)" and got[3] == f"T3(A: {got[1]}+A: {got[2]}/)"
+    assert translate.translate_in_rounds(chunks, model, "en", "fr")[0].count() == 5
+    assert translate.translate_in_rounds(chunks.limit(0), model, "en", "fr")[0].count() == 0
+
+
+def test_lengths_are_adjusted_or_kept(spark):
+    rows = spark.createDataFrame([(1, "json", 3), (2, "plain", 9), (3, "bad", 4), (4, " ", 4), (5, None, 4), (6, "json", None), (7, "later", 5)], "i int, text string, target_chars long")
+    tries = spark.sparkContext.accumulator(0)
+
+    def model(batch):
+        tries.add(len(batch))
+        return [{"json": {"text": f" {r['target_chars']} in {r['prompt'].split(chr(10))[0]}"}, "plain": "just text", "later": "  "}.get(r["text"], "{") for r in batch]
+
+    got = values(translate.adjust_lengths(rows, model, "en", "fr", attempts=2), "i", "adjusted", "ok")
+    assert got == [(1, "3 in Say the en text in fr in about 3 characters.", True), (2, "just text", True), (3, "bad", False), (4, " ", False), (5, None, False), (6, "json", False), (7, "later", False)]
+    assert tries.value == 4 + 2
+
+
+def test_rows_without_a_cache_key_keep_their_results(spark):
+    chunks = spark.createDataFrame([(1, 0, None, [("A", "a")]), (1, 1, None, [("A", "b")]), (2, 0, "k", [("A", "c")]), (3, 0, "k", [("A", "c")])], f"media_id long, chunk_idx long, key string, pairs {translate.PAIRS}")
+    none = spark.createDataFrame([], f"key string, translated_pairs {translate.PAIRS}")
+    model = lambda batch: [[{"speaker": p["speaker"], "text": p["text"].upper()} for p in r["pairs"]] for r in batch]
+    lines, new = translate.translate_cached(chunks, none, model, "en", "fr")
+    assert values(lines, "media_id", "chunk_idx", "translation") == [(1, 0, "A"), (1, 1, "B"), (2, 0, "C"), (3, 0, "C")]
+    assert [r["key"] for r in new.collect()] == ["k"]
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "i int, key string")
+    full, fresh = cache.cached(rows, spark.createDataFrame([("a", "A")], "key string, result string"), lambda m: m.select("key", F.lit("made").alias("result")))
+    assert values(full, "i", "result") == [(1, "A"), (2, "made")] and fresh.count() == 0
+
+
+def test_a_tie_in_reselection_goes_to_the_shorter(spark):
+    attempts = spark.createDataFrame([(1, 0, 0, "t", "long", 250, 1000), (1, 0, 1, "s", "short", 1500, 1000)], "media_id long, seg_idx int, ord int, track string, text string, slot_ms long, spoken_ms long")
+    got = [variants.reselect(attempts, prefer, 0.5, 1.0).first() for prefer in (True, False)]
+    assert [(r["text"], r["deviation"]) for r in got] == [("short", -0.5), ("long", 0.5)]
+
+
 def test_retime_without_removals_and_clamping(spark):
     rows = spark.createDataFrame([(1, 0, 100, 200), (1, 1, 4000, 4500), (1, 2, 9000, 9100), (2, 0, 5, 6)], "media_id long, seg_idx int, start_ms long, end_ms long")
     pauses = spark.createDataFrame([(1, 1000, 5000)], "media_id long, start_ms long, end_ms long")
