@@ -31,6 +31,8 @@ from .suffixdedup import COMPARE, PACKED, SPANS, batch_of, by_part, compressed,
 WINDOW, BLOCK = 35, 18
 #: Bytes of text whose words are hashed together, and words of candidate windows that are.
 SLICE, WORDS = 8 << 20, 1 << 20
+#: Bytes of a block's hash that are kept; its part holds further bits, more of them the more parts there are.
+KEY = 5
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -146,7 +148,7 @@ def probes(docs: DataFrame, n_parts: int) -> DataFrame:
                     nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
                     h = rolling(key, BLOCK)[nth + first[owner]]
                     at = nth + base[owner]
-                    yield batch_of(COMPARE, packed_places(hash_part(h, n_parts), n_parts, docs_[owner], at, np.zeros(len(at), bool), (h, 6)))
+                    yield batch_of(COMPARE, packed_places(hash_part(h, n_parts), n_parts, docs_[owner], at, np.zeros(len(at), bool), (h, KEY)))
 
     return map_texts(docs, run, PACKED)
 
@@ -157,7 +159,7 @@ def hits(dealt: DataFrame, n_parts: int) -> DataFrame:
     def run(batches):
         held, _ = by_part(batches)
         for part in sorted(held):
-            doc, at, _, key = unpacked_places(held.pop(part), 6)
+            doc, at, _, key = unpacked_places(held.pop(part), KEY)
             label, size = counted((key,))
             indexed = np.zeros(len(size), bool)
             indexed[label[at % BLOCK == 0]] = True
