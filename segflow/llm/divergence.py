@@ -26,7 +26,7 @@ from .common import cut, map_texts, partitions, slices, utf8
 
 SCALE, ADDED, LEAST_DOCS, TOP = 1_000_000_000, 5, 30, 50
 #: Rows and columns of a block, a power of two.
-SIDE = 128
+SIDE = 256
 #: Bytes that separate terms: ASCII but for the letters.
 GAPS = np.array([c < 0x80 and not (65 <= c <= 90 or 97 <= c <= 122) for c in range(256)])
 
@@ -79,6 +79,11 @@ def share(n: str, total: str, kept: str) -> str:
     return f"cast(1 + (cast({SCALE} as decimal(10,0)) * cast({n} + {ADDED} as decimal(20,0))) div cast({total} + {ADDED} * {kept} as decimal(20,0)) as bigint)"
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Values of a sorted array, once each."""
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
 class Tree:
     """K-squared tree of a SIDE by SIDE block: for each level the bits of the quadrants' children, and the values of the cells in leaf order."""
 
@@ -91,61 +96,63 @@ class Tree:
         code, self.values = code[order], value[order]
         self.levels: list[np.ndarray] = []
         for level in range(depth):
-            at = np.unique(code >> 2 * (depth - level - 1))
-            parents = np.unique(at >> 2)
-            bits = np.zeros((len(parents), 4), bool)
-            bits[np.searchsorted(parents, at >> 2), at & 3] = True
+            at = distinct(code >> 2 * (depth - level - 1))
+            new = np.append(True, at[1:] >> 2 != at[:-1] >> 2)[: len(at)]
+            bits = np.zeros((int(new.sum()), 4), bool)
+            bits[np.cumsum(new) - 1, at & 3] = True
             self.levels.append(bits)
-        #: Number of the first child of each node's quadrant, per level: set bits before it.
-        self.rank = [np.cumsum(bits.ravel()).reshape(-1, 4) - 1 for bits in self.levels]
+        #: Number of each quadrant's node in the next level (its set bits before), -1 where it is all zero.
+        self.child = [np.where(bits, np.cumsum(bits.ravel()).reshape(-1, 4) - 1, -1).astype(np.int32) for bits in self.levels]
 
     def share(self, cell: np.ndarray, zero: np.ndarray) -> np.ndarray:
         """Value of each cell, zero's where there is none (-1)."""
         return np.where(cell >= 0, self.values[np.maximum(cell, 0)], zero) if len(self.values) else zero
 
-    def children(self, level: int, node: np.ndarray, quadrant: np.ndarray) -> np.ndarray:
+    def children(self, level: int, node: np.ndarray, quadrant: int) -> np.ndarray:
         """Number of the child in the next level, or -1 where the quadrant is all zero or the node is none."""
         if not len(self.levels[level]):
-            return np.full(len(node), -1)
-        safe = np.maximum(node, 0)
-        return np.where((node >= 0) & self.levels[level][safe, quadrant], self.rank[level][safe, quadrant], -1)
+            return np.full(len(node), -1, np.int32)
+        return np.append(self.child[level][:, quadrant], np.int32(-1))[node]
 
 
 def add_distances(out: np.ndarray, a: Tree, b: Tree, za: np.ndarray, zb: np.ndarray, n_columns: int) -> None:
     """Add the distances over one column block of every row of a to every row of b to out; za and zb are the rows' shares of a zero cell.
 
-    Rectangles of pairs that are zero on both sides are priced with their number of real columns, all at once per level.
+    Rectangles of pairs that are zero on both sides are priced with their number of real columns, all at once per level.  A tree meets itself in the half
+    above the diagonal, which is mirrored.
     """
     depth = SIDE.bit_length() - 1
-    zero = np.zeros((SIDE, SIDE), np.int64)
-    root = lambda t: 0 if len(t.values) else -1
-    todo = [(0, np.array([[0, 0, 0, root(a), root(b)]]))]
+    zero, sums = np.zeros((SIDE, SIDE), np.int64), np.zeros(SIDE * SIDE)
+    start = [np.array([x], np.int32) for x in (0, 0, 0, 0 if len(a.values) else -1, 0 if len(b.values) else -1)]
+    todo = [(0, start)]
     while todo:
-        level, front = todo.pop()
-        both = (front[:, 3] < 0) & (front[:, 4] < 0)
+        level, (row, other, column, node, node2) = todo.pop()
         size = SIDE >> level
+        both = (node < 0) & (node2 < 0)
         if both.any():
             grid = np.zeros((1 << level, 1 << level), np.int64)
-            np.add.at(grid, (front[both, 0], front[both, 1]), np.clip(n_columns - front[both, 2] * size, 0, size))
+            np.add.at(grid, (row[both], other[both]), np.clip(n_columns - column[both] * size, 0, size))
             zero += grid.repeat(size, 0).repeat(size, 1)
-        front = front[~both]
+            row, other, column, node, node2 = (x[~both] for x in (row, other, column, node, node2))
         if level == depth:
-            i, j = front[:, 0], front[:, 1]
-            np.add.at(out, (i, j), np.abs(a.share(front[:, 3], za[i]) - b.share(front[:, 4], zb[j])))
+            # sums of whole numbers below 2**53, so exact
+            sums += np.bincount(row.astype(np.int64) * SIDE + other, np.abs(a.share(node, za[row]) - b.share(node2, zb[other])), SIDE * SIDE)
             continue
-        for begin in range(0, len(front), 1 << 16):
-            part = front[begin : begin + (1 << 16)]
+        for begin in range(0, len(row), 1 << 16):
+            part = slice(begin, begin + (1 << 16))
             below = []
             for c in (0, 1):
-                left = [a.children(level, part[:, 3], np.full(len(part), 2 * i + c)) for i in (0, 1)]
-                right = [b.children(level, part[:, 4], np.full(len(part), 2 * j + c)) for j in (0, 1)]
+                left, right = ([t.children(level, x[part], 2 * i + c) for i in (0, 1)] for t, x in ((a, node), (b, node2)))
                 for i in (0, 1):
                     for j in (0, 1):
-                        below.append(np.column_stack([2 * part[:, 0] + i, 2 * part[:, 1] + j, 2 * part[:, 2] + c, left[i], right[j]]))
-            below = np.concatenate(below)
-            below = below[below[:, 2] * (size >> 1) < n_columns]
-            todo.append((level + 1, below))
-    out += zero * np.abs(za[:, None] - zb[None, :])
+                        below.append((2 * row[part] + i, 2 * other[part] + j, 2 * column[part] + c, left[i], right[j]))
+            below = [np.concatenate(x) for x in zip(*below, strict=True)]
+            stays = below[2] * (size >> 1) < n_columns
+            if a is b:
+                stays &= below[0] <= below[1]
+            todo.append((level + 1, [x[stays] for x in below]))
+    found = sums.reshape(SIDE, SIDE).astype(np.int64) + zero * np.abs(za[:, None] - zb[None, :])
+    out += np.triu(found, 1) + np.triu(found, 1).T if a is b else found
 
 
 def trees(cells: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
@@ -203,9 +210,10 @@ def block_distances(blocks: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, key: str, block: str, place: str, of: DataFrame) -> DataFrame:
     """df with a block and a place of less than SIDE in it for every key of a language; of has the number of keys of each language as k.
 
-    Keys are dealt to hashed blocks of about SIDE / 2 and numbered there; blocks that come out larger give further ones.
+    Keys are dealt to hashed blocks of about three quarters of SIDE and numbered there; blocks that come out larger give further ones.
     """
-    spread = df.join(of, "lang").withColumn("_h", F.pmod(F.xxhash64(key), F.ceil(F.col("k") / (SIDE // 2))).cast("long")).drop("k")
+    spread = df.join(of, "lang").withColumn("_h", F.pmod(F.xxhash64(key), F.ceil(F.col("k") / (SIDE * 3 // 4))).cast("long")).drop("k")
+    spread = spread.repartition(partitions(df.sparkSession), "lang", "_h")  # not by the language alone, which the join deals by
     nth = F.row_number().over(Window.partitionBy("lang", "_h").orderBy(key)) - 1
     spread = spread.withColumn("_n", nth)
     name = F.shiftleft("_h", 32) + F.floor(F.col("_n") / SIDE)
@@ -230,7 +238,7 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int =
     priced = cut(priced.withColumn("p", F.expr(share("n", "n_group", "v"))).withColumn("q", F.expr(share("all", "total", "v"))).select("lang", "source", "term", "rb", "row", "cb", "col", "p", "q"))
 
     blocks = cut(trees(priced, groups, columns))
-    sums = block_distances(blocks.repartition(partitions(docs.sparkSession), "lang", "cb")).groupBy("lang", "rb", "row", "rb2", "row2").agg(F.sum("value").alias("value"))
+    sums = cut(block_distances(blocks.repartition(partitions(docs.sparkSession), "lang", "cb")).groupBy("lang", "rb", "row", "rb2", "row2").agg(F.sum("value").alias("value")))
     one, two = (groups.select("lang", F.col("source").alias(s), F.col("rb").alias(rb), F.col("row").alias(row)) for s, rb, row in (("source", "rb", "row"), ("item", "rb2", "row2")))
     ways = sums.unionByName(sums.filter("rb < rb2").select("lang", F.col("rb2").alias("rb"), F.col("row2").alias("row"), F.col("rb").alias("rb2"), F.col("row").alias("row2"), "value"))
     # every pair of a language's groups is a row of the result; a language without kept terms has no sums
