@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut, map_texts, mix64, partitions, slices
 
 #: Bytes of text in a slice (a longer text is one of its own) and pairs in a chunk of a run.
-SLICE, CHUNK = 4 << 20, 1 << 14
+SLICE, CHUNK = 2 << 20, 1 << 14
 #: Bits of a B id in a pair's code.
 B_BITS = 24
 #: Part of the row that holds a slice's documents.
@@ -57,6 +58,9 @@ class Side:
         self.texts = np.array([f"{k}{s}" for s in (",", "|", ";", "") for k in range(len(tokens))], object)
         self.size = len(tokens)
 
+    def token(self, k: int) -> bytes:
+        return self.bytes[self.start[k] : self.start[k] + self.length[k]].tobytes()
+
     def joined(self, ids: np.ndarray) -> np.ndarray:
         n = self.length[ids]
         upto = np.cumsum(n)
@@ -81,56 +85,42 @@ class Encoders:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.side_b = Side([bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)])
-        self.pattern, self.memo, self.held = a_pattern(a_path), {}, 0
+        self.ranked = ranked(a_path, self.side_a)
 
     def encode_a(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; words, which the tokenizer encodes one by one, are remembered."""
-        if self.pattern is None:
+        if self.ranked is None:
             return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        whole = [k for k, t in enumerate(texts) if UNSETTLED.search(t)]
-        split = [self.pattern.findall(t) for t in texts]
-        for k in whole:
-            split[k] = []
-        memo = self.memo
-        new = list({w for words in split for w in words if w not in memo})
-        for w, e in zip(new, self.a.encode_batch(new, add_special_tokens=False), strict=True):
-            memo[w] = e.ids
-        out = [[k for w in words for k in memo[w]] for words in split]
-        for k, e in zip(whole, self.a.encode_batch([texts[k] for k in whole], add_special_tokens=False), strict=True):
-            out[k] = e.ids
-        self.held += sum(map(len, new))
-        if self.held > MEMO:
-            memo.clear()
-            self.held = 0
-        return out
+        return [self.a.encode(t, add_special_tokens=False).ids if UNSETTLED.search(t) else self.ranked.encode_ordinary(t) for t in texts]
 
     def encode_b(self, texts: list[str]) -> list[list[int]]:
         return self.b.encode(texts, num_threads=1)
 
 
-#: Characters of words that an encoder remembers.
-MEMO = 4 << 20
 #: Ranges in which versions of Unicode differ about letters and digits: texts with any of these are left to the tokenizer as they are.
 UNSETTLED = re.compile("[\u0530-\u1dff\u2080-\u209f\ua7c0-\uabff\U00010000-\U0010ffff]")
 
 
-def a_pattern(a_path: str):
-    """The pattern by which a byte-level tokenizer cuts words, where it is known and the file asks for nothing else; else None, and texts are encoded whole."""
+def ranked(a_path: str, side: "Side"):
+    """A quicker encoder of the same ids, where the file is a plain byte-level one whose ids are the order of its merges; else None."""
     import json
 
     import public_tokenizers
-    import regex
+    import tiktoken
 
     with open(a_path, encoding="utf-8") as f:
         spec = json.load(f)
-    pre = spec.get("pre_tokenizer") or {}
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
     plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and not spec.get("normalizer")
-    return regex.compile(public_tokenizers.PATTERN) if plain else None
+    plain = plain and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    vocabulary = model.get("vocab", {})
+    made = [vocabulary.get("".join(m.split(" ", 1) if isinstance(m, str) else m), -1) for m in model.get("merges", [])]
+    if not plain or sorted(set(made)) != made or (made and made[0] < 256) or len(made) + 256 != len(vocabulary):
+        return None
+    ranks = {side.token(k): k for k in vocabulary.values()}
+    return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    from itertools import chain
-
     return np.fromiter(chain.from_iterable(lists), np.int64), np.array([len(x) for x in lists], np.int64)
 
 
@@ -162,22 +152,29 @@ def aligned(encoders: Encoders, texts: list[str]):
     a, b, owner_a, owner_b = a[keep_a], b[keep_b], owner_a[keep_a], owner_b[keep_b]
     n_a, n_b = n_a * good, n_b * good
     end_a, end_b = np.cumsum(side_a.length[a]), np.cumsum(side_b.length[b])  # good texts end together on both sides
-    both = np.intersect1d(end_a, end_b, assume_unique=True)
-    every = np.union1d(end_a, end_b)
-    link_a, link_b = np.searchsorted(end_a, every), np.searchsorted(end_b, every)
+    # all ends in order, those of both sides once: each ends one link, between the tokens that are open there
+    order = np.argsort(np.concatenate([end_a, end_b]), kind="stable")
+    is_a, every = order < len(a), np.concatenate([end_a, end_b])[order]
+    twice = np.append(every[1:] == every[:-1], False)[: len(every)]  # an A end before the B end at the same byte
+    lone = np.append(True, ~twice[:-1])[: len(every)]
+    has_a, both = is_a[lone], twice[lone]
+    has_b = ~has_a | both
+    link_a, link_b = np.cumsum(has_a) - has_a, np.cumsum(has_b) - has_b
     owner = owner_a[link_a]
     n_links = np.bincount(owner, minlength=len(texts))
-    n_groups = np.bincount(owner_a[np.searchsorted(end_a, both)], minlength=len(texts))
+    n_groups = np.bincount(owner[both], minlength=len(texts))
     code = a[link_a] << B_BITS | b[link_b]
 
     # tokens in the order of the digest: by group, side and place, each followed by its separator
-    group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+    group = np.cumsum(both) - both
+    group_a, group_b = group[has_a], group[has_b]
     last_a, last_b = np.append(group_a[1:] != group_a[:-1], True)[: len(a)], np.append(group_b[1:] != group_b[:-1], True)[: len(b)]
     ends_doc = np.append(owner_b[1:] != owner_b[:-1], True)[: len(b)]
     parts_a = side_a.texts[a + side_a.size * last_a]
     parts_b = side_b.texts[b + side_b.size * np.where(ends_doc, 3, np.where(last_b, 2, 0))]
-    place_a = np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")
-    place_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")
+    upto_a, upto_b = (np.cumsum(np.bincount(g, minlength=1)) for g in (group_a, group_b))
+    place_a = np.arange(len(a)) + np.append(0, upto_b)[group_a]
+    place_b = np.arange(len(b)) + upto_a[group_b]
     parts = np.empty(len(a) + len(b), object)
     parts[place_a], parts[place_b] = parts_a, parts_b
     parts = parts.tolist()
