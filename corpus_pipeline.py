@@ -31,7 +31,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier, fitted on the labelled ones among them, scores at LEAST_SCORE or more."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     score = fresh(docs, "score")
-    return quality.score(docs, model, name=score).filter(F.col(score) >= LEAST_SCORE).select(*docs.columns)
+    return quality.score(docs, model, name=score).filter(F.col(score) >= LEAST_SCORE).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,14 +52,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards of the mix in its order, read back: doc_id, start, n_tokens and ids_crc32 of every row.
 
-    The order is that of the files and rows that docs is read from; a table that is not read from files goes by doc_id.
+    The order is that of the files, by the number in a name such as part-00012, and of their rows; a column called _metadata doesn't hide it.  A table that is
+    not read from files goes by doc_id.
     """
-    file, row = fresh(docs, "file"), fresh(docs, "row")
+    part, file, row = (fresh(docs, x) for x in ("part", "file", "row"))
     try:
-        placed = docs.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+        meta = docs.metadataColumn("_metadata")
+        placed = docs.select("*", meta.getField("file_name").alias(file), meta.getField("row_index").alias(row))
     except AnalysisException:
         return tokens_read_back(docs)
-    return tokens_read_back(placed, order=(file, row))
+    numbered = placed.withColumn(part, F.expr(f"try_cast(regexp_extract(`{file}`, '^part-([0-9]+)', 1) AS BIGINT)"))
+    return tokens_read_back(numbered, order=(part, file, row))
 
 
 STAGES = [("quality_classifier", keep_quality), ("near_copies", drop_near_copies), ("decontamination", drop_leaks), ("source_mix", mix_sources), ("token_shards", write_tokens)]
@@ -72,9 +75,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage.  The tables between the stages go to a new folder of the shared one, which is removed at the end."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    out = STAGES[-1][1](spark, docs, sf_dir)
-    remove(spark, folder)
-    return out
+    try:
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        remove(spark, folder)

@@ -63,6 +63,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, ...: Spark's Arrow maps look names up unquoted, so that a dot in one would fail."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def whole_row(df: DataFrame):
     """All columns of df as one struct, so that no column that an operator adds can meet one of df's."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])

@@ -23,7 +23,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, slices
+from .common import cut, map_texts, numbered, slices
 
 NOT_WORD = re.compile(r"[\W_]+")
 
@@ -160,7 +160,8 @@ def without(docs: DataFrame, items: list[tuple[int | None, str]], text: str, rat
 
         find = matcher(items, rate) if items else None
         for batch in batches:
-            for piece in slices(batch, column=text):
+            for piece in slices(batch, column=f"c{at}"):
                 yield piece.filter(pa.array([not (find and t and find(normal(t))) for t in piece.column(at).to_pylist()], pa.bool_()))
 
-    return map_texts(docs, run, docs.schema)
+    rows = numbered(docs)
+    return map_texts(rows, run, rows.schema).toDF(*docs.columns)

@@ -74,5 +74,5 @@ def drop_widespread_lines(docs: DataFrame, text: str = "text", site: str = "sour
     n = F.when(F.col(of).isNull(), 0).otherwise(F.size(split)).cast("long")
     cut_text = F.when(F.col(of).isNotNull(), F.array_join(stay, "\n"))
     removed = F.when(F.col(of).isNull(), 0).otherwise(F.size(split) - F.size(stay)).cast("long")
-    kept = [cut_text.alias(c) if c == text else F.col(row).getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    kept = [cut_text.alias(c) if c == text else F.col(row).getField(c).alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     return joined.select(*kept, n.alias("n_lines"), removed.alias("n_removed"))

@@ -17,8 +17,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_texts, slices, utf8, word_spans
+from .common import map_texts, numbered, slices, utf8, word_spans
 
 PASSAGE, PAIRS = 512, 64
 
@@ -188,17 +189,17 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     """docs with a column of that name (0 to 1) added or replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain arrays: a broadcast may not name this package
     names = [c for c in docs.columns if c.lower() != name.lower()]
-    rows = docs.select(*names)
     at = names.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{name}` double"
+    rows = numbered(docs.select(*[F.col(f"`{c}`") for c in names]))
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches):
         import pyarrow as pa
 
         model = Model.restore(shared.value)
         for batch in batches:
-            for piece in slices(batch, 1 << 20, text):
+            for piece in slices(batch, 1 << 20, f"c{at}"):
                 x, owner = encode(*utf8(piece.column(at)))
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(model.score(x, owner, piece.num_rows), pa.float64())], [*names, name])
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(model.score(x, owner, piece.num_rows), pa.float64())], [*piece.schema.names, "score"])
 
-    return map_texts(rows, run, schema)
+    return map_texts(rows, run, schema).toDF(*names, name)

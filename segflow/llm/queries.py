@@ -79,11 +79,12 @@ def tokens_read_back(docs: DataFrame, path: str | None = None, order: tuple[str,
 
     spark = docs.sparkSession
     place = path or f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
-    write_shards(token_shards(docs, public_tokenizers.path("word_bpe_49k.json"), order=order), place)
-    out = with_starts(cut(decode_documents(read_shards(spark, place))))
-    if path is None:
-        remove(spark, place)
-    return out
+    try:
+        write_shards(token_shards(docs, public_tokenizers.path("word_bpe_49k.json"), order=order), place)
+        return with_starts(cut(decode_documents(read_shards(spark, place))))
+    finally:
+        if path is None:
+            remove(spark, place)
 
 
 def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,7 +261,8 @@ def test_line_dedup_keeps_clashing_columns(spark):
     rows = spark.createDataFrame([(i, f"own\n{line}", f"s{i}", f"k{i}") for i in range(9)], "doc_id long, text string, source string, key string")
     for c in ("of", "row", "check", "held", "_h", "_c", "_gone", "_kept", "line", "site"):
         rows = rows.withColumn(c, F.concat(F.lit(c), F.col("doc_id")))
-    out = linededup.drop_widespread_lines(rows.withColumn("n_lines", F.lit("old")))
+    out = linededup.drop_widespread_lines(rows.withColumn("N_LINES", F.lit("old")))
+    assert [c.lower() for c in out.columns].count("n_lines") == 1
     assert out.filter("text = 'own' AND n_lines = 2 AND n_removed = 1").count() == 9
     for c in ("of", "row", "check", "held", "_h", "_c", "_gone", "_kept", "line", "site"):
         assert out.filter(F.col(c) == F.concat(F.lit(c), F.col("doc_id"))).count() == 9

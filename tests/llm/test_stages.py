@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from segflow.llm.queries import op7_quality_mil
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Names that operators use inside, or give their results.
-CLASHES = ("score", "_id", "_h", "_r", "_same", "key", "row", "text_hash", "file", "slot", "n", "p", "size", "id", "same", "cls", "component_id", "taken")
+CLASHES = ("score", "_id", "_h", "_r", "_same", "key", "row", "text_hash", "file", "slot", "n", "p", "size", "id", "same", "cls", "component_id", "taken", "a.b", "part")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -281,6 +282,35 @@ def test_token_stage(spark, pipeline, folder, tmp_path):
     assert [tuple(r) for r in got] == want
 
 
+@pytest.mark.parametrize("more", [(), ("_metadata",), ("_metadata", "a.b")])
+def test_token_stage_goes_by_file_numbers(spark, pipeline, folder, tmp_path, more):
+    """part-100000 comes after part-99999, and a column called _metadata doesn't hide the order."""
+    at = tmp_path / "many"
+    at.mkdir()
+    for k, doc in ((99_999, 7), (100_000, 3), (5, 9)):
+        one = str(tmp_path / f"one-{k}")
+        rows = spark.createDataFrame([(doc, "a b"), (doc - 1, "c")], "doc_id long, text string")
+        rows.select("*", *[F.lit("x").alias(c) for c in more]).coalesce(1).write.parquet(one)
+        next(Path(one).glob("*.parquet")).rename(at / f"part-{k:05d}-x.parquet")
+    got = dict(pipeline.STAGES)["token_shards"](spark, spark.read.parquet(str(at)), folder).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [9, 8, 7, 6, 3, 2]
+
+
+def test_tables_between_stages_go_when_a_stage_fails(spark, pipeline, folder, tmp_path, monkeypatch):
+    shared = tmp_path / "shared"
+    shared.mkdir()
+    monkeypatch.setattr(pipeline, "shared_dir", lambda _: str(shared))
+    monkeypatch.setattr(pipeline, "table", lambda *_: table(spark, corpus()[0]))
+
+    def fail(*_):
+        raise ValueError("stage")
+
+    monkeypatch.setattr(pipeline, "STAGES", [("first", lambda spark, docs, _: docs), ("second", fail), ("third", fail)])
+    with pytest.raises(ValueError):
+        pipeline.run(spark, folder)
+    assert list(shared.iterdir()) == []
+
+
 def test_token_stage_of_a_table_without_files(spark, pipeline, folder):
     docs = spark.createDataFrame([(3, "c"), (1, "a b"), (None, None)], "doc_id long, text string")
     got = dict(pipeline.STAGES)["token_shards"](spark, docs, folder).orderBy("start").collect()
