@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import CELL_MS, scan
+
 MINUTE = 60_000
 
 
@@ -27,16 +29,16 @@ def overlap_pairs(rolls: DataFrame, min_overlap_ms: int = 1500, width: int = MIN
     return pairs.select("media_id", "roll_idx_a", "roll_idx_b", "speaker_a", "speaker_b", start.alias("start_ms"), end.alias("end_ms"), (end - start).alias("overlap_ms"))
 
 
-def merge_turns(rolls: DataFrame, max_gap_ms: int = 300, end: str = "last") -> DataFrame:
+def merge_turns(rolls: DataFrame, max_gap_ms: int = 300, end: str = "last", cell_ms: int = CELL_MS) -> DataFrame:
     """WN1: neighbouring turns (in start order over all speakers) of one speaker with a gap of at most max_gap_ms become one.
 
     Its end is the last turn's end, or with end="max" the latest.
     """
     order = ["start_ms", "roll_idx"]
-    by = Window.partitionBy("media_id").orderBy(*order)
-    new = F.coalesce((F.lag("speaker").over(by) != F.col("speaker")) | (F.col("start_ms") - F.lag("end_ms").over(by) > max_gap_ms), F.lit(True))
     last = F.max("end_ms") if end == "max" else F.max_by("end_ms", F.struct(*order))
-    runs = rolls.withColumn("turn_idx", F.sum(new.cast("long")).over(by) - 1)
+    after = scan(rolls.select("media_id", "speaker", "end_ms", *order), ["media_id"], order, cell_ms, previous={"_speaker": F.col("speaker"), "_end": F.col("end_ms")})
+    new = F.coalesce((F.col("_speaker") != F.col("speaker")) | (F.col("start_ms") - F.col("_end") > max_gap_ms), F.lit(True))
+    runs = scan(after.withColumn("_new", new.cast("long")), ["media_id"], order, cell_ms, sums={"_turns": F.col("_new")}).withColumn("turn_idx", F.col("_turns") - 1)
     return runs.groupBy("media_id", "turn_idx").agg(F.min_by("speaker", F.struct(*order)).alias("speaker"), F.min("start_ms").alias("start_ms"), last.alias("end_ms"), F.count("*").alias("n_turns"))
 
 
@@ -62,11 +64,11 @@ def cuts_on_keyframes(cuts: DataFrame, keyframes: DataFrame, tolerance_ms: int =
     return cuts.join(hit, ["media_id", "start_ms"], "left").groupBy("media_id").agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("aligned"), F.count("*").alias("n_cuts"))
 
 
-def pause_removals(pauses: DataFrame, preserve_ms: int = 1500) -> DataFrame:
+def pause_removals(pauses: DataFrame, preserve_ms: int = 1500, cell_ms: int = CELL_MS) -> DataFrame:
     """WN6: what to cut from pauses longer than preserve_ms, and the running total cut so far."""
-    by = Window.partitionBy("media_id").orderBy("start_ms", "end_ms")
-    cut = pauses.filter(F.col("end_ms") - F.col("start_ms") > preserve_ms).withColumn("removed_ms", F.col("end_ms") - F.col("start_ms") - preserve_ms)
-    return cut.select("media_id", F.col("start_ms").alias("original_start_ms"), F.col("end_ms").alias("original_end_ms"), (F.col("start_ms") + preserve_ms).alias("cut_from_ms"), "removed_ms", F.sum("removed_ms").over(by).alias("cumulative_ms"))
+    cut = pauses.select("media_id", "start_ms", "end_ms").filter(F.col("end_ms") - F.col("start_ms") > preserve_ms)
+    total = scan(cut, ["media_id"], ["start_ms", "end_ms"], cell_ms, sums={"cumulative_ms": F.col("end_ms") - F.col("start_ms") - preserve_ms})
+    return total.select("media_id", F.col("start_ms").alias("original_start_ms"), F.col("end_ms").alias("original_end_ms"), (F.col("start_ms") + preserve_ms).alias("cut_from_ms"), (F.col("end_ms") - F.col("start_ms") - preserve_ms).alias("removed_ms"), "cumulative_ms")
 
 
 def kept_pieces(removals: DataFrame, media: DataFrame) -> DataFrame:
@@ -78,17 +80,17 @@ def kept_pieces(removals: DataFrame, media: DataFrame) -> DataFrame:
     return pieces.filter("start_ms < end_ms")
 
 
-def retime(rows: DataFrame, removals: DataFrame) -> DataFrame:
+def retime(rows: DataFrame, removals: DataFrame, cell_ms: int = CELL_MS) -> DataFrame:
     """JN2: start_ms and end_ms of rows (media_id, seg_idx, ...) moved by the pauses removed before them.
 
     An as-of join: each time looks up the last removal whose pause starts at or before it.  Times and removals go through one ordered
-    window, so there is one shuffle and no pair of rows is built.
+    scan, so no pair of rows is built and a long media item is many tasks' work.
     """
     times = rows.select("media_id", "seg_idx", F.explode(F.array(F.struct(F.lit("start").alias("side"), F.col("start_ms").alias("t")), F.struct(F.lit("end").alias("side"), F.col("end_ms").alias("t")))).alias("x"))
     times = times.select("media_id", "seg_idx", "x.side", "x.t", F.lit(1).alias("kind"), F.lit(None).cast("struct<e:bigint,r:bigint,c:bigint>").alias("adj"))
     marks = removals.select("media_id", F.lit(None).cast("int").alias("seg_idx"), F.lit(None).cast("string").alias("side"), F.col("original_start_ms").alias("t"), F.lit(0).alias("kind"), F.struct(F.col("original_end_ms").alias("e"), F.col("removed_ms").alias("r"), F.col("cumulative_ms").alias("c")).alias("adj"))
-    order = Window.partitionBy("media_id").orderBy("t", "kind", F.col("adj.e")).rowsBetween(Window.unboundedPreceding, 0)
-    found = marks.unionByName(times).withColumn("adj", F.last("adj", ignorenulls=True).over(order)).filter("kind = 1")
+    both = marks.unionByName(times).withColumn("e", F.col("adj.e"))
+    found = scan(both, ["media_id"], ["t", "kind", "e"], cell_ms, lasts={"adj": F.col("adj")}).filter("kind = 1")
     moved = F.when(F.col("adj").isNull(), F.col("t")).when(F.col("t") >= F.col("adj.e"), F.col("t") - F.col("adj.c")).otherwise(F.least(F.col("t"), F.col("adj.e") - F.col("adj.r")) - (F.col("adj.c") - F.col("adj.r")))
     side = lambda s: F.max(F.when(F.col("side") == s, moved))
     new = found.groupBy("media_id", "seg_idx").agg(F.greatest(F.lit(0), side("start")).alias("new_start_ms"), side("end").alias("_e"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .jumps import BLOCK_ROWS, grouped
+from .scan import CELL_ROWS, scan
 
 
 def groups_of(items: Column, state: dict[str, Column], breaks: Callable, update: Callable) -> Column:
@@ -156,16 +157,15 @@ def halve_failed(lines: DataFrame, keys: tuple[str, ...] = ("media_id", "chunk_i
     return lines.withColumn("half", F.when(F.col("line_no") < F.floor(n / 2), 0).otherwise(1).cast("int"))
 
 
-def align_sentences(sentence_table: DataFrame, tokens: DataFrame) -> DataFrame:
+def align_sentences(sentence_table: DataFrame, tokens: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """JN5: sentences (media_id, sent_idx, n_words, text) with the times of the word tokens (media_id, tok_idx, start_ms, end_ms) they take up.
 
     Sentence k takes tokens from where k-1 stopped, as many as it has words; sentences beyond the last token drop out.  Both sides carry
-    running counts, so it is an equi-join on the token's sentence number found by one ordered window.
+    running counts, so the token's sentence is found by one ordered scan.
     """
-    by = Window.partitionBy("media_id").orderBy("sent_idx")
-    spans = sentence_table.withColumn("last_tok", F.sum("n_words").over(by) - 1).withColumn("first_tok", F.col("last_tok") - F.col("n_words") + 1)
+    counted = scan(sentence_table.select("media_id", "sent_idx", "n_words", "text"), ["media_id"], ["sent_idx"], cell_rows, sums={"_upto": F.col("n_words").cast("long")})
+    spans = counted.withColumn("last_tok", F.col("_upto") - 1).withColumn("first_tok", F.col("last_tok") - F.col("n_words") + 1)
     marks = spans.select("media_id", F.col("first_tok").alias("at"), F.lit(0).alias("kind"), "sent_idx", "text", F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"))
     rows = tokens.select("media_id", F.col("tok_idx").cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("sent_idx"), F.lit(None).cast("string").alias("text"), "start_ms", "end_ms")
-    order = Window.partitionBy("media_id").orderBy("at", "kind", "sent_idx").rowsBetween(Window.unboundedPreceding, 0)
-    found = marks.unionByName(rows).withColumn("s", F.last(F.when(F.col("kind") == 0, F.struct("sent_idx", "text")), ignorenulls=True).over(order))
+    found = scan(marks.unionByName(rows), ["media_id"], ["at", "kind", "sent_idx"], cell_rows, lasts={"s": F.when(F.col("kind") == 0, F.struct("sent_idx", "text"))})
     return found.filter("kind = 1 AND s IS NOT NULL").groupBy("media_id", F.col("s.sent_idx").alias("sent_idx")).agg(F.min("s.text").alias("text"), F.min_by("start_ms", "at").alias("start_ms"), F.max_by("end_ms", "at").alias("end_ms"), F.count("*").alias("n_tokens"))

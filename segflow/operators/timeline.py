@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import CELL_MS, scan
+
 RATIO = (0.5, 1.15)
 
 
-def place_in_groups(rows: DataFrame) -> DataFrame:
+def place_in_groups(rows: DataFrame, cell_ms: int = CELL_MS) -> DataFrame:
     """WN4: rows (media_id, speaker, grp, seg_idx, start_ms, end_ms, spoken_ms) with their place inside the group.
 
     Pieces follow each other with the positive pauses of the original between them; without speech (null) the slot's length stands in.
     """
-    by = Window.partitionBy("media_id", "speaker", "grp").orderBy("start_ms", "seg_idx")
-    pause = F.greatest(F.lit(0), F.coalesce(F.col("start_ms") - F.lag("end_ms").over(by), F.lit(0)))
+    group, order = ["media_id", "speaker", "grp"], ["start_ms", "seg_idx"]
+    pause = F.greatest(F.lit(0), F.coalesce(F.col("start_ms") - F.col("_end"), F.lit(0)))
     spoken = F.coalesce("spoken_ms", F.col("end_ms") - F.col("start_ms"))
-    put = rows.withColumn("len_ms", spoken).withColumn("pause_ms", pause).withColumn("in_end_ms", F.sum(F.col("len_ms") + F.col("pause_ms")).over(by))
+    after = scan(rows, group, order, cell_ms, previous={"_end": F.col("end_ms")})
+    put = after.withColumn("len_ms", spoken).withColumn("pause_ms", pause).drop("_end")
+    put = scan(put, group, order, cell_ms, sums={"in_end_ms": F.col("len_ms") + F.col("pause_ms")})
     return put.withColumn("in_start_ms", F.col("in_end_ms") - F.col("len_ms"))
 
 
