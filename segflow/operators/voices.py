@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import char_count, complexity, word_count
 from ..functions.vectors import Vectors
+from .graph import shared_folder_set
 
 WPM, CPS = 150.0, 12.5
 
@@ -94,6 +95,34 @@ def exclusive_voices(candidates: DataFrame, order: DataFrame, default: str = "de
     return rows.select("media_id", F.explode(F.aggregate("s", start, give, lambda s: s["out"])).alias("x")).select("media_id", "x.speaker", "x.voice")
 
 
+def catalogue_voices(candidates: DataFrame, order: DataFrame, taken: DataFrame | None = None, default: str = "default", least_ms: int = 3000) -> DataFrame:
+    """PK7 over the whole catalogue: as exclusive_voices, but a voice is taken for all media, and voices of the table taken (voice) are out from the beginning.
+
+    Media come in order of media_id.  All speakers ask for their best voice at once; a voice stays with the earliest who asks, and is struck from the lists of all
+    later ones.  A voice only ever passes to an earlier speaker, so what is struck stays struck, and the end is what one speaker after the other would get: the
+    first speaker without a voice for good has every voice of those before struck, and gets its best of the rest.  A reference that is short or null (or a
+    speaker that isn't in candidates) takes nothing; such a speaker gets its best voice that no earlier one took.
+    """
+    shared_folder_set(order)
+    who = ["media_id", "speaker"]
+    free = candidates if taken is None else candidates.join(taken.select("voice").distinct(), "voice", "left_anti")
+    wishes = free.join(order.select(*who, "first_idx", "ref_ms"), who).select("voice", F.struct("rank", "voice").alias("wish"), F.struct("media_id", "first_idx", "speaker").alias("place"), F.coalesce(F.col("ref_ms") >= least_ms, F.lit(False)).alias("pins"))
+    wishes = wishes.checkpoint()
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("place").agg(F.min("wish").alias("w")).select("place", F.col("w.voice").alias("voice"))
+
+    def holders(rows: DataFrame) -> DataFrame:
+        return best(rows).groupBy("voice").agg(F.min("place").alias("holder"))
+
+    asking, n = wishes.filter("pins"), -1
+    while n != (n := asking.count()):
+        asking = asking.join(holders(asking), "voice", "left").filter("holder IS NULL OR place <= holder").drop("holder").checkpoint()
+    brief = wishes.filter("NOT pins").join(holders(asking), "voice", "left").filter("holder IS NULL OR place < holder")
+    given = best(asking).unionByName(best(brief)).select("place.media_id", "place.speaker", "voice")
+    return order.select(*who).join(given, who, "left").select(*who, F.coalesce("voice", F.lit(default)).alias("voice"))
+
+
 def tts_system(rows: DataFrame, mapping: DataFrame, default: str) -> DataFrame:
     """JN3: rows with tts_system by exact speaker, else by the mapping's '*' (the first in order of systems if it has several), else default."""
     exact = mapping.filter("speaker <> '*'").select("speaker", F.col("system").alias("_s"))

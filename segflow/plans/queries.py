@@ -485,6 +485,21 @@ def pk7_exclusive_voices(x):
     return voices.exclusive_voices(voices.voice_votes(v, x.voices()).select("media_id", "speaker", "voice", "rank"), order)
 
 
+@query(sql("SELECT media_id, speaker, voice FROM walk WHERE r > 0", "speaker_vecs", "voices", recursive=f"""{VOICE_NN}, votes AS (
+  SELECT media_id, speaker, b.v AS voice, b.o AS voice_ord, count(*) AS votes, round(sum(CAST(round(round(b.d, 6) * 1000000) AS BIGINT)) / count(*) / 1000000, 9) AS mean_distance FROM nn GROUP BY ALL),
+ordered AS MATERIALIZED (SELECT media_id, speaker, first_idx % 3 <> 0 AS pins, row_number() OVER (ORDER BY media_id, first_idx, speaker) AS r FROM (SELECT media_id, speaker, min(vec_idx) AS first_idx FROM speaker_vecs GROUP BY ALL)),
+wishes AS MATERIALIZED (SELECT media_id, speaker, list(voice ORDER BY votes DESC, mean_distance, voice_ord) AS ws FROM votes WHERE voice_ord <> 0 GROUP BY ALL),
+walk AS (
+  SELECT NULL::BIGINT AS media_id, 0::BIGINT AS r, NULL::VARCHAR AS speaker, NULL::VARCHAR AS voice, CAST([] AS VARCHAR[]) AS taken
+  UNION ALL
+  SELECT media_id, r, speaker, coalesce(free, 'default'), CASE WHEN pins AND free IS NOT NULL THEN list_append(taken, free) ELSE taken END
+  FROM (SELECT o.media_id, o.r, o.speaker, o.pins, w.taken, list_filter(coalesce(ws, []), lambda v: NOT list_contains(w.taken, v))[1] AS free FROM walk w JOIN ordered o ON o.r = w.r + 1 LEFT JOIN wishes s ON s.media_id = o.media_id AND s.speaker = o.speaker))"""))
+def pk7_catalogue_voices(x):
+    v = x.speaker_vecs()
+    order = v.groupBy("media_id", "speaker").agg(F.min("vec_idx").alias("first_idx")).withColumn("ref_ms", F.when(F.col("first_idx") % 3 == 0, 2000).otherwise(5000))
+    return voices.catalogue_voices(voices.voice_votes(v, x.voices()).select("media_id", "speaker", "voice", "rank"), order, x.voices().filter("voice_ord = 0"))
+
+
 @query(sql("SELECT media_id, chunk_idx, line_no, CASE WHEN line_no < n // 2 THEN 0 ELSE 1 END AS half FROM (SELECT media_id, chunk_idx, row_number() OVER (PARTITION BY media_id, chunk_idx ORDER BY seg_idx) - 1 AS line_no, count(*) OVER (PARTITION BY media_id, chunk_idx) AS n FROM chunked)", "segments", "chunked", recursive=CHUNK_WALK))
 def pk8_halve_failed(x):
     lines = chunks(x).withColumn("line_no", F.row_number().over(Window.partitionBy("media_id", "chunk_idx").orderBy("seg_idx")) - 1)

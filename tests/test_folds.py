@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from segflow.functions import text as T
 from segflow.operators import packing, subtitles, voices
 from pyspark.sql import functions as F
@@ -128,6 +129,23 @@ def test_exclusive_voices(spark):
     assert got == {(1, "a"): "v1", (1, "b"): "v1", (1, "c"): "default", (1, "d"): "v2", (1, "e"): "default", (2, "a"): "v1"}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_catalogue_voices_equal_one_after_the_other(spark, seed):
+    rng = random.Random(seed)
+    order = [(m, s, rng.randrange(5), rng.choice([2000, 5000, 5000, 3000, None])) for m in range(6) for s in "abcd"]
+    cand = [(m, s, v, k) for m, s, *_ in order if rng.random() < 0.9 for k, v in enumerate(rng.sample(["v1", "v2", "v3", "v4", "v5", "v6", "gone"], rng.randrange(1, 7)))]
+    if seed == 3:  # all want the same voices in the same order
+        cand = [(m, s, f"v{k}", k) for m, s, *_ in order for k in range(1, 7)]
+    taken, want = {"gone"}, {}
+    for m, s, _, ms in sorted(order, key=lambda x: (x[0], x[2], x[1])):
+        free = [v for _, v in sorted((k, v) for a, b, v, k in cand if (a, b) == (m, s)) if v not in taken]
+        want[m, s] = free[0] if free else "default"
+        if free and ms is not None and ms >= 3000:
+            taken.add(free[0])
+    got = voices.catalogue_voices(spark.createDataFrame(cand, "media_id long, speaker string, voice string, rank int"), spark.createDataFrame(order, "media_id long, speaker string, first_idx int, ref_ms int"), spark.createDataFrame([("gone",), ("gone",)], "voice string"))
+    assert {(r["media_id"], r["speaker"]): r["voice"] for r in got.collect()} == want
+
+
 def test_cues_cover_their_segment(spark):
     rows = [(1, 0, 0, 1000, "Short one"), (1, 1, 1000, 5000, "First sentence. Second, rather longer sentence here! Third"), (1, 2, 5000, 5100, "word " * 40), (1, 3, 6000, 7000, None), (1, 4, 7000, 8000, "")]
     df = spark.createDataFrame(rows, "media_id long, seg_idx int, start_ms long, end_ms long, text string")
