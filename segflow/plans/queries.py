@@ -596,6 +596,17 @@ def ag2_distinct_speakers(x):
     return speakers.distinct_speakers(x.segments())
 
 
+@query(sql("SELECT count(DISTINCT media_id) AS n_media, count(DISTINCT voice) AS n_speakers, true AS states_agree FROM (SELECT media_id, concat(speaker, '/', media_id % 97) AS voice FROM segments)", "segments"))
+def ag2_catalogue_speakers(x):
+    """The exact count, and whether the states of media that arrive in two batches, the second twice, come within 5 % of it."""
+    rows = x.segments().select("media_id", F.concat_ws("/", "speaker", F.col("media_id") % 97).alias("speaker"))
+    first, second = (speakers.speaker_states(rows.filter(c)) for c in ("media_id % 2 = 0", "media_id % 2 = 1"))
+    states = speakers.with_arrived(speakers.with_arrived(first, second), second)
+    about = speakers.speakers_of_states(states).select(F.struct("n_media", "n_speakers")).scalar()
+    agree = (about["n_media"] == F.col("n_media")) & (F.abs(about["n_speakers"] - F.col("n_speakers")) <= 0.05 * F.col("n_speakers"))
+    return speakers.catalogue_speakers(rows).select("n_media", "n_speakers", agree.alias("states_agree"))
+
+
 @query(sql("SELECT CASE speaker WHEN 'S_user' THEN 'alpha' ELSE 'beta' END AS tts_system, count(*) AS n, count(DISTINCT media_id) AS n_media FROM segments GROUP BY 1", "segments"))
 def ag3_by_system(x):
     return reports.by_system(voices.tts_system(x.segments(), systems(x), "gamma"))

@@ -169,3 +169,21 @@ def test_empty_tables(spark):
     assert packing.merge_segments(empty).count() == 0
     assert packing.translation_chunks(empty).count() == 0
     assert speakers.rename_by_time(empty).count() == 0
+
+
+def test_speaker_states_of_batches_equal_a_full_run(spark):
+    from segflow.operators import speakers
+
+    rows = spark.range(60_000).select((F.col("id") % 50).alias("media_id"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("s"), (F.col("id") * 31 % 20_011).cast("string"))).alias("speaker"))
+    rows = rows.unionByName(spark.createDataFrame([(None, "x"), (None, None), (99, None)], "media_id long, speaker string"))
+    full = speakers.speakers_of_states(speakers.speaker_states(rows)).first()
+    parts = [speakers.speaker_states(rows.filter(c)) for c in ("media_id < 20", "media_id >= 20 OR media_id IS NULL", "media_id % 3 = 0 OR media_id IS NULL")]
+    states = parts[0]
+    for p in parts[1:]:
+        states = speakers.with_arrived(states, p)
+    got = speakers.speakers_of_states(states).first()
+    assert got["n_media"] == full["n_media"] == 52
+    assert sorted((str(r["media_id"]), r["n_speakers"]) for r in states.collect()) == sorted((str(r["media_id"]), r["n_speakers"]) for r in speakers.speaker_states(rows).collect())
+    exact = rows.select("speaker").dropna().distinct().count()
+    assert speakers.catalogue_speakers(rows).first()["n_speakers"] == exact and all(abs(x["n_speakers"] - exact) < 0.04 * exact for x in (got, full))
+    assert tuple(speakers.speakers_of_states(speakers.speaker_states(rows.limit(0))).first()) == (0, 0)
