@@ -67,7 +67,7 @@ def earlier_match(vecs: DataFrame, limit: float = 0.15, block: int = 1024) -> Da
 
 def global_speakers(vecs: DataFrame, limit: float = 0.15) -> DataFrame:
     """AG7: (media_id, chunk_idx, speaker, global_idx): matches are followed to the first chunk; each root gets a number in order of appearance."""
-    node = lambda c, s: F.concat_ws("/", F.col("media_id").cast("string"), F.format_string("%06d", F.col(c)), F.col(s))
+    node = lambda c, s: F.struct(F.col("media_id").cast("long").alias("m"), F.col(c).cast("long").alias("c"), F.col(s).alias("s"))
     match = earlier_match(vecs, limit).select(node("chunk_idx", "speaker").alias("node"), node("prev_chunk", "prev_speaker").alias("parent"))
     nodes = vecs.select("media_id", "chunk_idx", "speaker", node("chunk_idx", "speaker").alias("node")).join(match, "node", "left")
     rooted = roots(nodes.select("node", "parent"))
