@@ -22,6 +22,15 @@ def same_size(vector: Column, size: int) -> Column:
     return F.when(F.size(vector) == size, vector)
 
 
+def cosine_distances(a, b):
+    """Cosine distances of the rows of two matrices; NaN or infinite where a row has no direction."""
+    import numpy as np
+
+    norm = lambda m: np.sqrt((m**2).sum(1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 1 - a @ b.T / (norm(a)[:, None] * norm(b)[None, :])
+
+
 class Vectors:
     """Rows of vectors by their size, as matrices, for products of whole blocks."""
 

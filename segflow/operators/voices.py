@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import char_count, complexity, word_count
-from ..functions.vectors import Vectors
 from .graph import shared_folder_set
+from .nearest import nearest, voice_index
 
 WPM, CPS = 150.0, 12.5
 
@@ -31,42 +31,14 @@ def fixed_rate_ms(text: Column, wpm: float = WPM) -> Column:
     return F.round(word_count(text) * F.lit(60_000.0) / wpm, 3)
 
 
-def nearest_voice(vectors: DataFrame, voices: DataFrame, block: int = 4096) -> DataFrame:
+def nearest_voice(vectors: DataFrame, voices: DataFrame) -> DataFrame:
     """JN7: each vector (media_id, speaker, vec_idx, embedding) with its nearest voice (voice, voice_ord, embedding); ties by catalogue order.
 
-    The catalogue is a query set: it goes out in blocks of about `block` voices, each of which meets the vectors as one matrix product where they lie, without
-    a shuffle.  Vectors of another size than the voice's match nothing.
+    The catalogue is indexed first (operators/nearest.py); to ask one catalogue often, write voice_index(voices) and hand it to nearest() instead.
     """
-    n_blocks = max(1, -(-voices.count() // block))
-    found = None
-    for k in range(n_blocks):
-        part = voices.filter(F.pmod(F.xxhash64("voice"), F.lit(n_blocks)) == k).select("voice", "voice_ord", "embedding").collect()
-        one = nearest_in_block(vectors, sorted(part, key=lambda r: (r["voice_ord"], r["voice"])))
-        found = one if found is None else found.unionByName(one)
-    best = found if n_blocks == 1 else found.groupBy("media_id", "speaker", "vec_idx").agg(F.min(F.struct("d", "voice_ord", "voice")).alias("b")).select("media_id", "speaker", "vec_idx", "b.*")
-    return best.select("media_id", "speaker", "vec_idx", "voice", "voice_ord", F.round("d", 6).alias("distance"))
-
-
-def nearest_in_block(vectors: DataFrame, part: list) -> DataFrame:
-    rows = vectors.select(F.col("media_id").cast("long").alias("media_id"), "speaker", F.col("vec_idx").cast("long").alias("vec_idx"), F.col("embedding").cast("array<double>").alias("embedding"))
-    names, ords, refs = [r["voice"] for r in part], [r["voice_ord"] for r in part], [r["embedding"] for r in part]
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        catalogue = Vectors(refs)
-        for b in batches:
-            nearest = [(np.inf, -1)] * b.num_rows
-            for mine, theirs, d in Vectors(b.column(3).to_pylist()).distances(catalogue):
-                for i, j, x in zip(mine.tolist(), theirs[d.argmin(1)].tolist(), d.min(1).tolist(), strict=True):
-                    nearest[i] = (x, j)
-            hit = [i for i, (x, _) in enumerate(nearest) if x < np.inf]
-            at = [nearest[i][1] for i in hit]
-            kept = b.take(pa.array(hit, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns[:3], pa.array([names[j] for j in at], pa.string()), pa.array([ords[j] for j in at], pa.int64()), pa.array([nearest[i][0] for i in hit], pa.float64())], ["media_id", "speaker", "vec_idx", "voice", "voice_ord", "d"])
-
-    return rows.mapInArrow(run, "media_id long, speaker string, vec_idx long, voice string, voice_ord long, d double")
+    shared_folder_set(vectors)
+    found = nearest(vectors, voice_index(voices).checkpoint())
+    return found.select("media_id", "speaker", "vec_idx", "voice", "voice_ord", F.round("d", 6).alias("distance"))
 
 
 def voice_votes(vectors: DataFrame, voices: DataFrame, excluded: list[str] | None = None) -> DataFrame:
