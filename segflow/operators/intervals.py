@@ -1,32 +1,27 @@
-"""Joins and windows on time intervals.
-
-Range joins go by time buckets, so that they are equi-joins on (media, bucket): an interval is listed in every bucket it
-touches, and a pair counts only in the first bucket both touch.
-"""
+"""Joins and windows on time intervals."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import DEPTH, last_point, overlapping, started_within
 from .scan import CELL_MS, scan
 
-MINUTE = 60_000
-
 
-def in_buckets(rows: DataFrame, width: int = MINUTE) -> DataFrame:
-    """rows once per time bucket that [start_ms, end_ms] touches, with bucket."""
-    return rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_ms") / width), F.floor(F.greatest("start_ms", "end_ms") / width))))
+def overlap_pairs(rolls: DataFrame, min_overlap_ms: int = 1500, depth: int = DEPTH, cell_ms: int = CELL_MS) -> DataFrame:
+    """JN1: pairs of turns (earlier roll_idx first) of one media that overlap by more than min_overlap_ms.
 
-
-def overlap_pairs(rolls: DataFrame, min_overlap_ms: int = 1500, width: int = MINUTE) -> DataFrame:
-    """JN1: pairs of turns (earlier roll_idx first) of one media that overlap by more than min_overlap_ms."""
+    Of two turns the later one starts in the earlier one, more than min_overlap_ms before its end.
+    """
     # turns no longer than the limit can't overlap by more
-    long = in_buckets(rolls.filter(F.col("end_ms") - F.col("start_ms") > min_overlap_ms), width)
-    side = lambda k: long.select("media_id", "bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("roll_idx", "speaker", "start_ms", "end_ms")])
-    start, end = F.greatest("start_ms_a", "start_ms_b"), F.least("end_ms_a", "end_ms_b")
-    pairs = side("a").join(side("b"), ["media_id", "bucket"]).filter((F.col("roll_idx_a") < F.col("roll_idx_b")) & (end - start > min_overlap_ms) & (F.floor(start / width) == F.col("bucket")))
-    return pairs.select("media_id", "roll_idx_a", "roll_idx_b", "speaker_a", "speaker_b", start.alias("start_ms"), end.alias("end_ms"), (end - start).alias("overlap_ms"))
+    long = rolls.filter(F.col("end_ms") - F.col("start_ms") > min_overlap_ms)
+    turns = long.select("media_id", F.col("start_ms").alias("s"), (F.col("end_ms") - min_overlap_ms).alias("e"), F.struct("roll_idx", "speaker", "start_ms", "end_ms").alias("x"))
+    found = started_within(turns, depth, cell_ms).filter("a.roll_idx <> b.roll_idx")
+    low = F.col("a.roll_idx") < F.col("b.roll_idx")
+    named = found.select("media_id", F.when(low, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("b"))
+    start, end = F.greatest("a.start_ms", "b.start_ms"), F.least("a.end_ms", "b.end_ms")
+    return named.select("media_id", F.col("a.roll_idx").alias("roll_idx_a"), F.col("b.roll_idx").alias("roll_idx_b"), F.col("a.speaker").alias("speaker_a"), F.col("b.speaker").alias("speaker_b"), start.alias("start_ms"), end.alias("end_ms"), (end - start).alias("overlap_ms"))
 
 
 def merge_turns(rolls: DataFrame, max_gap_ms: int = 300, end: str = "last", cell_ms: int = CELL_MS) -> DataFrame:
@@ -42,13 +37,12 @@ def merge_turns(rolls: DataFrame, max_gap_ms: int = 300, end: str = "last", cell
     return runs.groupBy("media_id", "turn_idx").agg(F.min_by("speaker", F.struct(*order)).alias("speaker"), F.min("start_ms").alias("start_ms"), last.alias("end_ms"), F.count("*").alias("n_turns"))
 
 
-def without_keyframes(pauses: DataFrame, keyframes: DataFrame, buffer_ms: int = 200, width: int = MINUTE) -> DataFrame:
+def without_keyframes(pauses: DataFrame, keyframes: DataFrame, buffer_ms: int = 200, cell_ms: int = CELL_MS) -> DataFrame:
     """FL7: pauses with no keyframe in [start - buffer, end + buffer]."""
-    spans = pauses.select("media_id", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"))
-    wide = in_buckets(spans.withColumn("start_ms", F.greatest(F.lit(0), F.col("_s") - buffer_ms)).withColumn("end_ms", F.col("_e") + buffer_ms), width)
-    frames = keyframes.select("media_id", F.floor(F.col("ts_ms") / width).alias("bucket"), "ts_ms")
-    hit = wide.join(frames, ["media_id", "bucket"]).filter("ts_ms BETWEEN start_ms AND end_ms").select("media_id", F.col("_s").alias("start_ms"), F.col("_e").alias("end_ms")).distinct()
-    return pauses.join(hit, ["media_id", "start_ms", "end_ms"], "left_anti")
+    spans = pauses.select("media_id", (F.col("end_ms") + buffer_ms).alias("hi"), F.struct(*pauses.columns).alias("span"))
+    seen = last_point(keyframes.select("media_id", F.col("ts_ms").alias("t")), spans, cell_ms)
+    hit = F.col("last_t") >= F.greatest(F.lit(0), F.col("span.start_ms") - buffer_ms)
+    return seen.filter(~F.coalesce(hit, F.lit(False)) | F.col("media_id").isNull() | F.col("span.start_ms").isNull()).select("span.*")
 
 
 def inside_edges(pauses: DataFrame, media: DataFrame, edge_ms: int = 500) -> DataFrame:
@@ -56,12 +50,12 @@ def inside_edges(pauses: DataFrame, media: DataFrame, edge_ms: int = 500) -> Dat
     return pauses.join(media.select("media_id", "duration_ms"), "media_id").filter((F.col("start_ms") > edge_ms) & (F.col("end_ms") < F.col("duration_ms") - edge_ms)).drop("duration_ms")
 
 
-def cuts_on_keyframes(cuts: DataFrame, keyframes: DataFrame, tolerance_ms: int = 100) -> DataFrame:
+def cuts_on_keyframes(cuts: DataFrame, keyframes: DataFrame, tolerance_ms: int = 100, cell_ms: int = CELL_MS) -> DataFrame:
     """FL9: per media, whether every cut start lies within tolerance_ms of a keyframe (false if it has none)."""
-    near = cuts.withColumn("bucket", F.explode(F.array_distinct(F.array(F.floor((F.col("start_ms") - tolerance_ms) / MINUTE), F.floor((F.col("start_ms") + tolerance_ms) / MINUTE)))))
-    frames = keyframes.select("media_id", F.floor(F.col("ts_ms") / MINUTE).alias("bucket"), "ts_ms")
-    hit = near.join(frames, ["media_id", "bucket"]).filter(F.abs(F.col("ts_ms") - F.col("start_ms")) <= tolerance_ms).select("media_id", "start_ms").distinct().withColumn("hit", F.lit(True))
-    return cuts.join(hit, ["media_id", "start_ms"], "left").groupBy("media_id").agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("aligned"), F.count("*").alias("n_cuts"))
+    spans = cuts.select("media_id", (F.col("start_ms") + tolerance_ms).alias("hi"), F.struct("start_ms").alias("span"))
+    seen = last_point(keyframes.select("media_id", F.col("ts_ms").alias("t")), spans, cell_ms)
+    hit = F.col("media_id").isNotNull() & (F.col("last_t") >= F.col("span.start_ms") - tolerance_ms)
+    return seen.groupBy("media_id").agg(F.bool_and(F.coalesce(hit, F.lit(False))).alias("aligned"), F.count("*").alias("n_cuts"))
 
 
 def pause_removals(pauses: DataFrame, preserve_ms: int = 1500, cell_ms: int = CELL_MS) -> DataFrame:
@@ -120,15 +114,15 @@ def audible(keep: DataFrame, media: DataFrame) -> DataFrame:
     return runs.groupBy("media_id", "g").agg(F.min("t").alias("start_ms"), F.max("until").alias("end_ms"), F.first("original").alias("o")).select("media_id", "start_ms", "end_ms", F.when(F.col("o"), "original").otherwise("dubbed").alias("source"))
 
 
-def speaker_of_words(words: DataFrame, rolls: DataFrame, width: int = MINUTE) -> DataFrame:
+def speaker_of_words(words: DataFrame, rolls: DataFrame, depth: int = DEPTH, cell_ms: int = CELL_MS) -> DataFrame:
     """JN11: each word (media_id, word_idx, start_ms, end_ms) with the speaker of the turn that overlaps it most; null if none does.
 
     Equal overlaps go to the earlier turn.
     """
-    r = in_buckets(rolls, width).select("media_id", "bucket", "roll_idx", "speaker", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
-    start, end = F.greatest("start_ms", "s"), F.least("end_ms", "e")
-    hit = in_buckets(words, width).join(r, ["media_id", "bucket"]).filter((start < end) & (F.floor(start / width) == F.col("bucket")))
-    best = hit.groupBy("media_id", "word_idx").agg(F.max_by("speaker", F.struct((end - start).alias("n"), (-F.col("s")).alias("s"), (-F.col("roll_idx")).alias("i"))).alias("speaker"))
+    side = lambda df, idx, speaker: df.select("media_id", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.struct(F.col(idx).cast("long").alias("idx"), speaker.alias("speaker"), "start_ms", "end_ms").alias("x"))
+    hit = overlapping(side(words, "word_idx", F.lit(None).cast("string")), side(rolls, "roll_idx", F.col("speaker")), depth, cell_ms)
+    overlap = F.least("a.end_ms", "b.end_ms") - F.greatest("a.start_ms", "b.start_ms")
+    best = hit.groupBy("media_id", F.col("a.idx").alias("word_idx")).agg(F.max_by("b.speaker", F.struct(overlap.alias("n"), (-F.col("b.start_ms")).alias("s"), (-F.col("b.idx")).alias("i"))).alias("speaker"))
     return words.select("media_id", "word_idx", "start_ms", "end_ms").join(best, ["media_id", "word_idx"], "left")
 
 
