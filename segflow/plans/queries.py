@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, text, timefmt, vectors
-from ..operators import cache, frames, intervals, packing, reports, speakers, subtitles, timeline, translate, variants, voices
+from ..operators import cache, frames, intervals, packing, reports, speakers, store, subtitles, timeline, translate, variants, voices
 from ..sinks import files
 from ..sources import media as media_sources
 from ..sources import transcripts
@@ -1063,19 +1063,50 @@ def ud1_translate_cached(x):
     return translate.translate_cached(c, known, stubs.echo_model, "fr", "en")[0]
 
 
-@query(sql("SELECT key, count(*) AS n_lines, md5(string_agg('[' || text || ']', chr(10) ORDER BY seg_idx)) AS lines_md5 FROM (SELECT *, md5(string_agg(speaker || ': ' || text, chr(10) ORDER BY seg_idx) OVER (PARTITION BY media_id, chunk_idx ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) || '|fr|en|p|m|0.5|') AS key, min(media_id * 100000 + chunk_idx) OVER () AS z FROM chunked) WHERE key NOT IN (SELECT md5(string_agg(speaker || ': ' || text, chr(10) ORDER BY seg_idx) || '|fr|en|p|m|0.5|') FROM chunked WHERE media_id % 2 = 0 GROUP BY media_id, chunk_idx) GROUP BY key", "segments", "chunked", recursive=CHUNK_WALK))
-def snk9_cache_rows(x):
-    """The new rows of a cached translation, appended to a Parquet cache and read from it."""
+def passing_folder(x: Inputs, name: str) -> str:
+    """A new path in the shared folder, for a table that the query itself removes."""
     import uuid
 
     from ..operators.graph import shared_folder_set
 
+    shared_folder_set(x.segments())
+    return f"{x.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(x: Inputs, path: str) -> None:
+    p = x.spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(x.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@query(sql("SELECT key, count(*) AS n_lines, md5(string_agg('[' || text || ']', chr(10) ORDER BY seg_idx)) AS lines_md5 FROM (SELECT *, md5(string_agg(speaker || ': ' || text, chr(10) ORDER BY seg_idx) OVER (PARTITION BY media_id, chunk_idx ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) || '|fr|en|p|m|0.5|') AS key, min(media_id * 100000 + chunk_idx) OVER () AS z FROM chunked) WHERE key NOT IN (SELECT md5(string_agg(speaker || ': ' || text, chr(10) ORDER BY seg_idx) || '|fr|en|p|m|0.5|') FROM chunked WHERE media_id % 2 = 0 GROUP BY media_id, chunk_idx) GROUP BY key", "segments", "chunked", recursive=CHUNK_WALK))
+def snk9_cache_rows(x):
+    """The new rows of a cached translation, appended to a Parquet cache and read from it."""
     c = chunk_keys(x)
     known = c.filter("media_id % 2 = 0").select("key", F.col("pairs").alias("translated_pairs"))
-    shared_folder_set(c)
-    path = f"{x.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cache-{uuid.uuid4().hex}"
-    cache.append(translate.translate_cached(c, known, stubs.echo_model, "fr", "en")[1], path)
-    return x.spark.read.parquet(path).select("key", F.size("translated_pairs").alias("n_lines"), F.md5(F.array_join(F.transform("translated_pairs", lambda p: p["text"]), "\n")).alias("lines_md5"))
+    path = passing_folder(x, "cache")
+    try:
+        cache.append(translate.translate_cached(c, known, stubs.echo_model, "fr", "en")[1], path)
+        return x.spark.read.parquet(path).select("key", F.size("translated_pairs").alias("n_lines"), F.md5(F.array_join(F.transform("translated_pairs", lambda p: p["text"]), "\n")).alias("lines_md5")).checkpoint()
+    finally:
+        remove_folder(x, path)
+
+
+@query(sql("SELECT media_id, seg_idx, CASE WHEN text IN (SELECT text FROM segments WHERE media_id % 2 = 0) THEN '<' || text || '>' ELSE '[' || text || ']' END AS result FROM segments", "segments"))
+def jn9_snk9_key_store(x):
+    """Segments of even media items are in the store (in angle brackets), appended in two batches of which one comes twice, then compacted; the others are computed and appended."""
+    rows, known = keyed(x)
+    known = known.select("key", F.regexp_replace("result", r"(?s)^\[(.*)\]$", "<$1>").alias("result"))
+    path = passing_folder(x, "store")
+    kept = store.KeyStore(x.spark, path, known.schema, buckets=16)
+    try:
+        half = F.pmod(F.xxhash64("key"), F.lit(2)) == 0
+        for batch, part in (("first", known.filter(half)), ("second", known), ("second", known)):
+            kept.append(part, batch)
+        kept.compact()
+        kept.vacuum()
+        return kept.cached(rows, lambda m: m.select("key", F.concat(F.lit("["), "text", F.lit("]")).alias("result")), "computed").select("media_id", "seg_idx", "result").checkpoint()
+    finally:
+        kept.remove()
 
 
 @query(sql("SELECT media_id, seg_idx, row_number() OVER (ORDER BY media_id, start_ms, seg_idx) - 1 AS place FROM segments", "segments"))
