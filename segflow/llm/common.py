@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import map_texts  # noqa: F401
+
 #: The white space that separates words in every contract of this subpackage.
 SPACE = "\\x20\\x09-\\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -43,18 +45,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_texts(rows: DataFrame, run, schema) -> DataFrame:
-    """rows.mapInArrow(run, schema) with batches bounded by bytes: texts and packed columns differ too much in length for a bound on rows.
-
-    The bound is a session setting, read when the plan runs, so it stays set; one that the user has chosen is left alone.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    conf = rows.sparkSession.conf
-    if conf.get(key, "64m").rstrip("b") in ("67108864", "64m"):
-        conf.set(key, "4m")
-    return rows.mapInArrow(run, schema)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have (whatever the letter case)."""
     taken = {c.lower() for c in df.columns}

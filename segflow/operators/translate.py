@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import map_texts, pieces
 from ..functions.text import strip
 from .cache import look_up
 from .packing import halve_failed
@@ -142,7 +143,7 @@ def asked(rows: DataFrame, model: Callable, source: str, target: str, glossary:
 
 
 def call_model(rows: DataFrame, model: Callable, column: str, out: str) -> DataFrame:
-    """UD1-UD7: rows with out = model(list of values of column), called once per Arrow batch."""
+    """UD1-UD7: rows with out = model(list of values of column), called once per piece of an Arrow batch, of about a megabyte: requests and answers are Python objects."""
     import json
 
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
@@ -151,11 +152,11 @@ def call_model(rows: DataFrame, model: Callable, column: str, out: str) -> DataF
     def run(batches: Iterator):
         import pyarrow as pa
 
-        for b in batches:
+        for b in pieces(batches):
             answers = [a if a is None or isinstance(a, str) else json.dumps(a, ensure_ascii=False) for a in model(b.column(at).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(answers, pa.string())], names)
 
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)
 
 
 def translate(chunks: DataFrame, model: Callable, source: str, target: str, rounds: int = 4, attempts: int = 5, glossary: dict[str, str] | None = None, persona: str = "normal") -> tuple[DataFrame, DataFrame]:

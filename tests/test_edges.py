@@ -86,6 +86,13 @@ def test_prompts_reach_the_model_with_context_and_halves_keep_it(spark):
     assert want("A: line 0\nA: line 1\nA: line 2", "was", "comes") in {r["prompt"] for r in log.filter("part = ''").collect()}
 
 
+def test_a_model_call_is_bounded_by_bytes(spark):
+    rows = spark.range(0, 4000, 1, 1).select("id", F.rpad(F.col("id").cast("string"), 2000, "x").alias("ask"))
+    got = translate.call_model(rows, lambda asked: [f"{len(asked)} {a.rstrip('x')}" for a in asked], "ask", "said").select("id", F.split("said", " ").alias("s")).collect()
+    assert len(got) == 4000 and all(int(r["s"][1]) == r["id"] for r in got)
+    assert max(int(r["s"][0]) for r in got) <= 600
+
+
 def test_rounds_use_translated_chunks(spark):
     chunks = spark.createDataFrame([(m, c, f"A: t{c}", [("A", f"t{c}")]) for m, n in ((1, 4), (2, 1)) for c in range(n)], f"media_id long, chunk_idx long, text string, pairs {translate.PAIRS}")
 
