@@ -144,8 +144,6 @@ def asked(rows: DataFrame, model: Callable, source: str, target: str, glossary:
 
 def call_model(rows: DataFrame, model: Callable, column: str, out: str) -> DataFrame:
     """UD1-UD7: rows with out = model(list of values of column), called once per piece of an Arrow batch, of about a megabyte: requests and answers are Python objects."""
-    import json
-
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
     at, names = rows.columns.index(column), [*rows.columns, out]
 
@@ -153,12 +151,29 @@ def call_model(rows: DataFrame, model: Callable, column: str, out: str) -> DataF
         import pyarrow as pa
 
         for b in pieces(batches):
-            answers = [a if a is None or isinstance(a, str) else json.dumps(a, ensure_ascii=False) for a in model(b.column(at).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(answers, pa.string())], names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(answers(model, b.column(at).to_pylist()), pa.string())], names)
 
     return map_texts(rows, run, schema)
 
 
+def answers(model: Callable, asked: list) -> list[str | None]:
+    """model's answers as text, JSON if they are none."""
+    import json
+
+    return [a if a is None or isinstance(a, str) else json.dumps(a, ensure_ascii=False) for a in model(asked)]
+
+
+def lines_of(chunks: DataFrame) -> DataFrame:
+    return chunks.select("media_id", "chunk_idx", F.posexplode("pairs").alias("line_no", "p")).select("media_id", "chunk_idx", "line_no", F.col("p.speaker").alias("speaker"), F.col("p.text").alias("original"))
+
+
+def answered(chunks: DataFrame, log: DataFrame) -> DataFrame:
+    """The lines of chunks with what the tries of log (first, parsed, reason) made of them."""
+    found = log.filter("reason IS NULL").select("media_id", "chunk_idx", F.posexplode("parsed").alias("k", "t"), "first").select("media_id", "chunk_idx", (F.col("first") + F.col("k")).alias("line_no"), F.col("t.text").alias("translation"))
+    out = lines_of(chunks).join(found, ["media_id", "chunk_idx", "line_no"], "left")
+    return out.select("media_id", "chunk_idx", "line_no", "speaker", "original", F.coalesce("translation", "original").alias("translation"), F.col("translation").isNotNull().alias("ok"))
+
+
 def translate(chunks: DataFrame, model: Callable, source: str, target: str, rounds: int = 4, attempts: int = 5, glossary: dict[str, str] | None = None, persona: str = "normal") -> tuple[DataFrame, DataFrame]:
     """UD1 with SC16, VAL1, VAL3 and PK8: (lines, log).
 
@@ -175,9 +190,8 @@ def translate(chunks: DataFrame, model: Callable, source: str, target: str, roun
     shared_folder_set(chunks)
     context = [c for c in CONTEXT_COLUMNS if c in chunks.columns]
     chunks = chunks.select("media_id", "chunk_idx", "pairs", *context).checkpoint()
-    lines = chunks.select("media_id", "chunk_idx", F.posexplode("pairs").alias("line_no", "p")).select("media_id", "chunk_idx", "line_no", F.col("p.speaker").alias("speaker"), F.col("p.text").alias("original"))
     if source == target:
-        return lines.withColumn("translation", F.col("original")).withColumn("ok", F.lit(True)), chunks.sparkSession.createDataFrame([], "media_id long, chunk_idx long, part string, attempt int, prompt string, raw string, reason string")
+        return lines_of(chunks).withColumn("translation", F.col("original")).withColumn("ok", F.lit(True)), chunks.sparkSession.createDataFrame([], "media_id long, chunk_idx long, part string, attempt int, prompt string, raw string, reason string")
     todo = chunks.select("media_id", "chunk_idx", F.lit("").alias("part"), F.lit(0).alias("first"), "pairs", *context)
     tries = []
     for half in range(rounds + 1):
@@ -197,38 +211,122 @@ def translate(chunks: DataFrame, model: Callable, source: str, target: str, roun
     log = tries[0]
     for t in tries[1:]:
         log = log.unionByName(t)
-    found = log.filter("reason IS NULL").select("media_id", "chunk_idx", F.posexplode("parsed").alias("k", "t"), "first").select("media_id", "chunk_idx", (F.col("first") + F.col("k")).alias("line_no"), F.col("t.text").alias("translation"))
-    out = lines.join(found, ["media_id", "chunk_idx", "line_no"], "left")
-    lines = out.select("media_id", "chunk_idx", "line_no", "speaker", "original", F.coalesce("translation", "original").alias("translation"), F.col("translation").isNotNull().alias("ok"))
-    return lines, log.select("media_id", "chunk_idx", "part", "attempt", "prompt", "raw", "reason")
+    return answered(chunks, log), log.select("media_id", "chunk_idx", "part", "attempt", "prompt", "raw", "reason")
 
 
-def translate_in_rounds(chunks: DataFrame, model: Callable, source: str, target: str, before: int = 2, **options) -> tuple[DataFrame, DataFrame]:
+def read_answer(raw: str | None, pairs: list[dict]) -> list[str | None] | None:
+    """The texts of an answer that check_translation() finds no fault with, else None: what it says of a column, said of one answer where the next prompt needs it.
+
+    A number given as a text may be written another way than there.
+    """
+    import json
+    import re
+
+    def text(v):
+        return v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+
+    # Spark takes strings in single quotes too, and leaves what follows the value unread
+    double = re.sub(r"""("(?:\\.|[^"\\])*")|'((?:\\.|[^'\\])*)'""", lambda m: m[1] or '"' + m[2].replace("\\'", "'").replace('"', '\\"') + '"', (raw or "").lstrip(" \t\r\n"))
+    try:
+        found = json.JSONDecoder().raw_decode(double)[0]
+    except ValueError:
+        return None
+    found = [found] if isinstance(found, dict) else found
+    if not isinstance(found, list) or len(found) != len(pairs) or not all(isinstance(f, dict) for f in found):
+        return None
+    same = all(p["speaker"] is not None and text(f.get("speaker")) == p["speaker"] for f, p in zip(found, pairs, strict=True))
+    return [text(f.get("text")) for f in found] if same else None
+
+
+def tries(chunks: list[dict], ask: Callable, template: str, rounds: int, attempts: int) -> Iterator[dict]:
+    """Every try at chunks (pairs and the values of a prompt), as translate() makes them; said of a chunk gets its lines' translations."""
+    todo = [(c, "", 0, c["pairs"]) for c in chunks]
+    for c in chunks:
+        c["said"] = [p["text"] for p in c["pairs"]]
+    for half in range(rounds + 1):
+        for attempt in range(1, attempts + 1):
+            prompts_ = []
+            for c, _, _, pairs in todo:
+                prompt = template
+                for name, value in (c["values"] | {"text": "\n".join(f"{p['speaker'] or ''}: {p['text'] or ''}" for p in pairs)}).items():
+                    prompt = prompt.replace("{" + name + "}", value or "")
+                prompts_.append(prompt)
+            failed = []
+            for (c, part, first, pairs), prompt, raw in zip(todo, prompts_, ask([{"prompt": p, "pairs": t[3]} for p, t in zip(prompts_, todo, strict=True)]), strict=True):
+                yield {"media_id": c["media_id"], "chunk_idx": c["chunk_idx"], "part": part, "first": first, "pairs": pairs, "attempt": attempt, "prompt": prompt, "raw": raw}
+                texts = read_answer(raw, pairs)
+                if texts is None:
+                    failed.append((c, part, first, pairs))
+                else:
+                    c["said"][first : first + len(texts)] = [p["text"] if t is None else t for t, p in zip(texts, pairs, strict=True)]
+            todo = failed
+            if not todo:
+                return
+        if half < rounds:
+            todo = [(c, part + str(h), first + h * (len(p) // 2), p[len(p) // 2 :] if h else p[: len(p) // 2]) for c, part, first, p in todo if len(p) > 1 for h in (0, 1)]
+        if not todo:
+            return
+
+
+def translate_in_rounds(
+    chunks: DataFrame, model: Callable, source: str, target: str, before: int = 2, rounds: int = 4, attempts: int = 5, glossary: dict[str, str] | None = None, persona: str = "normal", together: int = 64
+) -> tuple[DataFrame, DataFrame]:
     """UD1 where each chunk sees the *translations* of up to `before` chunks before it, and the source text of the next: (lines, log) as of translate().
 
-    Round r translates the r-th chunk of every media item at once, so there are as many rounds as the longest item has chunks, each over all items that still have
-    one, and its results are written before the next.  Chunks (media_id, chunk_idx, text, pairs) may have the other columns of a context too.
+    About `together` media items are dealt to a task at a time, in the order of their chunks' places: it asks for their first chunks in one call, then for their second ones, and
+    keeps the last translations of these items only.  So all chunks take one stage however long an item is; only an item's own chunks wait for each other.
+    Chunks (media_id, chunk_idx, text, pairs) may have the other columns of a context too.
     """
+    from collections import deque
+    from itertools import groupby
+
     from .graph import shared_folder_set
 
+    if source == target:
+        return translate(chunks, model, source, target)
     shared_folder_set(chunks)
     by = Window.partitionBy("media_id").orderBy("chunk_idx")
-    todo = chunks.select("*", (F.row_number().over(by) - 1).alias("_round"), F.coalesce(F.lead("text").over(by), F.lit("")).alias("_next")).drop("context_before", "context_after").checkpoint()
-    n_rounds = (todo.agg(F.max("_round")).first()[0] or 0) + 1
-    said, lines, log = None, None, None
-    for r in range(n_rounds):
-        now = todo.filter(F.col("_round") == r)
-        now = now.join(said, "media_id", "left") if said is not None else now.withColumn("_said", F.array().cast("array<string>"))
-        now = now.withColumn("_said", F.coalesce("_said", F.array().cast("array<string>"))).withColumn("context_before", F.array_join("_said", "\n\n")).withColumn("context_after", F.col("_next")).checkpoint()
-        some, tried = translate(now, model, source, target, **options)
-        some = some.checkpoint()
-        lines, log = (some, tried) if lines is None else (lines.unionByName(some), log.unionByName(tried))
-        if r + 1 < n_rounds:
-            pairs = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "speaker", F.col("translation").alias("text")))), lambda x: F.struct(x["speaker"].alias("speaker"), x["text"].alias("text")))
-            latest = some.groupBy("media_id").agg(lines_text(pairs).alias("_new"))
-            kept = F.concat("_said", F.array("_new"))
-            said = now.join(latest, "media_id").select("media_id", F.slice(kept, F.greatest(F.lit(1), F.size(kept) - before + 1), before).alias("_said"))
-    return lines, log
+    own = [c for c in CONTEXT_COLUMNS if c in chunks.columns and not c.startswith("context_")]
+    chunks = chunks.select("media_id", "chunk_idx", "pairs", (F.row_number().over(by) - 1).alias("_round"), F.coalesce(F.lead("text").over(by), F.lit("")).alias("after"), *[F.col(c).cast("string").alias(c) for c in own]).checkpoint()
+    cohorts = max(1, chunks.filter("_round = 0").count() // together)
+    dealt = chunks.withColumn("_cohort", F.pmod(F.xxhash64("media_id"), F.lit(cohorts))).repartition("_cohort").sortWithinPartitions("_cohort", "_round", "media_id")
+    fixed = {"persona": PERSONAS.get(persona, PERSONAS["normal"]), "source": source, "target": target, "glossary": glossary_section(glossary or {})}
+    typed = {f.name: f.dataType for f in chunks.schema}
+    out = T.StructType([T.StructField("media_id", typed["media_id"]), T.StructField("chunk_idx", typed["chunk_idx"]), T.StructField("part", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("pairs", typed["pairs"]), T.StructField("attempt", T.IntegerType()), T.StructField("prompt", T.StringType()), T.StructField("raw", T.StringType())])
+    template, last = TEMPLATES["translate"], before
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        schema, held, said, open_cohort = None, [], {}, None
+
+        def rows():
+            nonlocal schema
+            for b in pieces(batches):
+                kinds = {n: b.schema.field(n).type for n in ("media_id", "chunk_idx", "pairs")}
+                schema = pa.schema([(n, kinds.get(n, pa.int32() if n in ("first", "attempt") else pa.string())) for n in out.names])
+                yield from b.to_pylist()
+
+        for (cohort, _), wave in groupby(rows(), lambda r: (r["_cohort"], r["_round"])):
+            if cohort != open_cohort:
+                open_cohort, said = cohort, {}
+            wave = list(wave)
+            for c in wave:
+                then = said.setdefault(c["media_id"], deque(maxlen=last))
+                c["pairs"] = c["pairs"] or []
+                c["values"] = fixed | {"before": "\n\n".join(then), "after": c["after"]} | {n: c.get(n) for n in ("domain", "tone", "summary", "translated", "target_chars", "persona_rules")}
+            for row in tries(wave, lambda asked: answers(model, asked), template, rounds, attempts):
+                held.append(row)
+                if len(held) == 256:
+                    yield pa.RecordBatch.from_pylist(held, schema)
+                    held = []
+            for c in wave:
+                said[c["media_id"]].append("\n".join(f"{p['speaker'] or ''}: {t or ''}" for p, t in zip(c["pairs"], c["said"], strict=True)))
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
+
+    log = check_translation(map_texts(dealt, run, out).checkpoint())
+    return answered(chunks, log), log.select("media_id", "chunk_idx", "part", "attempt", "prompt", "raw", "reason")
 
 
 def translate_cached(chunks: DataFrame, cache: DataFrame, model: Callable, source: str, target: str, key: str = "key", **options) -> tuple[DataFrame, DataFrame]:

@@ -105,6 +105,33 @@ def test_rounds_use_translated_chunks(spark):
     assert translate.translate_in_rounds(chunks.limit(0), model, "en", "fr")[0].count() == 0
 
 
+def test_rounds_take_one_stage_and_halve_as_translate_does(spark):
+    chunks = spark.createDataFrame([(m, c, f"A: t{c}", [("A", f"l{i}") for i in range(n)]) for m, k, n in ((1, 40, 1), (2, 2, 7)) for c in range(k)], f"media_id long, chunk_idx long, text string, pairs {translate.PAIRS}")
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(batch):
+        calls.add(1)
+        return [None if len(r["pairs"]) > 2 or r["pairs"][0]["text"] == "l3" else [{"speaker": "A", "text": p["text"].upper()} for p in r["pairs"]] for r in batch]
+
+    group = "rounds"
+    spark.sparkContext.setJobGroup(group, group)
+    lines, log = translate.translate_in_rounds(chunks, model, "en", "fr", rounds=3, attempts=2)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 20
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plain, tried = translate.translate(chunks, model, "en", "fr", rounds=3, attempts=2)
+    assert values(lines, *lines.columns) == values(plain, *plain.columns)
+    same = ("media_id", "chunk_idx", "part", "attempt", "raw", "reason")
+    assert sorted(map(str, values(log, *same))) == sorted(map(str, values(tried, *same)))
+
+
+def test_an_answer_is_read_as_a_column_of_them(spark):
+    raws = [None, " ", "\n", "no", "[]", "{}", "null", "5", "[5]", "[null]", '[{"speaker":"A","text":"x"}]', '{"speaker":"A","text":"x"}', '[{"speaker":"A","text":"x"}] ok', '[{"speaker":"A"', '[{"speaker":"A"}]', '[{"text":"x"}]']
+    raws += ['[{"speaker":"A","text":5}]', '[{"speaker":"A","text":{"a": [1, 2]}}]', '[{"speaker":"A","text":true}]', "[{'speaker':'A','text':'it\\'s \"x\"'}]", '[{"speaker":"A","text":"it\'s a\'"}]', '[{speaker:"A"}]', '[{"speaker":"A","text":"a\nb"}]', '[{"speaker":"A","text":"x"},]', '[{"speaker":"A","text":"x"},5]', '[{"speaker":5}]', '[{"speaker":"A","text":"\\u00e9"}]']
+    rows = spark.createDataFrame([(i, r, [("A", "o")]) for i, r in enumerate(raws)], f"i int, raw string, pairs {translate.PAIRS}")
+    want = [None if r["reason"] else [p["text"] for p in r["parsed"]] for r in translate.check_translation(rows).orderBy("i").collect()]
+    assert [translate.read_answer(r, [{"speaker": "A", "text": "o"}]) for r in raws] == want
+
+
 def test_lengths_are_adjusted_or_kept(spark):
     rows = spark.createDataFrame([(1, "json", 3), (2, "plain", 9), (3, "bad", 4), (4, " ", 4), (5, None, 4), (6, "json", None), (7, "later", 5)], "i int, text string, target_chars long")
     tries = spark.sparkContext.accumulator(0)
