@@ -89,7 +89,7 @@ def identified(docs: DataFrame, nulls_last: bool = False) -> DataFrame:
     if unique_ids(rows):
         return rows.select(doc, F.lit(1).alias("copies"), "doc_id", "text")
     text = F.coalesce("text", F.lit(""))
-    order = [F.col("doc_id").isNull() if nulls_last else F.lit(0), "doc_id", "_crc", "_sha"]
+    order = [*[F.col("doc_id").isNull()] * nulls_last, "doc_id", "_crc", "_sha"]
     once = rows.groupBy("doc_id", F.crc32(text).alias("_crc"), F.sha2(text, 256).alias("_sha")).agg(F.first("text").alias("text"), F.count("*").cast("int").alias("copies"))
     return cut(once.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("doc"), "copies", "doc_id", "text"))
 

@@ -5,7 +5,8 @@ import random
 import zlib
 
 import numpy as np
-from segflow.llm import suffixdedup
+import pytest
+from segflow.llm import common, suffixdedup
 
 LENGTH = suffixdedup.LENGTH
 
@@ -129,3 +130,12 @@ def test_equal_checksums_of_one_id_are_told_apart(spark):
     rows = [(5, pair[0]), (5, pair[1]), (9, pair[0][:120]), (None, pair[0]), (None, pair[1])]
     assert {r[0]: r[2] for r in run(spark, rows) if r[0] == 9} == {9: 120}
     assert run(spark, [(5, pair[0]), (5, pair[1]), (1, pair[0][:120])]) == brute([(5, pair[0]), (5, pair[1]), (1, pair[0][:120])])
+
+
+@pytest.mark.parametrize("nulls_last", [False, True])
+def test_repeated_ids_are_numbered_in_order(spark, nulls_last):
+    rows = [(7, "b"), (None, "n"), (7, "b"), (7, "a"), (-2, None), (None, "m")]
+    found = common.identified(spark.createDataFrame(rows, "doc_id long, text string"), nulls_last).orderBy("doc").collect()
+    null = [(None, t, 1) for t in sorted("mn", key=lambda t: zlib.crc32(t.encode()))]
+    known = [(-2, None, 1), *[(7, t, 1 + (t == "b")) for t in sorted("ab", key=lambda t: zlib.crc32(t.encode()))]]
+    assert [(r["doc_id"], r["text"], r["copies"]) for r in found] == (known + null if nulls_last else null + known)
