@@ -209,36 +209,40 @@ class Encoder:
     """Ids of texts, a piece at a time: each distinct piece is encoded once by the tokenizer and remembered.
 
     Which pieces give the ids of the whole text depends on the tokenizer.  When it is loaded, the finest of three cuts that does so on PROBES and on random strings is chosen:
-    parts of words (see pieces()), words, or whole texts; whether the tokenizer's model alone does for plain letters is tested likewise.  The memory of pieces is emptied when it passes memo_bytes; pieces longer than LONG are not remembered.
+    parts of words (see pieces()), words, or whole texts; whether the tokenizer's model alone does for plain letters is tested likewise.  The memory of pieces is two halves of at most half of memo_bytes and what one call of known()
+adds: when the newer one is full, it takes the older one's place, into which a piece comes back when it is met again.  Pieces longer than LONG are not remembered.
     """
 
     LONG = 64
     PROBES = ("Two  words, it's 3.14!\nNext line\n\n  indented Été ÜBER", "a\u0301 \u0301b ﬁn ½ 10,000 x_y <|endoftext|> <|a|>", " lead and trail \n", "日本語 текст\tтаб\r\nend e\u0301", "×÷ aà×b ÷é É1é ¿Qué? «Où» –ñ", "don't  won't'll ''s ## $5 A1b2C3 x--y ... (a) [B] {c}; 1.2.3,4 e.g. a@b.c/d?e=f&g")
 
-    def __init__(self, path: str, memo_bytes: int = 24 << 20):
+    def __init__(self, path: str, memo_bytes: int = 128 << 20):
         import random
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo_bytes, self.held = memo_bytes, 0
+        self.memo_bytes = memo_bytes
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word))
         self.mark_id, self.mark = (special[0][0], special[0][1].encode()) if special else (-1, None)
         rng = random.Random(1)
         # plain letters may reach the model without normaliser and pre-tokenizer, as they are or in lower case, in the pre-tokenizer's spelling of bytes
         pre, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
-        spelt = {ord(c): "".join(x for x, _ in pre.pre_tokenize_str(c)) for c in LATIN} if pre is not None else {}
+        spelt = {ord(c): "".join(x for x, _ in pre.pre_tokenize_str(c)) for c in LATIN} | {i: i for i in range(128)} if pre is not None else {}
         letters = ["".join(rng.choice("etaoinshrdluETAOINzqxj" + LATIN * (i % 2)) for _ in range(rng.randrange(1, 15))) for i in range(400)]
-        ways = [lambda w: w.decode().translate(spelt), lambda w: w.decode().lower().translate(spelt)]
+        ways = [lambda w: w.decode().translate(spelt), lambda w: w.decode().lower().translate(spelt)]  # of one word, or of words with line feeds between
         direct = lambda way, w: array("I", [t.id for t in model.tokenize(way(w.encode()))]).tobytes()
         self.spell = next((f for f in ways if all(direct(f, w) == self.whole(w) for w in letters)), None)
-        self.lower = self.spell is ways[1]
         probes = [*self.PROBES, *("".join(chr(rng.randrange(32, 127)) for _ in range(rng.randrange(40))) for _ in range(200))]
         for self.by in ("parts", "words", "texts"):
             if all(self.cut_ids(t) == self.whole(t) for t in probes):
                 break
-        self.memo.clear()
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo, self.older = {}, {}
 
     def whole(self, text: str) -> bytes:
         """Ids of a text as unsigned 32-bit integers."""
@@ -251,7 +255,7 @@ class Encoder:
             return self.whole(text)
         body, bounds, _ = pieces(np.frombuffer(data, np.uint8), np.array([0, len(data)]), piece_classes() if self.by == "parts" else None)
         flat = body.tobytes()
-        self.memo.clear()
+        self.forget()
         return b"".join(self.known([flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]))
 
     def together(self, found: list[bytes], at_once: int = 20) -> list[bytes]:
@@ -272,23 +276,24 @@ class Encoder:
 
     def known(self, found: list[bytes]) -> list[bytes]:
         """Ids of each piece."""
-        memo, spell, lower, tokenize = self.memo, self.spell, self.lower, self.tokenizer.model.tokenize
-        if self.held > self.memo_bytes:
-            memo.clear()
-            self.held = 0
-        out = [memo.get(w) for w in found]
-        rest = []
+        # with its id bytes and its place, an entry of LONG bytes takes no more than 300 bytes
+        if 600 * len(self.memo) > self.memo_bytes:
+            self.memo, self.older = {}, self.memo
+        memo, older, spell, tokenize = self.memo, self.older, self.spell, self.tokenizer.model.tokenize
+        out = list(map(memo.get, found))
+        letters, rest = [], []
         for k in [k for k, ids in enumerate(out) if ids is None]:
             w = found[k]
-            if spell is None or len(w) > self.LONG:
-                rest.append(k)
-            elif w.isalpha():  # ASCII letters alone
-                out[k] = memo[w] = array("I", [t.id for t in tokenize((w.lower() if lower else w).decode())]).tobytes()
-            elif set(w.decode("utf-8", "replace")) <= LETTERS:
-                out[k] = memo[w] = array("I", [t.id for t in tokenize(spell(w))]).tobytes()
+            ids = older.get(w)
+            if ids is not None:
+                out[k] = memo[w] = ids
+            elif spell is not None and len(w) <= self.LONG and (w.isalpha() or set(w.decode("utf-8", "replace")) <= LETTERS):
+                letters.append(k)
             else:
                 rest.append(k)
-        self.held = 300 * len(memo)
+        if letters:
+            for k, w in zip(letters, spell(b"\n".join([found[k] for k in letters])).split("\n"), strict=True):
+                out[k] = memo[found[k]] = array("I", [t.id for t in tokenize(w)]).tobytes()
         for i in range(0, len(rest), 500):
             part = rest[i : i + 500]
             words = [found[k] for k in part]
@@ -296,7 +301,6 @@ class Encoder:
                 out[k] = ids
                 if len(w) <= self.LONG:
                     memo[w] = ids
-        self.held = 300 * len(memo)  # with its id bytes and its place, an entry of LONG bytes takes no more
         return out
 
     def encode(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -309,20 +313,30 @@ class Encoder:
         else:
             body, bounds, ends = pieces(*utf8(texts), piece_classes() if self.by == "parts" else None)
             code = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(body)]).dictionary_encode()
-            known, at = self.known(code.dictionary.to_pylist()), code.indices.to_numpy()
+            known, at = self.known(code.dictionary.to_numpy(zero_copy_only=False).tolist()), code.indices.to_numpy()
         # the end id is one more piece, which stands after each text's last
         places = np.full(len(at) + len(ends), len(known), np.int32)
         mine = np.ones(len(places), bool)
         mine[ends + np.arange(len(ends))] = False
         places[mine] = at
         known.append(array("I", [end_id]).tobytes())
-        size = np.fromiter(map(len, known), np.int32, len(known)) // 4
-        flat = np.frombuffer(b"".join(known), np.uint32)
-        n = size[places]
-        upto = np.cumsum(n, dtype=np.int32)
-        step = np.repeat((np.cumsum(size, dtype=np.int32) - size)[places] - (upto - n), n)
-        step += np.arange(len(step), dtype=np.int32)
-        return flat[step], np.diff(upto[ends + np.arange(len(ends))].astype(np.int64), prepend=0)
+        ids = pa.array(known, pa.large_binary()).take(pa.array(places))
+        _, upto, flat = ids.buffers()
+        upto = np.frombuffer(upto, np.int64)[: len(places) + 1] // 4
+        flat = np.frombuffer(flat, np.uint32)[: upto[-1]] if len(places) else np.zeros(0, np.uint32)
+        return flat, np.diff(upto[ends + np.arange(len(ends)) + 1], prepend=0)
+
+
+#: The encoder of a Python worker, by its tokenizer's file: loaded once, and pieces of one task are known to the next.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
 
 
 def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_tokens: int = 1 << 21, levels: int = 16, order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -341,7 +355,6 @@ def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_to
         from pyspark import TaskContext
 
         part, seq, held = TaskContext.get().partitionId(), 0, 0
-        encoder = None
         open_ids: list[np.ndarray] = []
         open_docs: list[tuple] = []
         names = [x.split()[0] for x in SHARDS.split(", ")]
@@ -358,7 +371,7 @@ def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_to
             return row
 
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer_path)
+            encoder = encoder_of(tokenizer_path)
             for piece in slices(batch, SLICE):
                 ids, counts = encoder.encode(piece.column(1), end_id)
                 if len(ids) and int(ids.max()) >> levels:

@@ -158,6 +158,27 @@ def test_encoder_equals_the_tokenizer(name, by):
             assert ids[e - c : e].tolist() == encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
 
 
+def test_pieces_stay_known_when_the_memory_is_full(path, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("aeinorstéèÉA") for _ in range(12))
+    often, rare = [word() for _ in range(200)], [word() for _ in range(3000)]
+    encoder = tokenbin.Encoder(path, memo_bytes=600 * 400)
+    calls = []
+    real = encoder.spell
+    monkeypatch.setattr(encoder, "spell", lambda w: calls.extend(w.split(b"\n")) or real(w))
+    for i in range(0, len(rare), 100):
+        text = " ".join(often + rare[i : i + 100])
+        ids, _ = encoder.encode(pa.array([text]), 2)
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [2]
+        assert len(encoder.memo) + len(encoder.older) <= 2 * 400 + 2 * 300
+    # the words of each text are asked of the tokenizer once, however many others come between
+    assert len(calls) <= len(set(often)) + len(rare)
+
+
 def test_shards_in_order(spark, path, tmp_path):
     from tokenizers import Tokenizer
 
