@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .scan import CELL_MS, scan
 
-DEPTH = 256
+#: Starts in a cell: each is compared with the spans that reach its cell, and a long span is copied to each cell it reaches.
+DEPTH = 64
 
 
 def in_cells(rows: DataFrame, sides: int, depth: int, cell_ms: int) -> tuple[DataFrame, DataFrame]:
@@ -30,9 +31,12 @@ def in_cells(rows: DataFrame, sides: int, depth: int, cell_ms: int) -> tuple[Dat
     mine, theirs = (F.when(F.col("side") == 0, F.col("place0")).otherwise(F.col("place1")), F.when(F.col("side") == 0, F.col("place1")).otherwise(F.col("place0"))) if sides == 2 else (F.col("place0"), F.col("place0"))
     start = F.col("kind") > 0
     found = placed.groupBy("media_id", "side", "s", "e", "x").agg(F.max(F.when(start, mine)).alias("place"), F.max(F.when(start, theirs)).alias("past"), F.max(F.when(~start, theirs)).alias("last"), F.count_if(start).alias("n"))
-    there = found.select("media_id", F.col("side").alias("of"), F.col("x").alias("point"), "place", F.col("n").alias("n_points"), F.floor(F.col("place") / depth).alias("cell"))
+    # true of every row; both sides of the join then need all of these, so that one exchange serves both
+    found = found.filter("place IS NOT NULL AND past IS NOT NULL AND last IS NOT NULL AND n > 0")
+    side, other = (F.col("side"), (F.col("side") + 1) % sides) if sides == 2 else (F.lit(0), F.lit(0))
+    there = found.select("media_id", side.alias("of"), F.col("x").alias("point"), "place", F.col("n").alias("n_points"), F.floor(F.col("place") / depth).alias("cell"))
     cells = F.sequence(F.floor((F.col("past") + 1) / depth), F.floor(F.col("last") / depth))
-    reach = found.filter("past < last").select("media_id", ((F.col("side") + 1) % sides).alias("of"), F.col("x").alias("span"), "past", "last", "n", F.explode(cells).alias("cell"))
+    reach = found.filter("past < last").select("media_id", other.alias("of"), F.col("x").alias("span"), "past", "last", "n", F.explode(cells).alias("cell"))
     return there, reach
 
 
@@ -44,7 +48,7 @@ def met(rows: DataFrame, sides: int, depth: int, cell_ms: int) -> DataFrame:
 
 
 def repeated(pairs: DataFrame) -> DataFrame:
-    return pairs.select("media_id", "a", "b", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("_")).drop("_")
+    return pairs.select("media_id", "a", "b", F.explode(F.when(F.col("n") == 1, F.array(F.lit(1).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), "n"))).alias("_")).drop("_")
 
 
 def started_within(rows: DataFrame, depth: int = DEPTH, cell_ms: int = CELL_MS) -> DataFrame:

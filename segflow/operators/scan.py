@@ -1,8 +1,8 @@
 """Running values over ordered rows, with one long group spread over many tasks.
 
 Rows go in cells by a whole number of their order (a time or an index): each cell is a window of its own, a summary of each cell (its sum, last value and last
-row) is carried over the group's cells, one row a cell, and the carry joins back.  Only cells that have one before them take part in that join, so groups of one
-cell pay nothing but the summary.  A cell holds all rows of its stretch: rows of one single instant stay together.
+row) is carried over the group's cells, one row a cell, and the carry goes into the next cell's window as its first row, so rows move once and nothing is joined
+back.  Groups of one cell pay nothing but the summary.  A cell holds all rows of its stretch: rows of one single instant stay together.
 """
 
 from __future__ import annotations
@@ -22,24 +22,24 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], width: int, sums: d
     """
     sums, lasts, previous = sums or {}, lasts or {}, previous or {}
     cell = "_cell"
-    base = rows.withColumn(cell, F.floor(F.col(order[0]) / width))
-    one, over = Window.partitionBy(*keys, cell).orderBy(*order), Window.partitionBy(*keys).orderBy(cell)
+    values = {f"_sum_{n}": c for n, c in sums.items()} | {f"_last_{n}": c for n, c in lasts.items()}
+    if previous:
+        values["_row"] = F.struct(F.lit(True).alias("_any"), *[c.alias(n) for n, c in previous.items()])
+    base = rows.withColumn(cell, F.floor(F.col(order[0]) / width)).withColumns(values)
+    over, place = Window.partitionBy(*keys).orderBy(cell), F.struct(*order)
     before = over.rowsBetween(Window.unboundedPreceding, -1)
-    last_row, place = F.struct(F.lit(True).alias("_any"), *[c.alias(n) for n, c in previous.items()]), F.struct(*order)
 
-    summary = [F.sum(c).alias(n) for n, c in sums.items()] + [F.max_by(c, F.when(c.isNotNull(), place)).alias(n) for n, c in lasts.items()]
-    carried = [F.sum(n).over(before).alias(n) for n in sums] + [F.last(n, ignorenulls=True).over(before).alias(n) for n in lasts]
-    local = [F.sum(c).over(one).alias(f"_{n}") for n, c in sums.items()] + [F.last(c, ignorenulls=True).over(one).alias(f"_{n}") for n, c in lasts.items()]
+    summary = [F.sum(f"_sum_{n}").alias(f"_sum_{n}") for n in sums] + [F.max_by(f"_last_{n}", F.when(F.col(f"_last_{n}").isNotNull(), place)).alias(f"_last_{n}") for n in lasts]
+    carried = [F.sum(f"_sum_{n}").over(before).alias(f"_sum_{n}") for n in sums] + [F.last(f"_last_{n}", ignorenulls=True).over(before).alias(f"_last_{n}") for n in lasts]
     if previous:
-        summary, carried, local = [*summary, F.max_by(last_row, place).alias("_row")], [*carried, F.lag("_row").over(over).alias("_row")], [*local, F.lag(last_row).over(one).alias("_before")]
+        summary, carried = [*summary, F.max_by("_row", place).alias("_row")], [*carried, F.lag("_row").over(over).alias("_row")]
     carry = base.groupBy(*keys, cell).agg(*summary).select(*keys, cell, F.row_number().over(over).alias("_nth"), *carried).filter("_nth > 1")
-    carry = carry.select(F.struct(*keys, cell).alias("_of"), F.struct(*sums, *lasts, *["_row"] * bool(previous)).alias("_carry"))
-
-    same = F.lit(True)
-    for k in [*keys, cell]:
-        same = same & F.col(k).eqNullSafe(F.col("_of").getField(k))
-    held = F.col("_carry")
-    # a null adds nothing; a row before it in the cell, whatever it holds, hides the carry
-    out = {n: F.coalesce(F.col(f"_{n}") + held.getField(n), f"_{n}", held.getField(n)) for n in sums} | {n: F.coalesce(f"_{n}", held.getField(n)) for n in lasts}
-    out |= {n: F.coalesce("_before", held.getField("_row")).getField(n) for n in previous}
-    return base.select("*", *local).join(carry, same, "left").select(*[c for c in rows.columns if c not in out], *[c.alias(n) for n, c in out.items()])
+    there = {*keys, cell, *values}
+    carry = carry.select(*[F.col(f.name) if f.name in there else F.lit(None).cast(f.dataType).alias(f.name) for f in base.schema], F.lit(False).alias("_is_row"))
+
+    # the carry is first in its cell: a null adds nothing, a row after it hides it
+    one = Window.partitionBy(*keys, cell).orderBy("_is_row", *order)
+    out = {n: F.sum(f"_sum_{n}").over(one) for n in sums} | {n: F.last(f"_last_{n}", ignorenulls=True).over(one) for n in lasts}
+    seen = base.withColumn("_is_row", F.lit(True)).unionByName(carry).select("*", *[c.alias(f"_out_{n}") for n, c in out.items()], *[F.lag("_row").over(one).alias("_before")] * bool(previous)).filter("_is_row")
+    out = {n: F.col(f"_out_{n}") for n in out} | {n: F.col("_before").getField(n) for n in previous}
+    return seen.select(*[c for c in rows.columns if c not in out], *[c.alias(n) for n, c in out.items()])

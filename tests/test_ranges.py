@@ -100,3 +100,18 @@ def test_empty_tables(spark):
     words = spark.createDataFrame([(1, 0, 5, 9)], "media_id long, word_idx long, start_ms long, end_ms long")
     assert [tuple(r) for r in intervals.speaker_of_words(words, none).collect()] == [(1, 0, 5, 9, None)]
     assert intervals.speaker_of_words(words.limit(0), none).count() == 0
+
+
+def test_ends_and_starts_are_placed_once_and_nothing_is_joined_to_it(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rolls = spark.createDataFrame([(1, k, 100 * k, 100 * k + 5000, "a") for k in range(50)], "media_id long, roll_idx long, start_ms long, end_ms long, speaker string")
+    adaptive, broadcast = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        # a window over each cell's events and one over the cells' summaries, for both sides of the one join
+        found = plan(intervals.overlap_pairs(rolls))
+        assert found.count("Window [") == 2 and found.count("Join [") == 1 and "ReusedExchange" in found
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
