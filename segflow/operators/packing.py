@@ -160,12 +160,19 @@ def halve_failed(lines: DataFrame, keys: tuple[str, ...] = ("media_id", "chunk_i
 def align_sentences(sentence_table: DataFrame, tokens: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """JN5: sentences (media_id, sent_idx, n_words, text) with the times of the word tokens (media_id, tok_idx, start_ms, end_ms) they take up.
 
-    Sentence k takes tokens from where k-1 stopped, as many as it has words; sentences beyond the last token drop out.  Both sides carry
-    running counts, so the token's sentence is found by one ordered scan.
+    Sentence k takes tokens from where k-1 stopped, as many as it has words; sentences beyond the last token drop out, and so do tokens
+    beyond the last sentence.  A running count gives each sentence its first and last token; it is marked in each cell of cell_rows tokens
+    that it reaches, and the last mark in a token's cell is its sentence's.  Texts stay out of this and join the sentences' few times.
     """
-    counted = scan(sentence_table.select("media_id", "sent_idx", "n_words", "text"), ["media_id"], ["sent_idx"], cell_rows, sums={"_upto": F.col("n_words").cast("long")})
-    spans = counted.withColumn("last_tok", F.col("_upto") - 1).withColumn("first_tok", F.col("last_tok") - F.col("n_words") + 1)
-    marks = spans.select("media_id", F.col("first_tok").alias("at"), F.lit(0).alias("kind"), "sent_idx", "text", F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"))
-    rows = tokens.select("media_id", F.col("tok_idx").cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("sent_idx"), F.lit(None).cast("string").alias("text"), "start_ms", "end_ms")
-    found = scan(marks.unionByName(rows), ["media_id"], ["at", "kind", "sent_idx"], cell_rows, lasts={"s": F.when(F.col("kind") == 0, F.struct("sent_idx", "text"))})
-    return found.filter("kind = 1 AND s IS NOT NULL").groupBy("media_id", F.col("s.sent_idx").alias("sent_idx")).agg(F.min("s.text").alias("text"), F.min_by("start_ms", "at").alias("start_ms"), F.max_by("end_ms", "at").alias("end_ms"), F.count("*").alias("n_tokens"))
+    counted = scan(sentence_table.select("media_id", "sent_idx", F.col("n_words").cast("long").alias("n_words")), ["media_id"], ["sent_idx"], cell_rows, sums={"_upto": F.col("n_words")})
+    spans = counted.filter("n_words > 0").select("media_id", "sent_idx", (F.col("_upto") - F.col("n_words")).alias("first_tok"), (F.col("_upto") - 1).alias("last_tok"))
+    cells = F.sequence(F.floor(F.col("first_tok") / cell_rows), F.floor(F.col("last_tok") / cell_rows))
+    marks = spans.select("media_id", F.explode(cells).alias("cell"), F.col("first_tok").alias("at"), F.lit(0).alias("kind"), F.struct("sent_idx", "last_tok").alias("s"))
+    rows = tokens.select("media_id", F.col("tok_idx").cast("long").alias("at"), F.lit(1).alias("kind"), "start_ms", "end_ms").withColumn("cell", F.floor(F.col("at") / cell_rows))
+    # dealt anew, so that no sort stands over both sides' sorts in one task
+    both = rows.unionByName(marks, allowMissingColumns=True).repartition("media_id", "cell")
+    found = both.withColumn("s", F.last("s", ignorenulls=True).over(Window.partitionBy("media_id", "cell").orderBy("at", "kind"))).filter("kind = 1 AND at <= s.last_tok")
+    parts = found.groupBy("media_id", "cell", F.col("s.sent_idx").alias("sent_idx")).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min_by("start_ms", "at").alias("start_ms"), F.max_by("end_ms", "at").alias("end_ms"), F.count("*").alias("n"))
+    texts = sentence_table.select("media_id", "sent_idx", "text")
+    whole = parts.drop("cell").unionByName(texts, allowMissingColumns=True).groupBy("media_id", "sent_idx")
+    return whole.agg(F.min("text").alias("text"), F.min_by("start_ms", "first").alias("start_ms"), F.max_by("end_ms", "last").alias("end_ms"), F.sum("n").alias("n_tokens")).filter("n_tokens > 0")

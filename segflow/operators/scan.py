@@ -40,6 +40,9 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], width: int, sums: d
     # the carry is first in its cell: a null adds nothing, a row after it hides it
     one = Window.partitionBy(*keys, cell).orderBy("_is_row", *order)
     out = {n: F.sum(f"_sum_{n}").over(one) for n in sums} | {n: F.last(f"_last_{n}", ignorenulls=True).over(one) for n in lasts}
-    seen = base.withColumn("_is_row", F.lit(True)).unionByName(carry).select("*", *[c.alias(f"_out_{n}") for n, c in out.items()], *[F.lag("_row").over(one).alias("_before")] * bool(previous)).filter("_is_row")
+    # rows that lie by key already are dealt anew too, and the carry apart from them: else a long item stays one task's work, and one task sorts or writes the rows
+    # while the carry is still to be sorted, which then finds no memory
+    dealt = base.withColumn("_is_row", F.lit(True)).unionByName(carry.repartition(*keys, cell)).repartition(*keys, cell)
+    seen = dealt.select("*", *[c.alias(f"_out_{n}") for n, c in out.items()], *[F.lag("_row").over(one).alias("_before")] * bool(previous)).filter("_is_row")
     out = {n: F.col(f"_out_{n}") for n in out} | {n: F.col("_before").getField(n) for n in previous}
     return seen.select(*[c for c in rows.columns if c not in out], *[c.alias(n) for n, c in out.items()])
